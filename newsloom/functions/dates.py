@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import clean_publish_date, col
+from newsloom.functions.text import clean_publish_date, col, let
 from newsloom.schema import SLOT_STARTS, SLOT_ZONE, ZONE_OFFSETS
 
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
@@ -41,32 +41,40 @@ DATE_FORMATS = [
 
 
 def parse_known_formats(c: str | Column) -> Column:
-    """A cleaned publish date as a UTC instant, or NULL if no known format fits."""
-    text = F.regexp_replace(F.regexp_replace(col(c), _WEEKDAY, ""), _LONG_MONTH, "$1")
-    zone = F.regexp_extract(text, _ZONE_NAME, 1)
-    number = F.regexp_extract(text, _OFFSET, 1)
-    table = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
-    offset = F.coalesce(
-        F.when(number == "Z", F.lit("+00:00")),
-        F.when(number != "", F.regexp_replace(number, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")),
-        F.try_element_at(table, zone),
-        F.lit("+00:00"),
-    )
-    body = F.trim(
-        F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _OFFSET, ""), _ZONE_NAME, ""), r"\s+(?=,|$)", "")
-    )
-    parsed = F.coalesce(
-        *[
+    """A cleaned publish date as a UTC instant, NULL if no known format fits."""
+    zones = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
+
+    def pieces(text: Column) -> Column:
+        zone, number = F.regexp_extract(text, _ZONE_NAME, 1), F.regexp_extract(text, _OFFSET, 1)
+        body = F.regexp_replace(F.regexp_replace(text, f"{_OFFSET}|{_ZONE_NAME}", ""), r"\s+(?=,|$)", "")
+        return F.struct(zone.alias("zone"), number.alias("number"), F.trim(body).alias("body"))
+
+    def with_offset(p: Column) -> Column:
+        offset = (
+            F.when(p["number"] == "Z", F.lit("+00:00"))
+            .when(p["number"] != "", F.regexp_replace(p["number"], r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
+            .otherwise(F.coalesce(F.try_element_at(zones, p["zone"]), F.lit("+00:00")))
+        )
+        eastern = (p["zone"] == "ET") & (p["number"] == "")
+        return F.struct(p["body"].alias("body"), offset.alias("offset"), eastern.alias("eastern"))
+
+    def read(p: Column) -> Column:
+        tries = [
             F.when(
-                body.rlike(guard),
-                F.try_to_timestamp(F.concat(body, F.lit(" "), offset), F.lit(f"{fmt} XXX"))
+                p["body"].rlike(guard),
+                F.try_to_timestamp(F.concat(p["body"], F.lit(" "), p["offset"]), F.lit(f"{fmt} XXX"))
                 if fmt
-                else F.concat(body, offset).try_cast("timestamp"),
+                else F.concat(p["body"], p["offset"]).try_cast("timestamp"),
             )
             for guard, fmt in DATE_FORMATS
         ]
-    )
-    return F.when((zone == "ET") & (number == ""), F.to_utc_timestamp(parsed, "America/New_York")).otherwise(parsed)
+        return F.struct(F.coalesce(*tries).alias("at"), p["eastern"].alias("eastern"))
+
+    def shift(p: Column) -> Column:
+        return F.when(p["eastern"], F.to_utc_timestamp(p["at"], "America/New_York")).otherwise(p["at"])
+
+    norm = F.regexp_replace(F.regexp_replace(col(c), _WEEKDAY, ""), _LONG_MONTH, "$1")
+    return let(let(let(let(norm, pieces), with_offset), read), shift)
 
 
 @F.pandas_udf("timestamp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Without it the optimizer may copy a costly expression into every place it is used.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: str | Column) -> Column:
     """Trim every kind of white space, not just blanks."""
     return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
@@ -27,14 +37,10 @@ def clean_text(c: str | Column) -> Column:
     return F.translate(collapse_whitespace(c), "\"'", "")
 
 
-def is_blank(c: str | Column) -> Column:
-    return F.trim(col(c)) == ""
-
-
 def clean_publish_date(c: str | Column) -> Column:
     """Drop a leading "Updated"/"Published" and collapse white space; sentinels become NULL."""
     text = F.trim(F.regexp_replace(F.regexp_replace(col(c), r"(?i)^\s*(Updated|Published)\s+", ""), r"\s+", " "))
-    return F.when(~F.lower(text).isin("", "null", "no publish date"), text)
+    return let(text, lambda t: F.when(~F.lower(t).isin("", "null", "no publish date"), t))
 
 
 def clean_category(c: str | Column) -> Column:
@@ -84,8 +90,7 @@ def sentences(c: str | Column) -> Column:
 
 
 def word_count(c: str | Column) -> Column:
-    text = strip(c)
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, f"{WS}+")))
+    return F.size(F.filter(F.split(col(c), f"{WS}+"), lambda w: w != ""))
 
 
 def comma_count(c: str | Column) -> Column:

@@ -28,10 +28,11 @@ def write_partitioned(
 ) -> None:
     """Append to a partitioned parquet table with files of at most ``max_records`` rows.
 
-    Rows are written from the partitions they are in: no shuffle, and a folder that
-    gets most of the rows is written by many tasks.
+    Rows are gathered by folder first, so a folder gets few files; the rebalance lets
+    adaptive execution split a folder that gets most of the rows over many tasks.
     """
-    df.write.partitionBy(*by).option("maxRecordsPerFile", max_records).mode(mode).parquet(path)
+    gathered = df.hint("rebalance", *by)
+    gathered.write.partitionBy(*by).option("maxRecordsPerFile", max_records).mode(mode).parquet(path)
 
 
 def write_json_batches(df: DataFrame, path: str, max_records: int = 500, by: Sequence[str] = ()) -> None:
@@ -39,7 +40,7 @@ def write_json_batches(df: DataFrame, path: str, max_records: int = 500, by: Seq
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    df.select(*columns).write.csv(path, header=True, mode="overwrite", quoteAll=True, escape='"')
+    df.select(*columns).write.csv(path, header=True, mode="overwrite", escape='"')
 
 
 def split_corrupt(df: DataFrame, c: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
@@ -105,7 +106,8 @@ def merge_into(
     upsert(target.join(touched, cond, "left_semi"), source, keys).write.parquet(staged)
     merged = spark.read.parquet(staged)
     (
-        merged.write.partitionBy(*by)
+        merged.hint("rebalance", *by)
+        .write.partitionBy(*by)
         .option("maxRecordsPerFile", max_records)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
