@@ -101,6 +101,17 @@ def transcript_timing(df: DataFrame, text: str, keep: Sequence[str], adjust: boo
     return _line_rows(_timed(df, text, adjust, pause), keep, F.lit(0).cast("bigint"))
 
 
+def transcript_lines(df: DataFrame, text: str, adjust: bool = True, pause: int = PAUSE_CS, out: str = "lines") -> DataFrame:
+    """Add the timed lines of a script as an array of struct(startTime, endTime, text)."""
+    line = F.transform(
+        F.arrays_zip("_s", "_d", "_b"),
+        lambda x: F.struct(
+            (x["_b"] / 100).alias("startTime"), ((x["_b"] + x["_d"]) / 100).alias("endTime"), strip(x["_s"]).alias("text")
+        ),
+    )
+    return _timed(df, text, adjust, pause).withColumn(out, line).drop("_s", "_d", "_b")
+
+
 def running_offset(df: DataFrame, key: str, pos: str, value: str, chunk: int = 1024) -> DataFrame:
     """(key, pos, offset): the sum of ``value`` over smaller positions of the same key.
 

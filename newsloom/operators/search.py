@@ -166,13 +166,13 @@ def bm25(tf: Column, length: Column, df: Column, docs: Column, avg_len: Column)
 def score_fields(index: SearchIndex, terms_by_field: Mapping[str, Sequence[str]], fuzziness=None) -> DataFrame:
     """doc_id, field, score and the bits of the query terms found, one row per document and field."""
     found = _candidates(index, terms_by_field, fuzziness)
-    frequency = found.select("term", "field", "doc_id").distinct().groupBy("term", "field").agg(F.count("*").alias("df")) if fuzziness else (
-        found.groupBy("term", "field").agg(F.count("*").alias("df"))
-    )
+    # A word can be a variant of several query terms: it has the same documents under each.
+    per_match = found.groupBy("term", "field", "position").agg(F.count("*").alias("df"))
+    frequency = per_match.groupBy("term", "field").agg(F.max("df").alias("df"))
     weighed = found.join(frequency, ["term", "field"]).join(index.stats, "field")
     points = bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("docs"), F.col("avg_len")) * F.col("weight")
     return weighed.groupBy("doc_id", "field").agg(
-        F.sum(points).alias("score"), F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("position"))).alias("found")
+        F.sum(points).alias("score"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("position"))).alias("found")
     )
 
 

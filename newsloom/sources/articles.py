@@ -71,6 +71,19 @@ def slot_scan(
     return df.where((F.col(date_col) == date) & F.col(hour_col).isin(wanted))
 
 
+def hours_scan(
+    df: DataFrame, wanted: Iterable[tuple[str, int]], date_col: str = "ingest_date", hour_col: str = "ingest_hour"
+) -> DataFrame:
+    """Rows of (date, hour) folders, which may lie on several dates; also a pure partition filter."""
+    by_date: dict[str, list[str]] = {}
+    for date, hour in wanted:
+        by_date.setdefault(date, []).append(f"{hour:02d}")
+    keep = F.lit(False)
+    for date, hours in by_date.items():
+        keep = keep | ((F.col(date_col) == date) & F.col(hour_col).isin(hours))
+    return df.where(keep)
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     """Union by name; a column missing in a frame is NULL there."""
     first, *rest = frames

@@ -72,23 +72,26 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def merge_into(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], by: Sequence[str], mode: str = "upsert",
-    max_records: int = 10000,
+    max_records: int = 10000, merge_schema: bool = False,
 ) -> None:
     """Merge ``source`` (unique on ``keys``) into a table partitioned by ``by``.
 
     Only folders that hold a matched row or receive a new one are rewritten. The new
-    content of those folders is written aside first, so the table is never read while
-    it is being replaced and a lost executor cannot lose rows.
+    content of those folders is written aside first, so the table is never read while it
+    is being replaced and a lost executor cannot lose rows.
     """
     if not table_exists(spark, path):
         write_partitioned(source, path, by, max_records)
         return
-    target = spark.read.option("mergeSchema", True).parquet(path)
+    target = spark.read.option("mergeSchema", merge_schema).parquet(path)
     staged_source = new_path(spark, "merge-source")
     source.write.parquet(staged_source)
     source = spark.read.parquet(staged_source)
     if mode == "insert_new":
-        fresh = source.join(target.select(*keys), list(keys), "left_anti")
+        # The stored keys meet the batch in a semi-join first: a small batch is broadcast, a
+        # larger one filters them by its runtime filter, so they are not all shuffled.
+        known = target.select(*keys).join(source.select(*keys), list(keys), "left_semi")
+        fresh = source.join(known, list(keys), "left_anti")
         staged = new_path(spark, "merge-new")
         fresh.write.parquet(staged)
         write_partitioned(spark.read.parquet(staged), path, by, max_records)
