@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import clean_text, col, strip
+from newsloom.functions.text import clean_text, col, let, strip
 from newsloom.schema import BOILERPLATE_PHRASES, DATELINE_MARKER, EXCLUDED_URL, SENTINELS
 from newsloom.sources.articles import union_all
 
@@ -31,11 +30,12 @@ def url_filter(df: DataFrame, pattern: str = EXCLUDED_URL) -> DataFrame:
 def valid_expr(day: str | None = "day") -> Column:
     """Never NULL: url, src, title and content are there and mean something, day is NULL or a number.
 
-    Title and content are named once each, so a filter on cleaned text cleans it once.
+    Title and content are named once each, so a filter on cleaned text cleans it once, and
+    the anchored pattern gives up on a real text at its first letters.
     """
     ok = F.col("url").isNotNull() & F.col("src").isNotNull()
     for c, sentinel in (("title", "no title"), ("content", "no content")):
-        ok = ok & ~F.lower(F.trim(F.col(c))).isin("", sentinel)
+        ok = ok & ~F.col(c).rlike(rf"(?i)^ *({sentinel})? *\z")
     if day:
         ok = ok & (F.col(day).isNull() | F.col(day).try_cast("int").isNotNull())
     return F.coalesce(ok, F.lit(False))
@@ -82,4 +82,9 @@ def boilerplate_strip(
         F.transform(col(paragraphs), strip),
         lambda p: ~F.exists(F.array(*[F.lit(x) for x in phrases]), lambda x: F.contains(p, x)),
     )
-    return F.regexp_replace(F.array_join(kept, " "), rf"^[\s\S]*?(?={re.escape(marker)})", "")
+
+    def after_dateline(text: Column) -> Column:
+        at = F.instr(text, marker)
+        return F.when(at > 0, F.substr(text, at)).otherwise(text)
+
+    return let(F.array_join(kept, " "), after_dateline)

@@ -1,7 +1,9 @@
 """Full-text search: analysis, inverted index, BM25, multi-field matching, highlighting.
 
-The index is a table of postings (term, field, doc_id, len, tf); ``len`` is the length of
-the field, carried along so that ranking needs no join with a length table.
+The index is three tables: postings (term, field, doc_id, len, tf), the dictionary
+(term, field, df) and the totals per field. ``len`` is the length of the field, carried
+along so that ranking needs no join with a length table. A query is matched against the
+dictionary, which is small, and only the postings of the matching terms are read.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.stemming import porter_stem
 from newsloom.functions.text import col
 from newsloom.schema import BM25_B, BM25_K1, FIELD_BOOSTS, STOP_WORDS
+from newsloom.session import new_path
 
 STANDARD, ENGLISH = "standard", "english"
 _SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -65,9 +68,10 @@ def tokenize_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers:
 
 @dataclass
 class SearchIndex:
-    """Postings and per-field totals (field, docs, avg_len); both are plain tables that can be stored."""
+    """Three plain tables that can be stored, and the analyzer of each field."""
 
     postings: DataFrame
+    dictionary: DataFrame
     stats: DataFrame
     analyzers: Mapping[str, str]
 
@@ -80,7 +84,11 @@ def search_index_build(
     analyzers = dict(analyzers or {})
     terms = tokenize_terms(docs, doc_id, fields, analyzers)
     postings = terms.groupBy("term", "field", "doc_id", "len").agg(F.count("*").alias("tf"))
-    return SearchIndex(postings, field_stats(docs, fields, analyzers), analyzers)
+    return SearchIndex(postings, term_dictionary(postings), field_stats(docs, fields, analyzers), analyzers)
+
+
+def term_dictionary(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "field").agg(F.count("*").alias("df"))
 
 
 def field_stats(docs: DataFrame, fields: Sequence[str], analyzers: Mapping[str, str] | None = None) -> DataFrame:
@@ -98,21 +106,31 @@ def field_stats(docs: DataFrame, fields: Sequence[str], analyzers: Mapping[str,
     return lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
 
 
-def write_index(index: SearchIndex, path: str) -> None:
-    """Store postings sorted by term, so that a query reads only the row groups of its terms.
+def write_index(index: SearchIndex, path: str) -> SearchIndex:
+    """Store the index and return the stored one.
 
-    The range key ends with the document, so the postings of one common word can fill many files.
+    Postings are sorted by term, so that a query reads only the row groups of its terms.
+    The range key ends with the document, so the postings of one common word can fill many
+    files. They are written once unsorted before: choosing the ranges samples its input, and
+    the texts should not be analysed twice. The dictionary is counted from the stored postings.
     """
+    spark = index.postings.sparkSession
+    staged = new_path(spark, "postings")
+    index.postings.write.parquet(staged)
     (
-        index.postings.repartitionByRange("term", "field", "doc_id")
+        spark.read.parquet(staged)
+        .repartitionByRange("term", "field", "doc_id")
         .sortWithinPartitions("term", "field", "doc_id")
         .write.mode("overwrite").parquet(f"{path}/postings")
     )
+    term_dictionary(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/dictionary")
     index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return read_index(spark, path, index.analyzers)
 
 
 def read_index(spark, path: str, analyzers: Mapping[str, str] | None = None) -> SearchIndex:
-    return SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), dict(analyzers or {}))
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "dictionary", "stats")]
+    return SearchIndex(*tables, dict(analyzers or {}))
 
 
 def allowed_edits(term: str, fuzziness: str | int | None) -> int:
@@ -123,7 +141,7 @@ def allowed_edits(term: str, fuzziness: str | int | None) -> int:
 
 
 def _variants(terms_by_field: Mapping[str, Sequence[str]], fuzziness) -> Column:
-    """For a posting: the query terms it matches, as (position, weight).
+    """For a dictionary entry: the query terms it matches, as (position, weight).
 
     A variant some edits away counts 1 - edits / length of the shorter word.
     """
@@ -143,18 +161,14 @@ def _variants(terms_by_field: Mapping[str, Sequence[str]], fuzziness) -> Column:
     return F.filter(F.array(*matches), lambda m: m.isNotNull())
 
 
-def _candidates(index: SearchIndex, terms_by_field: Mapping[str, Sequence[str]], fuzziness) -> DataFrame:
-    """Postings that match a query term. Exact queries push their term list down to the scan."""
+def expand_terms(index: SearchIndex, terms_by_field: Mapping[str, Sequence[str]], fuzziness=None) -> DataFrame:
+    """Dictionary entries that match a query term: term, field, df, position, weight."""
+    entries = index.dictionary.where(F.col("field").isin(list(terms_by_field)))
     wanted = sorted({t for terms in terms_by_field.values() for t in terms})
-    postings = index.postings.where(F.col("field").isin(list(terms_by_field)))
     if all(allowed_edits(t, fuzziness) == 0 for t in wanted):
-        postings = postings.where(F.col("term").isin(wanted))
-    else:
-        lengths = [len(t) for t in wanted]
-        slack = max(allowed_edits(t, fuzziness) for t in wanted)
-        postings = postings.where(F.length("term").between(min(lengths) - slack, max(lengths) + slack))
-    return postings.select("*", F.explode(_variants(terms_by_field, fuzziness)).alias("m")).select(
-        "term", "field", "doc_id", "len", "tf", "m.position", "m.weight"
+        entries = entries.where(F.col("term").isin(wanted))
+    return entries.select("term", "field", "df", F.explode(_variants(terms_by_field, fuzziness)).alias("m")).select(
+        "term", "field", "df", "m.position", "m.weight"
     )
 
 
@@ -165,14 +179,15 @@ def bm25(tf: Column, length: Column, df: Column, docs: Column, avg_len: Column)
 
 def score_fields(index: SearchIndex, terms_by_field: Mapping[str, Sequence[str]], fuzziness=None) -> DataFrame:
     """doc_id, field, score and the bits of the query terms found, one row per document and field."""
-    found = _candidates(index, terms_by_field, fuzziness)
-    # A word can be a variant of several query terms: it has the same documents under each.
-    per_match = found.groupBy("term", "field", "position").agg(F.count("*").alias("df"))
-    frequency = per_match.groupBy("term", "field").agg(F.max("df").alias("df"))
-    weighed = found.join(frequency, ["term", "field"]).join(index.stats, "field")
+    postings = index.postings.where(F.col("field").isin(list(terms_by_field)))
+    wanted = sorted({t for terms in terms_by_field.values() for t in terms})
+    if all(allowed_edits(t, fuzziness) == 0 for t in wanted):
+        postings = postings.where(F.col("term").isin(wanted))
+    expanded = expand_terms(index, terms_by_field, fuzziness).join(index.stats, "field")
     points = bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("docs"), F.col("avg_len")) * F.col("weight")
-    return weighed.groupBy("doc_id", "field").agg(
-        F.sum(points).alias("score"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("position"))).alias("found")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("position"))
+    return postings.join(expanded, ["term", "field"]).groupBy("doc_id", "field").agg(
+        F.sum(points).alias("score"), F.bit_or(bit).alias("found")
     )
 
 

@@ -10,69 +10,70 @@ Riedewald, SIGMOD 2011, with matrix blocks.)
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TILE_ROWS = 2048
 
 
-def _tile_counts(df: DataFrame, region: Sequence[str], name: str, tile_rows: int) -> DataFrame:
-    counts = df.groupBy(*region).agg(F.count("*").alias("_n"))
-    return counts.select(*region, F.ceil(F.col("_n") / tile_rows).cast("int").alias(name))
+def _with_tiles(df: DataFrame, region: str | None, id_col: str, tile_rows: int) -> tuple[DataFrame, DataFrame | int]:
+    """Add ``_t``, the tile of each row, and return the number of tiles, per region or overall.
 
+    The count per region is one small row per region; without regions it is one number.
+    """
+    bucket = F.xxhash64(id_col, F.lit("tile"))
+    if region is None:
+        tiles = max(1, -(-df.count() // tile_rows))
+        return df.withColumn("_t", F.pmod(bucket, F.lit(tiles)).cast("int")), tiles
+    counts = df.groupBy(region).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_n"))
+    return df.join(counts, region).withColumn("_t", F.pmod(bucket, F.col("_n")).cast("int")).drop("_n"), counts
 
-def _tile_of(id_col: str, tiles: str) -> Column:
-    return F.pmod(F.xxhash64(id_col, F.lit("tile")), F.col(tiles)).cast("int")
+
+def _upto(df: DataFrame, region: str | None, tiles: DataFrame | int, name: str) -> DataFrame:
+    """Add the number of tiles on the other side as a column."""
+    if isinstance(tiles, int):
+        return df.withColumn(name, F.lit(tiles))
+    return df.join(tiles.withColumnRenamed("_n", name), region)
 
 
 def tile_join(
     left: DataFrame,
     right: DataFrame,
-    region: Sequence[str],
+    region: str | None,
     left_id: str,
     right_id: str,
     emit: Callable[[pa.Table, pa.Table], pa.Table],
-    schema: str,
+    schema: StructType | str,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """``emit`` sees every pair of a left and a right tile of a region exactly once."""
-    sizes = _tile_counts(left, region, "_nl", tile_rows).join(_tile_counts(right, region, "_nr", tile_rows), list(region))
-    lhs = (
-        left.join(sizes, list(region))
-        .withColumn("_i", _tile_of(left_id, "_nl"))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)))
-        .drop("_nl", "_nr")
-    )
-    rhs = (
-        right.join(sizes, list(region))
-        .withColumn("_j", _tile_of(right_id, "_nr"))
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)))
-        .drop("_nl", "_nr")
-    )
-    return _cogroup(lhs, rhs, region, emit, schema)
+    left, left_tiles = _with_tiles(left, region, left_id, tile_rows)
+    right, right_tiles = _with_tiles(right, region, right_id, tile_rows)
+    others = F.explode(F.expr("sequence(0, _others - 1)"))
+    lhs = _upto(left, region, right_tiles, "_others").select("*", others.alias("_j")).withColumnRenamed("_t", "_i")
+    rhs = _upto(right, region, left_tiles, "_others").select("*", others.alias("_i")).withColumnRenamed("_t", "_j")
+    return _cogroup(lhs.drop("_others"), rhs.drop("_others"), region, emit, schema)
 
 
 def tile_self_join(
     df: DataFrame,
-    region: Sequence[str],
+    region: str | None,
     id_col: str,
     emit: Callable[[pa.Table, pa.Table, bool], pa.Table],
-    schema: str,
+    schema: StructType | str,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """``emit`` sees every unordered pair of tiles of a region once, a tile with itself flagged True."""
-    tiled = df.join(_tile_counts(df, region, "_nt", tile_rows), list(region)).withColumn("_t", _tile_of(id_col, "_nt"))
-    lhs = tiled.withColumn("_j", F.explode(F.expr("sequence(_t, _nt - 1)"))).withColumnRenamed("_t", "_i").drop("_nt")
+    tiled, tiles = _with_tiles(df, region, id_col, tile_rows)
+    later = F.explode(F.expr("sequence(_t, _others - 1)"))
+    lhs = _upto(tiled, region, tiles, "_others").select("*", later.alias("_j")).withColumnRenamed("_t", "_i").drop("_others")
     # The diagonal tile is compared with itself, so it is not sent twice.
-    rhs = (
-        tiled.where("_t > 0")
-        .withColumn("_i", F.explode(F.expr("sequence(0, _t - 1)")))
-        .withColumnRenamed("_t", "_j")
-        .drop("_nt")
-    )
+    earlier = F.explode(F.expr("sequence(0, _t - 1)"))
+    rhs = tiled.where("_t > 0").select("*", earlier.alias("_i")).withColumnRenamed("_t", "_j")
 
     def both(a: pa.Table, b: pa.Table) -> pa.Table:
         diagonal = a.num_rows > 0 and a.column("_i")[0].as_py() == a.column("_j")[0].as_py()
@@ -81,8 +82,8 @@ def tile_self_join(
     return _cogroup(lhs, rhs, region, both, schema)
 
 
-def _cogroup(lhs: DataFrame, rhs: DataFrame, region: Sequence[str], emit, schema: str) -> DataFrame:
-    key = [*region, "_i", "_j"]
+def _cogroup(lhs: DataFrame, rhs: DataFrame, region: str | None, emit, schema: StructType | str) -> DataFrame:
+    key = ([region] if region else []) + ["_i", "_j"]
     # Fresh column identities, so that a table can be compared with itself.
     rhs = rhs.select(*[F.col(c).alias(c) for c in rhs.columns])
     return lhs.groupBy(*key).cogroup(rhs.groupBy(*key)).applyInArrow(emit, schema)

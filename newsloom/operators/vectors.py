@@ -6,13 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import normalize_url
 from newsloom.functions.vectors import RANK_DIGITS, band_signature, cosine, probe_signatures, unit_rows
 from newsloom.operators.tables import first_per_key
 from newsloom.operators.tiles import TILE_ROWS, tile_join, tile_self_join
+from newsloom.session import new_path
 
 # A table of vectors with at most this many rows may be sent to every task.
 BROADCAST_ROWS = 4096
@@ -149,10 +150,7 @@ def nearest(
             compare(top, a.column("query_id").to_pylist(), own, unit_rows(a.column("vector")), b)
         return pa.Table.from_batches(top.batches(arrow), schema=arrow)
 
-    region = F.lit(0).alias("_r")
-    return tile_join(
-        queries.select("*", region), corpus.select("*", region), ["_r"], "query_id", "article_id", emit, schema, tile_rows
-    )
+    return tile_join(queries, corpus, None, "query_id", "article_id", emit, schema, tile_rows)
 
 
 def rank_top(scored: DataFrame, k: int) -> DataFrame:
@@ -250,7 +248,7 @@ def pairwise_similar(
     """
     if category is not None:
         df = df.where(F.array_contains("categories", category))
-    lean = df.select("article_id", "src", F.col(vector).alias("vector"), F.lit(0).alias("_r")).where("vector IS NOT NULL")
+    lean = df.select("article_id", "src", F.col(vector).alias("vector")).where("vector IS NOT NULL")
 
     def emit(a: pa.Table, b: pa.Table, diagonal: bool) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -258,7 +256,7 @@ def pairwise_similar(
             return _pair_table(a, b, *(np.zeros(0, int),) * 2, np.zeros(0))
         return _pair_table(a, b, *_pairs_above(threshold, a, b, diagonal))
 
-    return tile_self_join(lean, ["_r"], "article_id", emit, _pair_schema(df), tile_rows)
+    return tile_self_join(lean, None, "article_id", emit, _pair_schema(df), tile_rows)
 
 
 def describe_pairs(pairs: DataFrame, articles: DataFrame) -> DataFrame:
@@ -268,15 +266,26 @@ def describe_pairs(pairs: DataFrame, articles: DataFrame) -> DataFrame:
     return pairs.join(one, "article_1").join(two, "article_2")
 
 
-def _regions(df: DataFrame, bands: int, tile_rows: int) -> int:
-    """Number of hash regions that hold about one tile of bucket entries each."""
-    return max(1, -(-df.count() * bands // tile_rows))
+def lsh_index(
+    df: DataFrame, bands: int, bits: int, vector: str = "embedding", seed: int = 7, tile_rows: int = TILE_ROWS
+) -> tuple[DataFrame, int]:
+    """One row per article and band with its bucket, and the number of regions buckets are hashed into.
+
+    Signatures are written to the shared folder once, one row per article, and expanded
+    into bands when read, so the Python side does not run again for every use. The number
+    of regions makes an average region about one tile.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "lsh")
+    df.where(F.col(vector).isNotNull()).withColumn("codes", band_signature(vector, bands, bits, seed)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    regions = max(1, -(-stored.count() * bands // tile_rows))
+    index = stored.select("*", F.posexplode("codes").alias("band", "code")).withColumn("_r", _region(regions))
+    return index, regions
 
 
-def lsh_index(df: DataFrame, bands: int, bits: int, vector: str = "embedding", seed: int = 7) -> DataFrame:
-    """One row per article and band with the bucket code: store it partitioned by band."""
-    signed = df.where(F.col(vector).isNotNull()).withColumn("codes", band_signature(vector, bands, bits, seed))
-    return signed.select("*", F.posexplode("codes").alias("band", "code"))
+def _region(regions: int) -> Column:
+    return F.pmod(F.xxhash64("band", "code"), F.lit(regions))
 
 
 def pairwise_similar_lsh(
@@ -289,13 +298,9 @@ def pairwise_similar_lsh(
     makes its region large, which is then cut into more tiles. A pair found in several
     bands is sent on by the first of them only, so nothing has to be deduplicated.
     """
-    index = lsh_index(df, bands, bits, vector, seed)
-    regions = _regions(df, bands, tile_rows)
-    lean = index.select(
-        "article_id", "src", F.col(vector).alias("vector"), "codes", "band", "code",
-        F.pmod(F.xxhash64("band", "code"), F.lit(regions)).alias("_r"),
-        F.xxhash64("article_id", "band").alias("_entry"),
-    )
+    lean = df.select("article_id", "src", F.col(vector).alias("vector"))
+    index, _ = lsh_index(lean, bands, bits, "vector", seed, tile_rows)
+    entries = index.withColumn("_entry", F.xxhash64("article_id", "band"))
 
     def emit(a: pa.Table, b: pa.Table, diagonal: bool) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -310,7 +315,7 @@ def pairwise_similar_lsh(
         keep = same & (band_a == band_b) & (band_a == first)
         return _pair_table(a, b, left[keep], right[keep], scores[keep])
 
-    return tile_self_join(lean, ["_r"], "_entry", emit, _pair_schema(df), tile_rows)
+    return tile_self_join(entries, "_r", "_entry", emit, _pair_schema(df), tile_rows)
 
 
 def knn_lsh(
@@ -322,17 +327,16 @@ def knn_lsh(
     ``queries``: query_id, embedding; ``corpus``: article_id, embedding. Every query also
     probes the buckets across its ``probes`` least certain hyperplanes per band.
     """
-    regions = _regions(corpus, bands, tile_rows)
-    region = F.pmod(F.xxhash64("band", "code"), F.lit(regions)).alias("_r")
-    stored = lsh_index(corpus.select("article_id", "embedding"), bands, bits, "embedding", seed).select(
-        "article_id", F.col("embedding").alias("vector"), "band", "code", region,
-        F.xxhash64("article_id", "band").alias("_entry"),
-    )
+    lean = corpus.select("article_id", F.col("embedding").alias("vector"))
+    index, regions = lsh_index(lean, bands, bits, "vector", seed, tile_rows)
+    stored = index.drop("codes").withColumn("_entry", F.xxhash64("article_id", "band"))
+    near = F.posexplode(probe_signatures("vector", bands, bits, probes, seed)).alias("band", "near")
     asked = (
-        queries.where("embedding IS NOT NULL")
-        .select("query_id", F.col("embedding").alias("vector"), F.posexplode(probe_signatures("embedding", bands, bits, probes, seed)).alias("band", "near"))
+        queries.select("query_id", F.col("embedding").alias("vector"))
+        .where("vector IS NOT NULL")
+        .select("query_id", "vector", near)
         .select("query_id", "vector", "band", F.explode("near").alias("code"))
-        .select("query_id", "vector", "band", "code", region, F.xxhash64("query_id", "band", "code").alias("_ask"))
+        .withColumns({"_r": _region(regions), "_ask": F.xxhash64("query_id", "band", "code")})
     )
     schema, arrow = _top_schema(queries, corpus, False)
 
@@ -349,6 +353,6 @@ def knn_lsh(
         top.keyed = False
         return pa.Table.from_batches(top.batches(arrow), schema=arrow)
 
-    found = tile_join(asked, stored, ["_r"], "_ask", "_entry", emit, schema, tile_rows)
+    found = tile_join(asked, stored, "_r", "_ask", "_entry", emit, schema, tile_rows)
     best = found.groupBy("query_id", "article_id").agg(F.max("score").alias("score"))
     return rank_top(best, k)

@@ -151,7 +151,9 @@ def silver_build(spark, sf):
     )
     missing = {f.name: F.lit(None).cast(f.dataType) for f in RAW_ARTICLE if f.name not in bronze.columns}
     full = bronze.withColumns({**missing, "content": F.lit("text"), "ingest_time": F.lit("2024-02-01 00:00:00").cast("timestamp")})
-    silver = silver_rows(check_articles(full.drop("_corrupt")), "2024-02-01 00:00:00")
+    staged = new_path(spark, "checked")
+    check_articles(full.drop("_corrupt")).write.parquet(staged)
+    silver = silver_rows(spark.read.parquet(staged), "2024-02-01 00:00:00")
     return silver.select(
         "src", "url", "title", "main_category", F.date_format("publish_ts", "yyyy-MM-dd HH:mm").alias("publish_date"), "weekday", "processed_date"
     )

@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import lead_sentences
+from newsloom.sources.articles import spread
 
 # Event type -> category of the article; the last one stands for "no category known".
 CATEGORY_OF_EVENT = {"view": "Politics", "click": "Science", "signup": "Sports", "purchase": "Technology"}
 MODELS = {"model_a": (1, 16), "model_b": (17, 24), "model_c": (41, 24)}
 
 
+# Tables of long texts, where the work per row outweighs a shuffle of a small file.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,11 +71,15 @@ def check_articles(bronze: DataFrame) -> DataFrame:
 
 
 def silver_rows(checked: DataFrame, process_ts: str) -> DataFrame:
-    """Valid, dated, newest per (src, url), categorised, in the silver columns."""
-    good = checked.where("problem IS NULL AND publish_ts IS NOT NULL")
+    """Valid, dated, newest per (src, url), categorised, in the silver columns.
+
+    ``checked`` should be a stored table: categories are matched first, because that reads
+    one column of it a second time, and after the deduplication would repeat the shuffle.
+    """
+    good = fuzzy_category(checked.where("problem IS NULL AND publish_ts IS NOT NULL"))
     latest = dedup_latest(good, ARTICLE_KEY, ["publish_ts", "ingest_time"], ["title", "content"])
     stamp = F.lit(process_ts).cast("timestamp")
-    stamped = fuzzy_category(latest).withColumns(
+    stamped = latest.withColumns(
         {"processed_date": F.date_format(stamp, "yyyy-MM-dd"), "processed_hour": F.date_format(stamp, "HH")}
     )
     return stamped.select(*SILVER_COLUMNS, "publish_ts")
