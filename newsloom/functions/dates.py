@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import clean_publish_date, col, let
 from newsloom.schema import SLOT_STARTS, SLOT_ZONE, ZONE_OFFSETS
@@ -77,7 +78,7 @@ def parse_known_formats(c: str | Column) -> Column:
     return let(let(let(let(norm, pieces), with_offset), read), shift)
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampType())
 def _parse_freely(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Free-form dates; only the rows no known format matched carry a text."""
     from dateutil import parser, tz

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.dates import digest_title
 from newsloom.functions.text import col, comma_count, lead_sentences, sentences, strip, word_count
@@ -51,7 +52,7 @@ def sentence_split(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(sentences(text)).alias("pos", "sentence")).withColumn("sentence", strip("sentence"))
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def _sums_before(values: pa.Array) -> pa.Array:
     """For every array of numbers the sum of the elements before each."""
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -195,20 +196,20 @@ def transcript_at(
     """The first line of the digest with start <= t < end for every point; NULL if there is none.
 
     Lines are listed under every time bucket they touch, so a point meets only the lines
-    of its own bucket. The best line is settled before the points are joined back, and
-    the bucket is part of the key: one long digest does not end up in one task.
+    of its own bucket, and one long digest does not end up in one task.
     """
     span = F.sequence(F.floor(F.col("start_time") / bucket), F.floor(F.col("end_time") / bucket))
     listed = lines.where("end_time > start_time").withColumn("_b", F.explode(span))
-    asked = points.withColumn("_b", F.floor(F.col(time) / bucket))
-    hit = asked.select(key, point_id, time, "_b").join(listed, [key, "_b"]).where(
-        (F.col(time) >= F.col("start_time")) & (F.col(time) < F.col("end_time"))
-    )
-    first = hit.groupBy(key, point_id).agg(
-        F.min_by(F.struct("pos", "text"), F.col("pos")).alias("_l")
-    )
-    return points.join(first, [key, point_id], "left").select(
-        *points.columns, F.col("_l.pos").alias("line"), F.col("_l.text").alias("text")
+    asked = points.withColumn("_b", F.floor(F.col(time) / bucket)).alias("p")
+    spoken = listed.select(key, "_b", "start_time", "end_time", F.struct("pos", "text").alias("_l")).alias("l")
+    now = F.col(f"p.{time}")
+    same = (F.col(f"p.{key}") == F.col(f"l.{key}")) & (F.col("p._b") == F.col("l._b"))
+    met = asked.join(spoken, same & (now >= F.col("l.start_time")) & (now < F.col("l.end_time")), "left")
+    rest = [c for c in points.columns if c not in (key, point_id)]
+    return (
+        met.groupBy(f"p.{key}", f"p.{point_id}")
+        .agg(*[F.first(f"p.{c}").alias(c) for c in rest], F.min_by("_l", F.col("_l.pos")).alias("_l"))
+        .select(*points.columns, F.col("_l.pos").alias("line"), F.col("_l.text").alias("text"))
     )
 
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.stemming import porter_stem
 from newsloom.functions.text import col
@@ -38,7 +39,7 @@ def query_terms(query: str, analyzer: str = STANDARD) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for words in batches:
         yield words.map(porter_stem)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.tables import upsert
+from newsloom.schema import ARTICLE_KEY
 from newsloom.session import new_path
 
 
@@ -48,13 +49,15 @@ def split_corrupt(df: DataFrame, c: str = "_corrupt") -> tuple[DataFrame, DataFr
     return df.drop(c), df.where(F.col(c).isNotNull())
 
 
-def write_clustered(df: DataFrame, path: str, by: str, cluster: str, mode: str = "append") -> None:
+def write_clustered(
+    df: DataFrame, path: str, by: str, cluster: str, spread_by: Sequence[str] = ARTICLE_KEY, mode: str = "append"
+) -> None:
     """Partition folders by ``by``, rows sorted by ``cluster`` so that file statistics skip.
 
-    Range partitioning samples the keys; the random last key lets one huge (by, cluster)
-    value spread over several tasks.
+    The range ends with a hash of the row key, so that one huge (by, cluster) value is
+    spread over several tasks.
     """
-    ranged = df.withColumn("_salt", F.xxhash64(*[F.col(c) for c, t in df.dtypes if t == "string"]))
+    ranged = df.withColumn("_salt", F.xxhash64(*spread_by))
     (
         ranged.repartitionByRange(by, cluster, "_salt")
         .sortWithinPartitions(by, cluster)
