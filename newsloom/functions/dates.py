@@ -154,6 +154,16 @@ def local_time(ts: str | Column, zone: str = SLOT_ZONE) -> Column:
     return F.from_utc_timestamp(col(ts), zone)
 
 
+def local_date(ts: str | Column, zone: str = SLOT_ZONE) -> Column:
+    """The date in a zone, as it names a day's folder."""
+    return F.date_format(local_time(ts, zone), "yyyy-MM-dd")
+
+
+def parse_iso(c: str | Column) -> Column:
+    """ISO text with Z or an offset as a timestamp, NULL if it is not one."""
+    return col(c).try_cast("timestamp")
+
+
 def slot_start(hour: str | Column) -> Column:
     """First hour of the half-open slot an hour of the day belongs to."""
     return F.coalesce(*[F.when(col(hour) >= start, F.lit(start)) for start in reversed(SLOT_STARTS)])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import RANK_DIGITS, unit_rows
@@ -100,6 +100,18 @@ def trend_assign(
     ).drop("query_0")
 
 
+def analyze_articles(
+    spark: SparkSession, articles: Sequence[dict], trends: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = 0.5
+) -> DataFrame:
+    """Trend assignment for a list of articles (dicts with url, title and content) that is not in a table.
+
+    ``embed`` adds the embedding column; it has to be the one the trends were embedded with.
+    """
+    rows = [(n, a.get("url"), a.get("title"), a.get("content")) for n, a in enumerate(articles)]
+    df = spark.createDataFrame(rows, "article_id bigint, url string, title string, content string")
+    return trend_assign(embed(df), trends, threshold).drop("embedding")
+
+
 def ensemble_vote(labels: Sequence[Column], scores: Sequence[Column]) -> Column:
     """The label two of the models agree on, else the label of the most certain model, else NULL."""
     agreed = F.coalesce(

@@ -28,6 +28,14 @@ def bounded_vectors(df: DataFrame, columns: Sequence[str], limit: int = BROADCAS
     return rows.sort_by(columns[0]) if rows.num_rows <= limit else None
 
 
+def vector_rows(df: DataFrame, vector: str = "embedding", date: str = "publish_ts") -> DataFrame:
+    """Rows of the vector table: a repeatable id, url, vector, publish time in epoch seconds. Merge them on url."""
+    return df.select(
+        F.xxhash64("url").alias("article_id"), "url", F.col(vector).cast("array<float>").alias("embedding"),
+        F.unix_timestamp(F.col(date).cast("timestamp")).alias("publish_date"),
+    )
+
+
 def cosine_pairs(pairs: DataFrame, a: str, b: str, out: str = "score") -> DataFrame:
     """Cosine of two vector columns of the same row."""
     return pairs.withColumn(out, cosine(a, b))

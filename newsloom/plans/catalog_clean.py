@@ -130,6 +130,14 @@ def localize_bounds(spark, sf):
     return e.select("event_id", dates.localize("ts").alias("utc"))
 
 
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN NULL ELSE strftime(date_trunc('second', ts) - CASE event_type WHEN 'view' THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') END AS at FROM events""")
+def parse_iso(spark, sf):
+    """ISO text with Z or an offset; anything else is NULL, not an error."""
+    t = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    iso = F.when(F.col("event_type") == "error", F.lit("soon")).when(F.col("event_type") == "view", F.concat(t, F.lit("+02:00"))).otherwise(F.concat(t, F.lit("Z")))
+    return table(spark, sf, "events").select("event_id", F.date_format(dates.parse_iso(iso), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("""SELECT event_id, floor(epoch(ts))::BIGINT AS publish_date FROM events""")
 def to_epoch(spark, sf):
     return table(spark, sf, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("publish_date"))
@@ -154,9 +162,12 @@ def normalize_url(spark, sf):
 
 
 @query("""WITH s AS (SELECT page_id, string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] AS t FROM pages)
-SELECT page_id, concat(upper(left(t, 1)), lower(substr(t, 2))) AS section, 'News' AS first, 'World news' AS last FROM s""")
+SELECT page_id, concat(upper(left(t, 1)), lower(substr(t, 2))) AS section, u[1] AS first, u[-1] AS last
+FROM (SELECT s.*, string_split(regexp_replace(split_part(url, '://', 2), '[/?#]+', ' > ', 'g'), ' > ') AS u FROM s JOIN pages USING (page_id))""")
 def category_path(spark, sf):
-    path = text.category_path(F.concat(F.lit("News > "), F.lit("World news")))
+    """The parts of a url as a category path."""
+    parts = F.regexp_replace(F.split_part("url", F.lit("://"), F.lit(2)), "[/?#]+", " > ")
+    path = text.category_path(parts)
     return table(spark, sf, "pages").select(
         "page_id", text.last_segment(F.regexp_replace("url", r"[?#].*$", "")).alias("section"),
         path[0].alias("first"), F.element_at(path, -1).alias("last"),

@@ -10,6 +10,7 @@ from newsloom.plans.catalog_serving import TS, stamp
 from newsloom.plans.fixtures import DOCS, search_docs
 from newsloom.schema import BM25_B, BM25_K1
 from newsloom.session import new_path
+from newsloom.sources.sinks import table_exists
 
 TOKENS = r"[x FOR x IN regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
 INDEX = DOCS + f""", toks AS (
@@ -31,7 +32,7 @@ _STORED: dict[tuple[str, str], str] = {}
 def _index(spark, sf):
     """The stored index of the table; the first query of a session builds it."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
+    if key not in _STORED or not table_exists(spark, _STORED[key]):
         _STORED[key] = new_path(spark, "index")
         op.write_index(op.search_index_build(search_docs(spark, sf)), _STORED[key])
     return op.read_index(spark, _STORED[key])

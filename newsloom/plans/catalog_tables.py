@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.functions.dates import slot_start
+from newsloom.functions.dates import local_date, slot_start
 from newsloom.operators import incremental, tables
+from newsloom.operators.vectors import vector_rows
 from newsloom.plans.catalog import query
 from newsloom.plans.catalog_serving import TS, stamp
 from newsloom.plans.fixtures import ARTICLES, RECRAWLED, articles, recrawled, table
@@ -66,11 +67,11 @@ def csv_import_defaults(spark, sf):
     return got.select("url", "src", "title", "author", F.md5("content").alias("content_md5"))
 
 
-@query("""SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, true AS within_limit FROM events GROUP BY 1""")
+@query("""SELECT strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d') AS date, count(*) AS n, true AS within_limit FROM events GROUP BY 1""")
 def json_batch_sizes(spark, sf):
-    """JSON files of at most 500 rows in a folder per date."""
+    """JSON files of at most 500 rows in a folder per local date."""
     path = new_path(spark, "json-batches")
-    rows = table(spark, sf, "events").withColumn("date", F.date_format("ts", "yyyy-MM-dd")).select("date", "event_id", "event_type")
+    rows = table(spark, sf, "events").select(local_date(F.col("ts").cast("timestamp")).alias("date"), "event_id", "event_type")
     sinks.write_json_batches(rows, path, 500, ["date"])
     read = spark.read.schema("event_id bigint, event_type string, date string").json(path)
     per_file = read.groupBy("date", F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
@@ -129,6 +130,18 @@ def delete_by_keys(spark, sf):
     return tables.delete_by_keys(table(spark, sf, "orders"), debt, ["o_custkey"]).select("o_orderkey")
 
 
+@query("""SELECT concat('v/', vec_id) AS url, epoch(ts + CASE WHEN label >= 7 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)::BIGINT AS publish_date,
+  CASE WHEN label >= 7 THEN 'new' ELSE 'old' END AS state FROM embeddings JOIN (SELECT event_id, date_trunc('second', ts) AS ts FROM events) ON event_id = vec_id WHERE label >= 7 OR label < 9""")
+def vector_upsert(spark, sf):
+    """Vector rows replaced by url: a new batch overlaps the stored one."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("vec_id"), F.date_trunc("second", "ts").alias("publish_ts"))
+    v = table(spark, sf, "embeddings").join(e, "vec_id").withColumn("url", F.concat(F.lit("v/"), F.col("vec_id").cast("string")))
+    later = v.where("label >= 7").withColumn("publish_ts", F.col("publish_ts") + F.expr("INTERVAL 1 DAY"))
+    stored = vector_rows(v.where("label < 9")).withColumn("state", F.lit("old"))
+    merged = tables.upsert(stored, vector_rows(later).withColumn("state", F.lit("new")), ["url"])
+    return merged.select("url", "publish_date", "state")
+
+
 @query(f"""WITH {ARTICLES} SELECT a.article_id, a.src, a.url FROM articles a
 WHERE NOT EXISTS (SELECT 1 FROM articles b WHERE b.language = 'en' AND b.src = a.src AND b.url = a.url)""")
 def new_articles_anti(spark, sf):

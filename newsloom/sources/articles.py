@@ -73,6 +73,12 @@ def read_table_jdbc(
     )
 
 
+def crawled_urls(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct urls of stored crawl files (JSON objects or arrays of them)."""
+    found = spark.read.schema("url string").option("multiLine", True).json(path)
+    return found.where("url IS NOT NULL").distinct()
+
+
 def slot_scan(
     df: DataFrame, date: str, hours: Iterable[int], date_col: str = "ingest_date", hour_col: str = "ingest_hour"
 ) -> DataFrame:

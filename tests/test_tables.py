@@ -146,6 +146,12 @@ def test_json_arrays_with_empty_numbers_are_not_corrupt(spark, tmp_path):
     assert rows(kept.where("title IS NOT NULL"), "hour") == [("",), ("7",)]
 
 
+def test_crawled_urls(spark, tmp_path):
+    write_raw(tmp_path / "d", "a.json", [{"url": "u1"}, {"url": "u2"}, {"x": 1}])
+    write_raw(tmp_path / "d", "b.json", {"url": "u1"})
+    assert rows(sources.crawled_urls(spark, str(tmp_path / "d")), "url") == [("u1",), ("u2",)]
+
+
 def test_stored_schema_wins(spark, tmp_path):
     assert sources.stored_schema(spark, str(tmp_path / "none")) == sources.RAW_ARTICLE
     spark.range(1).write.parquet(str(tmp_path / "t"))
@@ -175,7 +181,7 @@ def test_feeds_and_audio(spark, tmp_path):
     assert rows(sources.audio_lengths(spark, str(tmp_path)), "seconds") == [(2,)]
 
 
-def test_pipeline(spark, tmp_path):
+def test_whole_run(spark, tmp_path):
     raw = tmp_path / "raw"
     write_raw(raw, "a.json", [
         article(1), article(1, publish_date="2024-01-03 10:00:00", title='newer "title"'), article(2, title="No title"),

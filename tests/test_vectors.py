@@ -179,6 +179,16 @@ def test_embeddings_place_equal_texts_together(spark):
     assert e[1] @ e[2] == pytest.approx(1.0) and e[1] @ e[3] < 0.9
 
 
+def test_articles_that_are_in_no_table(spark):
+    def embed(df):
+        return embedding.text_embed_hash(df, ["content"], 32)
+
+    t = embed(spark.createDataFrame([(1, "cats", "cats"), (2, "stocks", "stocks")], "trend_id int, query string, content string"))
+    t = t.withColumn("embedding", F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0).cast("float")))
+    got = trends.analyze_articles(spark, [{"url": "u", "content": "cats"}, {"content": "stocks stocks"}], t, embed, 0.9)
+    assert [(r.url, r.trend) for r in got.orderBy("article_id").collect()] == [("u", "cats"), (None, "stocks")]
+
+
 def test_model_hook_runs_on_batches(spark):
     def load():
         return lambda texts: [[float(len(t)), 1.0] for t in texts]
