@@ -10,6 +10,7 @@ from newsloom.plans.catalog_serving import TS, stamp
 from newsloom.plans.fixtures import RECRAWLED, TRENDS, VECTORS, articles, article_vectors, raw_articles, recrawled, table, trends
 from newsloom.plans.medallion import check_articles, silver_rows
 from newsloom.session import new_path
+from newsloom.sources.sinks import write_aside
 from newsloom.streaming import jobs
 
 SLOTS = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start,
@@ -151,9 +152,7 @@ def silver_build(spark, sf):
     )
     missing = {f.name: F.lit(None).cast(f.dataType) for f in RAW_ARTICLE if f.name not in bronze.columns}
     full = bronze.withColumns({**missing, "content": F.lit("text"), "ingest_time": F.lit("2024-02-01 00:00:00").cast("timestamp")})
-    staged = new_path(spark, "checked")
-    check_articles(full.drop("_corrupt")).write.parquet(staged)
-    silver = silver_rows(spark.read.parquet(staged), "2024-02-01 00:00:00")
+    silver = silver_rows(write_aside(check_articles(full.drop("_corrupt")), "checked"), "2024-02-01 00:00:00")
     return silver.select(
         "src", "url", "title", "main_category", F.date_format("publish_ts", "yyyy-MM-dd HH:mm").alias("publish_date"), "weekday", "processed_date"
     )

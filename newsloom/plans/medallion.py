@@ -19,11 +19,18 @@ from newsloom.functions.text import clean_publish_date
 from newsloom.operators.categorize import fuzzy_category
 from newsloom.operators.clean import clean_columns, url_filter, valid_expr
 from newsloom.operators.incremental import advance_watermark, batch_notification, incremental_load, read_watermark
-from newsloom.operators.tables import dedup_latest, gold_build
+from newsloom.operators.tables import dedup_latest, gold_build, new_rows
 from newsloom.schema import ARTICLE_KEY, SILVER_COLUMNS, SLOT_STARTS, SLOT_ZONE
-from newsloom.session import new_path
-from newsloom.sources.articles import hours_scan, read_articles_json
-from newsloom.sources.sinks import merge_into, split_corrupt, table_exists, with_ingest_columns, write_clustered, write_partitioned
+from newsloom.sources.articles import hours_scan, read_articles_json, slot_scan
+from newsloom.sources.sinks import (
+    merge_into,
+    split_corrupt,
+    table_exists,
+    with_ingest_columns,
+    write_aside,
+    write_clustered,
+    write_partitioned,
+)
 
 JOB = "silver_to_serving"
 
@@ -54,10 +61,9 @@ def slot_hours(process_ts: str, zone: str = SLOT_ZONE) -> list[tuple[str, int]]:
 
 def bronze_stage(spark: SparkSession, paths: Paths, process_ts: str) -> None:
     """Append the raw files; damaged records also go to the error table with their text."""
-    raw = with_ingest_columns(read_articles_json(spark, paths.raw), process_ts)
+    raw = write_aside(with_ingest_columns(read_articles_json(spark, paths.raw), process_ts), "raw")
     rows, damaged = split_corrupt(raw)
     write_partitioned(rows, paths.bronze, ["ingest_date", "ingest_hour"], 5000)
-    # Reading _corrupt alone is not allowed on raw JSON, so whole damaged rows are kept.
     write_partitioned(damaged, f"{paths.bronze}_errors", ["ingest_date", "ingest_hour"], 5000)
 
 
@@ -66,8 +72,9 @@ def check_articles(bronze: DataFrame) -> DataFrame:
     cleaned = url_filter(clean_columns(bronze)).withColumn("_date_text", clean_publish_date("publish_date"))
     dated = date_parts(parse_dates(cleaned, "publish_date"), "publish_ts")
     unreadable = F.col("publish_ts").isNull() & F.col("_date_text").isNotNull()
-    problem = F.when(~valid_expr("_day"), "invalid").when(unreadable, "unreadable date")
-    return dated.withColumn("_day", F.lit(None).cast("string")).withColumn("problem", problem).drop("_day", "_date_text")
+    # The day comes from the date read here, so the crawler's own day part is not checked.
+    problem = F.when(~valid_expr(None), "invalid").when(unreadable, "unreadable date")
+    return dated.withColumn("problem", problem).drop("_date_text")
 
 
 def silver_rows(checked: DataFrame, process_ts: str) -> DataFrame:
@@ -95,9 +102,7 @@ def silver_stage(spark: SparkSession, paths: Paths, process_ts: str, mode: str =
         F.count_if(F.col("problem") == "invalid").alias("invalid"),
         F.count_if(F.col("problem") == "unreadable date").alias("unreadable"),
     )
-    staged = new_path(spark, "checked")
-    checked.write.parquet(staged)
-    checked = spark.read.parquet(staged)
+    checked = write_aside(checked, "checked")
     checked.where("problem IS NOT NULL").write.mode("append").option("maxRecordsPerFile", 10000).parquet(f"{paths.silver}_errors")
     merge_into(spark, paths.silver, silver_rows(checked, process_ts), ARTICLE_KEY, ["processed_date", "processed_hour"], mode)
     return dict(seen.get)
@@ -116,9 +121,7 @@ def serving_stage(spark: SparkSession, paths: Paths, process_ts: str, batch_id:
         "time_reading", "author", "main_category", "categories", "ingest_time",
         stamp.alias("uploaded_date"), F.lit(batch_id).alias("batch_id"), F.date_format(stamp, "yyyy-MM-dd").alias("upload_day"),
     )
-    staged = new_path(spark, "serving-batch")
-    rows.write.parquet(staged)
-    rows = spark.read.parquet(staged)
+    rows = write_aside(rows, "serving-batch")
     newest = rows.agg(F.date_format(F.max("ingest_time"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
     if newest is None:
         return None
@@ -132,11 +135,14 @@ def serving_stage(spark: SparkSession, paths: Paths, process_ts: str, batch_id:
 
 
 def gold_stage(spark: SparkSession, paths: Paths, process_ts: str) -> None:
-    """Append the day's processed rows to gold, clustered by category."""
-    day = process_ts[:10]
-    silver = spark.read.parquet(paths.silver).where(F.col("processed_date") == day)
-    gold = gold_build(silver, day)
-    write_clustered(gold, paths.gold, "upload_date", "main_category")
+    """Append the rows processed in this hour to gold, clustered by category; a repeated run adds none again."""
+    day, hour = process_ts[:10], int(process_ts[11:13])
+    silver = spark.read.parquet(paths.silver)
+    gold = gold_build(slot_scan(silver, day, [hour], "processed_date", "processed_hour"), day)
+    if table_exists(spark, paths.gold):
+        today = spark.read.parquet(paths.gold).where(F.col("upload_date") == F.lit(day).cast("date"))
+        gold = new_rows(gold, today, ["url", "src"])
+    write_clustered(write_aside(gold, "gold"), paths.gold, "upload_date", "main_category")
 
 
 def run(spark: SparkSession, paths: Paths, process_ts: str, batch_id: str) -> dict[str, int]:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.operators.tables import upsert
 from newsloom.schema import ARTICLE_KEY
@@ -73,44 +74,49 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _folder(by: Sequence[str]) -> Column:
+    """The folder of a row as one text; a filter on it is evaluated on folder names, not on rows."""
+    return F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in by])
+
+
+def read_like(spark: SparkSession, path: str, by: Sequence[str], source: DataFrame, merge_schema: bool = False) -> DataFrame:
+    """A stored table with the folder columns typed as in ``source`` ("03" must not come back as 3)."""
+    reader = spark.read.option("mergeSchema", merge_schema)
+    fields = [source.schema[f.name] if f.name in by else f for f in reader.parquet(path).schema.fields]
+    return reader.schema(T.StructType(fields)).parquet(path)
+
+
 def merge_into(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], by: Sequence[str], mode: str = "upsert",
     max_records: int = 10000, merge_schema: bool = False,
 ) -> None:
     """Merge ``source`` (unique on ``keys``) into a table partitioned by ``by``.
 
-    Only folders that hold a matched row or receive a new one are rewritten. The new
-    content of those folders is written aside first, so the table is never read while it
-    is being replaced and a lost executor cannot lose rows.
+    Only folders that hold a matched row or receive a new one are read and rewritten; their
+    names are all that comes to the driver. The new content is written aside first, so the
+    table is never read while it is being replaced and a lost executor cannot lose rows.
+    ``merge_schema`` is needed only when files of the table differ in their columns: it reads
+    every file footer.
     """
     if not table_exists(spark, path):
         write_partitioned(source, path, by, max_records)
         return
-    target = spark.read.option("mergeSchema", merge_schema).parquet(path)
-    staged_source = new_path(spark, "merge-source")
-    source.write.parquet(staged_source)
-    source = spark.read.parquet(staged_source)
+    source = write_aside(source, "merge-source")
+    target = read_like(spark, path, by, source, merge_schema)
+    # The stored keys meet the batch in a semi-join: a small batch is broadcast, a larger one
+    # filters them by its runtime filter, so they are not all shuffled.
+    known = target.select(*keys, *by).join(source.select(*keys), list(keys), "left_semi")
     if mode == "insert_new":
-        # The stored keys meet the batch in a semi-join first: a small batch is broadcast, a
-        # larger one filters them by its runtime filter, so they are not all shuffled.
-        known = target.select(*keys).join(source.select(*keys), list(keys), "left_semi")
-        fresh = source.join(known, list(keys), "left_anti")
-        staged = new_path(spark, "merge-new")
-        fresh.write.parquet(staged)
-        write_partitioned(spark.read.parquet(staged), path, by, max_records)
+        fresh = write_aside(source.join(known.select(*keys), list(keys), "left_anti"), "merge-new")
+        write_partitioned(fresh, path, by, max_records)
+        return
+    if mode != "upsert":
+        raise ValueError(f"unknown mode {mode!r}")
+    touched = write_aside(known.select(*by).unionByName(source.select(*by)).distinct(), "merge-folders")
+    names = [row[0] for row in touched.select(_folder(by)).toLocalIterator()]
+    if not names:
         return
-    hit = target.select(*keys, *by).join(source.select(*keys), list(keys), "left_semi").select(*by)
-    touched = hit.unionByName(source.select(*by)).distinct()
-    staged_folders = new_path(spark, "merge-folders")
-    touched.write.parquet(staged_folders)
-    touched = spark.read.parquet(staged_folders)
-    staged = new_path(spark, "merge-rows")
-    same = [target[c].eqNullSafe(touched[c]) for c in by]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    upsert(target.join(touched, cond, "left_semi"), source, keys).write.parquet(staged)
-    merged = spark.read.parquet(staged)
+    merged = write_aside(upsert(target.where(_folder(by).isin(names)), source, keys), "merge-rows")
     (
         merged.hint("rebalance", *by)
         .write.partitionBy(*by)
@@ -120,11 +126,17 @@ def merge_into(
         .parquet(path)
     )
     # A folder whose rows all moved elsewhere gets no new file, so it is dropped here.
-    left = merged.select(*by).distinct()
-    cond = left[by[0]].eqNullSafe(touched[by[0]])
-    for c in by[1:]:
-        cond = cond & left[c].eqNullSafe(touched[c])
-    for row in touched.join(left, cond, "left_anti").toLocalIterator():
-        folder = path + "".join(f"/{c}={row[c]}" for c in by)
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    left = {row[0] for row in merged.select(_folder(by)).distinct().toLocalIterator()}
+    for row in touched.withColumn("_name", _folder(by)).toLocalIterator():
+        if row["_name"] not in left:
+            naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+            parts = [naming.getPartitionPathString(c, None if row[c] is None else str(row[c])) for c in by]
+            p = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *parts]))
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_aside(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of their own in the shared folder."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

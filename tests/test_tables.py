@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 
 import pytest
@@ -29,12 +30,14 @@ def test_upsert_twice_is_once(spark):
 
 def test_merge_moves_rows_between_folders(spark):
     path = new_path(spark, "t")
-    first = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "y", "c"), (4, "z", "d")], "k int, p string, v string")
+    first = spark.createDataFrame(
+        [(1, "x", "a"), (2, "x", "b"), (3, "y", "c"), (4, "z: 1/2", "d"), (6, None, "f")], "k int, p string, v string"
+    )
     sinks.merge_into(spark, path, first, ["k"], ["p"])
-    source = spark.createDataFrame([(1, "y", "A"), (4, "x", "D"), (5, "w", "E")], "k int, p string, v string")
+    source = spark.createDataFrame([(1, "y", "A"), (4, "x", "D"), (5, "w", "E"), (6, "w", "F")], "k int, p string, v string")
     for _ in range(2):
         sinks.merge_into(spark, path, source, ["k"], ["p"])
-        want = [(1, "y", "A"), (2, "x", "b"), (3, "y", "c"), (4, "x", "D"), (5, "w", "E")]
+        want = [(1, "y", "A"), (2, "x", "b"), (3, "y", "c"), (4, "x", "D"), (5, "w", "E"), (6, "w", "F")]
         assert rows(spark.read.parquet(path), "k", "p", "v") == want
 
 
@@ -49,6 +52,19 @@ def test_merge_rewrites_only_touched_folders(spark):
     assert rows(spark.read.parquet(path).where("v = 7"), "k") == [(4,)]
 
 
+def test_merge_keeps_folder_names_and_reads_only_touched_folders(spark):
+    import os
+
+    path = new_path(spark, "t")
+    sinks.merge_into(spark, path, spark.createDataFrame([(1, "03"), (2, "04"), (3, None)], "k int, h string"), ["k"], ["h"])
+    sinks.merge_into(spark, path, spark.createDataFrame([(1, "03"), (4, None)], "k int, h string"), ["k"], ["h"])
+    assert sorted(d for d in os.listdir(path) if d.startswith("h=")) == ["h=03", "h=04", "h=__HIVE_DEFAULT_PARTITION__"]
+    stored = sinks.read_like(spark, path, ["h"], spark.createDataFrame([], "h string"))
+    assert rows(stored, "k", "h") == [(1, "03"), (2, "04"), (3, None), (4, None)]
+    scan = stored.where(sinks._folder(["h"]).isin(["03"]))
+    assert "PartitionFilters: [(concat_ws" in scan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge_insert_new_keeps_stored_rows(spark):
     path = new_path(spark, "t")
     sinks.merge_into(spark, path, spark.createDataFrame([(1, "a")], "k int, p string"), ["k"], ["p"])
@@ -206,4 +222,7 @@ def test_whole_run(spark, tmp_path):
     assert rows(serving_rows, "url", "batch_id") == [("https://s.org/1", "run-1"), ("https://s.org/9", "run-2")]
     notes = [json.loads(r.value) for r in spark.read.text(f"{paths.serving}_messages").collect()]
     assert sorted(n["details"]["processed_rows"] for n in notes) == [1, 1]
-    assert spark.read.parquet(paths.gold).where("url = 'https://s.org/9'").count() == 1
+    gold = spark.read.parquet(paths.gold)
+    assert rows(gold, "url", "publish_date") == [
+        ("https://s.org/1", datetime.date(2024, 1, 3)), ("https://s.org/9", datetime.date(2024, 1, 1))
+    ]
