@@ -34,7 +34,7 @@ def collapse_whitespace(c: str | Column) -> Column:
 
 def clean_text(c: str | Column) -> Column:
     """Collapse white space, trim, then drop quotes (without trimming again)."""
-    return F.translate(collapse_whitespace(c), "\"'", "")
+    return F.replace(F.replace(collapse_whitespace(c), F.lit('"'), F.lit("")), F.lit("'"), F.lit(""))
 
 
 def clean_publish_date(c: str | Column) -> Column:

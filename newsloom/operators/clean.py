@@ -27,15 +27,21 @@ def url_filter(df: DataFrame, pattern: str = EXCLUDED_URL) -> DataFrame:
     return df.where(~F.col("url").rlike(pattern))
 
 
-def valid_expr(day: str | None = "day") -> Column:
+# A text with ten characters besides white space and quotes is not blank and no sentinel,
+# whatever cleaning does to it; the pattern gives up or succeeds at its first letters.
+_LONG_ENOUGH = r"^(?:[\s\"']*[^\s\"']){10}"
+
+
+def valid_expr(day: str | None = "day", cleaned: bool = True) -> Column:
     """Never NULL: url, src, title and content are there and mean something, day is NULL or a number.
 
-    Title and content are named once each, so a filter on cleaned text cleans it once, and
-    the anchored pattern gives up on a real text at its first letters.
+    With ``cleaned=False`` title and content are still as crawled and are judged as they
+    will be after cleaning; only very short ones are cleaned for it.
     """
     ok = F.col("url").isNotNull() & F.col("src").isNotNull()
     for c, sentinel in (("title", "no title"), ("content", "no content")):
-        ok = ok & ~F.col(c).rlike(rf"(?i)^ *({sentinel})? *\z")
+        text = F.col(c) if cleaned else clean_text(c)
+        ok = ok & (F.col(c).rlike(_LONG_ENOUGH) | ~text.rlike(rf"(?i)^ *({sentinel})? *\z"))
     if day:
         ok = ok & (F.col(day).isNull() | F.col(day).try_cast("int").isNotNull())
     return F.coalesce(ok, F.lit(False))

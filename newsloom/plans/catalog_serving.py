@@ -31,7 +31,7 @@ def category_top_picks(spark, sf):
     from newsloom.operators.clean import clean_columns, valid_expr
     from newsloom.operators.tables import dedup_latest
 
-    cleaned = clean_columns(articles(spark, sf)).where(valid_expr(None))
+    cleaned = clean_columns(articles(spark, sf).where(valid_expr(None, cleaned=False)))
     latest = dedup_latest(cleaned, ["src", "url"], ["publish_ts"], ["article_id"])
     return op.category_top_picks(latest).select(
         "category_ord", "category", "article_id", "title", "similarity_score", stamp("publish_ts").alias("publish_date")

@@ -213,7 +213,7 @@ def vector_by_url(spark, sf):
     return lookup(v, "url", ["v/17"]).limit(1).select("url", "article_id", F.array_join(rounded, ",").alias("embedding"))
 
 
-@query("""SELECT doc_id, 256::INT AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents""")
+@query(r"""SELECT doc_id, 256::INT AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents""")
 def text_embed_hash(spark, sf):
     """Hashed TF-IDF vectors of all documents: their size, and length 1 unless there is no word."""
     d = table(spark, sf, "documents").select("doc_id", "text")

@@ -35,7 +35,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
         F.col("source").alias("src"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("lang").alias("language"),
-        F.split_part("text", F.lit("."), F.lit(1)).alias("title"),
+        F.substring_index("text", ".", 1).alias("title"),
         F.col("text").alias("content"),
         category.alias("main_category"),
         F.col("value").alias("similarity_score"),

@@ -69,12 +69,13 @@ def bronze_stage(spark: SparkSession, paths: Paths, process_ts: str) -> None:
 
 def check_articles(bronze: DataFrame) -> DataFrame:
     """Clean and read dates; ``problem`` is NULL, "invalid" or "unreadable date"."""
-    cleaned = url_filter(clean_columns(bronze)).withColumn("_date_text", clean_publish_date("publish_date"))
+    judged = url_filter(bronze).withColumn("_valid", valid_expr(None, cleaned=False))
+    cleaned = clean_columns(judged).withColumn("_date_text", clean_publish_date("publish_date"))
     dated = date_parts(parse_dates(cleaned, "publish_date"), "publish_ts")
     unreadable = F.col("publish_ts").isNull() & F.col("_date_text").isNotNull()
     # The day comes from the date read here, so the crawler's own day part is not checked.
-    problem = F.when(~valid_expr(None), "invalid").when(unreadable, "unreadable date")
-    return dated.withColumn("problem", problem).drop("_date_text")
+    problem = F.when(~F.col("_valid"), "invalid").when(unreadable, "unreadable date")
+    return dated.withColumn("problem", problem).drop("_valid", "_date_text")
 
 
 def silver_rows(checked: DataFrame, process_ts: str) -> DataFrame:

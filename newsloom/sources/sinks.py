@@ -112,11 +112,11 @@ def merge_into(
         return
     if mode != "upsert":
         raise ValueError(f"unknown mode {mode!r}")
-    touched = write_aside(known.select(*by).unionByName(source.select(*by)).distinct(), "merge-folders")
-    names = [row[0] for row in touched.select(_folder(by)).toLocalIterator()]
-    if not names:
+    folders = known.select(*by).unionByName(source.select(*by)).distinct()
+    touched = {row["_name"]: row for row in folders.withColumn("_name", _folder(by)).collect()}
+    if not touched:
         return
-    merged = write_aside(upsert(target.where(_folder(by).isin(names)), source, keys), "merge-rows")
+    merged = write_aside(upsert(target.where(_folder(by).isin(list(touched))), source, keys), "merge-rows")
     (
         merged.hint("rebalance", *by)
         .write.partitionBy(*by)
@@ -126,9 +126,9 @@ def merge_into(
         .parquet(path)
     )
     # A folder whose rows all moved elsewhere gets no new file, so it is dropped here.
-    left = {row[0] for row in merged.select(_folder(by)).distinct().toLocalIterator()}
-    for row in touched.withColumn("_name", _folder(by)).toLocalIterator():
-        if row["_name"] not in left:
+    left = {row[0] for row in merged.select(_folder(by)).distinct().collect()}
+    for name, row in touched.items():
+        if name not in left:
             naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
             parts = [naming.getPartitionPathString(c, None if row[c] is None else str(row[c])) for c in by]
             p = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *parts]))

@@ -117,6 +117,14 @@ def test_validity(spark):
     assert clean.split_valid(df, None)[0].count() == 4
 
 
+def test_validity_before_cleaning_is_validity_after(spark):
+    texts = ["'\" '", '"No" \n title', "no  title", "n'o title", "No title!", "no content", "", " \t", "a", "'a b c d e f g h i j'", "abcdefghij", None]
+    df = spark.createDataFrame([("u", "s", t, c) for t in texts for c in texts], "url string, src string, title string, content string")
+    before = df.withColumn("b", clean.valid_expr(None, cleaned=False))
+    after = clean.clean_columns(before).withColumn("a", clean.valid_expr(None))
+    assert after.where("a <> b").count() == 0 and after.where("a").count() > 20
+
+
 def test_url_filter_drops_null(spark):
     urls = [None, "a/crossword/", "a/crosswords/x", "a/videos/1", "a/video/1", "a/newsletters/signup/", "a/videogames/1"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
