@@ -14,7 +14,7 @@ ENTITIES = {
     "&middot;": "·", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&",
 }
 NOISE = (
-    r"(?is)<!--.*?-->|<(?:script)\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<nav\b.*?</nav>"
+    r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<nav\b.*?</nav>"
     r"|<footer\b.*?</footer>|<div class=\"ad\".*?</div>"
 )
 BREAK = r"(?i)</?(?:p|h[1-6]|br|div|li|ul|ol|tr|table|section|article|blockquote|pre)\b[^>]*>"

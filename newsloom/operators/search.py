@@ -22,6 +22,9 @@ from newsloom.functions.text import col
 from newsloom.schema import BM25_B, BM25_K1, FIELD_BOOSTS, STOP_WORDS
 from newsloom.session import new_path
 
+# Dictionary entries of one query that are brought to the driver at most.
+MAX_PUSHED = 2048
+
 STANDARD, ENGLISH = "standard", "english"
 _SEPARATOR = r"[^\p{L}\p{N}]+"
 
@@ -179,12 +182,17 @@ def bm25(tf: Column, length: Column, df: Column, docs: Column, avg_len: Column)
 
 
 def score_fields(index: SearchIndex, terms_by_field: Mapping[str, Sequence[str]], fuzziness=None) -> DataFrame:
-    """doc_id, field, score and the bits of the query terms found, one row per document and field."""
+    """doc_id, field, score and the bits of the query terms found, one row per document and field.
+
+    The dictionary is asked first. Up to ``MAX_PUSHED`` matching entries become a filter on
+    the postings scan, so only their row groups are read; more of them are joined.
+    """
     postings = index.postings.where(F.col("field").isin(list(terms_by_field)))
-    wanted = sorted({t for terms in terms_by_field.values() for t in terms})
-    if all(allowed_edits(t, fuzziness) == 0 for t in wanted):
-        postings = postings.where(F.col("term").isin(wanted))
     expanded = expand_terms(index, terms_by_field, fuzziness).join(index.stats, "field")
+    entries = expanded.limit(MAX_PUSHED + 1).toArrow()
+    if entries.num_rows <= MAX_PUSHED:
+        expanded = postings.sparkSession.createDataFrame(entries, expanded.schema)
+        postings = postings.where(F.col("term").isin(sorted(set(entries.column("term").to_pylist()))))
     points = bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("docs"), F.col("avg_len")) * F.col("weight")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("position"))
     return postings.join(expanded, ["term", "field"]).groupBy("doc_id", "field").agg(

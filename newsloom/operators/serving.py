@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,7 +122,8 @@ def category_top_picks(
 ) -> DataFrame:
     """The k best articles of each listed category, in list order; a category without one gives a row of NULLs."""
     spark = df.sparkSession
-    dim = spark.createDataFrame(list(enumerate(categories)), "category_ord int, category string")
+    listed = pa.table({"category_ord": pa.array(range(len(categories)), pa.int32()), "category": pa.array(categories, pa.string())})
+    dim = spark.createDataFrame(listed)
     order = [F.desc_nulls_last("similarity_score"), *_newest(date, key)]
     ranked = (
         df.where(F.col("main_category").isin(list(categories)))

@@ -93,6 +93,12 @@ def test_terms_reach_the_stored_scan(spark, index):
     assert "In(term, [cat,the])" in plan
 
 
+def test_more_variants_than_can_be_pushed_are_joined(index, docs, monkeypatch):
+    pushed = sorted((r.doc_id, r.score) for r in op.search_scores(index, "the cats").collect())
+    monkeypatch.setattr(op, "MAX_PUSHED", 1)
+    assert sorted((r.doc_id, pytest.approx(r.score)) for r in op.search_scores(index, "the cats").collect()) == pushed and pushed
+
+
 def test_highlight_and_fragments(spark):
     df = spark.createDataFrame([("The catalog, CAT cat-like été cat",)], "t string")
     got = df.select(op.highlight("t", ["cat"])).first()[0]
