@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes and more that occur twice are cut out; the tests compare it with counting all strings."""
+    from newsloom.llm.suffix import cut_repeats
+
+    rows = cut_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
