@@ -42,3 +42,21 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = cut_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    """
+    WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+               FROM embeddings
+               WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """
+)
+def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
