@@ -60,3 +60,46 @@ def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests compare every text's ids and decoded text with the public tokenizer library."""
+    import public_tokenizers
+
+    from newsloom.llm.bpe import encode
+
+    docs = table(spark, sf_dir, "documents")
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, 3 * source_size AS most FROM s),
+    r AS (SELECT *, row_number() OVER o AS sid, CAST(sum(source_size) OVER () AS BIGINT) AS wanted,
+                 sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                 coalesce(CAST(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS capped
+          FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
+    l AS (SELECT *, CAST(wanted - capped AS DOUBLE) / rest AS level FROM r),
+    f AS (SELECT sid AS first, level AS common FROM l WHERE level <= most / weight ORDER BY sid LIMIT 1),
+    t AS (SELECT l.*, CASE WHEN first IS NULL OR sid < first THEN CAST(most AS DOUBLE) ELSE common * weight END AS target FROM l LEFT JOIN f ON true),
+    p AS (SELECT d.*, t.source_size, t.target,
+                 coalesce(sum(size) OVER (PARTITION BY sid ORDER BY CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT), doc_id NULLS FIRST, size
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS middle,
+                 CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS rounds
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           CAST(size * (rounds + CASE WHEN middle <= target - rounds * source_size AND target > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM p
+    """
+)
+def op1_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents in training order: a row for each document by its first position, those not taken last."""
+    from newsloom.llm.mixing import curriculum
+
+    plan = curriculum(table(spark, sf_dir, "documents")).withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    taken = (F.col("size") * F.col("takes")).alias("taken")
+    ordered = plan.orderBy(F.col("positions")[0].asc_nulls_last(), "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", taken)
