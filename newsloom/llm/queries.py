@@ -103,3 +103,45 @@ def op1_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = (F.col("size") * F.col("takes")).alias("taken")
     ordered = plan.orderBy(F.col("positions")[0].asc_nulls_last(), "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", taken)
+
+
+def _tree_sql(text: str, out: str) -> str:
+    """Leaf hashes by section and paragraph, in DuckDB."""
+    word, blank = "[^\\x20\\x09-\\x0D]", "[\\x20\\x09\\x0B-\\x0D]"
+    cut = lambda n: f"regexp_extract_all(p, '(?:{word}+{blank}*){{1,{n}}}|{blank}+')"
+    pieces = f"CASE WHEN length({text}) < 64 THEN {cut(1)} WHEN length({text}) < 256 THEN {cut(2)} ELSE {cut(4)} END"
+    return (
+        f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), "
+        f"lambda p: list_transform({pieces}, lambda x: md5(x)))) AS {out}"
+    )
+
+
+def _print_sql(tree: str) -> str:
+    above = f"list_transform({tree}, lambda s: list_transform(s, lambda p: md5(coalesce(array_to_string(p, ''), ''))))"
+    root = f"sha256(array_to_string(list_transform({above}, lambda s: md5(array_to_string(s, ''))), ''))"
+    short = f"array_to_string(list_transform({above}, lambda s: array_to_string(list_transform(s, lambda p: substr(p, 1, 8)), '')), '/')"
+    return f"{root} || ':' || {short}"
+
+
+def _dice_sql(a: str, b: str, same: str) -> str:
+    x, y = (f"list_distinct(flatten(flatten({t})))" for t in (a, b))
+    total = f"(len({x}) + len({y}))"
+    return f"CASE WHEN {same} THEN 1.0::DOUBLE WHEN {total} > 0 THEN (2 * len(list_intersect({x}, {y})))::DOUBLE / {total} ELSE 0.0::DOUBLE END"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first(text) OVER (ORDER BY doc_id DESC)) AS following FROM d),
+    e AS (SELECT *, CAST(length(text) AS BIGINT) AS n_chars,
+                 substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM n),
+    t AS (SELECT *, {_tree_sql('text', 'own')}, {_tree_sql('edited', 'changed')}, {_tree_sql('following', 'other')} FROM e)
+    SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_print_sql('own')} AS fingerprint, {_print_sql('changed')} AS edited_fingerprint,
+           {_dice_sql('own', 'changed', 'text = edited')} AS near_edited, {_dice_sql('own', 'other', 'text = following')} AS near_next
+    FROM t
+    """
+)
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.merkle import edit_report
+
+    return edit_report(table(spark, sf_dir, "documents"))
