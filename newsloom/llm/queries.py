@@ -145,3 +145,16 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.merkle import edit_report
 
     return edit_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests compare ids and order with the public tokenizer library applied to every text."""
+    import public_tokenizers
+
+    from newsloom.llm.token_files import read_ids, write_ids
+    from newsloom.session import new_path
+
+    path = new_path(spark, "token-files")
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_ids(spark, path, digest=True)
