@@ -201,3 +201,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = as_table(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
     return digests(written(format_chats(turns.unionByName(extra)), "chats"))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests measure it on the held-out rows."""
+    from newsloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
