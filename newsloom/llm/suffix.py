@@ -230,8 +230,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
         raise ValueError("0 < gram <= length < 4096")
     runs = written(_run_rows(texts, length, gram), "suffix-runs")
     known = runs.groupBy("h").count().where("count > 1").select("h")
-    # Copies of one text count here and are one row from here on.
-    some = runs.join(known, "h", "left_semi").groupBy("ck", "h", "fh", "lo", "n", "rel").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    # Copies of one text count here and are one row from here on. Dealt anew behind the join, so that adaptive
+    # execution may split a hot k-gram there.
+    some = runs.join(known, "h", "left_semi").repartition("ck", "h", "lo").groupBy("ck", "h", "fh", "lo", "n", "rel").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     some = written(some, "suffix-some")
     remove(runs)
     sample = F.min(F.struct("ck", "lo", "id")).alias("at")
