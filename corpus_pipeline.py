@@ -17,7 +17,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     from newsloom.llm.toxicity import score, train
 
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, docs.columns).where("score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = max(docs.columns, key=len) + "_toxicity"  # longer than any name the documents have
+    return score(docs, model, docs.columns, name=mark).where(F.col(f"`{mark}`") < 0.5).drop(mark)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

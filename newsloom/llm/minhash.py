@@ -138,7 +138,7 @@ def _similar(keys: np.ndarray, sketch: np.ndarray, label: np.ndarray, floor: flo
     reach = np.where(size[part] <= CROWD, size[part], 1)
     found = []
     n = len(keys)
-    for step in range(1, int(max(reach.max(initial=1), NEAR + 1))):
+    for step in range(1, min(n, int(max(reach.max(initial=1), NEAR + 1)))):
         i = np.flatnonzero((part[: n - step] == part[step:]) & (reach[: n - step] > step)) if step >= NEAR else None
         if i is None:
             i = np.flatnonzero(region[: n - step] == region[step:])

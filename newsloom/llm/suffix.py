@@ -264,7 +264,7 @@ def cut_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_
     content = F.xxhash64(F.col("text"), F.octet_length("text"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _whole_text(docs, text_col).alias("text"))
     texts = texts.select(content.alias("ck"), "id", "text")
-    spans = repeated_spans(texts, length, crowd=crowd)
+    spans = repeated_spans(texts, length, min(GRAM, max(1, length // 4)), crowd)
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], _whole_text(docs, text_col).alias("text"))
     rows = rows.select(*names, "text", content.alias("ck")).join(spans, "ck", "left").drop("ck")

@@ -147,7 +147,9 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     dealt = points.select("*", every_block)
 
     def hits(queries: DataFrame) -> DataFrame:
-        pairs = dealt.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block"))
+        # Fresh column identities, since both sides stem from one table.
+        own, other = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (dealt, queries))
+        pairs = own.groupBy("shard", "block").cogroup(other.groupBy("shard", "block"))
         return pairs.applyInArrow(_search_tables(k), HITS)
 
     start = asked.select("query_id", "vector", "block", F.col("home").alias("shard"), F.lit(float("-inf")).alias("floor"))

@@ -175,8 +175,8 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def score(docs: DataFrame, model: tuple[dict[int, float], float], carry: list[str], text_col: str = "text") -> DataFrame:
-    """``carry`` of every row, and ``score`` in 0..1 of its whole text; a NULL text is empty and gets the bias alone."""
+def score(docs: DataFrame, model: tuple[dict[int, float], float], carry: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """``carry`` of every row, and as ``name`` the score in 0..1 of its whole text; a NULL text is empty and gets the bias alone."""
     weights, bias = model
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], *([] if text_col in carry else [F.col(f"`{text_col}`").alias("text")]))
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], carry: list[st
             yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], made], [*names, "score"])
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "score")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("score").alias(name))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
