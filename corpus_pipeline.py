@@ -39,10 +39,12 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     from newsloom.llm.suffix import cut_repeats
 
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = cut_repeats(docs, others, characters=True).withColumn("text", F.col("kept").cast("string"))
-    cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = cut_repeats(docs, docs.columns, characters=True)
+    # By place, since the documents may have columns of the names that are added.
+    places = [f"c{i}" for i in range(len(cut.columns))]
+    text = F.col(places[-1]).cast("string")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return cut.toDF(*places).select(*[new.get(c, F.col(p)).alias(c) for c, p in zip(docs.columns, places, strict=False)])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

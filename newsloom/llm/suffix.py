@@ -254,7 +254,7 @@ def _whole_text(docs: DataFrame, text_col: str) -> Column:
 
 
 def cut_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, characters: bool = False) -> DataFrame:
-    """``carry`` of every row, and ``n_bytes, n_removed, n_spans`` (long) and ``kept`` (binary).
+    """``carry`` of every row (the text column NULL there), and ``n_bytes, n_removed, n_spans`` (long) and ``kept`` (binary).
 
     Each byte of a text that lies in a string of ``length`` bytes starting at another place too, in
     any text, is removed; ``n_spans`` counts the maximal removed stretches, ``kept`` is the rest,
@@ -266,7 +266,8 @@ def cut_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_
     texts = texts.select(content.alias("ck"), "id", "text")
     spans = repeated_spans(texts, length, min(GRAM, max(1, length // 4)), crowd)
     names = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], _whole_text(docs, text_col).alias("text"))
+    # The text itself travels once.
+    rows = docs.select(*[(F.lit(None).cast("string") if c == text_col else F.col(f"`{c}`")).alias(n) for c, n in zip(carry, names, strict=True)], _whole_text(docs, text_col).alias("text"))
     rows = rows.select(*names, "text", content.alias("ck")).join(spans, "ck", "left").drop("ck")
     kinds = rows.select(*names).schema
     schema = kinds.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
