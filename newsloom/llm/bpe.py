@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import in_pieces, worker_memo
 
-BLOCK_BYTES = 12 << 20
-MEMO_WORDS = 400_000
+BLOCK_BYTES = 6 << 20
+MEMO_WORDS = 200_000
 CONTROL = re.compile("[\x1c-\x1f]")
 #: Windows of ranks; pairs of later windows wait unsorted.
 WINDOWS = (32, 128, 512, 1024, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 24576, 32768)
@@ -167,9 +167,9 @@ class WordCoder:
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self._at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.numbers = {i: str(i) for i in self.tokens}
-        #: The memo: decimal ids and tokens of each word met, and the words without any.
-        self.shown_ids: dict[str, str] = {}
-        self.shown_tokens: dict[str, str] = {}
+        self.by_number = {str(i): t for i, t in self.tokens.items()}
+        #: The memo: decimal ids of each word met, and the words without any.
+        self.shown: dict[str, str] = {}
         self.empty: set[str] = set()
 
     def words(self, text: str) -> list[str]:
@@ -189,34 +189,33 @@ class WordCoder:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that are not in the memo yet, all in one index."""
-        if len(self.shown_ids) > MEMO_WORDS:
-            self.shown_ids.clear()
-            self.shown_tokens.clear()
-        known = self.shown_ids.keys()
+        if len(self.shown) > MEMO_WORDS:
+            self.shown.clear()
+        known = self.shown.keys()
         fresh = [w for w in words if w not in known]
         cut = [self._cut(w) if w not in self.special else [w] for w in fresh]
         names = dict.fromkeys(p for pieces in cut for p in pieces)
         plain = [p for p in names if p not in self.special]
         ids, at = self.merges.encode([p.encode() for p in plain])
-        numbers, tokens = self.numbers, self.tokens
-        ids, lo = ids.tolist(), 0
-        parts_ids, parts_tokens = {t: numbers[i] for t, i in self.special.items()}, {t: t for t in self.special}
+        ids, lo = list(map(self.numbers.__getitem__, ids.tolist())), 0
+        parts = {t: self.numbers[i] for t, i in self.special.items()}
         for piece, hi in zip(plain, at[1:].tolist(), strict=True):
-            own = ids[lo:hi]
-            parts_ids[piece] = " ".join([numbers[i] for i in own])
-            parts_tokens[piece] = " ".join([tokens[i] for i in own])
+            parts[piece] = " ".join(ids[lo:hi])
             lo = hi
-        for shown, parts in ((self.shown_ids, parts_ids), (self.shown_tokens, parts_tokens)):
-            for w, pieces in zip(fresh, cut, strict=True):
-                shown[w] = parts[pieces[0]] if len(pieces) == 1 else " ".join([parts[p] for p in pieces])
+        for w, pieces in zip(fresh, cut, strict=True):
+            self.shown[w] = parts[pieces[0]] if len(pieces) == 1 else " ".join([parts[p] for p in pieces])
         self.empty.update(w for w, pieces in zip(fresh, cut, strict=True) if not pieces)
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by blanks, and the decoded text; the words are in the memo."""
+    def encode(self, text: str) -> str:
+        """Decimal ids joined by blanks; the words are in the memo."""
         words = self.words(text)
         if self.empty:
             words = [w for w in words if w not in self.empty]
-        return " ".join(map(self.shown_ids.__getitem__, words)), " ".join(map(self.shown_tokens.__getitem__, words))
+        return " ".join(map(self.shown.__getitem__, words))
+
+    def decode(self, ids: str) -> str:
+        """The tokens of decimal ids; a vocabulary without decoder puts a blank between tokens."""
+        return " ".join(map(self.by_number.__getitem__, ids.split())) if ids else ""
 
 
 def coder(path: str) -> WordCoder:
@@ -244,7 +243,7 @@ def encode(docs: DataFrame, path: str, carry: list[str], outputs: list[str], tex
         schema = schema.add(name, T.DataType.fromDDL(OUTPUTS[name]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = coder(path)
+        model, decodes = coder(path), any(name.startswith("decoded") for name in outputs)
 
         def coded(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [b.column("text").to_pylist() for b in held]
@@ -256,7 +255,8 @@ def encode(docs: DataFrame, path: str, carry: list[str], outputs: list[str], tex
             for batch, part in zip(held, texts, strict=True):
                 made = {name: [] for name in outputs}
                 for text in part:
-                    ids, decoded = model.encode(text)
+                    ids = model.encode(text)
+                    decoded = model.decode(ids) if decodes else ""
                     for name, column in made.items():
                         if name == "n_tokens":
                             column.append(ids.count(" ") + 1 if ids else 0)

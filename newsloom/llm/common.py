@@ -60,7 +60,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return raw, at - at[0]
 
 
-def in_pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def in_pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece have about ``most`` bytes; a single text stays whole."""
     for batch in batches:
         sizes = np.diff(text_bytes(batch.column(column))[1])

@@ -137,7 +137,7 @@ def _contents(variants: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """The bytes of each variant, fetched from the one document it was seen in."""
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, "text"):
             rows = batch.column("wanted").to_pylist()
             for text, ck, wanted in zip(batch.column("text").to_pylist(), batch.column("ck").to_pylist(), rows, strict=True):
                 data = text.encode()
@@ -273,7 +273,7 @@ def cut_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_
     schema = kinds.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, "text", 8 << 20):
+        for batch in in_pieces(batches, "text", 2 << 20):
             spans = batch.column("spans")
             sizes, gone, parts, kept = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):

@@ -89,17 +89,19 @@ def fit(rows: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS
     weights, bias = np.zeros(rows.shape[1]), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    back = lambda matrix, d: (d.astype(np.float32) @ matrix).astype(float)
     for step in range(1, steps + 1):
-        zp, zu = up @ weights + bias, un @ weights + bias
+        single = weights.astype(np.float32)  # else every product would copy the matrix as doubles
+        zp, zu = (up @ single).astype(float) + bias, (un @ single).astype(float) + bias
         unlabelled = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         # Derivatives by the scores: of the negative part, and of the positive one.
         du, dp = sigmoid(zu) / len(zu), -prior * sigmoid(zp) / len(zp)
-        gradient = np.append(un.T @ du + up.T @ dp, du.sum() + dp.sum())
+        gradient = np.append(back(un, du) + back(up, dp), du.sum() + dp.sum())
         if unlabelled < 0:
             gradient = -gradient
         else:
             dq = -prior * sigmoid(-zp) / len(zp)
-            gradient += np.append(up.T @ dq, dq.sum())
+            gradient += np.append(back(up, dq), dq.sum())
         gradient[:-1] += RIDGE * prior * weights
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         move = RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
