@@ -12,6 +12,9 @@ from newsloom.functions.fuzzy import token_set_ratio
 from newsloom.functions.text import clean_category
 from newsloom.schema import CATEGORY_KEYWORDS
 
+#: Names a task remembers at a time.
+MEMO_NAMES = 100_000
+
 
 def fuzzy_category(
     df: DataFrame,
@@ -23,26 +26,35 @@ def fuzzy_category(
     """Add the unified category of an array of raw category names.
 
     The best keyword wins, earlier names and keywords first on ties; below the threshold
-    it is "Other". Feeds use few distinct arrays, so only those are scored and the
-    result is joined back (null-safe, because the array may be NULL).
+    it is "Other". Each task scores a name once and keeps the result in a bounded memo, so
+    rows stay where they are: nothing is shuffled, whatever the most frequent category.
     """
     table = [(name, word.lower()) for name, words in keywords.items() for word in words]
 
     @F.pandas_udf("string")
     def choose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def best(names):
-            top, label = 0.0, None
-            for raw in names if names is not None else ():
-                for unified, word in table if raw else ():
+        memo: dict[str, tuple[float, str | None]] = {}
+
+        def scored(raw):
+            if raw not in memo:
+                if len(memo) >= MEMO_NAMES:
+                    memo.clear()
+                top, label = 0.0, None
+                for unified, word in table:
                     score = token_set_ratio(raw, word)
                     if score > top:
                         top, label = score, unified
+                memo[raw] = top, label
+            return memo[raw]
+
+        def best(names):
+            top, label = 0.0, None
+            for raw in names if names is not None else ():
+                if raw and scored(raw)[0] > top:
+                    top, label = scored(raw)
             return label if top >= threshold else "Other"
 
         for batch in batches:
             yield batch.map(best, na_action=None)
 
-    cleaned = F.transform(F.col(categories), lambda c: clean_category(c))
-    distinct = df.select(cleaned.alias("_cats")).distinct().withColumn(out, choose("_cats"))
-    keyed = df.drop(out).withColumn("_cats", cleaned)
-    return keyed.join(distinct, keyed["_cats"].eqNullSafe(distinct["_cats"]), "left").drop("_cats")
+    return df.withColumn(out, choose(F.transform(F.col(categories), lambda c: clean_category(c))))

@@ -27,24 +27,26 @@ def diverse_topk(
     """
     named = df.withColumn("_cat", F.when(F.coalesce(category, F.lit("")) == "", F.lit("Uncategorized")).otherwise(F.col(category)))
     newest = [F.desc_nulls_last(date), F.asc(key)]
-    sizes = named.groupBy(*by, "_cat").agg(
-        F.count("*").alias("_size"), F.max(F.struct(F.col(date), -F.col(key))).alias("_top")
-    )
+    sizes = named.groupBy(*by, "_cat").agg(F.count("*").alias("_size"))
     total = F.sum("_size").over(Window.partitionBy(*(by or [F.lit(0)])))
     sizes = sizes.withColumn("_total", total)
     ranked = named.withColumn("_round", F.row_number().over(Window.partitionBy(*by, "_cat").orderBy(*newest))).where(
         F.col("_round") <= k
     )
+    # The newest article of each category; keys of any type are only compared.
+    first = Window.partitionBy(*by, "_cat").orderBy("_round")
+    ranked = ranked.withColumns({"_top_date": F.first(date).over(first), "_top_key": F.first(key).over(first)})
     few = F.col("_total") <= k
     order = [
         F.when(~few, F.col("_round")),
         F.when(~few, -F.col("_size")),
-        F.when(~few, F.col("_top")).desc_nulls_last(),
+        F.when(~few, F.col("_top_date")).desc_nulls_last(),
+        F.when(~few, F.col("_top_key")),
         *newest,
     ]
     joined = ranked.join(sizes, [*by, "_cat"])
     pick = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))
-    return joined.withColumn("pick", pick).where(F.col("pick") <= k).drop("_cat", "_round", "_size", "_top", "_total")
+    return joined.withColumn("pick", pick).where(F.col("pick") <= k).drop("_cat", "_round", "_size", "_top_date", "_top_key", "_total")
 
 
 def sentence_split(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

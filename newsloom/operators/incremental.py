@@ -30,6 +30,18 @@ def advance_watermark(spark: SparkSession, path: str, job: str, last: str) -> No
     ).parquet(path)
 
 
+def loaded_runs(spark: SparkSession, path: str, job: str) -> list[str]:
+    """The run folders a job has loaded: one short text a run, a few a day."""
+    if not table_exists(spark, path):
+        return []
+    return [r[0] for r in spark.read.schema("id string, run string").parquet(path).where(F.col("id") == job).select("run").distinct().collect()]
+
+
+def mark_loaded(spark: SparkSession, path: str, job: str, runs: list[str]) -> None:
+    """Append the runs a batch has loaded, after its write has succeeded."""
+    spark.createDataFrame([(job, run) for run in runs], "id string, run string").coalesce(1).write.mode("append").parquet(path)
+
+
 def incremental_load(df: DataFrame, last: str | Column, ts: str = "ingest_time") -> DataFrame:
     """Rows ingested after the watermark; a literal, so that it reaches the scan as a pushed filter."""
     bound = F.lit(last).cast(df.schema[ts].dataType) if isinstance(last, str) else last

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import absolute_url, col, collapse_whitespace
+from newsloom.functions.text import absolute_url, col, collapse_whitespace, let
 from newsloom.schema import EXCLUDED_LINK
 
-# ---- fixed values: entities a page is likely to use; &amp; has to come last -----------------
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©",
-    "&middot;": "·", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&",
-}
+# The named characters of HTML 4, by Python's table, and &apos;. A no-break space reads as a blank.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 NOISE = (
     r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<nav\b.*?</nav>"
     r"|<footer\b.*?</footer>|<div class=\"ad\".*?</div>"
@@ -20,11 +19,50 @@ NOISE = (
 BREAK = r"(?i)</?(?:p|h[1-6]|br|div|li|ul|ol|tr|table|section|article|blockquote|pre)\b[^>]*>"
 
 
+# The value of an attribute: in double quotes, in single quotes or bare.
+VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _character(reference: Column) -> Column:
+    """The text of one reference ``&...;``; an unknown one stays as it is."""
+    body = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    named = F.get(F.array(*[F.lit(v) for v in NAMED.values()]), F.array_position(F.array(*[F.lit(k) for k in NAMED]), body).cast("int") - 1)
+    digits = F.when(body.rlike("^#[xX]"), F.substring(body, F.lit(3), F.length(body))).otherwise(
+        F.conv(F.substring(body, F.lit(2), F.length(body)), 10, 16)
+    )
+    # No character is beyond 10FFFF, and surrogates are none.
+    known = digits.rlike("^0*(?:10|[1-9a-fA-F])?[0-9a-fA-F]{1,4}$") & ~digits.rlike("^0*[dD][89a-fA-F][0-9a-fA-F]{2}$")
+    code = F.lpad(F.regexp_replace(digits, "^0+", ""), 8, "0")
+    numeric = F.when(known, F.decode(F.unhex(code), "UTF-32"))
+    return F.coalesce(F.when(body.startswith("#"), numeric).otherwise(named), reference)
+
+
 def unescape(c: str | Column) -> Column:
+    """Character references decoded in one go: named ones, decimal and hexadecimal numbers."""
     text = col(c)
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    found = F.regexp_extract_all(text, F.lit("&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"), 0)
+
+    def decoded(pair: Column) -> Column:
+        # &amp; is last, so that what it stands in front of is not decoded a second time.
+        references = F.concat(F.filter(pair["refs"], lambda r: r != "&amp;"), F.filter(pair["refs"], lambda r: r == "&amp;"))
+        return F.aggregate(references, pair["text"], lambda done, r: F.replace(done, r, _character(r)))
+
+    plain = F.when(text.contains("&"), let(F.struct(text.alias("text"), F.array_distinct(found).alias("refs")), decoded))
+    return F.when(text.isNotNull(), F.coalesce(plain, text))
+
+
+def _value(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, written in any of the three ways; empty if there is none."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*{VALUE}"
+    return F.concat(*[F.regexp_extract(tag, pattern, n) for n in (1, 2, 3)])
+
+
+def _meta(html: Column, name: str) -> Column:
+    """The content of the first meta tag of a name or property, plain text; NULL if there is none or it is blank."""
+    tags = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?:"[^"]*"|'[^']*'|[^"'>])*>"""), 0)
+    named = F.filter(tags, lambda t: (F.lower(_value(t, "(?:property|name)")) == name))
+    text = F.transform(F.slice(named, 1, 1), lambda t: collapse_whitespace(unescape(_value(t, "content"))))
+    return F.nullif(F.get(text, F.lit(0)), F.lit(""))
 
 
 def _first(html: Column, pattern: str) -> Column:
@@ -47,27 +85,27 @@ def paragraphs(html: str | Column) -> Column:
 def page_extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Article fields of every page, with the defaults the crawler writes for missing ones."""
     page = F.col(html)
-    meta = r'(?is)<meta\b[^>]*(?:property|name)="{}"[^>]*\bcontent="([^"]*)"'
     site = F.regexp_extract(F.col(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
     content = F.array_join(paragraphs(page), "\n\n")
     return df.select(
         *[c for c in df.columns if c != html],
         F.coalesce(F.nullif(site, F.lit("")), F.lit("No source")).alias("src"),
         F.coalesce(
-            _first(page, meta.format("og:title")), _first(page, r"(?is)<title\b[^>]*>(.*?)</title>"),
+            _meta(page, "og:title"), _first(page, r"(?is)<title\b[^>]*>(.*?)</title>"),
             _first(page, r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit("No title"),
         ).alias("title"),
-        F.coalesce(_first(page, meta.format("author")), F.lit("No author")).alias("author"),
+        F.coalesce(_meta(page, "author"), F.lit("No author")).alias("author"),
         F.coalesce(F.nullif(content, F.lit("")), F.lit("No content")).alias("content"),
-        F.coalesce(_first(page, meta.format("og:image")), F.lit("")).alias("image_url"),
-        _first(page, meta.format("article:published_time")).alias("publish_date"),
-        F.nullif(F.regexp_extract(page, r'(?is)<html\b[^>]*\blang="([^"]*)"', 1), F.lit("")).alias("language"),
+        F.coalesce(_meta(page, "og:image"), F.lit("")).alias("image_url"),
+        _meta(page, "article:published_time").alias("publish_date"),
+        F.nullif(_value(F.regexp_extract(page, r"(?is)<html\b[^>]*>", 0), "lang"), F.lit("")).alias("language"),
     )
 
 
 def page_links(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """One row per link of a page in page order, made absolute; links to videos and galleries are left out."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), 1)
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\s(?:"[^"]*"|'[^']*'|[^"'>])*>"""), 0)
+    found = F.filter(F.transform(tags, lambda t: F.when(t.rlike(r"(?i)[\s\"'/]href\s*="), _value(t, "href"))), lambda h: h.isNotNull())
     links = df.select(*[c for c in df.columns if c != html], F.posexplode(found).alias("pos", "href"))
     kept = links.where(~F.col("href").rlike(EXCLUDED_LINK))
     return kept.withColumn("link", absolute_url(url, unescape("href")))

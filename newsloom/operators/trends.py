@@ -6,11 +6,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import RANK_DIGITS, unit_rows
-from newsloom.operators.vectors import BROADCAST_ROWS, bounded_vectors, knn_topk
+from newsloom.operators.vectors import BLOCK_SCORES, BROADCAST_ROWS, bounded_vectors, knn_topk
 from newsloom.schema import MODEL_WEIGHTS, RELATED_QUERIES
 
 
@@ -36,23 +37,30 @@ def related_queries_flatten(df: DataFrame, payload: str = "payload", keep: Seque
     )
 
 
-def _best_match(queries: pa.Array, units: list[np.ndarray]):
-    """An Arrow UDF over one vector column per model: array of (query of the best trend, cosine)."""
+def _best_match(queries: list[pa.Array], units: list[np.ndarray]):
+    """An Arrow UDF over one vector column per model: array of (query of the best trend, cosine).
+
+    ``queries`` and ``units`` hold the trends that have a vector of the model.
+    """
 
     @F.arrow_udf("array<struct<query:string,score:double>>")
     def match(*vectors: pa.Array) -> pa.Array:
         n = len(vectors[0])
         best = np.zeros((n, len(units)), np.int64)
         score = np.full((n, len(units)), np.nan)
+        shift = np.cumsum([0, *map(len, units)])
         for m, (unit, column) in enumerate(zip(units, vectors)):
-            there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            if len(there) and len(unit):
+            valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            step = max(1, BLOCK_SCORES // max(1, len(unit)))
+            for start in range(0, len(valid) if len(unit) else 0, step):
+                there = valid[start : start + step]
                 cosine = unit_rows(column.take(pa.array(there))) @ unit.T
-                best[there, m] = np.argmax(np.round(cosine, RANK_DIGITS), axis=1)
-                score[there, m] = cosine[np.arange(len(there)), best[there, m]]
+                top = np.argmax(np.round(cosine, RANK_DIGITS), axis=1)
+                best[there, m] = shift[m] + top
+                score[there, m] = cosine[np.arange(len(there)), top]
         missing = np.isnan(score).ravel()
         entries = pa.StructArray.from_arrays(
-            [queries.take(pa.array(best.ravel(), mask=missing)), pa.array(score.ravel(), mask=missing)],
+            [pa.concat_arrays(queries).take(pa.array(best.ravel(), mask=missing)), pa.array(score.ravel(), mask=missing)],
             names=["query", "score"],
         )
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(units)), entries)
@@ -66,25 +74,29 @@ def best_trends(
     """Add query_<n> and score_<n>: the most similar trend under every embedding model.
 
     ``trends``: trend_id, query and one vector column per model, named as in ``articles``.
-    Ties go to the smaller trend_id. Up to ``broadcast_rows`` trends go to every task and
-    each batch of articles is one matrix product; beyond that the articles meet the
-    trends tile by tile and are joined back on article_id.
+    Ties go to the smaller trend_id. A trend without a vector is left out, an article without
+    one has no trend. Up to ``broadcast_rows`` trends go to every task and each batch of
+    articles is one matrix product; beyond that the distinct vectors of the articles meet the
+    trends tile by tile and the result comes back by the vector, so articles without id or
+    with the id of another one get their own result either way.
     """
     small = bounded_vectors(trends, ["trend_id", "query", *models], broadcast_rows)
     if small is not None:
-        queries = small.column("query").combine_chunks().cast(pa.string())
-        match = _best_match(queries, [unit_rows(small.column(m)) for m in models])
+        there = [small.filter(pc.is_valid(small.column(m))) for m in models]
+        queries = [pa.concat_arrays([pa.array([], pa.string()), *t.column("query").cast(pa.string()).chunks]) for t in there]
+        match = _best_match(queries, [unit_rows(t.column(m)) if t.num_rows else np.zeros((0, 1)) for t, m in zip(there, models)])
         out = articles.withColumn("_m", match(*[F.col(m) for m in models]))
         found = {f"query_{n}": F.col("_m")[n]["query"] for n in range(len(models))}
         found |= {f"score_{n}": F.col("_m")[n]["score"] for n in range(len(models))}
         return out.withColumns(found).drop("_m")
     out = articles
     for n, model in enumerate(models):
-        top = knn_topk(
-            articles, trends, 1, "article_id", "trend_id", model, broadcast_rows=broadcast_rows, **sizes
-        ).select(F.col("query_id").alias("_a"), F.col("article_id").alias("trend_id"), F.col("score").alias(f"score_{n}"))
+        name = F.sha2(F.col(model).cast("string"), 256)
+        vectors = articles.where(F.col(model).isNotNull()).select(name.alias("_v"), F.col(model).alias(model)).dropDuplicates(["_v"])
+        top = knn_topk(vectors, trends, 1, "_v", "trend_id", model, broadcast_rows=broadcast_rows, **sizes)
+        top = top.select(F.col("query_id").alias("_v"), F.col("article_id").alias("trend_id"), F.col("score").alias(f"score_{n}"))
         named = top.join(trends.select("trend_id", F.col("query").alias(f"query_{n}")), "trend_id").drop("trend_id")
-        out = out.join(named.withColumnRenamed("_a", "article_id"), "article_id", "left")
+        out = out.withColumn("_v", name).join(named, "_v", "left").drop("_v")
     return out
 
 

@@ -15,17 +15,21 @@ from newsloom.operators.tables import first_per_key
 from newsloom.operators.tiles import TILE_ROWS, tile_join, tile_self_join
 from newsloom.session import new_path
 
-# A table of vectors with at most this many rows may be sent to every task.
+# A table of vectors with at most this many rows and bytes may be sent to every task. Which way is
+# taken changes the plan only: both give the same rows.
 BROADCAST_ROWS = 4096
+BROADCAST_BYTES = 32 << 20
+#: Entries of a score matrix that a task holds at a time.
+BLOCK_SCORES = 1 << 22
 
 
 def bounded_vectors(df: DataFrame, columns: Sequence[str], limit: int = BROADCAST_ROWS) -> pa.Table | None:
-    """The table as Arrow, ordered by its first column, if it has at most ``limit`` rows; else None.
+    """The table as Arrow, ordered by its first column, if it has at most ``limit`` rows and few bytes; else None.
 
     One job that brings at most ``limit`` + 1 rows to the driver.
     """
     rows = df.select(*columns).limit(limit + 1).toArrow()
-    return rows.sort_by(columns[0]) if rows.num_rows <= limit else None
+    return rows.sort_by(columns[0]) if rows.num_rows <= limit and rows.nbytes <= BROADCAST_BYTES else None
 
 
 def vector_rows(df: DataFrame, vector: str = "embedding", date: str = "publish_ts") -> DataFrame:
@@ -144,9 +148,10 @@ def nearest(
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = _TopK(k, keyed)
+            step = max(1, BLOCK_SCORES // max(1, len(names)))
             for batch in batches:
-                if batch.num_rows and names:
-                    compare(top, names, own, unit, batch)
+                for start in range(0, batch.num_rows if names else 0, step):
+                    compare(top, names, own, unit, batch.slice(start, step))
             yield from top.batches(arrow)
 
         return corpus.mapInArrow(scan, schema)

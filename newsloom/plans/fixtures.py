@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import lead_sentences
-from newsloom.sources.articles import spread
 
 # Event type -> category of the article; the last one stands for "no category known".
 CATEGORY_OF_EVENT = {"view": "Politics", "click": "Science", "signup": "Sports", "purchase": "Technology"}
@@ -20,8 +19,10 @@ TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table. A text table of fewer files than the cluster has cores is dealt out by its key; a big one is not."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, TEXT_TABLES[name]) if name in TEXT_TABLES and len(df.inputFiles()) < cores else df
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +58,7 @@ ARTICLES = """articles AS (
 def recrawled(spark: SparkSession, sf: str) -> DataFrame:
     """All articles, and the English ones once more as crawled a day later."""
     a = articles(spark, sf).select(
-        "article_id", "src", "url", "title", "main_category", "similarity_score", "publish_ts"
+        "article_id", "src", "url", "title", "main_category", "similarity_score", "publish_ts", "language", "content", "ingest_ts"
     )
     again = a.join(articles(spark, sf).where("language = 'en'").select("article_id"), "article_id", "left_semi")
     return a.unionByName(
@@ -72,10 +73,10 @@ def recrawled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RECRAWLED = ARTICLES + """, recrawled AS (
-  SELECT article_id, src, url, title, main_category, similarity_score, publish_ts FROM articles
+  SELECT article_id, src, url, title, main_category, similarity_score, publish_ts, language, content, ingest_ts FROM articles
   UNION ALL
   SELECT article_id, src, url, concat(title, ' (updated)'), main_category, similarity_score + 1,
-         publish_ts + INTERVAL 1 DAY FROM articles WHERE language = 'en')"""
+         publish_ts + INTERVAL 1 DAY, language, content, ingest_ts FROM articles WHERE language = 'en')"""
 
 
 def raw_articles(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,12 +18,13 @@ from newsloom.functions.dates import date_parts, parse_dates, rebuild_timestamp
 from newsloom.functions.text import clean_publish_date
 from newsloom.operators.categorize import fuzzy_category
 from newsloom.operators.clean import clean_columns, url_filter, valid_expr
-from newsloom.operators.incremental import advance_watermark, batch_notification, incremental_load, read_watermark
+from newsloom.operators.incremental import batch_notification, loaded_runs, mark_loaded
 from newsloom.operators.tables import dedup_latest, gold_build, new_rows
 from newsloom.schema import ARTICLE_KEY, SILVER_COLUMNS, SLOT_STARTS, SLOT_ZONE
-from newsloom.sources.articles import hours_scan, read_articles_json, slot_scan
+from newsloom.sources.articles import hours_scan, read_articles_json
 from newsloom.sources.sinks import (
     merge_into,
+    remove_aside,
     split_corrupt,
     table_exists,
     with_ingest_columns,
@@ -32,7 +33,8 @@ from newsloom.sources.sinks import (
     write_partitioned,
 )
 
-JOB = "silver_to_serving"
+JOB, GOLD_JOB = "silver_to_serving", "silver_to_gold"
+BRONZE_FOLDERS = ["ingest_date", "ingest_hour", "run"]
 
 
 @dataclass(frozen=True)
@@ -59,12 +61,22 @@ def slot_hours(process_ts: str, zone: str = SLOT_ZONE) -> list[tuple[str, int]]:
     return [(h.strftime("%Y-%m-%d"), h.hour) for h in hours]
 
 
+def run_name(process_ts: str) -> str:
+    """The name of a run's folders: its stamp, readable as text only."""
+    return "run-" + "".join(c for c in process_ts if c.isdigit())
+
+
 def bronze_stage(spark: SparkSession, paths: Paths, process_ts: str) -> None:
-    """Append the raw files; damaged records also go to the error table with their text."""
-    raw = write_aside(with_ingest_columns(read_articles_json(spark, paths.raw), process_ts), "raw")
+    """Store the raw files in the folder of the run; damaged records also go to the error table with their text.
+
+    A repeated run replaces its own folder.
+    """
+    raw = with_ingest_columns(read_articles_json(spark, paths.raw), process_ts).withColumn("run", F.lit(run_name(process_ts)))
+    raw = write_aside(raw, "raw")
     rows, damaged = split_corrupt(raw)
-    write_partitioned(rows, paths.bronze, ["ingest_date", "ingest_hour"], 5000)
-    write_partitioned(damaged, f"{paths.bronze}_errors", ["ingest_date", "ingest_hour"], 5000)
+    write_partitioned(rows, paths.bronze, BRONZE_FOLDERS, 5000, "overwrite")
+    write_partitioned(damaged, f"{paths.bronze}_errors", BRONZE_FOLDERS, 5000, "overwrite")
+    remove_aside(raw)
 
 
 def check_articles(bronze: DataFrame) -> DataFrame:
@@ -95,7 +107,7 @@ def silver_rows(checked: DataFrame, process_ts: str) -> DataFrame:
 
 def silver_stage(spark: SparkSession, paths: Paths, process_ts: str, mode: str = "insert_new") -> dict[str, int]:
     """Merge the slot's bronze rows into silver and append the rest to the error table; counts of the run."""
-    bronze = hours_scan(spark.read.parquet(paths.bronze), slot_hours(process_ts))
+    bronze = hours_scan(spark.read.parquet(paths.bronze), slot_hours(process_ts)).drop("run")
     seen = Observation("silver")
     checked = check_articles(bronze).observe(
         seen,
@@ -104,21 +116,27 @@ def silver_stage(spark: SparkSession, paths: Paths, process_ts: str, mode: str =
         F.count_if(F.col("problem") == "unreadable date").alias("unreadable"),
     )
     checked = write_aside(checked, "checked")
-    checked.where("problem IS NOT NULL").write.mode("append").option("maxRecordsPerFile", 10000).parquet(f"{paths.silver}_errors")
+    damaged = checked.where("problem IS NOT NULL").withColumn("run", F.lit(run_name(process_ts)))
+    write_partitioned(damaged, f"{paths.silver}_errors", ["run"], 10000, "overwrite")
     merge_into(spark, paths.silver, silver_rows(checked, process_ts), ARTICLE_KEY, ["processed_date", "processed_hour"], mode)
+    remove_aside(checked)
     return dict(seen.get)
 
 
 def serving_stage(spark: SparkSession, paths: Paths, process_ts: str, batch_id: str) -> DataFrame | None:
-    """Upsert silver rows newer than the watermark; returns the notification, None if nothing is new.
+    """Upsert the silver rows no run has served yet; returns the notification, None if nothing is new.
 
-    A row is never processed before it was ingested, so folders of days before the
-    watermark hold nothing new and are not read; a missed run is caught up by the next. The
-    watermark moves only after the write, to the newest row of what was written.
+    What is new goes by folder, not by time: the folders (day and hour of processing) not marked
+    as loaded in the control table are read, whatever their hour, so a late slot is served and a
+    missed run caught up. The folder of this run may have got more rows since it was loaded, so
+    it is compared with the serving table. Folders are marked only after the write.
     """
-    last = read_watermark(spark, paths.control, JOB)
-    recent = spark.read.parquet(paths.silver).where(F.col("processed_date") >= F.lit(last[:10]).cast("date"))
-    new = incremental_load(recent, last, "ingest_time")
+    waiting = _new_folders(spark, paths, JOB, process_ts)
+    new = _in_folders(spark.read.parquet(paths.silver), waiting)
+    if table_exists(spark, paths.serving):
+        own = F.concat_ws(" ", F.col("processed_date").cast("string"), F.lpad(F.col("processed_hour").cast("string"), 2, "0")) == process_ts[:13]
+        served = spark.read.parquet(paths.serving).where(F.col("upload_day").cast("string") == process_ts[:10])
+        new = new.where(~own).unionByName(new_rows(new.where(own), served, ARTICLE_KEY))
     stamp = F.lit(process_ts).cast("timestamp")
     rows = dedup_latest(new, ARTICLE_KEY, ["publish_ts", "ingest_time"], ["title"]).select(
         "url", "src", "language", "title", "content", "image_url", rebuild_timestamp().alias("publish_date"),
@@ -126,27 +144,44 @@ def serving_stage(spark: SparkSession, paths: Paths, process_ts: str, batch_id:
         stamp.alias("uploaded_date"), F.lit(batch_id).alias("batch_id"), F.date_format(stamp, "yyyy-MM-dd").alias("upload_day"),
     )
     rows = write_aside(rows, "serving-batch")
-    newest = rows.agg(F.date_format(F.max("ingest_time"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-    if newest is None:
+    if not rows.take(1):
+        mark_loaded(spark, paths.control, JOB, waiting)
         return None
     merge_into(spark, paths.serving, rows, ARTICLE_KEY, ["upload_day"])
     slot = slot_hours(process_ts)
     note = batch_notification(
         rows, "Articles", slot[0][0], [h for _, h in slot], process_ts.replace(" ", "T") + "Z", "UTC", "ingest_time"
     )
-    advance_watermark(spark, paths.control, JOB, newest)
+    mark_loaded(spark, paths.control, JOB, waiting)
     return note
 
 
+def _new_folders(spark: SparkSession, paths: Paths, job: str, process_ts: str) -> list[str]:
+    """"day hour" of the silver folders a job has not loaded, and that of this run; read from folder names."""
+    folder = F.concat_ws(" ", F.col("processed_date").cast("string"), F.lpad(F.col("processed_hour").cast("string"), 2, "0"))
+    have = {r[0] for r in spark.read.parquet(paths.silver).select(folder).distinct().collect()}
+    return sorted((have - set(loaded_runs(spark, paths.control, job))) | {process_ts[:13]})
+
+
+def _in_folders(silver: DataFrame, folders: list[str]) -> DataFrame:
+    return hours_scan(silver, [(f[:10], int(f[11:13])) for f in folders], "processed_date", "processed_hour")
+
+
 def gold_stage(spark: SparkSession, paths: Paths, process_ts: str) -> None:
-    """Append the rows processed in this hour to gold, clustered by category; a repeated run adds none again."""
-    day, hour = process_ts[:10], int(process_ts[11:13])
-    silver = spark.read.parquet(paths.silver)
-    gold = gold_build(slot_scan(silver, day, [hour], "processed_date", "processed_hour"), day)
+    """Append the silver folders not in gold yet, clustered by category; a repeated run adds none again.
+
+    Like serving, gold goes by folder, so what a failed or late run left behind is caught up.
+    """
+    day = process_ts[:10]
+    waiting = _new_folders(spark, paths, GOLD_JOB, process_ts)
+    gold = gold_build(_in_folders(spark.read.parquet(paths.silver), waiting), day)
     if table_exists(spark, paths.gold):
         today = spark.read.parquet(paths.gold).where(F.col("upload_date") == F.lit(day).cast("date"))
         gold = new_rows(gold, today, ["url", "src"])
-    write_clustered(write_aside(gold, "gold"), paths.gold, "upload_date", "main_category")
+    gold = write_aside(gold, "gold")
+    write_clustered(gold, paths.gold, "upload_date", "main_category")
+    mark_loaded(spark, paths.control, GOLD_JOB, waiting)
+    remove_aside(gold)
 
 
 def run(spark: SparkSession, paths: Paths, process_ts: str, batch_id: str) -> dict[str, int]:

@@ -45,16 +45,6 @@ def read_articles_csv(
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give costly per-row work a task per core where a scan has fewer splits than that.
-
-    A small table may be one row group, hence one task. A scan with enough splits, as any
-    big table has, is returned as it is: no shuffle. ``df`` has to be a plain scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 

@@ -30,15 +30,18 @@ def write_partitioned(
 ) -> None:
     """Append to a partitioned parquet table with files of at most ``max_records`` rows.
 
-    Rows are gathered by folder first, so a folder gets few files; the rebalance lets
+    With mode "overwrite" the folders that get rows are replaced, all others stay. Rows are gathered by folder first, so a folder gets few files; the rebalance lets
     adaptive execution split a folder that gets most of the rows over many tasks.
     """
     gathered = df.hint("rebalance", *by)
-    gathered.write.partitionBy(*by).option("maxRecordsPerFile", max_records).mode(mode).parquet(path)
+    writer = gathered.write.partitionBy(*by).option("maxRecordsPerFile", max_records)
+    writer.option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
 
 
 def write_json_batches(df: DataFrame, path: str, max_records: int = 500, by: Sequence[str] = ()) -> None:
-    df.write.partitionBy(*by).option("maxRecordsPerFile", max_records).mode("append").json(path)
+    """Append JSON lines in files of at most ``max_records`` rows; rows are gathered by folder first."""
+    gathered = df.hint("rebalance", *by) if by else df
+    gathered.write.partitionBy(*by).option("maxRecordsPerFile", max_records).mode("append").json(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
@@ -109,6 +112,8 @@ def merge_into(
     if mode == "insert_new":
         fresh = write_aside(source.join(known.select(*keys), list(keys), "left_anti"), "merge-new")
         write_partitioned(fresh, path, by, max_records)
+        remove_aside(fresh)
+        remove_aside(source)
         return
     if mode != "upsert":
         raise ValueError(f"unknown mode {mode!r}")
@@ -127,6 +132,8 @@ def merge_into(
     )
     # A folder whose rows all moved elsewhere gets no new file, so it is dropped here.
     left = {row[0] for row in merged.select(_folder(by)).distinct().collect()}
+    remove_aside(merged)
+    remove_aside(source)
     for name, row in touched.items():
         if name not in left:
             naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
@@ -135,6 +142,14 @@ def merge_into(
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def remove_aside(df: DataFrame) -> None:
+    """Delete the files of a table written aside that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_aside(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table of their own in the shared folder."""
     path = new_path(df.sparkSession, name)

@@ -109,3 +109,10 @@ def test_summaries_are_filled_only_where_missing(spark):
     assert [r.summary for r in op.summary_fill(df).collect()] == ["A. B! C?", "kept", "A."]
     assert [r.summary for r in op.summary_fill(df, F.upper).collect()] == ["A. B! C? D.", "kept", "A."]
     assert df.select(lead_sentences("content", 1)).first()[0] == "A."
+
+
+def test_diverse_selection_by_text_ids(spark):
+    rows = [("b", "A", 5), ("a", "A", 5), ("c", "A", 4), ("e", "B", 5), ("d", "B", 1), ("f", None, 9)]
+    df = spark.createDataFrame(rows, "article_id string, main_category string, n int").selectExpr("article_id", "main_category", "timestamp_seconds(n) AS publish_ts")
+    picks = op.diverse_topk(df, 4).orderBy("pick").collect()
+    assert [r.article_id for r in picks] == ["a", "e", "f", "b"]

@@ -22,3 +22,8 @@ def test_columns_and_filters_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text and "LessThan(c_acctbal,0.0)" in text
     text = plan(QUERIES["category_counts"](spark, sf_dir))
     assert "text" not in text
+
+
+def test_categories_need_no_shuffle(spark, sf_dir):
+    text = plan(QUERIES["fuzzy_category"](spark, sf_dir))
+    assert "Exchange" not in text and "Join" not in text

@@ -195,3 +195,18 @@ def test_model_hook_runs_on_batches(spark):
 
     df = spark.createDataFrame([("a", "bcd"), ("", None)], "title string, content string")
     assert [r.embedding for r in embedding.embed(df, ["title", "content"], load).collect()] == [[5.0, 1.0], [0.0, 1.0]]
+
+
+def test_one_answer_for_every_number_of_trends(spark):
+    """NULL vectors on both sides, articles without id and with the id of another one: both ways agree row by row."""
+    a = spark.createDataFrame(
+        [(1, "p", [1.0, 0.0]), (None, "q", [0.0, 1.0]), (None, "r", [0.6, 0.8]), (7, "s", [0.0, 2.0]), (7, "t", [1.0, 0.1]), (8, "u", None)],
+        "article_id bigint, name string, embedding array<float>",
+    )
+    t = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "none", None), (3, "y", [0.0, 1.0]), (4, "z", [0.0, 3.0])], "trend_id int, query string, embedding array<float>")
+    got = [
+        sorted((r.name, r.trend, None if r.similarity_score is None else round(r.similarity_score, 6)) for r in trends.trend_assign(a, t, 0.5, **sizes).collect())
+        for sizes in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "tile_rows": 1})
+    ]
+    assert got[0] == got[1] == got[2]
+    assert got[0] == [("p", "x", 1.0), ("q", "y", 1.0), ("r", "y", 0.8), ("s", "y", 1.0), ("t", "x", 0.995037), ("u", None, None)]
