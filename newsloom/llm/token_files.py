@@ -13,6 +13,7 @@ for each partition the ids before it, so any id can be found without reading oth
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -20,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,14 +31,16 @@ from newsloom.llm.common import in_pieces, worker_memo
 
 CHUNK_IDS, BLOCK_IDS = 1 << 18, 1 << 16
 MEMO_WORDS = 500_000
+# Fixed value: the pattern by which byte-level vocabularies of this kind cut texts into pieces.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class ByteCoder:
     """The tokenizers library's vocabulary of a byte-level file, with a memo of the words met.
 
     The file's pattern begins a new piece at every single blank in front of something else, so the
-    text is cut there and each different word goes through the library once: plain words straight
-    to its merge model, all others through the whole tokenizer.
+    text is cut there and each different word goes through the library once: its pieces go straight
+    to the library's merge model, words that may hold a special token through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -48,18 +52,48 @@ class ByteCoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
+        self.numbers = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        # The short way needs the pattern of this kind of file, and special tokens that begin with "<|".
+        kind = spec["pre_tokenizer"] or {}
+        self.plain = (
+            kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not spec["normalizer"]
+            and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        )
+        self.pattern = regex.compile(PATTERN)
+        #: Ids of words behind a blank, and of pieces inside words.
         self.memo: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.numbers[t.id] for t in self.model.tokenize(mapped)])
 
     def _one(self, word: str) -> bytes:
-        if word[:1] == " " and word[1:].isalpha():
-            mapped = word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(mapped)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        """The ids of a blank and the word."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        if "<|" in word:
+            return np.array(self.tokenizer.encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = self.pattern.findall(" " + word)
+        known = self.memo.get(first[1:]) if first[1:].isalpha() else None
+        if known is None:
+            known = self._piece(first)
+            if first[1:].isalpha():
+                self.memo[first[1:]] = known
+        for piece in rest:
+            if piece not in self.tails:
+                if len(self.tails) > MEMO_WORDS:
+                    self.tails.clear()
+                self.tails[piece] = self._piece(piece)
+            known += self.tails[piece]
+        return known
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not self.plain:
+            return self._first(text)
         if "  " in text:
             words = re.split(r"(?<! ) (?! )", text)
         else:
@@ -77,7 +111,7 @@ class ByteCoder:
                     word = rest[i]
                     ids = memo.get(word)
                     if ids is None:
-                        ids = memo[word] = self._one(" " + word)
+                        ids = memo[word] = self._one(word)
                     found[i] = ids
         return first + b"".join(found)
 
