@@ -137,6 +137,24 @@ def read_index(spark, path: str, analyzers: Mapping[str, str] | None = None) ->
     return SearchIndex(*tables, dict(analyzers or {}))
 
 
+def search_index_upsert(
+    index: SearchIndex, docs: DataFrame, doc_id: str = "doc_id", fields: Sequence[str] = tuple(FIELD_BOOSTS)
+) -> SearchIndex:
+    """The index with the documents of ``docs`` added, those of the same id replaced.
+
+    Only the new documents are analysed; the postings of the others are taken over, and
+    dictionary and totals are counted from the postings. Store it with ``write_index``
+    under another path than the old one, which it still reads.
+    """
+    fresh = search_index_build(docs, doc_id, fields, index.analyzers)
+    ids = docs.select(F.col(doc_id).alias("doc_id"))
+    columns = index.postings.columns
+    postings = index.postings.join(ids, "doc_id", "left_anti").select(*columns).unionByName(fresh.postings.select(*columns))
+    lengths = postings.groupBy("field", "doc_id").agg(F.first("len").alias("len"))
+    stats = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+    return SearchIndex(postings, term_dictionary(postings), stats, index.analyzers)
+
+
 def allowed_edits(term: str, fuzziness: str | int | None) -> int:
     """AUTO: none up to 2 letters, 1 up to 5, then 2."""
     if fuzziness == "AUTO":
@@ -245,14 +263,17 @@ def search(
     """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
+    dated = docs.select(doc_id, date)
     if query and query.strip():
         scores = search_scores(index, query, boosts, operator, fuzziness).withColumnRenamed("doc_id", doc_id)
-        hits, total = docs.join(scores, doc_id), scores
+        hits, total = dated.join(scores, doc_id), scores
     else:
-        hits, total = docs.withColumn("score", F.lit(1.0)), docs
+        hits, total = dated.withColumn("score", F.lit(1.0)), docs
     keys = [F.desc_nulls_last(date), F.desc("score")] if order == "date" else [F.desc("score"), F.desc_nulls_last(date)]
-    paged = hits.orderBy(*keys, F.asc(doc_id)).offset((page - 1) * size).limit(size)
-    return paged.withColumn("total", total.agg(F.count("*")).scalar())
+    # The page is cut on ids and dates; only its ``size`` rows meet the documents, so no content is shuffled or sorted.
+    paged = hits.orderBy(*keys, F.asc(doc_id)).offset((page - 1) * size).limit(size).select(doc_id, "score")
+    found = docs.join(F.broadcast(paged), doc_id)
+    return found.orderBy(*keys, F.asc(doc_id)).withColumn("total", total.agg(F.count("*")).scalar())
 
 
 def _any_word(terms: Sequence[str]) -> str:

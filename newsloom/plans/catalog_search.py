@@ -51,6 +51,21 @@ def search_index_build(spark, sf):
     return op.search_index_build(search_docs(spark, sf)).postings
 
 
+_CHANGED = INDEX.replace("toks AS (", """changed AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN concat('replaced ', title) ELSE title END AS title) FROM docs), toks AS (""").replace("FROM docs UNION", "FROM changed UNION").replace("FROM docs),\nterms", "FROM changed),\nterms")
+
+
+@query(f"WITH {_CHANGED}, scored AS ({SCORED}) SELECT doc_id, round(sum(points), 6) AS score FROM scored WHERE field = 'title' AND term IN ('replaced', 'the') GROUP BY doc_id")
+def search_index_upsert(spark, sf):
+    """An index of some documents, stored; then all with a new title replace theirs or are added, and titles are ranked."""
+    docs = search_docs(spark, sf)
+    number = F.col("doc_id")
+    old = op.write_index(op.search_index_build(docs.where(number % 3 != 0)), new_path(spark, "index"))
+    new = docs.where((number % 3 == 0) | (number % 5 == 0))
+    new = new.withColumn("title", F.when(number % 5 == 0, F.concat(F.lit("replaced "), "title")).otherwise(F.col("title")))
+    index = op.write_index(op.search_index_upsert(old, new), new_path(spark, "index"))
+    return op.bm25_rank(index, ["replaced", "the"], "title").withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {INDEX} SELECT (SELECT count(*) FROM docs) AS docs, count(*) AS postings, count(DISTINCT doc_id) AS indexed_docs FROM postings")
 def reindex_count(spark, sf):
     """Write a fresh index, read it, and compare its size with the table."""
