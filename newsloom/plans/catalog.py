@@ -31,6 +31,7 @@ def load() -> None:
         catalog_digest,
         catalog_search,
         catalog_serving,
+        catalog_sources,
         catalog_streams,
         catalog_tables,
         catalog_vectors,
