@@ -294,3 +294,58 @@ def fragments(c: str | Column, terms: Sequence[str], size: int = 150, count: int
     pieces = F.regexp_extract_all(col(c), F.lit(rf"[\s\S]{{1,{size}}}(?:\s|\z)|\S{{{size}}}"), 0)
     hits = F.filter(pieces, lambda p: p.rlike(_any_word(terms)))
     return F.transform(F.slice(hits, 1, count), lambda p: highlight(F.trim(p), terms))
+
+
+def _pattern(words: Column) -> Column:
+    """The pattern of any of the words (letters and digits only) as a whole word, longer ones first."""
+    longest = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
+def matched_terms(index: SearchIndex, page: DataFrame, query: str, fields: Sequence[str], fuzziness, doc_id: str = "doc_id") -> DataFrame:
+    """The terms of each document of a page that a query found, variants included: one array column ``_found_<field>`` a field.
+
+    ``page`` is one result page, so its ids are few and may be sent to every task.
+    """
+    terms = {f: query_terms(query, index.analyzers.get(f, STANDARD)) for f in fields}
+    entries = expand_terms(index, {f: t for f, t in terms.items() if t}, fuzziness).select("term", "field").distinct()
+    postings = index.postings.select("doc_id", "term", "field").join(F.broadcast(page.select(F.col(doc_id).alias("doc_id"))), "doc_id")
+    found = postings.join(entries, ["term", "field"]).groupBy("doc_id")
+    return found.agg(*[F.collect_set(F.when(F.col("field") == f, F.col("term"))).alias(f"_found_{f}") for f in fields])
+
+
+def search_hits(
+    index: SearchIndex, docs: DataFrame, query: str, doc_id: str = "doc_id", size: int = 150, count: int = 3, fuzziness="AUTO",
+    boosts: Mapping[str, float] = FIELD_BOOSTS, pre: str = "<strong>", post: str = "</strong>", **options,
+) -> DataFrame:
+    """A result page as a client gets it: the words that really matched are marked, misspelt queries included.
+
+    title and summary are marked whole, content becomes its first ``count`` marked pieces of at
+    most ``size`` characters. Missing texts have the defaults 'No title available' and '',
+    a missing category is 'Uncategorized', a missing image ''. Fields that are stemmed are not
+    marked, since a stem is not the word in the text.
+    """
+    page = search(index, docs, query, doc_id, fuzziness=fuzziness, boosts=boosts, **options)
+    if not query.strip():
+        found = page.withColumns({f"_found_{f}": F.array().cast("array<string>") for f in boosts})
+    else:
+        found = page.join(matched_terms(index, page, query, list(boosts), fuzziness, doc_id).withColumnRenamed("doc_id", doc_id), doc_id, "left")
+    rest = rf"[\s\S]{{1,{size}}}(?:\s|\z)|\S{{{size}}}"
+
+    def marked(text: Column, words: Column) -> Column:
+        return F.when(F.size(words) > 0, F.regexp_replace(text, _pattern(words), F.lit(f"{pre}$0{post}"))).otherwise(text)
+
+    def words(f: str) -> Column:
+        none = F.array().cast("array<string>")
+        return none if index.analyzers.get(f) == ENGLISH else F.coalesce(f"_found_{f}", none)
+
+    pieces = F.filter(F.regexp_extract_all("content", F.lit(rest), 0), lambda p: (F.size(words("content")) > 0) & F.regexp_like(p, _pattern(words("content"))))
+    shown = {
+        "title": marked(F.when(F.coalesce("title", F.lit("")) == "", F.lit("No title available")).otherwise(F.col("title")), words("title")),
+        "summary": marked(F.coalesce("summary", F.lit("")), words("summary")),
+        "content": F.transform(F.slice(pieces, 1, count), lambda p: marked(F.trim(p), words("content"))),
+    }
+    for name, default in (("main_category", "Uncategorized"), ("image_url", "")):
+        given = F.col(name) if name in docs.columns else F.lit(None).cast("string")
+        shown[name] = F.coalesce(F.nullif(given, F.lit("")), F.lit(default))
+    return found.withColumns(shown).drop(*[f"_found_{f}" for f in boosts])

@@ -134,6 +134,26 @@ def search_highlight(spark, sf):
     )
 
 
+_MARKED = "replace(regexp_replace(regexp_replace({0}, '([\\p{{L}}\\p{{N}}]+)', '␞\\1␞', 'g'), concat('(?i)␞(', array_to_string({1}, '|'), ')␞'), '<strong>\\1</strong>', 'g'), '␞', '')"
+_HOLDS = "[p FOR p IN regexp_extract_all(content, '[\\s\\S]{1,150}(?:\\s|\\z)') IF regexp_matches(regexp_replace(p, '([\\p{L}\\p{N}]+)', '␞\\1␞', 'g'), concat('(?i)␞(', array_to_string(tc, '|'), ')␞'))]"
+
+
+@query(f"""WITH {INDEX}, sc0 AS ({SCORED}),
+q AS (SELECT unnest(['thes', 'wihtin']) AS q, unnest([1, 2]) AS edits),
+v AS (SELECT sc0.*, q.q, 1 - levenshtein(term, q.q)::DOUBLE / least(length(term), length(q.q)) AS w FROM sc0 JOIN q ON levenshtein(term, q.q) <= q.edits),
+f AS (SELECT doc_id, field, sum(points * w) * {BOOST} AS score FROM v GROUP BY doc_id, field HAVING count(DISTINCT q) = 2),
+m AS (SELECT doc_id, max(score) AS score FROM f GROUP BY doc_id),
+page AS (SELECT doc_id, title, content FROM m JOIN docs USING (doc_id) ORDER BY publish_ts DESC, m.score DESC, doc_id LIMIT 20),
+t AS (SELECT doc_id, list(DISTINCT term) FILTER (field = 'title') AS tt, list(DISTINCT term) FILTER (field = 'content') AS tc FROM v GROUP BY doc_id)
+SELECT doc_id, CASE WHEN tt IS NULL THEN title ELSE {_MARKED.format('title', 'tt')} END AS title,
+  CASE WHEN tc IS NULL THEN '' ELSE array_to_string([{_MARKED.format("trim(p, ' ')", 'tc')} FOR p IN ({_HOLDS})[1:3]], ' ... ') END AS content,
+  'Uncategorized' AS main_category, '' AS image_url FROM page JOIN t USING (doc_id)""")
+def search_hits(spark, sf):
+    """The page of a misspelt query as a client gets it: the words that matched are marked, defaults filled."""
+    page = op.search_hits(_index(spark, sf), search_docs(spark, sf), "thes wihtin")
+    return page.select("doc_id", "title", F.array_join("content", " ... ").alias("content"), "main_category", "image_url")
+
+
 @query()
 def search_english(spark, sf):
     """Titles analysed with stop words and stemming; a plural finds the singular."""
