@@ -8,6 +8,8 @@ exactly if the texts are, and where they differ, only the branches that differ n
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +88,9 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     """How many bounds are above the key, found in two steps so that many bounds stay cheap."""
     width = max(1, int(len(bounds) ** 0.5))
     rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    heads = F.array(*[F.lit(r[0]) for r in rows])
-    table = F.array(*[F.array(*[F.lit(b) for b in r]) for r in rows])
+    # One text literal each, folded into an array when planning: a term for each bound would make a huge plan.
+    heads = F.from_json(F.lit(json.dumps([r[0] for r in rows])), "array<bigint>")
+    table = F.from_json(F.lit(json.dumps(rows)), "array<array<bigint>>")
     # Bounds descend: the rows whose head is above the key, the last of them looked through.
     above = F.size(F.filter(heads, lambda h: h > key))
     last = F.size(F.filter(F.coalesce(F.get(table, above - 1), F.expr("CAST(array() AS array<bigint>)")), lambda b: b > key))
