@@ -58,16 +58,28 @@ SELECT query_id, article_id, rank::INT AS rank, round(score, 4) AS score FROM k
 def knn_all_tiled(spark, sf):
     """Neighbours of every article: too many queries to send to every task, so tile by tile."""
     v = article_vectors(spark, sf)
-    found = op.knn_topk(v, v, 4, query_id="article_id", broadcast_rows=0)
+    found = op.knn_topk(v, v, 4, query_id="article_id", broadcast_rows=0, tile_rows=128)
     return found.select("query_id", "article_id", "rank", _score("score"))
 
 
-@query()
+def _recall(found, exact, keys):
+    """One row: hits whose cosine is not the exact one, and whether nine tenths of the exact hits were found."""
+    both = exact.withColumn("_e", F.lit(1)).join(found.withColumn("_f", F.lit(1)), keys, "left")
+    odd = found.agg(F.count_if(F.abs(F.col("score") - F.col("cosine")) > 1e-6).alias("false_hits"))
+    seen = both.agg((F.count("_f") >= 0.9 * F.count("_e")).alias("recalled"))
+    return seen.select(odd.scalar().alias("false_hits"), "recalled")
+
+
+@query("SELECT 0::BIGINT AS false_hits, true AS recalled")
 def knn_lsh(spark, sf):
-    """Approximate neighbours of every trend from hash buckets; exact cosines."""
+    """Approximate neighbours of every trend from hash buckets against the exact ones: true cosines, recall of at least 0.9."""
     asked = trends(spark, sf).select(F.col("query").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    found = op.knn_lsh(asked, article_vectors(spark, sf).select("article_id", "embedding"), 10)
-    return found.select("query_id", "article_id", "rank", _score("score"))
+    corpus = article_vectors(spark, sf).select("article_id", "embedding")
+    found = op.knn_lsh(asked, corpus, 10, bands=24, bits=5, probes=3).select("query_id", "article_id", "score")
+    pairs = found.join(asked, "query_id").join(corpus.withColumnRenamed("embedding", "center"), "article_id")
+    checked = op.cosine_pairs(pairs, "embedding", "center", "cosine").select("query_id", "article_id", "score", "cosine")
+    exact = op.knn_topk(asked, corpus, 10).select("query_id", "article_id")
+    return _recall(checked, exact, ["query_id", "article_id"])
 
 
 PAIRS = f"""WITH {VECTORS}, p AS (SELECT a.article_id AS article_1, a.src AS source_1, b.article_id AS article_2, b.src AS source_2,
@@ -80,11 +92,15 @@ def pairwise_similar(spark, sf):
     return op.pairwise_similar(article_vectors(spark, sf), 0.4).withColumn("similarity", F.round("similarity", 4))
 
 
-@query()
+@query("SELECT 0::BIGINT AS false_hits, true AS recalled")
 def pairwise_similar_lsh(spark, sf):
-    """Pairs found through hash buckets: a part of the exact ones."""
-    found = op.pairwise_similar_lsh(article_vectors(spark, sf), 0.4, bands=24, bits=4)
-    return found.withColumn("similarity", F.round("similarity", 4))
+    """Pairs found through hash buckets against the exact ones: true cosines, recall of at least 0.9."""
+    v = article_vectors(spark, sf)
+    found = op.pairwise_similar_lsh(v, 0.4, bands=24, bits=4).select("article_1", "article_2", F.col("similarity").alias("score"))
+    exact = op.pairwise_similar(v, 0.4)
+    checked = found.join(exact.select("article_1", "article_2", F.col("similarity").alias("cosine")), ["article_1", "article_2"], "left")
+    checked = checked.withColumn("cosine", F.coalesce("cosine", F.lit(-1.0)))
+    return _recall(checked, exact.select("article_1", "article_2"), ["article_1", "article_2"])
 
 
 @query(f"""WITH {ARTICLES}, v AS (SELECT a.*, e.embedding, [a.main_category, a.src] AS categories FROM articles a JOIN embeddings e ON e.vec_id = a.article_id),
@@ -95,7 +111,7 @@ SELECT * REPLACE (round(similarity, 4) AS similarity) FROM p WHERE similarity >
 def pairwise_in_category(spark, sf):
     """Similar articles of one category, with titles."""
     v = vector_articles(spark, sf).withColumn("categories", F.array("main_category", "src"))
-    pairs = op.pairwise_similar(v, 0.3, "Science")
+    pairs = op.pairwise_similar(v, 0.3, "Science", tile_rows=64)
     return op.describe_pairs(pairs, v).withColumns(
         {"categories": F.array_join("categories", ","), "similarity": F.round("similarity", 4)}
     )
@@ -112,7 +128,7 @@ def trend_assign(spark, sf):
 SELECT article_id, CASE WHEN score > 0.5 THEN query END AS trend, round(score, 4) AS similarity_score FROM r WHERE rn = 1""")
 def trend_assign_tiled(spark, sf):
     """The same without sending the trends to every task, as for a huge list of trends."""
-    scored = trend_ops.trend_assign(article_vectors(spark, sf), trends(spark, sf), 0.5, inclusive=False, broadcast_rows=0)
+    scored = trend_ops.trend_assign(article_vectors(spark, sf), trends(spark, sf), 0.5, inclusive=False, broadcast_rows=0, tile_rows=128)
     return scored.select("article_id", "trend", _score("similarity_score"))
 
 
