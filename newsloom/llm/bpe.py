@@ -8,7 +8,7 @@ window of ranks comes, so a merge touches few lists.
 
 Texts are cut at white space, which never lies inside a token of these vocabularies, so a text's
 ids are those of its words one after another. Words met before are kept in a bounded memo of the
-Python worker.
+task; the vocabulary stays with the Python worker.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import in_pieces, worker_memo
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 MEMO_WORDS = 200_000
 CONTROL = re.compile("[\x1c-\x1f]")
 #: Windows of ranks; pairs of later windows wait unsorted.
@@ -168,6 +168,7 @@ class WordCoder:
         self._at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.numbers = {i: str(i) for i in self.tokens}
         self.by_number = {str(i): t for i, t in self.tokens.items()}
+        del spec, model
         #: The memo: decimal ids of each word met, and the words without any.
         self.shown: dict[str, str] = {}
         self.empty: set[str] = set()
@@ -280,6 +281,10 @@ def encode(docs: DataFrame, path: str, carry: list[str], outputs: list[str], tex
                 held, size = [], 0
         if held:
             yield from coded(held)
+        # The worker may go on with other stages: it keeps the vocabulary and gives the rest back.
+        model.shown.clear()
+        held = []
+        pa.default_memory_pool().release_unused()
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], *outputs)
