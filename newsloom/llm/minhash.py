@@ -9,6 +9,11 @@ Within a part every pair is compared by signature, across parts of a region the
 are, and in a part that stays crowded at full depth every row meets the HUBS rows nearest to the
 part's usual signature. What looks similar enough is confirmed on the full shingle sets.
 
+Rows of a crowded region are finished exactly (``_finish``): all pairs of them in different
+components are looked for with a prefix filter on their full sets, the rarest shingles first. A
+shingle with at most CROWD rows gives pairs; rows that meet by a longer list are compared all with
+all, in tiles, by the size of the common part of their sets.
+
 Sending on all similar pairs of a dense group would be quadratic, so the first two rounds send on
 a spanning forest of the candidates by estimated similarity. Confirmed links join components, and
 a later round looks at candidates between different components only. The last round sends on all
@@ -26,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import as_table, in_pieces, random_words, remove, text_bytes, written
@@ -35,6 +40,8 @@ from newsloom.llm.shingles import distinct_counts, shingles
 
 TREES, DEPTH, MIN_DEPTH = 10, 8, 2
 CROWD, NEAR, HUBS = 128, 12, 8
+#: Rows and shingles of a tile of rows that meet all others, and columns of its matrix at a time.
+TILE, TILE_SHINGLES, COLUMNS = 1024, 1 << 21, 2048
 #: A candidate's estimated similarity may lie so many standard deviations below the threshold.
 SLACK = 4.0
 #: Whether a round sends on all candidates between different components.
@@ -262,6 +269,126 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """``id`` of the rows that are in a region of more than CROWD rows in some tree."""
+    heads = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", t * DEPTH * 4 + 1, MIN_DEPTH * 4).alias("head")) for t in range(TREES)])
+    heads = nodes.select("id", F.explode(heads).alias("_h")).select("id", "_h.tree", "_h.head")
+    crowds = heads.groupBy("tree", "head").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD)
+    return heads.join(crowds, ["tree", "head"], "left_semi").select("id").distinct()
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """``id, label, kind, n, grams`` of ``rows(id, label, text)``: the different shingles of each, ``kind`` their word sequence."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in in_pieces(batches, "text"):
+            values, offsets, sequence = shingles(*text_bytes(piece.column("text")))
+            grams = [np.unique(values[offsets[i] : offsets[i + 1]]).view(np.int64) for i in range(piece.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("id"), piece.column("label"), pa.array([row.tobytes() for row in sequence], pa.binary()),
+                    pa.array([len(g) for g in grams], pa.int64()), pa.array(grams, pa.list_(pa.int64())),
+                ],
+                ["id", "label", "kind", "n", "grams"],
+            )
+
+    made = rows.select("id", "label", "text").mapInArrow(make, "id long, label long, kind binary, n long, grams array<bigint>")
+    return made.where("n > 0").dropDuplicates(["id", "kind"])
+
+
+def _common(values: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each left row has in common with each right row."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    _, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[place]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int((counts > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        has = np.zeros((len(offsets) - 1, COLUMNS), np.float32)
+        has[owner[lo:hi], column[lo:hi] - first] = 1
+        both += has[left] @ has[right].T
+    return both.astype(np.int64)
+
+
+def _tiled(sets: DataFrame, clumps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``a, b``: links between different labels of the rows of each clump, all pairs compared on full sets."""
+    up, down = threshold
+    rows = sets.join(clumps, "id")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    rows = rows.join(rows.groupBy("clump").agg(tiles.alias("tiles")), "clump")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id", "kind"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("clump", F.least("tile", "_o").alias("ta"), F.greatest("tile", "_o").alias("tb"), "tile", "id", "label", "grams")
+    ordered = rows.repartition("clump", "ta", "tb").sortWithinPartitions("clump", "ta", "tb")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def look(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            group = pa.Table.from_batches(parts).combine_chunks()
+            ids, label, tile = (group.column(c).to_numpy() for c in ("id", "label", "tile"))
+            grams = group.column("grams").combine_chunks()
+            grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+            values, offsets = grams.flatten().to_numpy(), grams.offsets.to_numpy() - grams.offsets[0].as_py()
+            left, right = np.flatnonzero(tile == group.column("ta")[0].as_py()), np.flatnonzero(tile == group.column("tb")[0].as_py())
+            both, n = _common(values, offsets, left, right), np.diff(offsets)
+            union = n[left][:, None] + n[right][None, :] - both
+            x, y = np.nonzero((both > 0) & (down * both >= up * union) & (label[left][:, None] != label[right][None, :]))
+            kept = _forest(left[x], right[y], both[x, y] / union[x, y], label) if len(x) else np.zeros(0, np.int64)
+            a, b = ids[left[x[kept]]], ids[right[y[kept]]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("clump", "ta", "tb")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(keys[lo]) != last:
+                    yield look(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = tuple(keys[lo])
+        if held:
+            yield look(held)
+
+    return ordered.mapInArrow(compare, "a long, b long")
+
+
+def _finish(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``a, b``: links between different labels of ``rows(id, label, text)``, every pair compared unless it cannot be one.
+
+    Rows of a similarity of at least t have one of their ``n - ceil(t * n) + 1`` rarest shingles in
+    common. Shingles that all rows of one label only have are left out.
+    """
+    up, down = threshold
+    sets = written(_sets(rows), "minhash-sets")
+    each = sets.select("id", "kind", "label", "n", F.explode("grams").alias("g"))
+    seen = each.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("df > 1")
+    own = Window.partitionBy("id", "kind")
+    # Shingles of one row only come first, and are not joined: they are counted.
+    place = F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count("*").over(own)
+    ranked = each.join(seen, "g").withColumn("place", place)
+    prefix = ranked.where(f"lo <> hi AND place <= n - (({up} * n + {down - 1}) DIV {down}) + 1").select("g", "id", "label")
+    prefix = written(prefix.distinct(), "minhash-prefix")
+    lists = prefix.groupBy("g").agg(F.count("*").alias("_n"), F.min("id").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    lists = written(lists.where("lo <> hi").drop("lo", "hi"), "minhash-lists")
+    few = prefix.join(lists.where(F.col("_n") <= CROWD), "g").select("g", "id", "label")
+    pairs = few.select("g", F.col("id").alias("a"), F.col("label").alias("la")).join(few.select("g", F.col("id").alias("b"), F.col("label").alias("lb")), "g")
+    pairs = written(pairs.where("a < b AND la <> lb").select("a", "b").distinct(), "minhash-pairs")
+    good = _confirm(pairs, rows.select("id", "text"), threshold)
+    many = lists.where(F.col("_n") > CROWD)
+    if many.limit(1).count():
+        clumps = components(prefix.join(many, "g").select(F.col("id").alias("a"), F.col("least").alias("b")))
+        good = good.union(_tiled(sets, clumps.withColumnRenamed("component_id", "clump"), threshold))
+    good = written(good.distinct(), "minhash-finished")
+    remove(sets)
+    remove(prefix)
+    return good
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (85, 100)
 ) -> DataFrame:
@@ -284,6 +411,7 @@ def near_duplicates(
         .groupBy("class", F.col("doc_id").alias("id")).agg(F.first("signature").alias("signature")).drop("class"),
         "minhash-nodes",
     )
+    crowded = written(_crowded(nodes), "minhash-crowded")
     links, tried, labels = None, None, None
     ids, texts = F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")
     for every in ROUNDS:
@@ -300,6 +428,13 @@ def near_duplicates(
         links = written(good if links is None else good.union(links), "minhash-links")
         labels = written(components(links), "minhash-labels")
     remove(met)
+    if crowded.limit(1).count():
+        rows = crowded.join(labels, "id", "left").select("id", F.coalesce("component_id", "id").alias("label"))
+        rows = written(docs.select(ids, texts).join(rows, "id"), "minhash-texts")
+        more = _finish(rows, threshold)
+        remove(rows)
+        if more.limit(1).count():
+            labels = written(components(links.union(more)), "minhash-labels")
     named = classes.join(labels, "id", "left").select("class", F.coalesce("component_id", "id").alias("id"))
     out = signed.drop("signature").join(named.withColumnRenamed("id", "component_id"), "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -6,6 +6,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from newsloom.llm.graph import components
 from newsloom.llm.minhash import near_duplicates, signatures
 
@@ -64,6 +66,58 @@ def test_crowded_group(frame):
     check(frame(rows), [r[:2] for r in rows], 4, 5)
 
 
+def template_pages(n, own, links, change, words=400):
+    """Pages of one template with words of their own, and copies of some with other words of their own."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(words)]
+    pages = []
+    for p in range(n):
+        page = list(base)
+        page[:own] = [f"p{p}x{i}" for i in range(own)]
+        pages.append(page)
+    for k, p in enumerate(rng.sample(range(n), links)):
+        copy = list(pages[p])
+        at = rng.randrange(own + 4, words - change)
+        copy[at : at + change] = [f"c{k}x{i}" for i in range(change)]
+        pages.append(copy)
+    rng.shuffle(pages)
+    return [(i, " ".join(p), "s") for i, p in enumerate(pages)]
+
+
+def test_links_inside_a_large_template(frame):
+    rows = template_pages(2000, 44, 1500, 26)  # two pages of the template have 0.80 in common, a copy and its page 0.86
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(rows)).collect()}
+    sets = [shingle_set(t) for _, t, _ in rows]
+    size = [len(s) for s in sets]
+    index = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            index.setdefault(g, []).append(i)
+    place = {g: k for k, g in enumerate(index)}
+    has = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [place[g] for g in s if len(index[g]) > 1]] = 1
+    both = has[:, (has.sum(axis=0) > 0)] @ has[:, (has.sum(axis=0) > 0)].T
+    n = np.array(size)
+    linked = 100 * both >= 85 * (n[:, None] + n[None, :] - both)
+    want = {i: int(linked[i].argmax()) if linked[i].any() else i for i in range(len(sets))}
+    assert sum(i != c for i, c in want.items()) == 1500
+    assert got == want
+
+
+def test_tiles_and_short_lists(frame, monkeypatch):
+    from newsloom.llm import minhash
+
+    monkeypatch.setattr(minhash, "CROWD", 8)
+    monkeypatch.setattr(minhash, "TILE", 16)
+    monkeypatch.setattr(minhash, "ROUNDS", (False,))
+    rows = template_pages(120, 40, 12, 8, 160)  # less in common than a prefix leaves out: short lists only
+    check(frame(rows), [r[:2] for r in rows])
+    rows = template_pages(120, 18, 12, 8, 160) + [(500 + i, f"only here {i}", "s") for i in range(5)]
+    check(frame(rows), [r[:2] for r in rows])
+    check(frame(rows), [r[:2] for r in rows], 4, 5)
+
+
 def test_empty_table(frame):
     assert near_duplicates(frame([])).collect() == []
 
