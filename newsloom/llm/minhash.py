@@ -21,13 +21,14 @@ of those that are left, so every candidate is either confirmed or inside one com
 without any candidate in the first round have none later and stay out.
 
 At the threshold 0.85 a pair shares MIN_DEPTH values in a tree with 0.72, in none of 10 trees
-with 3e-6. A pair falls to a partition boundary of the sort in one tree with about
+with 3e-6, and is dropped by its sketch with 1e-6 at most (``_floor``). A pair falls to a partition boundary of the sort in one tree with about
 partitions / rows, so it stays in the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ TREES, DEPTH, MIN_DEPTH = 10, 8, 2
 CROWD, NEAR, HUBS = 128, 12, 8
 #: Rows and shingles of a tile of rows that meet all others, and columns of its matrix at a time.
 TILE, TILE_SHINGLES, COLUMNS = 1024, 1 << 21, 2048
-#: A candidate's estimated similarity may lie so many standard deviations below the threshold.
-SLACK = 4.0
+#: The chance that a pair at the threshold looks too little similar to be a candidate, at most.
+MISSED = 1e-6
 #: Whether a round sends on all candidates between different components.
 ROUNDS = (False, False, True)
 
@@ -119,6 +120,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 16) / (15 / 16)
 
 
+def _floor(threshold: float, values: int) -> float:
+    """The highest estimate that a pair at the threshold stays below with a chance of at most MISSED (binomial tail)."""
+    agree = threshold + (1 - threshold) / 16
+    below, count = 0.0, 0
+    while count < values and (below := below + comb(values, count) * agree**count * (1 - agree) ** (values - count)) <= MISSED:
+        count += 1
+    return (count / values - 1 / 16) / (15 / 16) - 1e-9
+
+
 def _parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sorted keys (rows x values): number of the region of each row, and of its part after cutting crowded ones."""
     n = len(keys)
@@ -197,7 +207,7 @@ def _candidates(nodes: DataFrame, threshold: float, every: bool) -> DataFrame:
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = _trees(nodes).repartitionByRange(partitions, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     values = TREES * DEPTH
-    floor = threshold - SLACK * (threshold * (1 - threshold) / values) ** 0.5
+    floor = _floor(threshold, values)
 
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

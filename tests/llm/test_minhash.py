@@ -118,6 +118,19 @@ def test_tiles_and_short_lists(frame, monkeypatch):
     check(frame(rows), [r[:2] for r in rows], 4, 5)
 
 
+def test_sketches_drop_few_links():
+    from math import comb
+
+    from newsloom.llm import minhash
+
+    for t in (0.8, 0.85, 0.86, 1.0):
+        agree = t + (1 - t) / 16
+        floor = minhash._floor(t, 80)
+        low = [k for k in range(81) if (k / 80 - 1 / 16) / (15 / 16) < floor]
+        assert sum(comb(80, k) * agree**k * (1 - agree) ** (80 - k) for k in low) <= 1e-6
+        assert len(low) > 40
+
+
 def test_empty_table(frame):
     assert near_duplicates(frame([])).collect() == []
 
