@@ -209,3 +209,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests compare every count with the public tokenizer library."""
+    import public_tokenizers
+
+    from newsloom.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

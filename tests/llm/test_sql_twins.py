@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op9_ball_tree": ["query_id", "rank", "vec_id", "score"],
     "op10_merkle": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op13_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
 }
 
 
