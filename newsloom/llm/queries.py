@@ -219,3 +219,41 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(
+    """
+    WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+    low AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    d AS (SELECT row, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM low),
+    b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+          FROM benchmark),
+    f AS (SELECT row, unnest(words) AS w FROM d),
+    s AS (SELECT w, count(*) AS n FROM f GROUP BY w),
+    t AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+    names AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM s UNION SELECT w FROM t)),
+    crc AS (SELECT w, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+                                      lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+            FROM names, tab),
+    sb AS (SELECT bucket, sum(n) AS n FROM s JOIN crc USING (w) GROUP BY bucket),
+    tb AS (SELECT bucket, sum(n) AS n FROM t JOIN crc USING (w) GROUP BY bucket),
+    g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(tb.n, 0)::DOUBLE + 1) * (coalesce((SELECT sum(n) FROM sb), 0)::DOUBLE + 10000)
+                 / ((sb.n::DOUBLE + 1) * (coalesce((SELECT sum(n) FROM tb), 0)::DOUBLE + 10000)))) AS BIGINT) AS gain
+          FROM sb LEFT JOIN tb USING (bucket)),
+    m AS (SELECT row, CAST(floor(sum(s_gain)::DOUBLE / sum(n)) AS BIGINT) AS weight
+          FROM (SELECT row, w, count(*) AS n, count(*) * min(gain) AS s_gain FROM f JOIN crc USING (w) JOIN g USING (bucket) GROUP BY row, w) GROUP BY row),
+    c AS (SELECT row, doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+                 CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE AS h
+          FROM d LEFT JOIN m USING (row)),
+    e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM e)
+    SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+           CAST(CASE WHEN n_features >= 20 AND place <= floor(10 * n / 100) THEN place END AS BIGINT) AS rank
+    FROM r
+    """
+)
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words and more, drawn as the benchmark's texts are distributed."""
+    from newsloom.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
