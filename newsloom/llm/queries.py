@@ -211,6 +211,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op11_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests compare it with both tokenizer libraries applied to every whole text."""
+    import public_tokenizers
+
+    from newsloom.llm.crosswalk import crosswalk
+
+    paths = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    rows = crosswalk(table(spark, sf_dir, "documents"), *paths, digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 @query()
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tests compare every count with the public tokenizer library."""

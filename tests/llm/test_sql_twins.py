@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op9_ball_tree": ["query_id", "rank", "vec_id", "score"],
     "op10_merkle": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op11_crosswalk": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "op12_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
     "op13_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
 }
