@@ -27,6 +27,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from newsloom.llm.bpe import byte_letters
 from newsloom.llm.common import in_pieces, worker_memo, written
 
 #: Units of text a task remembers before it forgets them all; documents and bytes of a block.
-MEMO_UNITS = 200_000
+MEMO_UNITS = 400_000
 BLOCK_DOCS, BLOCK_BYTES = 1 << 16, 8 << 20
 #: A bitmap of more documents than this is stored as bits, else as numbers of 16 bits.
 DENSE = 4096
@@ -86,6 +87,9 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         # Units are sound if no piece of B goes on with a blank; else texts stay whole.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.length_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
+        self.length_b = np.array([len(p) for p in self.bytes_b], np.int64)
+        self.numbers = np.array([str(i) for i in range(max(len(self.length_a), len(self.length_b)))], object)
         self.blank = [self.b.piece_to_id("▁")]
         self.memo: dict[str, int] = {}
         self.reset()
@@ -93,9 +97,10 @@ class Aligner:
     def reset(self) -> None:
         self.memo.clear()
         self.good: list[bool] = []
-        self.sizes: list[tuple[int, int, int, int]] = []
         self.shown: list[str] = []
-        self.pairs: list[np.ndarray] = []
+        #: Four sizes of each unit, the pairs of the links of all units, and where each unit's begin.
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.pairs, self.pairs_at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def units(self, text: str) -> list[str]:
         """The blank and the text, cut in front of single blanks."""
@@ -110,51 +115,57 @@ class Aligner:
         fresh = [u for u in dict.fromkeys(units) if u not in self.memo]
         if not fresh:
             return
-        base = len(self.shown)
         ids_a = [e.ids for e in self.a.encode_batch(fresh, add_special_tokens=False)]
         # B adds the first blank itself; a blank alone it would drop.
         ids_b = [e if e else self.blank for e in self.b.encode([u[1:] for u in fresh], num_threads=1)]
-        raw = [u.encode() for u in fresh]
-        good = [
-            b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
-            for a, b, data in zip(ids_a, ids_b, raw, strict=True)
-        ]
+        good = [True] * len(fresh)
+        data = "".join(fresh).encode()
+        sides = [b"".join(map(table.__getitem__, chain.from_iterable(ids))) for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
+        if sides[0] != data or sides[1] != data:
+            for i, unit in enumerate(fresh):
+                raw = unit.encode()
+                good[i] = all(b"".join(map(table.__getitem__, ids[i])) == raw for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+                if not good[i]:
+                    ids_a[i] = ids_b[i] = ()
+        sizes, shown, pairs = self._aligned(ids_a, ids_b)
+        self.memo.update(zip(fresh, range(len(self.shown), len(self.shown) + len(fresh)), strict=True))
         self.good += good
-        at = [i for i, ok in enumerate(good) if ok]
-        made = dict(zip(at, self._aligned([ids_a[i] for i in at], [ids_b[i] for i in at]), strict=True))
-        nothing = ((0, 0, 0, 0), "", np.zeros(0, np.int64))
-        for i, unit in enumerate(fresh):
-            sizes, shown, pairs = made.get(i, nothing)
-            self.memo[unit] = base + i
-            self.sizes.append(sizes)
-            self.shown.append(shown)
-            self.pairs.append(pairs)
-
-    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> list[tuple]:
-        """Of each unit: numbers of tokens, groups and links; its groups as text; the pair of each link."""
-        if not ids_a:
-            return []
-        flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
-        ends_a = np.cumsum(np.array([len(self.bytes_a[i]) for i in flat_a.tolist()], np.int64))
-        ends_b = np.cumsum(np.array([len(self.bytes_b[i]) for i in flat_b.tolist()], np.int64))
-        cuts = np.intersect1d(ends_a, ends_b)
+        self.shown += shown
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.pairs_at = np.concatenate([self.pairs_at, self.pairs_at[-1] + np.cumsum(sizes[:, 3])])
+
+    def _aligned(self, ids_a: list, ids_b: list) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of each unit: numbers of tokens, groups and links; its groups as text; and the pairs of all links, unit by unit."""
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        if not len(flat_a):
+            return np.zeros((len(ids_a), 4), np.int64), [""] * len(ids_a), flat_a
+        ends_a, ends_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         link_a, link_b = linked(ends_a, ends_b)
         pairs = (flat_a[link_a] << LOW_BITS) + flat_b[link_b]
-        last_a, last_b = (np.cumsum([len(x) for x in ids]) for ids in (ids_a, ids_b))
         # Units end where both end a token, so a unit has whole groups.
-        last_group = group_a[last_a - 1] + 1
-        last_link = np.searchsorted(link_a, last_a)
-        parts_a, parts_b = ([[] for _ in range(len(cuts))] for _ in range(2))
-        for parts, ids, group in ((parts_a, flat_a, group_a), (parts_b, flat_b, group_b)):
-            for i, g in zip(ids.tolist(), group.tolist(), strict=True):
-                parts[g].append(str(i))
-        shown = [",".join(x) + "|" + ",".join(y) for x, y in zip(parts_a, parts_b, strict=True)]
-        out, group, link = [], 0, 0
-        for x, y, to_group, to_link in zip(ids_a, ids_b, last_group.tolist(), last_link.tolist(), strict=True):
-            out.append(((len(x), len(y), to_group - group, to_link - link), ";".join(shown[group:to_group]), pairs[link:to_link]))
-            group, link = to_group, to_link
-        return out
+        before = np.concatenate([[0], np.cumsum(n_a)])
+        groups, links = np.concatenate([[-1], group_a])[before] + 1, np.searchsorted(link_a, before)
+        # The tokens of A and of B by group, and what stands behind each.
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        side = order >= len(flat_a)
+        group = np.concatenate([group_a, group_b])[order]
+        unit = np.concatenate([np.repeat(np.arange(len(n)), n) for n in (n_a, n_b)])[order]
+        behind = np.full(len(order), ",", object)
+        behind[:-1][side[1:] != side[:-1]] = "|"
+        behind[:-1][group[1:] != group[:-1]] = ";"
+        text = np.empty(2 * len(order), object)
+        text[0::2] = np.concatenate([self.numbers[flat_a], self.numbers[flat_b]])[order]
+        text[1::2] = behind
+        last = np.flatnonzero(np.concatenate([unit[1:] != unit[:-1], [True]]))
+        text[2 * last + 1] = "\n"
+        shown, some = [""] * len(ids_a), unit[last].tolist()
+        for i, groups_of in zip(some, "".join(text.tolist()).split("\n"), strict=False):
+            shown[i] = groups_of
+        return np.stack([n_a, n_b, np.diff(groups), np.diff(links)], axis=1), shown, pairs
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Of each text its four sizes and its groups; and the distinct ``pair << 16 | row`` of all with their numbers of links."""
@@ -172,15 +183,13 @@ class Aligner:
         index = np.array([self.memo[u] for units in cut for u in units], np.int64)
         row = np.repeat(np.arange(len(texts)), counts)
         sizes = np.zeros((len(texts), 4), np.int64)
-        np.add.at(sizes, row, np.array(self.sizes, np.int64).reshape(-1, 4)[index])
+        for k in range(4):
+            sizes[:, k] = np.bincount(row, self.sizes[index, k], len(texts))
         shown = [";".join([self.shown[i] for i in index[hi - n : hi].tolist()]) for hi, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)]
         both, times = np.unique(row * len(self.shown) + index, return_counts=True) if len(index) else (index, index)
         unit, row = both % max(1, len(self.shown)), both // max(1, len(self.shown))
-        some, place = np.unique(unit, return_inverse=True)
-        lengths = np.array([len(self.pairs[i]) for i in some.tolist()], np.int64)
-        known = np.concatenate([self.pairs[i] for i in some.tolist()]) if len(some) else np.zeros(0, np.int64)
-        each = lengths[place]
-        pairs = known[spread((np.cumsum(lengths) - lengths)[place], each)] if len(place) else known
+        each = np.diff(self.pairs_at)[unit]
+        pairs = self.pairs[spread(self.pairs_at[unit], each)]
         return sizes, shown, *summed((pairs << 16) + np.repeat(row, each), np.repeat(times, each))
 
 
