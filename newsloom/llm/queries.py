@@ -105,40 +105,30 @@ def op1_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", taken)
 
 
-def _tree_sql(text: str, out: str) -> str:
-    """Leaf hashes by section and paragraph, in DuckDB."""
-    word, blank = "[^\\x20\\x09-\\x0D]", "[\\x20\\x09\\x0B-\\x0D]"
-    cut = lambda n: f"regexp_extract_all(p, '(?:{word}+{blank}*){{1,{n}}}|{blank}+')"
-    pieces = f"CASE WHEN length({text}) < 64 THEN {cut(1)} WHEN length({text}) < 256 THEN {cut(2)} ELSE {cut(4)} END"
-    return (
-        f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), "
-        f"lambda p: list_transform({pieces}, lambda x: md5(x)))) AS {out}"
-    )
-
-
-def _print_sql(tree: str) -> str:
-    above = f"list_transform({tree}, lambda s: list_transform(s, lambda p: md5(coalesce(array_to_string(p, ''), ''))))"
-    root = f"sha256(array_to_string(list_transform({above}, lambda s: md5(array_to_string(s, ''))), ''))"
-    short = f"array_to_string(list_transform({above}, lambda s: array_to_string(list_transform(s, lambda p: substr(p, 1, 8)), '')), '/')"
-    return f"{root} || ':' || {short}"
-
-
-def _dice_sql(a: str, b: str, same: str) -> str:
-    x, y = (f"list_distinct(flatten(flatten({t})))" for t in (a, b))
-    total = f"(len({x}) + len({y}))"
-    return f"CASE WHEN {same} THEN 1.0::DOUBLE WHEN {total} > 0 THEN (2 * len(list_intersect({x}, {y})))::DOUBLE / {total} ELSE 0.0::DOUBLE END"
-
-
 @query(
-    f"""
+    """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first(text) OVER (ORDER BY doc_id DESC)) AS following FROM d),
-    e AS (SELECT *, CAST(length(text) AS BIGINT) AS n_chars,
-                 substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM n),
-    t AS (SELECT *, {_tree_sql('text', 'own')}, {_tree_sql('edited', 'changed')}, {_tree_sql('following', 'other')} FROM e)
-    SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_print_sql('own')} AS fingerprint, {_print_sql('changed')} AS edited_fingerprint,
-           {_dice_sql('own', 'changed', 'text = edited')} AS near_edited, {_dice_sql('own', 'other', 'text = following')} AS near_next
-    FROM t
+    e AS (SELECT row_number() OVER () AS row, *, substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM n),
+    k AS (SELECT row, 1 AS kind, text FROM e UNION ALL SELECT row, 2, edited FROM e UNION ALL SELECT row, 3, following FROM e),
+    t AS (SELECT row, kind, list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+                 list_transform(regexp_extract_all(p, '[^\\x20\\x09-\\x0D]{1,8}[\\x20\\x09\\x0B-\\x0D]*|[\\x20\\x09\\x0B-\\x0D]+'), lambda x: md5(x)))) AS leaves
+          FROM k),
+    a AS (SELECT row, kind, flatten(flatten(leaves)) AS l, list_transform(leaves, lambda s: list_transform(s, lambda p: md5(coalesce(array_to_string(p, ''), '')))) AS p FROM t),
+    g AS (SELECT row, kind, unnest(list_transform(range(1, len(l) + 1), lambda i: substr(l[i], 1, 8) || coalesce(substr(l[i + 1], 1, 8), ''))) AS pair FROM a),
+    o AS (SELECT row, kind, substr(md5(pair || ':' || row_number() OVER (PARTITION BY row, kind, pair)), 1, 8) AS h FROM g),
+    s AS (SELECT row, kind, list(DISTINCT h ORDER BY h)[:128] AS sketch FROM o GROUP BY row, kind),
+    f AS (SELECT row, kind, coalesce(sketch, []) AS sketch, sha256(array_to_string(list_transform(p, lambda s: md5(array_to_string(s, ''))), '')) AS root,
+                 array_to_string(list_transform(p, lambda s: array_to_string(list_transform(s, lambda x: substr(x, 1, 8)), '')), '/') AS short
+          FROM a LEFT JOIN s USING (row, kind)),
+    u AS (SELECT x.row, y.kind, x.root = y.root AS same, len(list_intersect(list_intersect(x.sketch, y.sketch), c))::DOUBLE / greatest(len(c), 1) AS j
+          FROM (SELECT row, sketch, root FROM f WHERE kind = 1) x JOIN f y ON x.row = y.row, LATERAL (SELECT list_sort(list_distinct(x.sketch || y.sketch))[:128] AS c)),
+    w AS (SELECT row, kind, CASE WHEN same THEN 1.0::DOUBLE ELSE 2 * j / (1 + j) END AS near FROM u)
+    SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256,
+           f1.root || ':' || f1.short || ':' || coalesce(array_to_string(f1.sketch, ''), '') AS fingerprint,
+           f2.root || ':' || f2.short || ':' || coalesce(array_to_string(f2.sketch, ''), '') AS edited_fingerprint, w2.near AS near_edited, w3.near AS near_next
+    FROM e JOIN f f1 ON e.row = f1.row AND f1.kind = 1 JOIN f f2 ON e.row = f2.row AND f2.kind = 2
+    JOIN w w2 ON e.row = w2.row AND w2.kind = 2 JOIN w w3 ON e.row = w3.row AND w3.kind = 3
     """
 )
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

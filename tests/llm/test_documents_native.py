@@ -52,7 +52,8 @@ def test_edit_report_follows_the_contract(frame, odd_texts):
         assert (r.fingerprint == r.edited_fingerprint) == (edited == text) and (r.near_edited == 1.0) >= (edited == text)
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_next == 1.0) >= (text == following)
     assert got[7].fingerprint == got[8].fingerprint and got[8].near_next == 1.0
-    assert 0.5 < got[8].near_edited < 0.9 and got[9].near_next > 0.9
+    # The long text goes through the same words again and again, so its edited text has the same pairs but for two.
+    assert got[8].near_edited > 0.9 and got[9].near_next > 0.9
 
 
 def test_rows_of_one_id_and_without_id(frame, odd_texts):
@@ -68,6 +69,38 @@ def test_branches_locate_edits(spark):
     a = "first line\nsecond line\n\nnext section\nwith lines\n\nlast"
     b = "first line\nsecond line\n\nnext section\nwith changed lines\n\nlast"
     df = spark.createDataFrame([(a, b)], "a string, b string").select(tree(F.col("a")).alias("a"), tree(F.col("b")).alias("b"))
-    row = df.select(differing(F.col("a"), F.col("b")).alias("d"), differing(F.col("a"), F.col("a")).alias("none"), likeness(F.col("a"), F.col("b")).alias("n"),
-                    fingerprint(F.col("a")).alias("f"), fingerprint(F.col("b")).alias("g")).first()
+    df = df.select("a", "b", fingerprint(F.col("a")).alias("f"), fingerprint(F.col("b")).alias("g"))
+    row = df.select(differing(F.col("a"), F.col("b")).alias("d"), differing(F.col("a"), F.col("a")).alias("none"), likeness(F.col("f"), F.col("g")).alias("n"), "f", "g").first()
     assert [tuple(x) for x in row.d] == [(1, 1)] and row.none == [] and 0 < row.n < 1 and row.f != row.g
+
+
+def by_hand(f, g):
+    """The likeness of two fingerprints, from nothing but the two strings."""
+    (r, _, x), (s, _, y) = f.split(":"), g.split(":")
+    x, y = ({t[i : i + 8] for i in range(0, len(t), 8)} for t in (x, y))
+    least = set(sorted(x | y)[:128])
+    j = len(x & y & least) / max(1, len(least))
+    return 1.0 if r == s else 2 * j / (1 + j)
+
+
+def test_fingerprints_carry_their_likeness(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(edit_report(docs).collect(), key=lambda r: r.doc_id)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for i, r in enumerate(rows):
+        assert r.near_edited == by_hand(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == by_hand(r.fingerprint, rows[i - 1].fingerprint)
+        # Two thirds of the edited text are unchanged.
+        assert r.near_edited > 0.3 or r.n_chars < 60, texts[r.doc_id]
+
+
+def test_one_grain_for_all_lengths(spark):
+    words = [f"word{i * 7919 % 997}" for i in range(80)]
+    cases = []
+    for size in (40, 60, 64, 68, 250, 252, 256, 260, 500):
+        text = " ".join(words)[:size]
+        cases += [(size, text, text + " tail"), (size, text, "x " + text)]
+    cases += [(257, "a" * 252, "a" * 252 + "bbbbb"), (300, "line one of many\n" * 40 + "end", "line one of many\n" * 40 + "other end here")]
+    df = spark.createDataFrame(cases, "n int, a string, b string").select("n", fingerprint(tree(F.col("a"))).alias("f"), fingerprint(tree(F.col("b"))).alias("g"))
+    for r in df.select("n", likeness(F.col("f"), F.col("g")).alias("near")).collect():
+        assert r.near > (0.9 if r.n >= 250 else 0.6), r
