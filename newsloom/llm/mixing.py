@@ -134,7 +134,7 @@ def curriculum(
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     placed = placed.withColumns({"middle": middle, "rounds": rounds.cast("int")})
     extra = (F.col("middle") <= F.col("target") - F.col("rounds") * F.col("source_size")) & (F.col("target") > 0)
-    placed = placed.withColumn("takes", F.col("rounds") + extra.cast("int"))
+    placed = placed.withColumn("takes", F.least(F.col("rounds") + extra.cast("int"), F.lit(MOST_EPOCHS)))
     times = F.transform(
         F.sequence(F.lit(1), F.col("takes")),
         lambda i: due(F.col("pieces"), F.least(((i - 1) * F.col("source_size") + F.col("middle")) / F.col("target"), F.lit(1.0))),

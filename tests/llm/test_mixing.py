@@ -91,3 +91,10 @@ def test_due_inverts_the_integral(spark):
 def test_word_count(spark, odd_texts):
     df = spark.createDataFrame([(t,) for _, t, _ in odd_texts], "text string")
     assert [r.n for r in df.select(word_count("text").alias("n")).collect()] == [count(t) for _, t, _ in odd_texts]
+
+
+def test_empty_documents_of_a_source_taken_whole(frame):
+    """A document without words is not taken more often than others."""
+    rows = [(i, "" if i % 2 else "two words", "a") for i in range(60)] + [(100 + i, "word " * 50, "b") for i in range(40)]
+    plan = check(frame(rows), rows)
+    assert max(r.takes for r in plan if r.source == "a") == 3
