@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from newsloom.llm.common import RollingHash, mix64, random_words
 
 WIDTH = 5
+#: Longer words are hashed byte by byte: a polynomial modulo a power of two confuses some regular strings of a thousand letters.
+PLAIN_WORD = 256
 
 
 def _kind_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -32,6 +35,8 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends[at[1:][at[:-1] < at[1:]] - 1] |= ~gap[at[1:][at[:-1] < at[1:]] - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     hashes = RollingHash(text).ranges(start, end)
+    for i in np.flatnonzero(end - start > PLAIN_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]].tobytes())
     counts = np.diff(np.searchsorted(start, at))
     return mix64(hashes + (end - start).astype(np.uint64)), counts
 

@@ -146,3 +146,13 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 401)} | {i: 1000 for i in range(1000, 1300)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_words_that_polynomial_hashes_confuse(frame):
+    """Thue-Morse words and their complements share no shingle."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(2 * k + side, word[: 1 << k].translate(str.maketrans("ab", "ba" if side else "ab")), "s") for k in range(5, 13) for side in (0, 1)]
+    got = near_duplicates(frame(rows)).collect()
+    assert len(got) == len(rows) and all(r.component_id == r.doc_id and r.kept for r in got)
