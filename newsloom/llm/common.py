@@ -17,11 +17,23 @@ from newsloom.session import new_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The setting by which Spark deletes the shuffle files of a query when it has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The same rows, stored in the shared folder: lineage ends here and nothing is computed twice."""
-    path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows, stored in the shared folder: lineage ends here and nothing is computed twice.
+
+    The shuffle files go as soon as the rows are stored; otherwise they would stay until the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before or "false")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:

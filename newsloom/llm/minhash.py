@@ -389,13 +389,14 @@ def _finish(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     pairs = few.select("g", F.col("id").alias("a"), F.col("label").alias("la")).join(few.select("g", F.col("id").alias("b"), F.col("label").alias("lb")), "g")
     pairs = written(pairs.where("a < b AND la <> lb").select("a", "b").distinct(), "minhash-pairs")
     good = _confirm(pairs, rows.select("id", "text"), threshold)
-    many = lists.where(F.col("_n") > CROWD)
+    many, held = lists.where(F.col("_n") > CROWD), [sets, prefix, lists, pairs]
     if many.limit(1).count():
         clumps = components(prefix.join(many, "g").select(F.col("id").alias("a"), F.col("least").alias("b")))
+        held.append(clumps)
         good = good.union(_tiled(sets, clumps.withColumnRenamed("component_id", "clump"), threshold))
     good = written(good.distinct(), "minhash-finished")
-    remove(sets)
-    remove(prefix)
+    for done in held:
+        remove(done)
     return good
 
 
@@ -431,12 +432,17 @@ def near_duplicates(
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if tried is None:
-            nodes = written(nodes.join(ends, "id", "left_semi"), "minhash-nodes")
+            every_node, nodes = nodes, written(nodes.join(ends, "id", "left_semi"), "minhash-nodes")
+            remove(every_node)
             met = written(docs.select(ids, texts).join(ends, "id", "left_semi"), "minhash-texts")
         tried = pairs if tried is None else tried.union(pairs)
         good = _confirm(pairs, met, threshold).distinct()
+        before = [x for x in (links, labels) if x is not None]
         links = written(good if links is None else good.union(links), "minhash-links")
-        labels = written(components(links), "minhash-labels")
+        stars = components(links)
+        labels = written(stars, "minhash-labels")
+        for done in (*before, stars):
+            remove(done)
     remove(met)
     if crowded.limit(1).count():
         rows = crowded.join(labels, "id", "left").select("id", F.coalesce("component_id", "id").alias("label"))
@@ -444,10 +450,18 @@ def near_duplicates(
         more = _finish(rows, threshold)
         remove(rows)
         if more.limit(1).count():
-            labels = written(components(links.union(more)), "minhash-labels")
+            remove(labels)
+            stars = components(links.union(more))
+            labels = written(stars, "minhash-labels")
+            remove(stars)
+        remove(more)
     named = classes.join(labels, "id", "left").select("class", F.coalesce("component_id", "id").alias("id"))
     out = signed.drop("signature").join(named.withColumnRenamed("id", "component_id"), "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
+    out = out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
+    out = written(out, "minhash-found")
+    for done in (signed, classes, nodes, crowded, tried, links, labels):
+        remove(done)
+    return out

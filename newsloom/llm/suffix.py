@@ -246,7 +246,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     fine = _sorted_out(stored.join(crowded, "h", "left_anti"), length)
     dense = _counted_out(stored.join(crowded, "h", "left_semi"), length)
     spans = whole.unionByName(fine).unionByName(dense).distinct()
-    return spans.groupBy("ck").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = written(spans.groupBy("ck").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    for done in (some, variants, stored):
+        remove(done)
+    return spans
 
 
 def _whole_text(docs: DataFrame, text_col: str) -> Column:
