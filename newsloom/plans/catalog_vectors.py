@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.operators import trends as trend_ops
+from newsloom.operators import vector_graph as graph
 from newsloom.operators import vectors as op
 from newsloom.operators.embedding import text_embed_hash as embed_hash
 from newsloom.plans.catalog import query
@@ -20,6 +21,7 @@ from newsloom.plans.fixtures import (
     vector_articles,
     with_models,
 )
+from newsloom.session import new_path
 
 COS = "list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[])"
 TREND_SCORES = f"""s AS (SELECT a.*, t.trend_id, t.query, {COS.format('a.embedding', 't.embedding')} AS score FROM article_vectors a, trends t),
@@ -82,6 +84,40 @@ def knn_lsh(spark, sf):
     return _recall(checked, exact, ["query_id", "article_id"])
 
 
+def _with_urls(spark, sf):
+    v = article_vectors(spark, sf)
+    return v.select("article_id", F.concat(F.lit("v/"), F.col("article_id").cast("string")).alias("url"), F.col("article_id").alias("publish_date"), F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+@query("SELECT 0::BIGINT AS false_hits, true AS recalled")
+def vector_graph(spark, sf):
+    """A stored graph index at its default parameters against the exact neighbours of every trend: true cosines, recall of at least 0.9."""
+    path = new_path(spark, "vector-graph")
+    graph.write_graph(_with_urls(spark, sf), path)
+    asked = trends(spark, sf).select(F.col("query").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    corpus = article_vectors(spark, sf).select("article_id", "embedding")
+    found = graph.query_graph(spark, path, asked, 10).select("query_id", "article_id", "score")
+    pairs = found.join(asked, "query_id").join(corpus.withColumnRenamed("embedding", "center"), "article_id")
+    checked = op.cosine_pairs(pairs, "embedding", "center", "cosine").select("query_id", "article_id", "score", "cosine")
+    exact = op.knn_topk(asked, corpus, 10).select("query_id", "article_id")
+    return _recall(checked, exact, ["query_id", "article_id"])
+
+
+@query(f"""WITH {VECTORS}, stored AS (SELECT article_id, embedding FROM article_vectors WHERE article_id % 3 <> 0),
+batch AS (SELECT article_id, list_reverse(embedding) AS embedding FROM article_vectors WHERE article_id % 4 = 0),
+now AS (SELECT * FROM batch UNION ALL SELECT * FROM stored WHERE article_id NOT IN (SELECT article_id FROM batch) AND article_id % 5 <> 0)
+SELECT article_id, concat('v/', article_id) AS url, round(embedding[1]::DOUBLE, 4) AS first, round(embedding[-1]::DOUBLE, 4) AS last FROM now""")
+def vector_graph_upsert(spark, sf):
+    """What a stored graph holds after some vectors were replaced, some added and some removed by url."""
+    path = new_path(spark, "vector-graph")
+    v = _with_urls(spark, sf)
+    graph.write_graph(v.where("article_id % 3 <> 0"), path, shard_rows=128)
+    gone = v.where("article_id % 5 = 0").select("url")
+    graph.upsert_graph(v.where("article_id % 4 = 0").withColumn("embedding", F.reverse("embedding")), path, gone)
+    ends = [F.round(F.element_at("embedding", i).cast("double"), 4).alias(n) for i, n in ((1, "first"), (-1, "last"))]
+    return graph.graph_rows(spark, path).select("article_id", "url", *ends)
+
+
 PAIRS = f"""WITH {VECTORS}, p AS (SELECT a.article_id AS article_1, a.src AS source_1, b.article_id AS article_2, b.src AS source_2,
   {COS.format('a.embedding', 'b.embedding')} AS similarity FROM article_vectors a JOIN article_vectors b ON a.article_id < b.article_id AND a.src <> b.src)
 SELECT article_1, source_1, article_2, source_2, round(similarity, 4) AS similarity FROM p WHERE similarity > 0.4"""

@@ -150,6 +150,11 @@ def remove_aside(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_aside(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table of their own in the shared folder."""
     path = new_path(df.sparkSession, name)
