@@ -1,26 +1,34 @@
 """Full-text search: analysis, inverted index, BM25, multi-field matching, highlighting.
 
-The index is three tables: postings (term, field, doc_id, len, tf), the dictionary
-(term, field, df) and the totals per field. ``len`` is the length of the field, carried
-along so that ranking needs no join with a length table. A query is matched against the
-dictionary, which is small, and only the postings of the matching terms are read.
+The index is four tables: postings (term, field, doc_id, len, tf, places, first), the dictionary
+(term, field, df), the totals per field, and keys (key, term) for misspelt words. ``len`` is the length of
+the field, carried along so that ranking needs no join with a length table; ``places`` are
+the numbers of the words in the field, by which matches are marked and word order is asked for. A
+query is matched against the dictionary, which is small, and only the postings of the matching
+terms are read.
+
+A text is analysed once: the words of a field are sorted and counted inside the row, so nothing is
+grouped across rows. Misspelt words are found by *deletion keys*: a word and a term that are at most two
+edits apart agree in some text that is left of each when up to two letters are removed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.stemming import porter_stem
-from newsloom.functions.text import col
+from newsloom.functions.text import col, let
 from newsloom.schema import BM25_B, BM25_K1, FIELD_BOOSTS, STOP_WORDS
 from newsloom.session import new_path
+from newsloom.sources.sinks import remove_aside, table_exists, write_aside
 
 # Dictionary entries of one query that are brought to the driver at most.
 MAX_PUSHED = 2048
@@ -42,72 +50,145 @@ def query_terms(query: str, analyzer: str = STANDARD) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-@F.pandas_udf(T.StringType())
-def _stem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for words in batches:
-        yield words.map(porter_stem)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stems(words: pa.Array) -> pa.Array:
+    """Each word's stem; a batch stems its different words."""
+    known = words.flatten().dictionary_encode()
+    stems = pa.array([porter_stem(w) for w in known.dictionary.to_pylist()], pa.string())
+    offsets = pa.array(words.offsets.to_numpy() - words.offsets[0].as_py(), pa.int32())
+    return pa.ListArray.from_arrays(offsets, stems.take(known.indices) if len(known) else pa.array([], pa.string()))
+
+
+def _placed(f: str, analyzer: str) -> tuple[Column, Column]:
+    """The words of a field as an array, stop words left out, and the numbers they have among all words of the field."""
+    words = F.coalesce(tokens(f), F.array().cast("array<string>"))
+    if analyzer != ENGLISH:
+        return words, F.sequence(F.lit(0), F.size(words) - 1)
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    kept = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~F.array_contains(stop, x["w"]))
+    return _stems(F.transform(kept, lambda x: x["w"])), F.transform(kept, lambda x: x["i"])
+
+
+def document_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per document, field and term: ``term, field, doc_id, len, tf, places``, and whether it is the ``first`` term of the field. No shuffle; NULL and empty fields have none."""
+    analyzers = analyzers or {}
+    arrays = [_placed(f, analyzers.get(f, STANDARD)) for f in fields]
+    rows = df.select(F.col(doc_id).alias("doc_id"), *[c.alias(f"_{n}{i}") for i, pair in enumerate(arrays) for n, c in zip("wp", pair, strict=True)])
+
+    def counted(pairs: Column) -> Column:
+        first = F.filter(
+            F.transform(pairs, lambda x, i: F.when((i == 0) | (x["w"] != F.get(pairs, i - 1)["w"]), i)), lambda i: i.isNotNull()
+        )
+        return let(first, lambda starts: F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: let(
+            F.slice(pairs, a + 1, F.coalesce(b, F.size(pairs)) - a),
+            lambda run: F.struct(
+                F.get(run, 0)["w"].alias("term"), F.size(run).cast("long").alias("tf"), F.transform(run, lambda x: x["i"]).alias("places"), (a == 0).alias("first")
+            ),
+        )))
+
+    def entry(i: int, f: str) -> Column:
+        pairs = F.zip_with(f"_w{i}", f"_p{i}", lambda w, p: F.struct(w.alias("w"), p.alias("i")))
+        # An empty field has the one place 0 of an empty sequence turned round, and no word.
+        pairs = F.array_sort(F.filter(pairs, lambda x: x["w"].isNotNull()))
+        return F.struct(F.lit(f).alias("field"), F.size(f"_w{i}").alias("len"), let(pairs, counted).alias("terms"))
+
+    per_field = rows.select("doc_id", F.explode(F.array(*[entry(i, f) for i, f in enumerate(fields)])).alias("f"))
+    return per_field.select("doc_id", "f.field", "f.len", F.explode("f.terms").alias("t")).select(
+        "t.term", "field", "doc_id", "len", "t.tf", "t.places", "t.first"
+    )
 
 
 def tokenize_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers: Mapping[str, str] | None = None) -> DataFrame:
     """One row per token: doc_id, field, len (tokens in the field), term. One scan for all fields."""
     analyzers = analyzers or {}
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    parts = [F.struct(F.lit(f).alias("field"), _placed(f, analyzers.get(f, STANDARD))[0].alias("words")) for f in fields]
+    per_field = df.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(*parts)).alias("f"))
+    return per_field.select("doc_id", "f.field", F.size("f.words").alias("len"), F.explode("f.words").alias("term"))
+
+
+#: Letters that may be removed from a word, and the length from which a word is kept by its length instead.
+MOST_EDITS, LONG_WORD = 2, 24
+
+
+def deletions(word: Column) -> Column:
+    """The deletion keys of a word: what is left of it when none, one or two letters are removed.
+
+    A long word would have too many; its key is its length, and all long words of nearly one length are compared.
+    """
+
+    def shorter(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+
+    def all_keys(w: Column) -> Column:
+        return let(shorter(w), lambda once: F.array_distinct(F.concat(F.array(w), once, F.flatten(F.transform(F.filter(once, lambda x: x != ""), shorter)))))
+
+    return F.when(F.length(word) >= LONG_WORD, F.array(F.concat(F.lit("#"), F.length(word).cast("string")))).otherwise(let(word, all_keys))
 
-    def analyzed(f: str) -> Column:
-        words = F.coalesce(tokens(f), F.array().cast("array<string>"))
-        if analyzers.get(f) == ENGLISH:
-            words = F.filter(words, lambda t: ~F.array_contains(stop, t))
-        return F.struct(F.lit(f).alias("field"), words.alias("words"))
 
-    per_field = df.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(*[analyzed(f) for f in fields])).alias("f"))
-    rows = per_field.select("doc_id", "f.field", F.size("f.words").alias("len"), F.explode("f.words").alias("term"))
-    english = [f for f in fields if analyzers.get(f) == ENGLISH]
-    if not english:
-        return rows
-    stemmed = F.col("field").isin(english)
-    vocabulary = rows.where(stemmed).select("term").distinct().withColumn("_stem", _stem("term"))
-    with_stem = rows.where(stemmed).join(vocabulary, "term").select("doc_id", "field", "len", F.col("_stem").alias("term"))
-    return rows.where(~stemmed).unionByName(with_stem)
+def query_keys(word: str, edits: int) -> list[str]:
+    """The keys under which terms of at most so many edits from a query word are stored."""
+    keys = {"".join(c for i, c in enumerate(word) if i not in gone) for n in range(edits + 1) for gone in combinations(range(len(word)), n)} if len(word) < LONG_WORD + edits else set()
+    return sorted(keys | {f"#{n}" for n in range(max(LONG_WORD, len(word) - edits), len(word) + edits + 1)})
+
+
+def term_keys(terms: DataFrame) -> DataFrame:
+    """``key, term`` of every different term."""
+    return terms.select("term").distinct().select(F.explode(deletions(F.col("term"))).alias("key"), "term")
 
 
 @dataclass
 class SearchIndex:
-    """Three plain tables that can be stored, and the analyzer of each field."""
+    """Plain tables that can be stored, and the analyzer of each field. Without ``keys`` misspelt words are looked for in the dictionary."""
 
     postings: DataFrame
     dictionary: DataFrame
     stats: DataFrame
     analyzers: Mapping[str, str]
+    keys: DataFrame | None = None
+
+    def matching(self, terms_by_field: Mapping[str, Sequence[str]], fuzziness=None) -> DataFrame:
+        """The postings of all entries that match a query term, with ``position, weight`` of the match and ``df, docs, avg_len``.
+
+        The dictionary is asked first. Up to ``MAX_PUSHED`` matching entries become a filter on
+        the postings scan, so only their row groups are read; more of them are joined.
+        """
+        postings = self.postings.where(F.col("field").isin(list(terms_by_field)))
+        expanded = expand_terms(self, terms_by_field, fuzziness).join(self.stats, "field")
+        entries = expanded.limit(MAX_PUSHED + 1).toArrow()
+        if entries.num_rows <= MAX_PUSHED:
+            expanded = postings.sparkSession.createDataFrame(entries, expanded.schema)
+            postings = postings.where(F.col("term").isin(sorted(set(entries.column("term").to_pylist()))))
+        return postings.join(expanded, ["term", "field"])
+
+    def variants(self, words: Sequence[str], fuzziness) -> DataFrame | None:
+        """The stored terms that may be within the allowed edits of a word, found by their keys; None without keys or beyond their reach."""
+        edits = {w: allowed_edits(w, fuzziness) for w in words}
+        if self.keys is None or max(edits.values(), default=0) > MOST_EDITS:
+            return None
+        wanted = sorted({k for w, n in edits.items() for k in query_keys(w, n)})
+        return self.keys.where(F.col("key").isin(wanted)).select("term").distinct()
 
 
 def search_index_build(
     docs: DataFrame, doc_id: str = "doc_id", fields: Sequence[str] = tuple(FIELD_BOOSTS),
     analyzers: Mapping[str, str] | None = None,
 ) -> SearchIndex:
-    """The inverted index. All tokens of a document are in one task, so counting ends before the shuffle."""
+    """The inverted index. The words of a document are counted inside its row, so there is no shuffle of tokens."""
     analyzers = dict(analyzers or {})
-    terms = tokenize_terms(docs, doc_id, fields, analyzers)
-    postings = terms.groupBy("term", "field", "doc_id", "len").agg(F.count("*").alias("tf"))
-    return SearchIndex(postings, term_dictionary(postings), field_stats(docs, fields, analyzers), analyzers)
+    postings = document_terms(docs, doc_id, fields, analyzers)
+    return SearchIndex(postings, term_dictionary(postings), field_stats(postings), analyzers)
 
 
 def term_dictionary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term", "field").agg(F.count("*").alias("df"))
 
 
-def field_stats(docs: DataFrame, fields: Sequence[str], analyzers: Mapping[str, str] | None = None) -> DataFrame:
-    """Documents that have the field and its average length: one row per field, no shuffle of tokens."""
-    analyzers = analyzers or {}
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    parts = []
-    for f in fields:
-        words = tokens(f)
-        if analyzers.get(f) == ENGLISH:
-            words = F.filter(words, lambda t: ~F.array_contains(stop, t))
-        n = F.size(F.coalesce(words, F.array().cast("array<string>")))
-        parts.append(F.struct(F.lit(f).alias("field"), n.alias("len")))
-    lengths = docs.select(F.explode(F.array(*parts)).alias("f")).select("f.field", "f.len").where("len > 0")
-    return lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+def field_stats(postings: DataFrame) -> DataFrame:
+    """Documents that have the field and its average length: one row per field.
+
+    A document counts by its posting that is marked as the first one of the field, so nothing is grouped by document.
+    """
+    return postings.where("first").groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
 
 
 def write_index(index: SearchIndex, path: str) -> SearchIndex:
@@ -116,43 +197,45 @@ def write_index(index: SearchIndex, path: str) -> SearchIndex:
     Postings are sorted by term, so that a query reads only the row groups of its terms.
     The range key ends with the document, so the postings of one common word can fill many
     files. They are written once unsorted before: choosing the ranges samples its input, and
-    the texts should not be analysed twice. The dictionary is counted from the stored postings.
+    the texts should not be analysed twice. Dictionary, totals and keys are counted from the stored postings.
     """
     spark = index.postings.sparkSession
-    staged = new_path(spark, "postings")
-    index.postings.write.parquet(staged)
+    staged = write_aside(index.postings, "postings")
     (
-        spark.read.parquet(staged)
-        .repartitionByRange("term", "field", "doc_id")
+        staged.repartitionByRange("term", "field", "doc_id")
         .sortWithinPartitions("term", "field", "doc_id")
         .write.mode("overwrite").parquet(f"{path}/postings")
     )
-    term_dictionary(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/dictionary")
-    index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    remove_aside(staged)
+    postings = spark.read.schema(index.postings.schema).parquet(f"{path}/postings")
+    term_dictionary(postings).write.mode("overwrite").parquet(f"{path}/dictionary")
+    field_stats(postings).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    dictionary = spark.read.parquet(f"{path}/dictionary")
+    keys = term_keys(dictionary)
+    keys.repartitionByRange("key", "term").sortWithinPartitions("key", "term").write.mode("overwrite").parquet(f"{path}/keys")
     return read_index(spark, path, index.analyzers)
 
 
-def read_index(spark, path: str, analyzers: Mapping[str, str] | None = None) -> SearchIndex:
-    tables = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "dictionary", "stats")]
-    return SearchIndex(*tables, dict(analyzers or {}))
+def read_index(spark: SparkSession, path: str, analyzers: Mapping[str, str] | None = None) -> SearchIndex:
+    postings, dictionary, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "dictionary", "stats"))
+    keys = spark.read.parquet(f"{path}/keys") if table_exists(spark, f"{path}/keys") else None
+    return SearchIndex(postings, dictionary, stats, dict(analyzers or {}), keys)
 
 
 def search_index_upsert(
     index: SearchIndex, docs: DataFrame, doc_id: str = "doc_id", fields: Sequence[str] = tuple(FIELD_BOOSTS)
 ) -> SearchIndex:
-    """The index with the documents of ``docs`` added, those of the same id replaced.
+    """The index with the documents of ``docs`` added, those of the same id replaced, as new tables.
 
-    Only the new documents are analysed; the postings of the others are taken over, and
-    dictionary and totals are counted from the postings. Store it with ``write_index``
-    under another path than the old one, which it still reads.
+    Only the new documents are analysed; the postings of the others are taken over. Store it with
+    ``write_index`` under another path than the old one, which it still reads. To add a few
+    documents at their own cost, keep the index in segments (``operators/segments.py``).
     """
     fresh = search_index_build(docs, doc_id, fields, index.analyzers)
     ids = docs.select(F.col(doc_id).alias("doc_id"))
     columns = index.postings.columns
     postings = index.postings.join(ids, "doc_id", "left_anti").select(*columns).unionByName(fresh.postings.select(*columns))
-    lengths = postings.groupBy("field", "doc_id").agg(F.first("len").alias("len"))
-    stats = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    return SearchIndex(postings, term_dictionary(postings), stats, index.analyzers)
+    return SearchIndex(postings, term_dictionary(postings), field_stats(postings), index.analyzers)
 
 
 def allowed_edits(term: str, fuzziness: str | int | None) -> int:
@@ -189,6 +272,9 @@ def expand_terms(index: SearchIndex, terms_by_field: Mapping[str, Sequence[str]]
     wanted = sorted({t for terms in terms_by_field.values() for t in terms})
     if all(allowed_edits(t, fuzziness) == 0 for t in wanted):
         entries = entries.where(F.col("term").isin(wanted))
+    else:
+        near = index.variants(wanted, fuzziness)
+        entries = entries if near is None else entries.join(near, "term", "left_semi")
     return entries.select("term", "field", "df", F.explode(_variants(terms_by_field, fuzziness)).alias("m")).select(
         "term", "field", "df", "m.position", "m.weight"
     )
@@ -200,19 +286,9 @@ def bm25(tf: Column, length: Column, df: Column, docs: Column, avg_len: Column)
 
 
 def score_fields(index: SearchIndex, terms_by_field: Mapping[str, Sequence[str]], fuzziness=None) -> DataFrame:
-    """doc_id, field, score and the number of different query terms found, one row per document and field.
-
-    The dictionary is asked first. Up to ``MAX_PUSHED`` matching entries become a filter on
-    the postings scan, so only their row groups are read; more of them are joined.
-    """
-    postings = index.postings.where(F.col("field").isin(list(terms_by_field)))
-    expanded = expand_terms(index, terms_by_field, fuzziness).join(index.stats, "field")
-    entries = expanded.limit(MAX_PUSHED + 1).toArrow()
-    if entries.num_rows <= MAX_PUSHED:
-        expanded = postings.sparkSession.createDataFrame(entries, expanded.schema)
-        postings = postings.where(F.col("term").isin(sorted(set(entries.column("term").to_pylist()))))
+    """doc_id, field, score and the number of different query terms found, one row per document and field."""
     points = bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("docs"), F.col("avg_len")) * F.col("weight")
-    return postings.join(expanded, ["term", "field"]).groupBy("doc_id", "field").agg(
+    return index.matching(terms_by_field, fuzziness).groupBy("doc_id", "field").agg(
         F.sum(points).alias("score"), F.size(F.collect_set("position")).alias("found")
     )
 
@@ -259,21 +335,27 @@ def search(
     """A page of matching documents with score and the total number of hits.
 
     ``order="date"``: newest first, the score breaks ties; ``order="score"``: the other way
-    round. A blank query matches everything. The total is a second, lean aggregation.
+    round. A blank query matches everything. The ids of the page and the total are found when the
+    page is asked for; the documents of those ids are read when it is shown.
     """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
     dated = docs.select(doc_id, date)
     if query and query.strip():
-        scores = search_scores(index, query, boosts, operator, fuzziness).withColumnRenamed("doc_id", doc_id)
+        # Scored once; page and total are read from the stored scores.
+        scores = write_aside(search_scores(index, query, boosts, operator, fuzziness).withColumnRenamed("doc_id", doc_id), "scores")
         hits, total = dated.join(scores, doc_id), scores
     else:
         hits, total = dated.withColumn("score", F.lit(1.0)), docs
     keys = [F.desc_nulls_last(date), F.desc("score")] if order == "date" else [F.desc("score"), F.desc_nulls_last(date)]
-    # The page is cut on ids and dates; only its ``size`` rows meet the documents, so no content is shuffled or sorted.
-    paged = hits.orderBy(*keys, F.asc(doc_id)).offset((page - 1) * size).limit(size).select(doc_id, "score")
-    found = docs.join(F.broadcast(paged), doc_id)
-    return found.orderBy(*keys, F.asc(doc_id)).withColumn("total", total.agg(F.count("*")).scalar())
+    # The page is cut on ids and dates. Its ``size`` ids come to the driver and go into the scan of the documents.
+    paged = hits.orderBy(*keys, F.asc(doc_id)).offset((page - 1) * size).limit(size).select(doc_id, "score").toArrow()
+    n = total.count()
+    if total is not docs:
+        remove_aside(total)
+    here = docs.where(F.col(doc_id).isin(paged.column(doc_id).to_pylist())) if paged.num_rows else docs.limit(0)
+    found = here.join(docs.sparkSession.createDataFrame(paged, hits.select(doc_id, "score").schema), doc_id)
+    return found.orderBy(*keys, F.asc(doc_id)).withColumn("total", F.lit(n).cast("long"))
 
 
 def _any_word(terms: Sequence[str]) -> str:
@@ -302,50 +384,90 @@ def _pattern(words: Column) -> Column:
     return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
 
-def matched_terms(index: SearchIndex, page: DataFrame, query: str, fields: Sequence[str], fuzziness, doc_id: str = "doc_id") -> DataFrame:
-    """The terms of each document of a page that a query found, variants included: one array column ``_found_<field>`` a field.
+def matched_places(index: SearchIndex, ids: Sequence, query: str, fields: Sequence[str], fuzziness) -> DataFrame:
+    """The places of the words of some documents that a query found, variants included: ``doc_id`` and one array ``_at_<field>`` a field.
 
-    ``page`` is one result page, so its ids are few and may be sent to every task.
+    ``ids`` are those of one result page; they and the terms go into the scan of the postings.
     """
     terms = {f: query_terms(query, index.analyzers.get(f, STANDARD)) for f in fields}
-    entries = expand_terms(index, {f: t for f, t in terms.items() if t}, fuzziness).select("term", "field").distinct()
-    postings = index.postings.select("doc_id", "term", "field").join(F.broadcast(page.select(F.col(doc_id).alias("doc_id"))), "doc_id")
-    found = postings.join(entries, ["term", "field"]).groupBy("doc_id")
-    return found.agg(*[F.collect_set(F.when(F.col("field") == f, F.col("term"))).alias(f"_found_{f}") for f in fields])
+    found = index.matching({f: t for f, t in terms.items() if t}, fuzziness).where(F.col("doc_id").isin(list(ids)))
+    return found.groupBy("doc_id").agg(*[F.array_distinct(F.flatten(F.collect_list(F.when(F.col("field") == f, F.col("places"))))).alias(f"_at_{f}") for f in fields])
+
+
+def in_order(index: SearchIndex, phrase: str, field: str) -> DataFrame:
+    """``doc_id`` of the documents that hold the words of a phrase one behind the other in a field (stop words of a stemmed field may differ)."""
+    words = [w for w in re.split(r"[^\w]|_", phrase.lower()) if w]
+    english = index.analyzers.get(field) == ENGLISH
+    wanted = [(i, porter_stem(w) if english else w) for i, w in enumerate(words) if not (english and w in STOP_WORDS)]
+    if not wanted:
+        return index.postings.select("doc_id").limit(0)
+    postings = index.postings.where((F.col("field") == field) & F.col("term").isin(sorted({w for _, w in wanted})))
+    # Where the phrase would begin, by each of its words; all have to agree.
+    begins = [F.when(F.col("term") == w, F.transform("places", lambda p, i=i: F.struct(F.lit(i).alias("i"), (p - i).alias("at")))) for i, w in wanted]
+    found = postings.select("doc_id", F.explode(F.flatten(F.filter(F.array(*begins), lambda x: x.isNotNull()))).alias("b"))
+    return found.groupBy("doc_id", "b.at").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc_id").distinct()
+
+
+def mark_places(c: str | Column, places: Column, pre: str = "<strong>", post: str = "</strong>") -> Column:
+    """The text with the words at the given places marked; words are counted as the index counts them."""
+    parts = F.regexp_extract_all(col(c), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), 0)
+
+    def marked(pieces: Column) -> Column:
+        ahead = F.when(F.get(pieces, 0).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1)
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(
+            ((i + ahead) % 2 == 0) & F.array_contains(places, F.floor((i - ahead) / 2).cast("int")), F.concat(F.lit(pre), p, F.lit(post))
+        ).otherwise(p)), "")
+
+    return let(parts, marked)
 
 
 def search_hits(
     index: SearchIndex, docs: DataFrame, query: str, doc_id: str = "doc_id", size: int = 150, count: int = 3, fuzziness="AUTO",
     boosts: Mapping[str, float] = FIELD_BOOSTS, pre: str = "<strong>", post: str = "</strong>", **options,
 ) -> DataFrame:
-    """A result page as a client gets it: the words that really matched are marked, misspelt queries included.
+    """A result page as a client gets it: the words that really matched are marked, misspelt queries and stemmed fields included.
 
     title and summary are marked whole, content becomes its first ``count`` marked pieces of at
     most ``size`` characters. Missing texts have the defaults 'No title available' and '',
-    a missing category is 'Uncategorized', a missing image ''. Fields that are stemmed are not
-    marked, since a stem is not the word in the text.
+    a missing category is 'Uncategorized', a missing image ''.
     """
     page = search(index, docs, query, doc_id, fuzziness=fuzziness, boosts=boosts, **options)
-    if not query.strip():
-        found = page.withColumns({f"_found_{f}": F.array().cast("array<string>") for f in boosts})
+    none = F.array().cast("array<int>")
+    ids = [r[0] for r in page.select(doc_id).collect()] if query.strip() else []
+    if ids:
+        found = page.join(matched_places(index, ids, query, list(boosts), fuzziness).withColumnRenamed("doc_id", doc_id), doc_id, "left")
     else:
-        found = page.join(matched_terms(index, page, query, list(boosts), fuzziness, doc_id).withColumnRenamed("doc_id", doc_id), doc_id, "left")
+        found = page.withColumns({f"_at_{f}": none for f in boosts})
     rest = rf"[\s\S]{{1,{size}}}(?:\s|\z)|\S{{{size}}}"
 
-    def marked(text: Column, words: Column) -> Column:
-        return F.when(F.size(words) > 0, F.regexp_replace(text, _pattern(words), F.lit(f"{pre}$0{post}"))).otherwise(text)
+    def at(f: str) -> Column:
+        return F.coalesce(f"_at_{f}", none) if f in boosts else none
+
+    # The pieces of the content, each with the number of words that begin in it; a word cut in two belongs to its first part.
+    letter, word = r"[\p{L}\p{N}]", r"[\p{L}\p{N}]+"
+
+    def parts(texts: Column) -> Column:
+        goes_on = lambda p, i: (i > 0) & p.rlike(f"^{letter}") & F.get(texts, i - 1).rlike(f"{letter}$")
+        return F.transform(texts, lambda p, i: let(
+            F.coalesce(goes_on(p, i), F.lit(False)).cast("int"), lambda cut: F.struct(p.alias("p"), cut.alias("cut"), (F.regexp_count(p, F.lit(word)) - cut).alias("n"))
+        ))
 
-    def words(f: str) -> Column:
-        none = F.array().cast("array<string>")
-        return none if index.analyzers.get(f) == ENGLISH else F.coalesce(f"_found_{f}", none)
+    def held(pieces: Column) -> Column:
+        return F.transform(pieces, lambda x, i: let(F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, y: s + y["n"]), lambda first: F.struct(
+            x["p"].alias("p"), F.transform(F.filter(at("content"), lambda w: (w >= first) & (w < first + x["n"])), lambda w: w - first + x["cut"]).alias("at"),
+        )))
 
-    pieces = F.filter(F.regexp_extract_all("content", F.lit(rest), 0), lambda p: (F.size(words("content")) > 0) & F.regexp_like(p, _pattern(words("content"))))
+    texts = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(rest), 0)
+    shown_pieces = F.filter(let(let(texts, parts), held), lambda y: F.size(y["at"]) > 0)
     shown = {
-        "title": marked(F.when(F.coalesce("title", F.lit("")) == "", F.lit("No title available")).otherwise(F.col("title")), words("title")),
-        "summary": marked(F.coalesce("summary", F.lit("")), words("summary")),
-        "content": F.transform(F.slice(pieces, 1, count), lambda p: marked(F.trim(p), words("content"))),
+        "title": mark_places(F.when(F.coalesce("title", F.lit("")) == "", F.lit("No title available")).otherwise(F.col("title")), F.when(F.coalesce("title", F.lit("")) == "", none).otherwise(at("title")), pre, post),
+        "summary": mark_places(F.coalesce("summary", F.lit("")), at("summary"), pre, post),
+        "content": F.transform(F.slice(shown_pieces, 1, count), lambda y: F.trim(mark_places(y["p"], y["at"], pre, post))),
     }
     for name, default in (("main_category", "Uncategorized"), ("image_url", "")):
         given = F.col(name) if name in docs.columns else F.lit(None).cast("string")
         shown[name] = F.coalesce(F.nullif(given, F.lit("")), F.lit(default))
-    return found.withColumns(shown).drop(*[f"_found_{f}" for f in boosts])
+    # Ordered again: the join with the places forgets the order of the page.
+    order = [F.desc_nulls_last(options.get("date", "publish_ts")), F.desc("score")]
+    order = order if options.get("order", "date") == "date" else order[::-1]
+    return found.withColumns(shown).orderBy(*order, F.asc(doc_id)).drop(*[f"_at_{f}" for f in boosts])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.operators import pivot_pairs as pivots
 from newsloom.operators import trends as trend_ops
 from newsloom.operators import vector_graph as graph
 from newsloom.operators import vectors as op
@@ -128,6 +129,13 @@ def pairwise_similar(spark, sf):
     return op.pairwise_similar(article_vectors(spark, sf), 0.4).withColumn("similarity", F.round("similarity", 4))
 
 
+@query(PAIRS)
+def pairwise_similar_pivots(spark, sf):
+    """The same pairs from cells around pivots and the rows that visit them."""
+    found = pivots.pairwise_similar_pivots(article_vectors(spark, sf), 0.4, pivots=12, tile_rows=128)
+    return found.withColumn("similarity", F.round("similarity", 4))
+
+
 @query("SELECT 0::BIGINT AS false_hits, true AS recalled")
 def pairwise_similar_lsh(spark, sf):
     """Pairs found through hash buckets against the exact ones: true cosines, recall of at least 0.9."""
