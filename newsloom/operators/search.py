@@ -402,8 +402,12 @@ def in_order(index: SearchIndex, phrase: str, field: str) -> DataFrame:
     if not wanted:
         return index.postings.select("doc_id").limit(0)
     postings = index.postings.where((F.col("field") == field) & F.col("term").isin(sorted({w for _, w in wanted})))
+
     # Where the phrase would begin, by each of its words; all have to agree.
-    begins = [F.when(F.col("term") == w, F.transform("places", lambda p, i=i: F.struct(F.lit(i).alias("i"), (p - i).alias("at")))) for i, w in wanted]
+    def begin(i: int, w: str) -> Column:
+        return F.when(F.col("term") == w, F.transform("places", lambda p: F.struct(F.lit(i).alias("i"), (p - i).alias("at"))))
+
+    begins = [begin(i, w) for i, w in wanted]
     found = postings.select("doc_id", F.explode(F.flatten(F.filter(F.array(*begins), lambda x: x.isNotNull()))).alias("b"))
     return found.groupBy("doc_id", "b.at").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc_id").distinct()
 

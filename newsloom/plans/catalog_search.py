@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.operators import search as op
+from newsloom.operators import segments
 from newsloom.plans.catalog import query
 from newsloom.plans.catalog_serving import TS, stamp
 from newsloom.plans.fixtures import DOCS, search_docs
@@ -66,6 +67,47 @@ def search_index_upsert(spark, sf):
     return op.bm25_rank(index, ["replaced", "the"], "title").withColumn("score", F.round("score", 6))
 
 
+def _batches(spark, sf):
+    """An index of segments after a first load, four small batches that replace, add and remove documents, and with them merged or not."""
+    docs, number, path = search_docs(spark, sf), F.col("doc_id"), new_path(spark, "segments")
+    segments.add_segment(path, docs.where(number % 3 != 0), large=True)
+    segments.add_segment(path, docs.where(number % 3 == 0).withColumn("title", F.concat(F.lit("draft of "), "title")), removed=docs.where(number % 7 == 0).select("doc_id"))
+    segments.add_segment(path, docs.where(number % 5 == 0).withColumn("title", F.concat(F.lit("replaced "), "title")))
+    segments.add_segment(path, docs.where((number % 3 == 0) & (number % 5 != 0)))
+    segments.add_segment(path, docs.where("false"), removed=docs.where(number % 11 == 0).select("doc_id"))
+    return path
+
+
+_BATCHED = INDEX.replace("toks AS (", """changed AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN concat('replaced ', title) ELSE title END AS title) FROM docs
+  WHERE doc_id % 11 <> 0 AND (doc_id % 7 <> 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0)), toks AS (""").replace("FROM docs UNION", "FROM changed UNION").replace("FROM docs),\nterms", "FROM changed),\nterms")
+_BATCH_SCORES = f"""WITH {_BATCHED}, scored AS ({SCORED})
+SELECT doc_id, round(sum(points), 6) AS score FROM scored WHERE field = 'title' AND term IN ('replaced', 'draft', 'the') GROUP BY doc_id"""
+
+
+@query(_BATCH_SCORES)
+def search_segments(spark, sf):
+    """Titles ranked in an index of five segments."""
+    index = segments.read_segments(spark, _batches(spark, sf))
+    return op.bm25_rank(index, ["replaced", "draft", "the"], "title").withColumn("score", F.round("score", 6))
+
+
+@query(_BATCH_SCORES)
+def search_segments_compacted(spark, sf):
+    """The same after the small segments, and then all, were merged."""
+    path = _batches(spark, sf)
+    segments.compact(spark, path, fanout=2)
+    segments.compact(spark, path, everything=True)
+    index = segments.read_segments(spark, path)
+    return op.bm25_rank(index, ["replaced", "draft", "the"], "title").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {INDEX}, p AS (SELECT doc_id, list_position(ws, 'the') AS at, ws FROM toks WHERE field = 'content'),
+n AS (SELECT doc_id, unnest(range(1, len(ws))) AS i, ws FROM p) SELECT DISTINCT doc_id FROM n WHERE ws[i] = 'of' AND ws[i + 1] = 'the'""")
+def search_in_order(spark, sf):
+    """Documents with two words one behind the other."""
+    return op.in_order(_index(spark, sf), "of the", "content")
+
+
 @query(f"WITH {INDEX} SELECT (SELECT count(*) FROM docs) AS docs, count(*) AS postings, count(DISTINCT doc_id) AS indexed_docs FROM postings")
 def reindex_count(spark, sf):
     """Write a fresh index, read it, and compare its size with the table."""
