@@ -1,15 +1,16 @@
 """Full-text search: analysis, inverted index, BM25, multi-field matching, highlighting.
 
 The index is four tables: postings (term, field, doc_id, len, tf, places, first), the dictionary
-(term, field, df), the totals per field, and keys (key, term) for misspelt words. ``len`` is the length of
+(term, field, df, head), the totals per field, and keys (key, head) for misspelt words. ``len`` is the length of
 the field, carried along so that ranking needs no join with a length table; ``places`` are
 the numbers of the words in the field, by which matches are marked and word order is asked for. A
 query is matched against the dictionary, which is small, and only the postings of the matching
 terms are read.
 
 A text is analysed once: the words of a field are sorted and counted inside the row, so nothing is
-grouped across rows. Misspelt words are found by *deletion keys*: a word and a term that are at most two
-edits apart agree in some text that is left of each when up to two letters are removed.
+grouped across rows. Misspelt words are found by *deletion keys*: the first letters (heads) of a word and of a
+term that are at most two edits apart agree in something that is left when up to two letters of each
+are removed. A key leads to heads, a head to its terms, and only those are compared letter by letter.
 """
 
 from __future__ import annotations
@@ -106,39 +107,44 @@ def tokenize_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers:
     return per_field.select("doc_id", "f.field", F.size("f.words").alias("len"), F.explode("f.words").alias("term"))
 
 
-#: Letters that may be removed from a word, and the length from which a word is kept by its length instead.
-MOST_EDITS, LONG_WORD = 2, 24
+#: Letters that may be removed, and letters at the beginning of a word that are looked at.
+MOST_EDITS, HEAD = 2, 5
 
 
-def deletions(word: Column) -> Column:
-    """The deletion keys of a word: what is left of it when none, one or two letters are removed.
+def head(word: str | Column) -> Column:
+    return F.substring(col(word), 1, HEAD)
 
-    A long word would have too many; its key is its length, and all long words of nearly one length are compared.
-    """
+
+def deletions(word: Column) -> Column:
+    """What is left of a short text when none, one or two letters are removed."""
 
     def shorter(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
 
-    def all_keys(w: Column) -> Column:
-        return let(shorter(w), lambda once: F.array_distinct(F.concat(F.array(w), once, F.flatten(F.transform(F.filter(once, lambda x: x != ""), shorter)))))
-
-    return F.when(F.length(word) >= LONG_WORD, F.array(F.concat(F.lit("#"), F.length(word).cast("string")))).otherwise(let(word, all_keys))
+    return let(word, lambda w: let(shorter(w), lambda once: F.array_distinct(F.concat(F.array(w), once, F.flatten(F.transform(F.filter(once, lambda x: x != ""), shorter))))))
 
 
 def query_keys(word: str, edits: int) -> list[str]:
-    """The keys under which terms of at most so many edits from a query word are stored."""
-    keys = {"".join(c for i, c in enumerate(word) if i not in gone) for n in range(edits + 1) for gone in combinations(range(len(word)), n)} if len(word) < LONG_WORD + edits else set()
-    return sorted(keys | {f"#{n}" for n in range(max(LONG_WORD, len(word) - edits), len(word) + edits + 1)})
+    """The keys under which the heads of terms of at most so many edits from a query word are stored.
+
+    An alignment of two words with that many edits leaves their heads with something in common, if each may lose
+    as many letters: those edited, and at its end those the edits have pushed out of the other head.
+    """
+    short = word[:HEAD]
+    return sorted({"".join(c for i, c in enumerate(short) if i not in gone) for n in range(edits + 1) for gone in combinations(range(len(short)), min(n, len(short)))})
 
 
-def term_keys(terms: DataFrame) -> DataFrame:
-    """``key, term`` of every different term."""
-    return terms.select("term").distinct().select(F.explode(deletions(F.col("term"))).alias("key"), "term")
+def head_keys(terms: DataFrame) -> DataFrame:
+    """``key, head`` of every different head of the terms."""
+    return terms.select(head("term").alias("head")).distinct().select(F.explode(deletions(F.col("head"))).alias("key"), "head")
 
 
 @dataclass
 class SearchIndex:
-    """Plain tables that can be stored, and the analyzer of each field. Without ``keys`` misspelt words are looked for in the dictionary."""
+    """Plain tables that can be stored, and the analyzer of each field.
+
+    With ``keys`` the dictionary has the ``head`` of each term; without, misspelt words are looked for in all of it.
+    """
 
     postings: DataFrame
     dictionary: DataFrame
@@ -166,7 +172,11 @@ class SearchIndex:
         if self.keys is None or max(edits.values(), default=0) > MOST_EDITS:
             return None
         wanted = sorted({k for w, n in edits.items() for k in query_keys(w, n)})
-        return self.keys.where(F.col("key").isin(wanted)).select("term").distinct()
+        heads = self.keys.where(F.col("key").isin(wanted)).select("head").distinct()
+        few = heads.limit(MAX_PUSHED + 1).toArrow()
+        terms = self.dictionary.select("head", "term")
+        terms = terms.where(F.col("head").isin(sorted(few.column("head").to_pylist()))) if few.num_rows <= MAX_PUSHED else terms.join(heads, "head", "left_semi")
+        return terms.select("term").distinct()
 
 
 def search_index_build(
@@ -208,11 +218,11 @@ def write_index(index: SearchIndex, path: str) -> SearchIndex:
     )
     remove_aside(staged)
     postings = spark.read.schema(index.postings.schema).parquet(f"{path}/postings")
-    term_dictionary(postings).write.mode("overwrite").parquet(f"{path}/dictionary")
+    dictionary = term_dictionary(postings).withColumn("head", head("term"))
+    dictionary.repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{path}/dictionary")
     field_stats(postings).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    dictionary = spark.read.parquet(f"{path}/dictionary")
-    keys = term_keys(dictionary)
-    keys.repartitionByRange("key", "term").sortWithinPartitions("key", "term").write.mode("overwrite").parquet(f"{path}/keys")
+    keys = head_keys(spark.read.parquet(f"{path}/dictionary"))
+    keys.repartitionByRange("key", "head").sortWithinPartitions("key", "head").write.mode("overwrite").parquet(f"{path}/keys")
     return read_index(spark, path, index.analyzers)
 
 

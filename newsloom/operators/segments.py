@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators.search import MAX_PUSHED, SearchIndex, _variants, document_terms, term_keys
+from newsloom.operators.search import MAX_PUSHED, SearchIndex, _variants, document_terms, head, head_keys
 from newsloom.schema import FIELD_BOOSTS
 from newsloom.sources.sinks import delete_path, remove_aside, table_exists, write_aside
 
@@ -29,7 +29,7 @@ from newsloom.sources.sinks import delete_path, remove_aside, table_exists, writ
 FANOUT = 4
 #: Ids of a batch that go into the scan of the lengths at most; more of them are joined.
 MOST_IDS = 1000
-TABLES = ("postings", "lengths", "keys", "dead", "stats")
+TABLES = ("postings", "lengths", "terms", "keys", "dead", "stats")
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,9 @@ def _write_segment(spark: SparkSession, path: str, number: int, postings: DataFr
 
     sort(postings, "term", "field", "doc_id").write.mode("overwrite").parquet(at("postings"))
     sort(postings.where("first").select("doc_id", "field", "len"), "doc_id", "field").write.mode("overwrite").parquet(at("lengths"))
-    sort(term_keys(postings), "key", "term").write.mode("overwrite").parquet(at("keys"))
+    terms = postings.select("term").distinct().withColumn("head", head("term"))
+    sort(terms, "term").write.mode("overwrite").parquet(at("terms"))
+    sort(head_keys(terms), "key", "head").write.mode("overwrite").parquet(at("keys"))
     sort(dead.select("doc_id").distinct(), "doc_id").write.mode("overwrite").parquet(at("dead"))
     stats.coalesce(1).write.mode("overwrite").parquet(at("stats"))
     return spark.read.parquet(at("postings")).count()
@@ -172,14 +174,14 @@ def compact(spark: SparkSession, path: str, fanout: int = FANOUT, everything: bo
 
 @dataclass
 class SegmentIndex(SearchIndex):
-    """The living part of all segments, to be searched like an index of plain tables."""
+    """The living part of all segments, to be searched like an index of plain tables; its dictionary has terms and heads only."""
 
     def matching(self, terms_by_field: Mapping[str, Sequence[str]], fuzziness=None) -> DataFrame:
         """As in ``SearchIndex``; the terms are found among the keys, and counted from the postings that are read."""
         wanted = sorted({t for terms in terms_by_field.values() for t in terms})
         near = self.variants(wanted, fuzziness)
         if near is None:
-            near = self.keys.select("term").distinct()
+            near = self.dictionary.select("term").distinct()
         terms = near.limit(MAX_PUSHED + 1).toArrow()
         postings = self.postings.where(F.col("field").isin(list(terms_by_field)))
         few = terms.num_rows <= MAX_PUSHED
@@ -198,5 +200,5 @@ def read_segments(spark: SparkSession, path: str) -> SegmentIndex:
     postings = _living(spark, path, log, "postings")
     totals = _table(spark, path, "stats", numbers).groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
     stats = totals.where("docs > 0").select("field", "docs", (F.col("words") / F.col("docs")).alias("avg_len"))
-    dictionary = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
-    return SegmentIndex(postings, dictionary, stats, dict(log.analyzers), _table(spark, path, "keys", numbers).drop("seg"))
+    terms, keys = (_table(spark, path, name, numbers).drop("seg") for name in ("terms", "keys"))
+    return SegmentIndex(postings, terms, stats, dict(log.analyzers), keys)

@@ -84,13 +84,14 @@ def test_misspelt_words_are_looked_up_by_key(spark):
     pick = random.Random(4)
     words = ["".join(pick.choices("abc", k=pick.randint(1, 9))) for _ in range(300)] + ["x" * 23, "x" * 24, "x" * 25, "x" * 40]
     index = search.write_index(search.search_index_build(spark.createDataFrame(list(enumerate(words)), "doc_id long, title string"), fields=["title"]), new_path(spark, "test-keys"))
-    for asked in ("abcab", "ccbbaa", "x" * 24, "x" * 22, "x" * 26, "b", "aabbccaabb"):
+    for asked in ("abcab", "ccbbaa", "x" * 24, "x" * 22, "b", "aabbccaabb", "a", ""):
         for edits in (0, 1, 2):
             near = index.variants([asked], edits)
             found = {r.term for r in near.where(F.levenshtein("term", F.lit(asked)) <= edits).collect()}
             assert found == {w for w in words if _distance(w, asked) <= edits}, (asked, edits)
-    plan = index.variants(["abcab"], 1)._jdf.queryExecution().executedPlan().toString()
+    plan = index.keys.where(F.col("key").isin(search.query_keys("abcab", 1)))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(key" in plan
+    assert "PushedFilters: [In(head" in index.variants(["abcab"], 1)._jdf.queryExecution().executedPlan().toString()
 
 
 def _distance(a, b):
