@@ -381,12 +381,15 @@ def _finish(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     # Shingles of one row only come first, and are not joined: they are counted.
     place = F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count("*").over(own)
     ranked = each.join(seen, "g").withColumn("place", place)
-    prefix = ranked.where(f"lo <> hi AND place <= n - (({up} * n + {down - 1}) DIV {down}) + 1").select("g", "id", "label")
+    prefix = ranked.where(f"lo <> hi AND place <= n - (({up} * n + {down - 1}) DIV {down}) + 1").select("g", "id", "label", "n", "place")
     prefix = written(prefix.distinct(), "minhash-prefix")
     lists = prefix.groupBy("g").agg(F.count("*").alias("_n"), F.min("id").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     lists = written(lists.where("lo <> hi").drop("lo", "hi"), "minhash-lists")
-    few = prefix.join(lists.where(F.col("_n") <= CROWD), "g").select("g", "id", "label")
-    pairs = few.select("g", F.col("id").alias("a"), F.col("label").alias("la")).join(few.select("g", F.col("id").alias("b"), F.col("label").alias("lb")), "g")
+    few = prefix.join(lists.where(F.col("_n") <= CROWD), "g")
+    a, b = (few.select("g", F.col("id").alias(x), F.col("label").alias("l" + x), F.col("n").alias("n" + x), F.col("place").alias("p" + x)) for x in "ab")
+    # Sizes too far apart, or too little left behind the first shingle they share: no link. A link passes by its first one.
+    near = f"least(na, nb) * {down} >= greatest(na, nb) * {up} AND (1 + least(na - pa, nb - pb)) * {up + down} >= (na + nb) * {up}"
+    pairs = a.join(b, "g").where(near)
     pairs = written(pairs.where("a < b AND la <> lb").select("a", "b").distinct(), "minhash-pairs")
     good = _confirm(pairs, rows.select("id", "text"), threshold)
     many, held = lists.where(F.col("_n") > CROWD), [sets, prefix, lists, pairs]
