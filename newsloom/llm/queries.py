@@ -112,11 +112,12 @@ def op1_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     e AS (SELECT row_number() OVER () AS row, *, substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM n),
     k AS (SELECT row, 1 AS kind, text FROM e UNION ALL SELECT row, 2, edited FROM e UNION ALL SELECT row, 3, following FROM e),
     t AS (SELECT row, kind, list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
-                 list_transform(regexp_extract_all(p, '[^\\x20\\x09-\\x0D]{1,8}[\\x20\\x09\\x0B-\\x0D]*|[\\x20\\x09\\x0B-\\x0D]+'), lambda x: md5(x)))) AS leaves
+                 list_transform(regexp_extract_all(p, '(?:[^\\x20\\x09-\\x0D]{0,7}[^\\x20\\x09-\\x0Dnsy.,0369][\\x20\\x09\\x0B-\\x0D]+){0,3}[^\\x20\\x09-\\x0D]{1,8}[\\x20\\x09\\x0B-\\x0D]*|[\\x20\\x09\\x0B-\\x0D]+'), lambda x: md5(x)))) AS leaves
           FROM k),
     a AS (SELECT row, kind, flatten(flatten(leaves)) AS l, list_transform(leaves, lambda s: list_transform(s, lambda p: md5(coalesce(array_to_string(p, ''), '')))) AS p FROM t),
-    g AS (SELECT row, kind, unnest(list_transform(range(1, len(l) + 1), lambda i: substr(l[i], 1, 8) || coalesce(substr(l[i + 1], 1, 8), ''))) AS pair FROM a),
-    o AS (SELECT row, kind, substr(md5(pair || ':' || row_number() OVER (PARTITION BY row, kind, pair)), 1, 8) AS h FROM g),
+    g AS (SELECT row, kind, unnest(list_transform(l, lambda x: substr(x, 1, 8))) AS leaf FROM a),
+    i AS (SELECT *, row_number() OVER (PARTITION BY row, kind, leaf) AS n FROM g),
+    o AS (SELECT row, kind, CASE WHEN n = 1 THEN leaf ELSE substr(md5(leaf || ':' || n), 1, 8) END AS h FROM i),
     s AS (SELECT row, kind, list(DISTINCT h ORDER BY h)[:128] AS sketch FROM o GROUP BY row, kind),
     f AS (SELECT row, kind, coalesce(sketch, []) AS sketch, sha256(array_to_string(list_transform(p, lambda s: md5(array_to_string(s, ''))), '')) AS root,
                  array_to_string(list_transform(p, lambda s: array_to_string(list_transform(s, lambda x: substr(x, 1, 8)), '')), '/') AS short
