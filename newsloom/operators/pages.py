@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,8 @@ VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 def _character(reference: Column) -> Column:
     """The text of one reference ``&...;``; an unknown one stays as it is."""
     body = F.substring(reference, F.lit(2), F.length(reference) - 2)
-    named = F.get(F.array(*[F.lit(v) for v in NAMED.values()]), F.array_position(F.array(*[F.lit(k) for k in NAMED]), body).cast("int") - 1)
+    # One text literal, folded into a map when planning.
+    named = F.try_element_at(F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>"), body)
     digits = F.when(body.rlike("^#[xX]"), F.substring(body, F.lit(3), F.length(body))).otherwise(
         F.conv(F.substring(body, F.lit(2), F.length(body)), 10, 16)
     )
@@ -57,49 +59,67 @@ def _value(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, n) for n in (1, 2, 3)])
 
 
-def _meta(html: Column, name: str) -> Column:
-    """The content of the first meta tag of a name or property, plain text; NULL if there is none or it is blank."""
+def _meta_tags(html: Column) -> Column:
+    """``name, content`` of the meta tags in order, as they are written."""
     tags = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?:"[^"]*"|'[^']*'|[^"'>])*>"""), 0)
-    named = F.filter(tags, lambda t: (F.lower(_value(t, "(?:property|name)")) == name))
-    text = F.transform(F.slice(named, 1, 1), lambda t: collapse_whitespace(unescape(_value(t, "content"))))
-    return F.nullif(F.get(text, F.lit(0)), F.lit(""))
+    return F.transform(tags, lambda t: F.struct(F.lower(_value(t, "(?:property|name)")).alias("name"), _value(t, "content").alias("content")))
 
 
-def _first(html: Column, pattern: str) -> Column:
-    """The first group of the first match, plain text; NULL if there is none or it is blank."""
-    text = collapse_whitespace(unescape(F.regexp_replace(F.regexp_extract(html, pattern, 1), "<[^>]*>", " ")))
-    return F.nullif(text, F.lit(""))
+def _named(tags: Column, name: str) -> Column:
+    return F.filter(tags, lambda t: t["name"] == name)
 
 
-def paragraphs(html: str | Column) -> Column:
-    """The non-blank blocks of text inside <article>, or of the whole page if it has none."""
-    clean = F.regexp_replace(col(html), NOISE, " ")
+def _without_tags(text: Column) -> Column:
+    return F.regexp_replace(text, "<[^>]*>", " ")
+
+
+def _blocks(html: Column) -> Column:
+    """The blocks inside <article>, or of the whole page if it has none, without tags."""
+    clean = F.regexp_replace(html, NOISE, " ")
     article = F.regexp_extract(clean, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
     head_off = F.regexp_replace(clean, r"(?is)<head\b.*?</head>", " ")
     body = F.when(article != "", article).otherwise(head_off)
-    blocks = F.split(F.regexp_replace(body, BREAK, "␞"), "␞")
-    plain = F.transform(blocks, lambda b: collapse_whitespace(unescape(F.regexp_replace(b, "<[^>]*>", " "))))
-    return F.filter(plain, lambda b: b != "")
+    return F.split(_without_tags(F.regexp_replace(body, BREAK, "␞")), "␞")
+
+
+def _plain(texts: Column) -> Column:
+    """All texts decoded, white space collapsed. One place for all texts of a page, because decoding is a large expression."""
+    return F.transform(texts, lambda t: collapse_whitespace(unescape(t)))
+
+
+def paragraphs(html: str | Column) -> Column:
+    """The non-blank blocks of text inside <article>, or of the whole page if it has none."""
+    return F.filter(_plain(_blocks(col(html))), lambda b: b != "")
 
 
 def page_extract(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Article fields of every page, with the defaults the crawler writes for missing ones."""
     page = F.col(html)
     site = F.regexp_extract(F.col(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    content = F.array_join(paragraphs(page), "\n\n")
-    return df.select(
+    names = ["og:title", "author", "og:image", "article:published_time"]
+
+    def first(tags: Column) -> list[Column]:
+        """The content of the first meta tag of each name."""
+        return [F.get(F.transform(F.slice(_named(tags, n), 1, 1), lambda t: t["content"]), F.lit(0)) for n in names]
+
+    headings = [_without_tags(F.regexp_extract(page, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)) for t in ("title", "h1")]
+    raw = let(_meta_tags(page), lambda tags: F.concat(F.array(*first(tags), *headings), _blocks(page)))
+
+    def fields(texts: Column) -> Column:
+        og_title, author, image, published, title, h1 = (F.nullif(F.get(texts, F.lit(i)), F.lit("")) for i in range(len(names) + 2))
+        content = F.array_join(F.filter(F.slice(texts, len(names) + 3, F.size(texts)), lambda b: b != ""), "\n\n")
+        return F.struct(
+            F.coalesce(og_title, title, h1, F.lit("No title")).alias("title"), F.coalesce(author, F.lit("No author")).alias("author"),
+            F.coalesce(F.nullif(content, F.lit("")), F.lit("No content")).alias("content"), F.coalesce(image, F.lit("")).alias("image_url"), published.alias("publish_date"),
+        )
+
+    found = df.select(
         *[c for c in df.columns if c != html],
         F.coalesce(F.nullif(site, F.lit("")), F.lit("No source")).alias("src"),
-        F.coalesce(
-            _meta(page, "og:title"), _first(page, r"(?is)<title\b[^>]*>(.*?)</title>"),
-            _first(page, r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit("No title"),
-        ).alias("title"),
-        F.coalesce(_meta(page, "author"), F.lit("No author")).alias("author"),
-        F.coalesce(F.nullif(content, F.lit("")), F.lit("No content")).alias("content"),
-        F.coalesce(_meta(page, "og:image"), F.lit("")).alias("image_url"),
-        _meta(page, "article:published_time").alias("publish_date"),
+        let(_plain(raw), fields).alias("_page"),
         F.nullif(_value(F.regexp_extract(page, r"(?is)<html\b[^>]*>", 0), "lang"), F.lit("")).alias("language"),
     )
+    return found.select(*[c for c in df.columns if c != html], "src", "_page.*", "language")
 
 
 def page_links(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
