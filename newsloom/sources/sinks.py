@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from newsloom.operators.tables import upsert
 from newsloom.schema import ARTICLE_KEY
 from newsloom.session import new_path
+from newsloom.sources.key_index import file_names, files_to_open, index_files, indexed_files
 
 
 def with_ingest_columns(df: DataFrame, ingest_ts: str | Column) -> DataFrame:
@@ -99,20 +100,26 @@ def merge_into(
     names are all that comes to the driver. The new content is written aside first, so the
     table is never read while it is being replaced and a lost executor cannot lose rows.
     ``merge_schema`` is needed only when files of the table differ in their columns: it reads
-    every file footer.
+    every file footer. The keys of each file are kept in a Bloom filter beside the table
+    (``key_index``), so of a table that is merged into again and again a small batch opens only the
+    files that may hold its keys.
     """
     if not table_exists(spark, path):
         write_partitioned(source, path, by, max_records)
+        index_files(spark, path, read_like(spark, path, by, source), keys)
         return
     source = write_aside(source, "merge-source")
     target = read_like(spark, path, by, source, merge_schema)
     # The stored keys meet the batch in a semi-join: a small batch is broadcast, a larger one
     # filters them by its runtime filter, so they are not all shuffled.
-    known = target.select(*keys, *by).join(source.select(*keys), list(keys), "left_semi")
+    opened = files_to_open(spark, path, target, source, keys)
+    # Spark prunes the list of files by this filter, so no other file is opened.
+    known = target.where(F.col("_metadata.file_path").isin(opened)).select(*keys, *by).join(source.select(*keys), list(keys), "left_semi")
     if mode == "insert_new":
         fresh = write_aside(source.join(known.select(*keys), list(keys), "left_anti"), "merge-new")
         write_partitioned(fresh, path, by, max_records)
         remove_aside(fresh)
+        _index_new(spark, path, by, source, keys)
         remove_aside(source)
         return
     if mode != "upsert":
@@ -133,6 +140,7 @@ def merge_into(
     # A folder whose rows all moved elsewhere gets no new file, so it is dropped here.
     left = {row[0] for row in merged.select(_folder(by)).distinct().collect()}
     remove_aside(merged)
+    _index_new(spark, path, by, source, keys)
     remove_aside(source)
     for name, row in touched.items():
         if name not in left:
@@ -142,6 +150,15 @@ def merge_into(
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _index_new(spark: SparkSession, path: str, by: Sequence[str], source: DataFrame, keys: Sequence[str]) -> None:
+    """Filters for the files a merge has written, and for those of whoever wrote without."""
+    target = read_like(spark, path, by, source)
+    known = {r.file for r in indexed_files(spark, path).select("file").collect()}
+    fresh = sorted(file_names(target) - known)
+    if fresh:
+        index_files(spark, path, target.where(F.col("_metadata.file_path").isin(fresh)), keys)
+
+
 def remove_aside(df: DataFrame) -> None:
     """Delete the files of a table written aside that nothing reads any more."""
     spark = df.sparkSession
