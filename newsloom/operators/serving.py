@@ -30,6 +30,19 @@ def check_score(score: float) -> None:
         raise ValueError("score starts at 0")
 
 
+def request_fault(page: Column, size: Column, category: Column, score: Column, max_size: int = MAX_PAGE_SIZE, known: Sequence[str] = CATEGORIES) -> Column:
+    """What is wrong with a request, as a column over many of them: the first of 'page', 'size', 'category', 'score', or NULL.
+
+    The rules of ``check_page``, ``check_category`` and ``check_score``; a missing category or score is not asked for.
+    """
+    return (
+        F.when(F.coalesce(page < 1, F.lit(True)), "page")
+        .when(F.coalesce((size < 1) | (size > max_size), F.lit(True)), "size")
+        .when(category.isNotNull() & ~category.isin(list(known)), "category")
+        .when(score.isNotNull() & (score < 0), "score")
+    )
+
+
 def _page(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
     """One page and the total count. Only page * size rows per task are kept for the sort."""
     total = df.agg(F.count("*")).scalar()

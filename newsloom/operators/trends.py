@@ -113,15 +113,16 @@ def trend_assign(
 
 
 def analyze_articles(
-    spark: SparkSession, articles: Sequence[dict], trends: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = 0.5
+    spark: SparkSession, articles: Sequence[dict] | DataFrame, trends: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = 0.5
 ) -> DataFrame:
-    """Trend assignment for a list of articles (dicts with url, title and content) that is not in a table.
+    """Trend assignment for articles that have no embedding yet: a list of dicts (url, title, content) or a table of them with article_id.
 
     ``embed`` adds the embedding column; it has to be the one the trends were embedded with.
     """
-    rows = [(n, a.get("url"), a.get("title"), a.get("content")) for n, a in enumerate(articles)]
-    df = spark.createDataFrame(rows, "article_id bigint, url string, title string, content string")
-    return trend_assign(embed(df), trends, threshold).drop("embedding")
+    if not isinstance(articles, DataFrame):
+        rows = [(n, a.get("url"), a.get("title"), a.get("content")) for n, a in enumerate(articles)]
+        articles = spark.createDataFrame(rows, "article_id bigint, url string, title string, content string")
+    return trend_assign(embed(articles), trends, threshold).drop("embedding")
 
 
 def ensemble_vote(labels: Sequence[Column], scores: Sequence[Column]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import serving as op
 from newsloom.plans.catalog import query
-from newsloom.plans.fixtures import ARTICLES, articles
+from newsloom.plans.fixtures import ARTICLES, articles, table
 
 
 TS = "%Y-%m-%d %H:%M:%S.%f"
@@ -44,6 +44,20 @@ def articles_page(spark, sf):
     return op.articles_page(articles(spark, sf), 3, 20).select("article_id", "src", stamp("publish_ts").alias("publish_date"), "total")
 
 
+_ASKED = """asked AS (SELECT event_id, event_id % 5 - 1 AS page, CASE WHEN event_id % 53 = 0 THEN NULL ELSE event_id % 61 - 3 END AS size,
+  CASE event_type WHEN 'view' THEN 'Politics' WHEN 'click' THEN 'Science' WHEN 'signup' THEN 'Nonsense' END AS category, value - 20 AS score FROM events)"""
+
+
+@query(f"""WITH {_ASKED} SELECT event_id, CASE WHEN page < 1 THEN 'page' WHEN size IS NULL OR size NOT BETWEEN 1 AND 50 THEN 'size'
+  WHEN category = 'Nonsense' THEN 'category' WHEN score < 0 THEN 'score' END AS fault FROM asked""")
+def request_faults(spark, sf):
+    """Requests made of all events, each with the first of its parameters that is refused."""
+    e = table(spark, sf, "events")
+    category = F.when(F.col("event_type") == "view", "Politics").when(F.col("event_type") == "click", "Science").when(F.col("event_type") == "signup", "Nonsense")
+    size = F.when(F.col("event_id") % 53 != 0, F.col("event_id") % 61 - 3)
+    return e.select("event_id", op.request_fault(F.col("event_id") % 5 - 1, size, category, F.col("value") - 20).alias("fault"))
+
+
 @query(f"""WITH {ARTICLES}, f AS (SELECT * FROM articles WHERE publish_ts BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-03 00:00:00')
 SELECT article_id, strftime(publish_ts, '{TS}') AS publish_date, (SELECT count(*) FROM f) AS total
 FROM f ORDER BY publish_ts DESC, article_id LIMIT 10 OFFSET 10""")

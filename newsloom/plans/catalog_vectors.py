@@ -176,6 +176,29 @@ def trend_assign_tiled(spark, sf):
     return scored.select("article_id", "trend", _score("similarity_score"))
 
 
+_LETTERS = "etaoinshr"
+_COUNTED = "[" + ", ".join(f"(length(text) - length(replace(text, '{x}', '')))::DOUBLE" for x in _LETTERS) + "]"
+
+
+@query(f"""WITH {ARTICLES}, a AS (SELECT article_id, {_COUNTED.replace('text', "coalesce(content, '')")} AS embedding FROM articles),
+t AS (SELECT item_id AS trend_id, concat('item_', item_id) AS query, {_COUNTED} AS embedding FROM benchmark),
+c AS (SELECT a.article_id, t.trend_id, t.query, {COS.format('a.embedding', 't.embedding')} AS raw FROM a, t),
+s AS (SELECT *, CASE WHEN isnan(raw) THEN 0 ELSE raw END AS score FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY round(score, 9) DESC, trend_id) AS rn FROM s)
+SELECT article_id, CASE WHEN score >= 0.98 THEN query END AS trend, round(score, 4) AS similarity_score FROM r WHERE rn = 1""")
+def analyze_articles(spark, sf):
+    """All articles embedded on the way (counts of letters) and assigned to the benchmark texts as trends."""
+
+    def embed(df):
+        text = F.coalesce("content", F.lit(""))
+        return df.withColumn("embedding", F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS]))
+
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("trend_id"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("query"), F.col("text").alias("content"))
+    rows = articles(spark, sf).select("article_id", "url", "title", "content")
+    found = trend_ops.analyze_articles(spark, rows, embed(items).drop("content"), embed, 0.98)
+    return found.select("article_id", "trend", _score("similarity_score"))
+
+
 _SLICES = {m: f"[{start}:{start + n - 1}]" for m, (start, n) in MODELS.items()}
 _MODEL_SCORES = ", ".join(
     f"{COS.format(f'a.embedding{part}', f't.embedding{part}')} AS {m}" for m, part in _SLICES.items()
