@@ -83,8 +83,9 @@ def assemble(segments: list[bytes | pa.Array], rows: int) -> tuple[np.ndarray, n
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn_from: str = "assistant") -> DataFrame:
     """``conv_id, block, n_turns, formatted, loss_start, loss_end``: the formatted text of each conversation.
 
-    A conversation is one row, a long one several, numbered by ``block`` and to be read one after
-    another; turns are never cut. Turns stand in the order of their number, equal numbers by role
+    A conversation is one row, a long one several, to be read one after another in the order of
+    ``block`` (numbers may have gaps); turns are never cut. Turns are dealt by ranges of conversation and turn, so
+    a conversation that holds a large part of all turns is formatted by many tasks. Turns stand in the order of their number, equal numbers by role
     and text. A NULL role or text is empty, rows without conversation id are a conversation.
     """
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
@@ -92,7 +93,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"),
         text(role_col).alias("role"), text(text_col).alias("text"),
     )
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("part", F.spark_partition_id())
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, 0
@@ -102,7 +103,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 continue
             texts, roles = flat(piece.column("text"), pa.large_string()), flat(piece.column("role"), pa.large_string())
             raw, places = assemble([START, _escape_role(roles), b"\n", escape(texts), END], n)
-            ids = piece.column("conv_id").to_pylist()
+            ids, part = piece.column("conv_id").to_pylist(), piece.column("part")[0].as_py() << 32
             first = [i for i in range(n) if i == 0 or ids[i] != ids[i - 1]]
             ends = np.array(first[1:] + [n])
             block = block + 1 if last is not None and last == (ids[0],) else 0
@@ -116,7 +117,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             formatted = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[i] for i in first], pa.int64()), pa.array(blocks, pa.int64()),
+                    pa.array([ids[i] for i in first], pa.int64()), pa.array([part + b for b in blocks], pa.int64()),
                     pa.array(ends - np.array(first), pa.int32()), formatted, *spans,
                 ],
                 ["conv_id", "block", "n_turns", "formatted", "loss_start", "loss_end"],
@@ -136,12 +137,30 @@ def parse_turns(formatted: bytes) -> list[tuple[str, str]]:
 def digests(formatted: DataFrame) -> DataFrame:
     """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, read back from formatted conversations.
 
-    The turns come from parsing the formatted text, the loss text from its mask. Hashes run on
-    from block to block, so a conversation of any length passes through in constant memory.
+    The turns come from parsing the formatted text, the loss text from its mask; every block is parsed where it
+    lies. Only the hashes run on from block to block, in one task for a conversation, in constant memory.
     """
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "block")
 
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                rows = batch.slice(start, 64).to_pylist()
+                turns = [parse_turns(row["formatted"]) for row in rows]
+                masked = [[row["formatted"][a:b].decode() for a, b in zip(row["loss_start"], row["loss_end"], strict=True)] for row in rows]
+                loss = ["".join(unescape(pa.array(texts, pa.large_string())).to_pylist()) for texts in masked]
+                columns = {
+                    "conv_id": pa.array([r["conv_id"] for r in rows], pa.int64()), "block": pa.array([r["block"] for r in rows], pa.int64()),
+                    "n_turns": pa.array([len(t) for t in turns], pa.int64()),
+                    "turns": pa.array(["".join(f"{role}\n{text}\n" for role, text in t).encode() for t in turns], pa.binary()),
+                    "loss": pa.array([x.encode() for x in loss], pa.binary()), "loss_chars": pa.array([len(x) for x in loss], pa.int64()),
+                    "chars": pa.array([len(r["formatted"].decode()) for r in rows], pa.int64()),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    parsed = formatted.mapInArrow(parse, "conv_id long, block long, n_turns long, turns binary, loss binary, loss_chars long, chars long")
+    ordered = parsed.repartition("conv_id").sortWithinPartitions("conv_id", "block")
+
+    def run_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         now, state, done = None, None, []
@@ -161,18 +180,14 @@ def digests(formatted: DataFrame) -> DataFrame:
                 if now != (row["conv_id"],):
                     close()
                     now, state = (row["conv_id"],), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                data = row["formatted"]
-                for role, text in parse_turns(data):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                masked = [data[a:b].decode() for a, b in zip(row["loss_start"], row["loss_end"], strict=True)]
-                for text in unescape(pa.array(masked, pa.large_string())).to_pylist():
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-                state[4] += len(data.decode())
+                state[0] += row["n_turns"]
+                state[1].update(row["turns"])
+                state[2] += row["loss_chars"]
+                state[3].update(row["loss"])
+                state[4] += row["chars"]
             if len(done) >= 1000:
                 yield flush()
         close()
         yield flush()
 
-    return ordered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(run_on, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
