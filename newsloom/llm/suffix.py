@@ -31,6 +31,8 @@ from newsloom.llm.common import RollingHash, in_pieces, mix64, remove, text_byte
 
 LENGTH, GRAM, SHALLOW = 200, 32, 24
 CROWD = 32_768
+#: Runs of a k-gram from which it may count as hot.
+HOT = 4096
 
 
 def _runs(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -229,12 +231,21 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     if not 0 < gram <= length < 4096:
         raise ValueError("0 < gram <= length < 4096")
     runs = written(_run_rows(texts, length, gram), "suffix-runs")
-    known = runs.groupBy("h").count().where("count > 1").select("h")
+    counts = written(runs.groupBy("h").count().where("count > 1"), "suffix-known")
+    # K-grams with a large part of all runs: at most ten for each partition, so the list is small however many runs there are.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (counts.agg(F.sum("count")).first()[0] or 0) // (10 * parts)
+    hot = [r.h for r in counts.where(F.col("count") > max(share, HOT)).select("h").collect()]
+    known = counts.where(~F.col("h").isin(hot)).select("h") if hot else counts.select("h")
+    some = runs.join(known, "h", "left_semi")
+    # Those occur more than once for sure; they need no join, which would gather them.
+    some = some.unionByName(runs.where(F.col("h").isin(hot)).select(*some.columns)) if hot else some
     # Copies of one text count here and are one row from here on. Dealt anew behind the join, so that adaptive
     # execution may split a hot k-gram there.
-    some = runs.join(known, "h", "left_semi").repartition("ck", "h", "lo").groupBy("ck", "h", "fh", "lo", "n", "rel").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    some = some.repartition("ck", "h", "lo").groupBy("ck", "h", "fh", "lo", "n", "rel").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     some = written(some, "suffix-some")
     remove(runs)
+    remove(counts)
     sample = F.min(F.struct("ck", "lo", "id")).alias("at")
     variants = some.groupBy("h", "fh", "n", "rel").agg(F.sum("copies").alias("copies"), sample)
     variants = written(variants.select("h", "fh", "n", "rel", "copies", "at.*"), "suffix-variants")
