@@ -152,26 +152,34 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    from newsloom.llm.licenses import TEMPLATES
+    from newsloom.llm.licenses import TEMPLATES, anchors
 
-    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
-    grams = lambda text: (
-        f"list_distinct(list_transform(list_zip(string_split(trim(regexp_replace({text}, '[^a-z0-9]+', ' ', 'g')), ' '), "
-        f"string_split(trim(regexp_replace({text}, '[^a-z0-9]+', ' ', 'g')), ' ')[2:], true), lambda z: z[1] || ' ' || z[2]))"
+    quoted = {n: t.replace("'", "''") for n, t in TEMPLATES.items()}
+    rows = ", ".join(f"('{n}', '{t}')" for n, t in quoted.items())
+    places = ", ".join("('{}', '{}', '{}', {}, {})".format(n, *pair.split(" "), place, size) for n, (pair, place, size) in anchors(TEMPLATES).items())
+    plain = lambda text: (
+        f"trim(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
     )
-    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grams = lambda words: f"list_distinct(list_transform(list_zip({words}, {words}[2:], true), lambda z: z[1] || ' ' || z[2]))"
     return f"""
-    WITH t AS (SELECT name, {grams(low.format('text'))} AS g FROM (VALUES {rows}) v(name, text)),
-    u AS (SELECT row, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r]*\\n')), [text]))) AS unit
-          FROM (SELECT row_number() OVER () AS row, coalesce(text, '') AS text FROM documents)),
-    b AS (SELECT row, unit, {grams(low.format('unit'))} AS g FROM u),
+    WITH t AS (SELECT name, {grams("string_split(" + plain('text') + ", ' ')")} AS g FROM (VALUES {rows}) v(name, text)),
+    a AS (SELECT * FROM (VALUES {places}) v(name, a, b, place, size)),
+    d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    x AS (SELECT row, text, {plain('text')} AS p FROM d),
+    w AS (SELECT row, p, string_split(p, ' ') AS ws FROM x),
+    l AS (SELECT row, unnest(list_transform(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = a AND ws[i + 1] = b),
+                                            lambda i: array_to_string(ws[greatest(i - place, 1):greatest(i - place, 1) + size - 1], ' '))) AS unit
+          FROM w JOIN a ON contains(' ' || p || ' ', ' ' || a || ' ' || b || ' ')),
+    r AS (SELECT row, unnest(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r]*\\n')),
+                                         string_split(regexp_replace(text, '([.!?:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)))) AS unit FROM x),
+    u AS (SELECT row, {plain('unit')} AS unit FROM r UNION SELECT row, p FROM x UNION SELECT row, unit FROM l),
+    b AS (SELECT row, unit, {grams("string_split(unit, ' ')")} AS g FROM u),
     s AS (SELECT row, unit, name, (2 * len(list_intersect(b.g, t.g)))::DOUBLE / (len(b.g) + len(t.g)) AS dice
           FROM b JOIN t ON len(b.g) > 0 AND len(b.g) <= 4 * len(t.g)),
     h AS (SELECT row, unit, max(dice) AS dice FROM s WHERE dice >= 0.7 GROUP BY ALL),
     m AS (SELECT row, count(*) AS n, max(dice) AS dice FROM h GROUP BY row),
-    w AS (SELECT s.row, min(name) AS license FROM s JOIN m ON s.row = m.row AND s.dice = m.dice GROUP BY s.row)
-    SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_notices, w.license, m.dice
-    FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) d LEFT JOIN m ON d.row = m.row LEFT JOIN w ON d.row = w.row
+    f AS (SELECT s.row, min(name) AS license FROM s JOIN m ON s.row = m.row AND s.dice = m.dice GROUP BY s.row)
+    SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_notices, f.license, m.dice FROM d LEFT JOIN m ON d.row = m.row LEFT JOIN f ON d.row = f.row
     """
 
 

@@ -3,34 +3,73 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
-from newsloom.llm.licenses import TEMPLATES, plain_bigrams, scan
+from newsloom.llm.licenses import TEMPLATES, anchors, plain_bigrams, plain_words, scan
 from newsloom.llm.merkle import differing, edit_report, fingerprint, likeness, tree, with_next
 
 
+# Texts as they are found in files, written down without looking at the templates.
+FOUND = {
+    "MIT-permission": "/* Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated documentation files (the\n * \"Software\"), to deal in the Software without restriction, including\n * without limitation the rights to use, copy, modify, merge, publish,\n * distribute, sublicense, and/or sell copies of the Software, and to\n * permit persons to whom the Software is furnished to do so, subject to\n * the following conditions: */",
+    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "Apache-2.0": "Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0. See the LICENSE file for the full terms.",
+    "Proprietary-short": "All rights reserved.",
+    "MPL-2.0": "-- This Source Code Form is subject to the terms of the Mozilla Public\n-- License, v. 2.0.",
+    "ISC-text": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT": "this file is released under the MIT license, as all of them",
+    "CC-BY-SA-4.0": "Text licensed under CC BY-SA 4.0 unless noted",
+}
+
+
+def test_licenses_as_they_are_found(frame):
+    """Each alone, with a comment's stars, and in the middle of one long line and of a wrapped block."""
+    prose = "and some more words about nothing that go on and on for a while until the line ends somewhere "
+    rows, want = [], {}
+    for i, (name, text) in enumerate(FOUND.items()):
+        flat = " ".join(text.split())
+        wrapped = (prose + flat + " " + prose).split()
+        forms = [text, prose * 4 + flat + " " + prose * 4, "\n".join(" ".join(wrapped[k : k + 7]) for k in range(0, len(wrapped), 7))]
+        for k, form in enumerate(forms):
+            rows.append((10 * i + k, form, "s"))
+            want[10 * i + k] = name
+    rows.append((999, prose * 30, "s"))
+    got = {r.doc_id: r for r in scan(frame(rows)).collect()}
+    assert got[999].n_notices == 0 and got[999].license is None
+    for doc_id, name in want.items():
+        assert got[doc_id].n_notices > 0 and got[doc_id].license.startswith(re.sub("-(header|text|use|permission|grant|conditions|short)$", "", name)), (doc_id, name, got[doc_id])
+
+
 def test_licenses_of_chosen_texts(frame):
     rows = [
         (1, "Some prose.\nReleased under the MIT License.\nMore prose.", "s"), (2, "THIS WORK IS LICENSED, under the GNU General Public License (version 3)!", "s"),
-        (3, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files.\n\nOther text", "s"),
         (4, "nothing here", "s"), (5, "released under MIT", "s"), (6, "Released under the MIT License.\nReleased under the MIT License.", "s"),
     ]
     got = {r.doc_id: r for r in scan(frame(rows)).collect()}
-    assert [(got[i].n_notices, got[i].license, got[i].dice) for i in (1, 2, 4, 5)] == [(1, "MIT", 1.0), (1, "GPL-3.0", 1.0), (0, None, None), (0, None, None)]
-    assert (got[3].license, got[3].dice) == ("MIT-grant", 1.0) and (got[6].n_notices, got[6].license) == (2, "MIT")
+    assert [(got[i].license, got[i].dice) for i in (1, 2, 4, 5, 6)] == [("MIT", 1.0), ("GPL-3.0", 1.0), (None, None), (None, None), ("MIT", 1.0)]
+    assert got[1].n_notices == 1 and got[4].n_notices == got[5].n_notices == 0
 
 
 def test_licenses_against_plain_python(frame, odd_texts):
     rows = [(i, t, "s") for i, t in enumerate([*TEMPLATES.values(), "Licensed under CC BY-NC 4.0", "Licensed under CC 4.0 BY", "released under the BSD license", None])]
 
     def best(text):
-        a, found = set(plain_bigrams(text or "")), []
-        for name, template in TEMPLATES.items():
-            b = set(plain_bigrams(template))
-            dice = 2 * len(a & b) / (len(a) + len(b)) if a else 0
-            if dice >= 0.7:
-                found.append((-dice, name))
+        found = []
+        units = {" ".join(plain_words(u)) for u in (text or "").split("\n") + re.split(r"(?<=[.!?:])\s+", text or "") + [text or ""]}
+        whole = plain_words(text or "")
+        for pair, place, size in anchors(TEMPLATES).values():
+            units |= {" ".join(whole[max(0, i - place) :][:size]) for i in range(len(whole) - 1) if " ".join(whole[i : i + 2]) == pair}
+        for unit in units:
+            a = set(plain_bigrams(unit))
+            for name, template in TEMPLATES.items():
+                b = set(plain_bigrams(template))
+                dice = 2 * len(a & b) / (len(a) + len(b)) if a else 0
+                if dice >= 0.7:
+                    found.append((-dice, name))
         return min(found, default=(None, None))
 
     for r in scan(frame(rows)).collect():
