@@ -376,12 +376,12 @@ def _finish(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     up, down = threshold
     sets = written(_sets(rows), "minhash-sets")
     each = sets.select("id", "kind", "label", "n", F.explode("grams").alias("g"))
-    seen = each.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("df > 1")
+    seen = each.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     own = Window.partitionBy("id", "kind")
-    # Shingles of one row only come first, and are not joined: they are counted.
+    # Shingles of one label only come first in the order of all shingles, and are not joined: they are counted.
     place = F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count("*").over(own)
     ranked = each.join(seen, "g").withColumn("place", place)
-    prefix = ranked.where(f"lo <> hi AND place <= n - (({up} * n + {down - 1}) DIV {down}) + 1").select("g", "id", "label", "n", "place")
+    prefix = ranked.where(f"place <= n - (({up} * n + {down - 1}) DIV {down}) + 1").select("g", "id", "label", "n", "place")
     prefix = written(prefix.distinct(), "minhash-prefix")
     lists = prefix.groupBy("g").agg(F.count("*").alias("_n"), F.min("id").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     lists = written(lists.where("lo <> hi").drop("lo", "hi"), "minhash-lists")
