@@ -12,22 +12,23 @@ from newsloom.plans.fixtures import table
 from newsloom.session import new_path
 from newsloom.sources import articles as sources
 
-_FILES = 40
+# Pages of one array file, and the number of the file that is damaged.
+_PAGES, _DAMAGED = 25, 3
 
 
-@query(f"""SELECT CASE WHEN f = 3 THEN NULL ELSE concat('https://p.example.com/', page_id) END AS url,
-  CASE WHEN f = 3 THEN NULL ELSE md5(html) END AS content_md5, f = 3 AS damaged FROM (SELECT *, page_id % {_FILES} AS f FROM pages) WHERE f <> 3
-UNION ALL SELECT NULL, NULL, true WHERE EXISTS (SELECT 1 FROM pages WHERE page_id % {_FILES} = 3)""")
+@query(f"""SELECT CASE WHEN f = {_DAMAGED} THEN NULL ELSE concat('https://p.example.com/', page_id) END AS url,
+  CASE WHEN f = {_DAMAGED} THEN NULL ELSE md5(html) END AS content_md5, f = {_DAMAGED} AS damaged FROM (SELECT *, page_id // {_PAGES} AS f FROM pages) WHERE f <> {_DAMAGED}
+UNION ALL SELECT NULL, NULL, true WHERE EXISTS (SELECT 1 FROM pages WHERE page_id // {_PAGES} = {_DAMAGED})""")
 def json_arrays(spark, sf):
     """Files of one multi-line JSON array each, one of them cut off in the middle: its one record keeps the text of the file."""
     path = new_path(spark, "arrays")
     pages = table(spark, sf, "pages").select(
-        (F.col("page_id") % _FILES).alias("f"), F.concat(F.lit("https://p.example.com/"), F.col("page_id").cast("string")).alias("url"),
+        F.floor(F.col("page_id") / _PAGES).alias("f"), F.concat(F.lit("https://p.example.com/"), F.col("page_id").cast("string")).alias("url"),
         F.lit("s").alias("src"), F.col("html").alias("content"),
     )
     items = F.array_join(F.transform(F.collect_list(F.to_json(F.struct("url", "src", "content"))), lambda x: x), ",\n")
     files = pages.groupBy("f").agg(items.alias("body"))
-    value = F.when(F.col("f") == 3, F.concat(F.lit("[\n{\"url\": \"x\", "), F.substring("body", 1, 20))).otherwise(F.concat(F.lit("[\n"), "body", F.lit("\n]")))
+    value = F.when(F.col("f") == _DAMAGED, F.concat(F.lit("[\n{\"url\": \"x\", "), F.substring("body", 1, 20))).otherwise(F.concat(F.lit("[\n"), "body", F.lit("\n]")))
     files.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     read = sources.read_articles_json(spark, path)
     return read.select("url", F.md5("content").alias("content_md5"), F.col("_corrupt").isNotNull().alias("damaged"))

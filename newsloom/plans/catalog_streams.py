@@ -179,7 +179,7 @@ def medallion_run(spark, sf):
     root = new_path(spark, "lake")
     for slot in (0, 1):
         # Files of one JSON array each, as crawlers leave them.
-        arrays = raw.where(number % 2 == slot).groupBy((number % 64).alias("file")).agg(F.to_json(F.collect_list(F.struct("url", "src", "title", "content", "language", "publish_date", "categories"))).alias("value"))
+        arrays = raw.where(number % 2 == slot).groupBy(F.floor(number / 400).alias("file")).agg(F.to_json(F.collect_list(F.struct("url", "src", "title", "content", "language", "publish_date", "categories"))).alias("value"))
         arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/raw{slot}")
     for slot, stamp_, batch in ((1, "2024-02-01 11:00:00", "run-1"), (0, "2024-02-01 05:00:00", "run-2"), (0, "2024-02-01 05:00:00", "run-3")):
         paths = medallion.Paths.under(f"{root}/lake", f"{root}/raw{slot}")

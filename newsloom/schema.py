@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# ---- fixed values -------------------------------------------------------------------------
+
+# Stored formats: raw files, layers, messages.
+
 # Date parts are read as text: crawlers write "" for parts they could not parse, and with
 # integer fields one such value would flag every row of its file as corrupt.
 RAW_ARTICLE = T.StructType(
     [T.StructField("url", T.StringType(), False), T.StructField("src", T.StringType(), False)]
     + [
         T.StructField(name, T.StringType())
-        for name in (
-            "title language content image_url publish_date time timezone hour minute day month "
-            "month_number year weekday time_reading author"
-        ).split()
+        for name in [
+            "title", "language", "content", "image_url", "publish_date", "time", "timezone", "hour", "minute", "day", "month",
+            "month_number", "year", "weekday", "time_reading", "author",
+        ]
     ]
     + [T.StructField("categories", T.ArrayType(T.StringType())), T.StructField("_corrupt", T.StringType())]
 )
 
 INT_PARTS = ["hour", "minute", "day", "month_number", "year"]
 
+# The columns of the raw files in their order, then those the cleaning adds.
 SILVER_COLUMNS = [
     "url", "src", "title", "language", "content", "image_url", "publish_date", "time", "timezone",
     "hour", "minute", "day", "month", "month_number", "year", "weekday", "time_reading", "author",
@@ -62,8 +67,6 @@ RELATED_QUERIES = (
     "top:array<struct<query:string,value:string,extracted_value:int,link:string,serpapi_link:string>>>"
 )
 
-# ---- fixed values -------------------------------------------------------------------------
-
 # Text written by crawlers in place of a missing value.
 SENTINELS = {
     "title": ["No title"],
@@ -128,10 +131,10 @@ ZONE_OFFSETS = {
 MODEL_WEIGHTS = [0.25, 0.35, 0.40]
 
 # Stop words of the English analyzer.
-STOP_WORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then "
-    "there these they this to was will with"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their",
+    "then", "there", "these", "they", "this", "to", "was", "will", "with",
+]
 
 # Search field boosts and ranking constants.
 FIELD_BOOSTS = {"title": 3.0, "summary": 2.0, "content": 1.0}
