@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.operators import ranked
 from newsloom.operators import serving as op
 from newsloom.plans.catalog import query
 from newsloom.plans.fixtures import ARTICLES, articles, table
+from newsloom.session import new_path
 
 
 TS = "%Y-%m-%d %H:%M:%S.%f"
@@ -44,6 +46,17 @@ def articles_page(spark, sf):
     return op.articles_page(articles(spark, sf), 3, 20).select("article_id", "src", stamp("publish_ts").alias("publish_date"), "total")
 
 
+@query(f"""WITH {ARTICLES} SELECT article_id, src, strftime(publish_ts, '{TS}') AS publish_date, (SELECT count(*) FROM articles) AS total
+FROM articles ORDER BY publish_ts DESC, article_id LIMIT 20 OFFSET 180""")
+def articles_page_by_rank(spark, sf):
+    """Page ten of all articles, read from a table that is stored in the order of pages."""
+    path = new_path(spark, "ranked")
+    lean = articles(spark, sf).select("article_id", "src", "publish_ts")
+    ranked.write_ranked(lean, path, [F.desc_nulls_last("publish_ts"), F.asc("article_id")], part_rows=150)
+    page = ranked.ranked_page(spark, path, 10, 20)
+    return page.select("article_id", "src", stamp("publish_ts").alias("publish_date"), "total")
+
+
 _ASKED = """asked AS (SELECT event_id, event_id % 5 - 1 AS page, CASE WHEN event_id % 53 = 0 THEN NULL ELSE event_id % 61 - 3 END AS size,
   CASE event_type WHEN 'view' THEN 'Politics' WHEN 'click' THEN 'Science' WHEN 'signup' THEN 'Nonsense' END AS category, value - 20 AS score FROM events)"""
 
