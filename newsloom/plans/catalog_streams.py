@@ -188,3 +188,17 @@ def medallion_run(spark, sf):
     found = [spark.read.parquet(path).select(F.lit(name).alias("layer"), "url") for name, path in layers]
     found.append(spark.read.parquet(f"{paths.silver}_errors").select(F.col("problem").alias("layer"), "url"))
     return functools.reduce(lambda a, b: a.unionByName(b), found).groupBy("layer", "url").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT event_id, concat('w', event_id % 97) AS window_key, ts FROM events),
+last AS (SELECT window_key, max(ts) AS done FROM m WHERE event_id % 3 = 0 GROUP BY window_key),
+first AS (SELECT window_key, min(ts) AS ts FROM m WHERE event_id % 3 = 1 GROUP BY window_key)
+SELECT f.window_key, done IS NULL AS never FROM first f LEFT JOIN last l USING (window_key) WHERE done IS NULL OR f.ts >= done + INTERVAL 24 HOUR OR window_key IN ('w1', 'w2')""")
+def open_windows(spark, sf):
+    """Windows asked for by a third of all events, when those of another third are completed and two of them released."""
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("w"), (F.col("event_id") % 97).cast("string")).alias("window_key"), F.col("ts").cast("timestamp").alias("end_time"))
+    done = e.where("event_id % 3 = 0").groupBy("window_key").agg(F.max("end_time").alias("at"))
+    log = done.select("window_key", F.lit("completed").alias("state"), "at", F.lit("2024-06-01").cast("timestamp").alias("noted"), F.lit(2).alias("phase"))
+    freed = log.where("window_key IN ('w1', 'w2')").withColumns({"state": F.lit("released"), "noted": F.lit("2024-06-02").cast("timestamp"), "phase": F.lit(1)})
+    free = jobs.open_windows(e.where("event_id % 3 = 1"), log.unionByName(freed))
+    return free.join(done.select("window_key", "at"), "window_key", "left").select("window_key", F.col("at").isNull().alias("never"))

@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.functions.dates import local_time, slot_start
+from newsloom.operators.tables import first_per_key
 from newsloom.operators.trends import trend_assign, trending_rows
 from newsloom.schema import RAW_ARTICLE, SLOT_ZONE, UPDATE_MESSAGE
-from newsloom.sources.sinks import merge_into, with_ingest_columns
+from newsloom.sources.sinks import merge_into, remove_aside, table_exists, with_ingest_columns, write_aside
 
 
 def article_stream(
@@ -153,6 +154,55 @@ def score_batches(
     return run_batches(once_per_window(windows, "batch_id", event_time, ttl), checkpoint, handle)
 
 
+CLAIM = "window_key string, state string, at timestamp, noted timestamp, phase int"
+
+
+def open_windows(windows: DataFrame, claims: DataFrame, lock: str = "1 hour", completion: str = "24 hours", key: str = "window_key", event_time: str = "end_time") -> DataFrame:
+    """The windows that may be handled, one row each: neither claimed within ``lock`` nor completed within ``completion`` of their event time.
+
+    ``claims`` is the log of ``CLAIM`` rows; the latest row of a window says its state, and a released window is free.
+    """
+    latest = first_per_key(claims, ["window_key"], [F.desc("noted"), F.desc("phase")]).select(F.col("window_key").alias("_key"), "state", "at")
+    asked = first_per_key(windows.where(F.col(key).isNotNull()), [key], [F.asc(event_time)])
+    known = asked.join(latest, F.col(key) == F.col("_key"), "left")
+    held = ((F.col("state") == "claimed") & (F.col(event_time) < F.col("at") + F.expr(f"INTERVAL {lock}"))) | (
+        (F.col("state") == "completed") & (F.col(event_time) < F.col("at") + F.expr(f"INTERVAL {completion}"))
+    )
+    return known.where(~F.coalesce(held, F.lit(False))).drop("_key", "state", "at")
+
+
+def handle_windows(
+    windows: DataFrame, path: str, checkpoint: str, handle: Callable[[DataFrame, int], None], lock: str = "1 hour", completion: str = "24 hours",
+    key: str = "window_key", event_time: str = "end_time",
+) -> StreamingQuery:
+    """Handle each announced window once, with two lifetimes: a claim that lasts ``lock``, a completion that lasts ``completion``.
+
+    Claims are a log of small rows under ``path``, so several streams (and a restarted one) see them. The windows of
+    a micro-batch are claimed before ``handle`` gets them and completed after; if it fails they are
+    released and the query fails, so the next run handles them again.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        claims = spark.read.schema(CLAIM).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], CLAIM)
+        free = write_aside(open_windows(batch, claims, lock, completion, key, event_time), "windows")
+
+        def note(state: str, phase: int) -> None:
+            rows = free.select(F.col(key).cast("string").alias("window_key"), F.lit(state).alias("state"), F.col(event_time).cast("timestamp").alias("at"))
+            rows.withColumns({"noted": F.current_timestamp(), "phase": F.lit(phase)}).coalesce(1).write.mode("append").parquet(path)
+
+        note("claimed", 0)
+        try:
+            handle(free, number)
+        except Exception:
+            note("released", 1)
+            raise
+        note("completed", 2)
+        remove_aside(free)
+
+    return run_batches(windows, checkpoint, run)
+
+
 def slot_counts(df: DataFrame, ts: str, zone: str = SLOT_ZONE) -> DataFrame:
     """Rows per hour and processing slot (slots are uneven, so the hour is the window).
 
