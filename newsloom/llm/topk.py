@@ -8,8 +8,8 @@ shared: each query is first searched in one shard, its home, and starts every ot
 k-th score found there. A bound equal to the k-th score is still visited, because ties go to the
 smaller id.
 
-Scores are whole numbers: components are ``floor(scale * x)``, products are summed in doubles,
-which are exact below 2**53 (checked), and the bounds get a relative margin of 1e-9.
+Scores are whole numbers: components are ``floor(scale * x)``, products are summed in doubles where those are
+exact (sums below 2**53), else in 64-bit integers, and the bounds get a relative margin of 1e-9.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from newsloom.llm.common import flat, written
 
 LEAF, SHARD_ROWS, BLOCK_ROWS = 256, 16_384, 1_024
+#: Less than any score.
+NONE = -(2**63 - 1)
 HITS = T.StructType().add("query_id", "long").add("vec_id", "long").add("score", "long")
 
 
@@ -45,7 +47,7 @@ class BallTree:
         self.nodes: list[tuple[int, int, int, int]] = []  # first row, end, left child, right child
         self.centres, self.radii = [], []
         self._grow(points, 0, len(points), leaf)
-        self.points = points[self.order]
+        self.points, self.width, self.largest = points[self.order], points.shape[1], float(np.abs(points).max(initial=1.0))
         self.centres, self.radii = np.array(self.centres), np.array(self.radii)
 
     def _grow(self, points: np.ndarray, lo: int, hi: int, leaf: int) -> int:
@@ -69,9 +71,17 @@ class BallTree:
 
 
 def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids (queries x k) of the best rows of a tree, unfilled places have score -inf; ``floor`` is the shared k-th score."""
+    """Scores and ids (queries x k) of the best rows of a tree, unfilled places have score NONE; ``floor`` is the shared k-th score.
+
+    Products are summed in doubles if those are exact for the largest components, else in integers.
+    """
     names = ids[tree.order]
-    best = np.full((len(queries), k), -np.inf)
+    largest = tree.largest * np.abs(queries).max(initial=1.0) * max(1, tree.width)
+    if largest >= 2**63:
+        raise ValueError("a score would not fit into 64 bits")
+    kind = np.float64 if largest < 2**53 else np.int64
+    whole = queries.astype(kind, copy=False)
+    best = np.full((len(queries), k), NONE, np.int64)
     found = np.full((len(queries), k), np.iinfo(np.int64).max)
     length = np.linalg.norm(queries, axis=1)
     bounds = queries @ tree.centres.T + length[:, None] * tree.radii
@@ -80,13 +90,13 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     while heap:
         _, node, active = heapq.heappop(heap)
         lo, hi, left, right = tree.nodes[node]
-        limit = np.maximum(best[active, k - 1], floor[active])
+        limit = np.maximum(best[active, k - 1].astype(float), floor[active])
         active = active[bounds[active, node] >= limit]
         if not len(active):
             continue
         if left < 0:
-            score = queries[active] @ tree.points[lo:hi].T
-            score[query_ids[active][:, None] == names[lo:hi]] = -np.inf
+            score = (whole[active] @ tree.points[lo:hi].astype(kind, copy=False).T).astype(np.int64)
+            score[query_ids[active][:, None] == names[lo:hi]] = NONE
             score = np.concatenate([best[active], score], axis=1)
             label = np.concatenate([found[active], np.broadcast_to(names[lo:hi], (len(active), hi - lo))], axis=1)
             # The k best with ties to the smaller id: narrow down by score, then order what is left.
@@ -114,12 +124,10 @@ def _search_tables(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         matrix, wanted = _matrix(points.column("vector"), points.num_rows), _matrix(queries.column("vector"), queries.num_rows)
         if matrix.shape[1] != wanted.shape[1]:
             raise ValueError("vectors of different lengths")
-        if matrix.size and wanted.size and np.abs(matrix).max() * np.abs(wanted).max() * matrix.shape[1] >= 2**53:
-            raise ValueError("components too large for exact sums of doubles")
         ids, query_ids = points.column("vec_id").to_numpy(zero_copy_only=False), queries.column("query_id").to_numpy(zero_copy_only=False)
         best, found = search(BallTree(matrix), ids, wanted, query_ids, queries.column("floor").to_numpy(zero_copy_only=False), k)
-        row, place = np.nonzero(np.isfinite(best))
-        return pa.table({"query_id": query_ids[row], "vec_id": found[row, place], "score": best[row, place].astype(np.int64)})
+        row, place = np.nonzero(best > NONE)
+        return pa.table({"query_id": query_ids[row], "vec_id": found[row, place], "score": best[row, place]})
 
     return run
 
@@ -131,7 +139,7 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     from 1, with fewer than k others all are returned. Rows whose vector is NULL or holds a NULL or
     non-finite number take no part, nor do rows without id. An id that comes twice is one query and
     one candidate for each of its different vectors; a query is never its own candidate. Vectors
-    of different lengths are an error.
+    of different lengths are an error, and so are components whose scores might not fit into 64 bits.
     """
     rows = whole_vectors(table, id_col, vector_col, scale).where("vec_id IS NOT NULL").distinct()
     rows = written(rows.select("*", F.xxhash64("vec_id").alias("code")), "vectors")

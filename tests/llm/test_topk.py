@@ -69,3 +69,14 @@ def test_the_tree_leaves_parts_out():
 def test_lengths_must_agree(spark):
     with pytest.raises(Exception, match="different lengths|cannot reshape"):
         check(spark, [(50, [1.0, 2.0]), (51, [1.0])])
+
+
+def test_large_components(spark, monkeypatch):
+    """Sums beyond 2**53 are exact, sums beyond 64 bits an error."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
+    monkeypatch.setattr(topk, "LEAF", 16)
+    rng = np.random.default_rng(7)
+    check(spark, [(i, (rng.normal(size=6) * 1e6).astype(np.float32).tolist()) for i in range(300)], every=10)
+    check(spark, [(i, [1.5e6 + (i % 2), 1e6, -2e6]) for i in range(250)], every=25)
+    with pytest.raises(Exception, match="64 bits"):
+        check(spark, [(50, [1e9, 1e9]), (51, [1e9, 1e9])])
