@@ -76,6 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents of a folder: ``doc_id, source, n_tokens, ids, decoded_sha256`` of what is left.
+
+    NULL texts, sources and ids pass through every stage as they are described there; an empty table
+    gives no rows, and columns the documents have beside the usual ones are carried up to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
