@@ -156,3 +156,30 @@ def test_words_that_polynomial_hashes_confuse(frame):
     rows = [(2 * k + side, word[: 1 << k].translate(str.maketrans("ab", "ba" if side else "ab")), "s") for k in range(5, 13) for side in (0, 1)]
     got = near_duplicates(frame(rows)).collect()
     assert len(got) == len(rows) and all(r.component_id == r.doc_id and r.kept for r in got)
+
+
+def test_op2_on_the_given_documents(spark, sf_dir):
+    """The registered query at 0.85 against all pairs of shingle sets that share a shingle."""
+    from newsloom.llm.queries import QUERIES
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    sets, holders, parent = {i: shingle_set(t) for i, t in rows}, {}, {i: i for i, _ in rows}
+    for i, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(i)
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    shared = {}
+    for own in holders.values():
+        for pair in itertools.combinations(own, 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    for (i, j), both in shared.items():
+        if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    got = QUERIES["op2_minhash"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}

@@ -78,3 +78,13 @@ def test_risk_stays_non_negative():
     rows[::2, 1] = 1
     weights, bias = fit(rows, np.arange(400) < 50, 20 / 350)
     assert weights[0] + bias > 0 and bias < 0 and abs(weights[1]) < abs(weights[0]) / 3
+
+
+def test_held_out_accuracy_on_the_given_labels(spark):
+    """Of the held-out documents of the larger table: toxic ones stand above others, most are caught, few others are."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op4_toxicity"](spark, sf_dir).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    truth, scores = np.array([labels[r.doc_id] for r in rows]), np.array([r.score for r in rows])
+    assert ranking(scores, truth) > 0.9
+    assert (scores[truth == 1] >= 0.5).mean() > 0.8 and (scores[truth == 0] >= 0.5).mean() < 0.05
