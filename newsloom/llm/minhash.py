@@ -374,14 +374,16 @@ def _finish(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     common. Shingles that all rows of one label only have are left out.
     """
     up, down = threshold
-    sets = written(_sets(rows), "minhash-sets")
-    each = sets.select("id", "kind", "label", "n", F.explode("grams").alias("g"))
-    seen = each.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    own = Window.partitionBy("id", "kind")
+    # Rows are named by one number from here on, so that what travels with each shingle is small.
+    sets = written(_sets(rows).withColumn("row", F.monotonically_increasing_id()), "minhash-sets")
+    seen = sets.select("label", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    own = Window.partitionBy("row")
+    ranked = sets.select("row", F.explode("grams").alias("g")).join(seen.where("lo <> hi").select("g", "df"), "g")
+    ranked = ranked.select("row", "g", F.row_number().over(own.orderBy("df", "g")).alias("turn"), F.count("*").over(own).alias("useful"))
     # Shingles of one label only come first in the order of all shingles, and are not joined: they are counted.
-    place = F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count("*").over(own)
-    ranked = each.join(seen, "g").withColumn("place", place)
-    prefix = ranked.where(f"place <= n - (({up} * n + {down - 1}) DIV {down}) + 1").select("g", "id", "label", "n", "place")
+    place = F.col("turn") + F.col("n") - F.col("useful")
+    prefix = ranked.join(sets.select("row", "id", "label", "n"), "row").withColumn("place", place)
+    prefix = prefix.where(f"place <= n - (({up} * n + {down - 1}) DIV {down}) + 1").select("g", "id", "label", "n", "place")
     prefix = written(prefix.distinct(), "minhash-prefix")
     lists = prefix.groupBy("g").agg(F.count("*").alias("_n"), F.min("id").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     lists = written(lists.where("lo <> hi").drop("lo", "hi"), "minhash-lists")
