@@ -12,6 +12,7 @@ row: no shuffle, and no unit is ever moved.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -133,6 +134,25 @@ def anchors(templates: dict[str, str]) -> dict[str, tuple[str, int, int]]:
     return {name: (p, pairs[name].index(p), len(pairs[name]) + 1) for name, p in chosen.items()}
 
 
+def cues(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which a text has at least one, if any unit of it reaches the threshold with any template.
+
+    Such a unit shares at least ``t / (2 - t)`` of a template's bigrams, so it has one of any choice of more than the
+    rest of them; that many bigrams are chosen by the longest words that they hold.
+    """
+    out: set[str] = set()
+    for text in templates.values():
+        grams = {tuple(g.split(" ")) for g in plain_bigrams(text)}
+        spare = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
+        for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+            if len(grams) == 0 or spare < 0:
+                break
+            hit = {g for g in grams if word in g}
+            out.add(word)
+            grams, spare = grams - hit, spare - len(hit)
+    return sorted(out)
+
+
 def _once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.transform(F.array(value), use)[0]
@@ -197,7 +217,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     sentences = F.split(F.regexp_replace(text, r"([.!?:])[ \t\r\n]+", "$1\u0001"), "\u0001")
     raw = F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), sentences)
     plain = F.transform(F.array_distinct(raw), normalised)
-    units = _once(normalised(text), lambda whole: F.array_distinct(F.concat(plain, F.array(whole), windows(whole, templates))))
+    # Most texts have no word that every match needs one of: nothing of them is compared.
+    some = F.array(*[F.lit(w) for w in cues(templates, threshold)])
+    units = _once(normalised(text), lambda whole: F.when(
+        F.arrays_overlap(F.split(whole, " "), some), F.array_distinct(F.concat(plain, F.array(whole), windows(whole, templates)))
+    ).otherwise(F.array().cast("array<string>")))
     hits = F.filter(F.transform(units, best), lambda h: h["dice"] >= threshold)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), hits.alias("hits"))
     top = F.array_max("hits")
