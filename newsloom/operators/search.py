@@ -16,11 +16,13 @@ are removed. A key leads to heads, a head to its terms, and only those are compa
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,33 +72,63 @@ def _placed(f: str, analyzer: str) -> tuple[Column, Column]:
     return _stems(F.transform(kept, lambda x: x["w"])), F.transform(kept, lambda x: x["i"])
 
 
+#: Words that are counted at a time, about; a longer text is counted whole.
+COUNTED_WORDS = 1 << 18
+
+
+def _counted(words: pa.ListArray, places: pa.ListArray | None) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of each row the different words in order: the row of each, and ``term, len, tf, places, first``."""
+    sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
+    flat = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) if places is None else places.flatten().to_numpy()
+    by_word = pc.sort_indices(flat.dictionary).to_numpy()
+    rank = np.empty(len(by_word), np.int64)
+    rank[by_word] = np.arange(len(by_word))
+    # Words of a row come in order of place, so a stable sort by row and word leaves the places sorted.
+    key = row * max(1, len(rank)) + rank[flat.indices.to_numpy()]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    of = row[order[start]]
+    ends = np.r_[start, len(key)].astype(np.int32)
+    first = np.r_[True, of[1:] != of[:-1]][: len(of)]
+    return of, [
+        flat.dictionary.take(flat.indices.take(pa.array(order[start]))), pa.array(sizes[of], pa.int32()), pa.array(np.diff(ends), pa.int64()),
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order], pa.int32())), pa.array(first),
+    ]
+
+
 def document_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers: Mapping[str, str] | None = None) -> DataFrame:
     """One row per document, field and term: ``term, field, doc_id, len, tf, places``, and whether it is the ``first`` term of the field. No shuffle; NULL and empty fields have none."""
     analyzers = analyzers or {}
-    arrays = [_placed(f, analyzers.get(f, STANDARD)) for f in fields]
-    rows = df.select(F.col(doc_id).alias("doc_id"), *[c.alias(f"_{n}{i}") for i, pair in enumerate(arrays) for n, c in zip("wp", pair, strict=True)])
-
-    def counted(pairs: Column) -> Column:
-        first = F.filter(
-            F.transform(pairs, lambda x, i: F.when((i == 0) | (x["w"] != F.get(pairs, i - 1)["w"]), i)), lambda i: i.isNotNull()
-        )
-        return let(first, lambda starts: F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: let(
-            F.slice(pairs, a + 1, F.coalesce(b, F.size(pairs)) - a),
-            lambda run: F.struct(
-                F.get(run, 0)["w"].alias("term"), F.size(run).cast("long").alias("tf"), F.transform(run, lambda x: x["i"]).alias("places"), (a == 0).alias("first")
-            ),
-        )))
-
-    def entry(i: int, f: str) -> Column:
-        pairs = F.zip_with(f"_w{i}", f"_p{i}", lambda w, p: F.struct(w.alias("w"), p.alias("i")))
-        # An empty field has the one place 0 of an empty sequence turned round, and no word.
-        pairs = F.array_sort(F.filter(pairs, lambda x: x["w"].isNotNull()))
-        return F.struct(F.lit(f).alias("field"), F.size(f"_w{i}").alias("len"), let(pairs, counted).alias("terms"))
-
-    per_field = rows.select("doc_id", F.explode(F.array(*[entry(i, f) for i, f in enumerate(fields)])).alias("f"))
-    return per_field.select("doc_id", "f.field", "f.len", F.explode("f.terms").alias("t")).select(
-        "t.term", "field", "doc_id", "len", "t.tf", "t.places", "t.first"
-    )
+    placed = [_placed(f, analyzers.get(f, STANDARD)) for f in fields]
+    # Without stop words a word's place is its number in the array, which need not travel.
+    numbered = [analyzers.get(f, STANDARD) != ENGLISH for f in fields]
+    columns = [c.alias(f"_{n}{i}") for i, pair in enumerate(placed) for n, c in zip("wp", pair, strict=True) if n == "w" or not numbered[i]]
+    rows = df.select(F.col(doc_id).alias("doc_id"), *columns)
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("field", T.StringType()), rows.schema["doc_id"], T.StructField("len", T.IntegerType()),
+        T.StructField("tf", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("first", T.BooleanType()),
+    ])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id")
+            for i, f in enumerate(fields):
+                words = batch.column(f"_w{i}")
+                places = None if numbered[i] else batch.column(f"_p{i}")
+                share = words.offsets.to_numpy()
+                cuts = np.flatnonzero(np.diff((share - share[0]) // COUNTED_WORDS)) + 1
+                for a, b in pairwise(np.unique(np.r_[0, cuts, len(words)])):
+                    of, (term, size, tf, at, first) = _counted(words[a:b], None if places is None else places[a:b])
+                    if len(of):
+                        field = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(of), np.int8)), pa.array([f])).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([term, field, ids.take(pa.array(of + a)), size, tf, at, first], schema.names)
+
+    return rows.mapInArrow(count, schema)
 
 
 def tokenize_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers: Mapping[str, str] | None = None) -> DataFrame:
@@ -136,7 +168,10 @@ def query_keys(word: str, edits: int) -> list[str]:
 
 def head_keys(terms: DataFrame) -> DataFrame:
     """``key, head`` of every different head of the terms."""
-    return terms.select(head("term").alias("head")).distinct().select(F.explode(deletions(F.col("head"))).alias("key"), "head")
+    # Spelled out for the few letters of a head, which is compiled; a place beyond the end of a short head removes nothing.
+    kept = [[i for i in range(1, HEAD + 1) if i not in gone] for n in range(MOST_EDITS + 1) for gone in combinations(range(1, HEAD + 1), n)]
+    keys = F.array(*[F.concat(*[F.substring("head", i, 1) for i in places]) for places in kept])
+    return terms.select(head("term").alias("head")).distinct().select(F.explode(F.array_distinct(keys)).alias("key"), "head")
 
 
 @dataclass
@@ -201,6 +236,17 @@ def field_stats(postings: DataFrame) -> DataFrame:
     return postings.where("first").groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
 
 
+#: Postings that one task sorts into a file, about; fewer of them are dealt to the cores, down to SMALL_ROWS a file.
+FILE_ROWS, SMALL_ROWS = 1 << 20, 1 << 16
+
+
+def sorted_ranges(stored: DataFrame, *by: str) -> DataFrame:
+    """A stored table sorted by ranges; their number follows its rows, so that a task's share does not grow with the table."""
+    rows, cores = stored.count(), stored.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-rows // FILE_ROWS), min(cores, -(-rows // SMALL_ROWS)))
+    return stored.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+
+
 def write_index(index: SearchIndex, path: str) -> SearchIndex:
     """Store the index and return the stored one.
 
@@ -211,11 +257,7 @@ def write_index(index: SearchIndex, path: str) -> SearchIndex:
     """
     spark = index.postings.sparkSession
     staged = write_aside(index.postings, "postings")
-    (
-        staged.repartitionByRange("term", "field", "doc_id")
-        .sortWithinPartitions("term", "field", "doc_id")
-        .write.mode("overwrite").parquet(f"{path}/postings")
-    )
+    sorted_ranges(staged, "term", "field", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     remove_aside(staged)
     postings = spark.read.schema(index.postings.schema).parquet(f"{path}/postings")
     dictionary = term_dictionary(postings).withColumn("head", head("term"))

@@ -118,3 +118,28 @@ def test_fragments_keep_runs_without_white_space(spark):
     pieces = spark.createDataFrame([("dog " + run + " cat end",)], "t string").select(op.fragments("t", ["cat"], size=150, count=5)).first()[0]
     assert len(pieces) >= 2 and "<strong>cat</strong> end" in pieces[-1]
     assert sum(p.count("<strong>cat</strong>") for p in pieces) == 2
+
+
+def test_files_of_a_stored_index_stay_of_one_size(spark, monkeypatch):
+    monkeypatch.setattr(op, "FILE_ROWS", 300)
+    docs = spark.createDataFrame([(i, f"the word{i}", None, "the the end") for i in range(500)], "doc_id long, title string, summary string, content string")
+    stored = op.write_index(op.search_index_build(docs), new_path(spark, "test-index")).postings
+    sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= 6 and max(sizes) < 600
+
+
+def test_words_are_counted_inside_a_row(spark, monkeypatch):
+    rows = [(1, "b a b", "", None), (1, "b", "É é", "x"), (None, None, "the running the", "Ǆ 日本")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, summary string, content string")
+    found = op.document_terms(docs, "doc_id", ["title", "summary", "content"], {"summary": op.ENGLISH}).collect()
+    assert sorted((r.doc_id or 0, r.field, r.term, r.len, r.tf, tuple(r.places), r.first) for r in found) == sorted([
+        (1, "title", "a", 3, 1, (1,), True), (1, "title", "b", 3, 2, (0, 2), False), (1, "title", "b", 1, 1, (0,), True), (1, "summary", "é", 2, 2, (0, 1), True),
+        (1, "content", "x", 1, 1, (0,), True), (0, "summary", "run", 1, 1, (1,), True), (0, "content", "ǆ", 2, 1, (0,), True), (0, "content", "日本", 2, 1, (1,), False),
+    ])
+
+
+def test_head_keys_are_all_deletions(spark):
+    terms = spark.createDataFrame([(w,) for w in ("a", "aa", "abc", "aabbcc", "é日本x", "abcdefgh")], "term string")
+    want = {(k, r.h) for r in terms.select(op.head("term").alias("h"), op.deletions(op.head("term")).alias("k")).collect() for k in r.k}
+    found = [(r.key, r.head) for r in op.head_keys(terms).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
