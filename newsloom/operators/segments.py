@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators.search import MAX_PUSHED, SearchIndex, _variants, document_terms, head, head_keys
+from newsloom.operators.search import FILE_ROWS, MAX_PUSHED, SearchIndex, _variants, document_terms, head, head_keys, sorted_ranges
 from newsloom.schema import FIELD_BOOSTS
 from newsloom.sources.sinks import delete_path, remove_aside, table_exists, write_aside
 
@@ -78,20 +78,24 @@ def _living(spark: SparkSession, path: str, log: Log, table: str, segments: Sequ
 
 
 def _write_segment(spark: SparkSession, path: str, number: int, postings: DataFrame, dead: DataFrame, stats: DataFrame, large: bool) -> int:
-    """Store the tables of a segment; the number of its postings. ``postings`` is a stored table. A large one is range-sorted, a small one is one file."""
+    """Store the tables of a segment; the number of its postings. ``postings`` and ``dead`` are stored tables, whose rows the files count. A large one is range-sorted, a small one is one file."""
     at = lambda name: f"{path}/{name}/seg={number}"
-
-    def sort(df: DataFrame, *by: str) -> DataFrame:
-        return df.repartitionByRange(*by).sortWithinPartitions(*by) if large else df.coalesce(1).sortWithinPartitions(*by)
-
-    sort(postings, "term", "field", "doc_id").write.mode("overwrite").parquet(at("postings"))
-    sort(postings.where("first").select("doc_id", "field", "len"), "doc_id", "field").write.mode("overwrite").parquet(at("lengths"))
-    terms = postings.select("term").distinct().withColumn("head", head("term"))
-    sort(terms, "term").write.mode("overwrite").parquet(at("terms"))
-    sort(head_keys(terms), "key", "head").write.mode("overwrite").parquet(at("keys"))
-    sort(dead.select("doc_id").distinct(), "doc_id").write.mode("overwrite").parquet(at("dead"))
+    size = postings.count()
+
+    def store(df: DataFrame, name: str, *by: str, rows: int = size) -> None:
+        ranged = large or rows > FILE_ROWS
+        (df.repartitionByRange(*by) if ranged else df.coalesce(1)).sortWithinPartitions(*by).write.mode("overwrite").parquet(at(name))
+
+    if large or size > FILE_ROWS:
+        sorted_ranges(postings, "term", "field", "doc_id").write.mode("overwrite").parquet(at("postings"))
+    else:
+        store(postings, "postings", "term", "field", "doc_id")
+    store(postings.where("first").select("doc_id", "field", "len"), "lengths", "doc_id", "field")
+    store(postings.select("term").distinct().withColumn("head", head("term")), "terms", "term")
+    store(head_keys(spark.read.schema("term string, head string").parquet(at("terms"))), "keys", "key", "head")
+    store(dead.select("doc_id").distinct(), "dead", "doc_id", rows=dead.count())
     stats.coalesce(1).write.mode("overwrite").parquet(at("stats"))
-    return spark.read.parquet(at("postings")).count()
+    return size
 
 
 def add_segment(
@@ -100,8 +104,8 @@ def add_segment(
 ) -> int:
     """Add the documents of ``docs`` to the index at ``path``, those of the same id replaced, and take out those of ``removed(doc_id)``.
 
-    The number of the new segment. A missing index begins with this batch (and its analyzers); give
-    ``large`` for a batch that should fill more than one file. ``doc_id`` is unique in ``docs`` and not NULL.
+    The number of the new segment. A missing index begins with this batch (and its analyzers). A batch of more than
+    ``FILE_ROWS`` postings is sorted by ranges in many tasks; ``large`` does so with any. ``doc_id`` is unique in ``docs`` and not NULL.
     Nothing of older segments is read but the lengths of the batch's ids.
     """
     spark = docs.sparkSession

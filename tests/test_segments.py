@@ -107,3 +107,15 @@ def test_marks_of_places(spark):
     rows = [("Ran, RAN -- ran!", [0, 2]), ("  ran to", [0]), ("", [0]), ("--", [0]), ("a b c", [])]
     got = spark.createDataFrame(rows, "t string, at array<int>").select(search.mark_places("t", F.col("at"), "<", ">")).collect()
     assert [r[0] for r in got] == ["<Ran>, RAN -- <ran>!", "  <ran> to", "", "--", "a b c"]
+
+
+def test_a_large_batch_is_sorted_by_many_tasks(spark, monkeypatch):
+    """Whatever the caller says, one task does not sort all postings of a large batch."""
+    monkeypatch.setattr(segments, "FILE_ROWS", 500)
+    monkeypatch.setattr(search, "FILE_ROWS", 500)
+    path = new_path(spark, "test-segments")
+    segments.add_segment(path, docs(spark, [(i, f"alpha beta w{i}") for i in range(400)]))
+    postings = spark.read.parquet(f"{path}/postings/seg=0")
+    files = [r["count"] for r in postings.groupBy(F.input_file_name()).count().collect()]
+    assert len(files) >= postings.count() // 500 and max(files) < 1000
+    assert len(scores(segments.read_segments(spark, path), "alpha")) == 400
