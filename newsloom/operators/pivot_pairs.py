@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from newsloom.functions.vectors import unit_rows
 from newsloom.operators.tiles import TILE_ROWS, tile_join
-from newsloom.operators.vectors import _pair_schema, _pair_table, pairwise_similar
+from newsloom.operators.vectors import _no_pairs, _pair_schema, _pair_table, _pairs_above, pairwise_similar
 from newsloom.sources.sinks import write_aside
 
 #: Rows of a cell, about; pivots at most; rows by which the number of visits is measured.
@@ -117,14 +117,13 @@ def pairwise_similar_pivots(
 
     def emit(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            none = (a if a.num_columns else b).slice(0, 0)
-            return _pair_table(none, none, *(np.zeros(0, int),) * 2, np.zeros(0))
-        scores = unit_rows(a.column("vector")) @ unit_rows(b.column("vector")).T
-        left, right = np.nonzero(scores > threshold)
+            return _no_pairs(a, b)
         ids_a, ids_b = (t.column("article_id").to_numpy() for t in (a, b))
-        src_a, src_b = (np.array(t.column("src").to_pylist(), object) for t in (a, b))
-        inside = (b.column("cell").to_numpy() == b.column("home").to_numpy())[right]
-        keep = (src_a[left] != src_b[right]) & (~inside | (ids_a[left] < ids_b[right])) & (ids_a[left] != ids_b[right])
-        return _pair_table(a, b, left[keep], right[keep], scores[left[keep], right[keep]])
+        inside = b.column("cell").to_numpy() == b.column("home").to_numpy()
+        kept = []
+        for left, right, scores in _pairs_above(threshold, a, b, False):
+            keep = (~inside[right] | (ids_a[left] < ids_b[right])) & (ids_a[left] != ids_b[right])
+            kept.append(_pair_table(a, b, left[keep], right[keep], scores[keep]))
+        return pa.concat_tables(kept)
 
     return tile_join(members, dealt, "cell", "_entry", "_entry", emit, _pair_schema(df), tile_rows)

@@ -2,10 +2,14 @@
 
 Two tables are compared inside regions (a category, a hash bucket, or one region for
 everything). Each region is cut into square tiles by a hash of the row id; a tile pair
-is one task group holding at most about ``tile_rows`` rows a side, however many rows
-the region has. A group is compared as one matrix product and sends on only what
+is one task group holding at most about ``MOST_ROWS`` rows a side, however many rows
+the region has. A group is compared by matrix products of bounded size and sends on only what
 ``emit`` keeps, never the pairs themselves. (The 1-Bucket-Theta join of Okcan and
 Riedewald, SIGMOD 2011, with matrix blocks.)
+
+A row travels once for each tile of the other side, so tiles are as few as memory and cores allow: a
+region of up to ``tile_rows`` rows is one tile, a larger one is cut into that many rows a tile but into
+``MOST_TILES`` (all in one region) or ``REGION_TILES`` at most, as long as a tile stays below ``MOST_ROWS``.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TILE_ROWS = 2048
+#: Rows of a tile at most, about; tiles of a smaller table without regions, and of a smaller region.
+MOST_ROWS, MOST_TILES, REGION_TILES = 8192, 8, 4
 
 
 def _with_tiles(df: DataFrame, region: str | None, id_col: str, tile_rows: int) -> tuple[DataFrame, DataFrame | int]:
@@ -27,9 +33,11 @@ def _with_tiles(df: DataFrame, region: str | None, id_col: str, tile_rows: int)
     """
     bucket = F.xxhash64(id_col, F.lit("tile"))
     if region is None:
-        tiles = max(1, -(-df.count() // tile_rows))
+        rows = df.count()
+        tiles = max(1, min(-(-rows // tile_rows), max(MOST_TILES, -(-rows // MOST_ROWS))))
         return df.withColumn("_t", F.pmod(bucket, F.lit(tiles)).cast("int")), tiles
-    counts = df.groupBy(region).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_n"))
+    fewest = F.greatest(F.lit(REGION_TILES), F.ceil(F.count("*") / MOST_ROWS))
+    counts = df.groupBy(region).agg(F.least(F.ceil(F.count("*") / tile_rows), fewest).cast("int").alias("_n"))
     return df.join(counts, region).withColumn("_t", F.pmod(bucket, F.col("_n")).cast("int")).drop("_n"), counts
 
 

@@ -23,6 +23,11 @@ BROADCAST_BYTES = 32 << 20
 BLOCK_SCORES = 1 << 22
 
 
+def block_rows(others: int) -> int:
+    """Rows that are compared with so many others at a time."""
+    return max(1, BLOCK_SCORES // max(1, others))
+
+
 def bounded_vectors(df: DataFrame, columns: Sequence[str], limit: int = BROADCAST_ROWS) -> pa.Table | None:
     """The table as Arrow, ordered by its first column, if it has at most ``limit`` rows and few bytes; else None.
 
@@ -148,7 +153,7 @@ def nearest(
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = _TopK(k, keyed)
-            step = max(1, BLOCK_SCORES // max(1, len(names)))
+            step = block_rows(len(names))
             for batch in batches:
                 for start in range(0, batch.num_rows if names else 0, step):
                     compare(top, names, own, unit, batch.slice(start, step))
@@ -160,7 +165,10 @@ def nearest(
         top = _TopK(k, keyed)
         if a.num_rows and b.num_rows:
             own = a.column("key").to_pylist() if keyed else None
-            compare(top, a.column("query_id").to_pylist(), own, unit_rows(a.column("vector")), b)
+            names, unit, step = a.column("query_id").to_pylist(), unit_rows(a.column("vector")), block_rows(b.num_rows)
+            for start in range(0, len(names), step):
+                part = slice(start, start + step)
+                compare(top, names[part], own[part] if keyed else None, unit[part], b)
         return pa.Table.from_batches(top.batches(arrow), schema=arrow)
 
     return tile_join(queries, corpus, None, "query_id", "article_id", emit, schema, tile_rows)
@@ -218,16 +226,24 @@ def related_recent(
     return dated.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _pairs_above(threshold: float, a: pa.Table, b: pa.Table, diagonal: bool):
-    """Index pairs with a cosine above the threshold and different sources, and their scores."""
-    scores = unit_rows(a.column("vector")) @ unit_rows(b.column("vector")).T
-    hit = scores > threshold
-    if diagonal:
-        hit = np.triu(hit, 1)
-    left, right = np.nonzero(hit)
-    differ = _numpy(a.column("src"))[left] != _numpy(b.column("src"))[right]
-    left, right = left[differ], right[differ]
-    return left, right, scores[left, right]
+def _pairs_above(threshold: float, a: pa.Table, b: pa.Table, diagonal: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs with a cosine above the threshold and different sources, and their scores, block by block."""
+    one, two = unit_rows(a.column("vector")), unit_rows(b.column("vector"))
+    src_a, src_b, step = _numpy(a.column("src")), _numpy(b.column("src")), block_rows(len(two))
+    for start in range(0, len(one), step):
+        scores = one[start : start + step] @ two.T
+        hit = scores > threshold
+        if diagonal:
+            hit = np.triu(hit, start + 1)
+        left, right = np.nonzero(hit)
+        differ = src_a[left + start] != src_b[right]
+        left, right = left[differ], right[differ]
+        yield left + start, right, scores[left, right]
+
+
+def _no_pairs(a: pa.Table, b: pa.Table) -> pa.Table:
+    none = (a if a.num_columns else b).slice(0, 0)
+    return _pair_table(none, none, *(np.zeros(0, int),) * 2, np.zeros(0))
 
 
 def _pair_table(a: pa.Table, b: pa.Table, left, right, scores) -> pa.Table:
@@ -265,9 +281,8 @@ def pairwise_similar(
 
     def emit(a: pa.Table, b: pa.Table, diagonal: bool) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            a = b = a.slice(0, 0) if a.num_columns else b.slice(0, 0)
-            return _pair_table(a, b, *(np.zeros(0, int),) * 2, np.zeros(0))
-        return _pair_table(a, b, *_pairs_above(threshold, a, b, diagonal))
+            return _no_pairs(a, b)
+        return pa.concat_tables([_pair_table(a, b, *found) for found in _pairs_above(threshold, a, b, diagonal)])
 
     return tile_self_join(lean, None, "article_id", emit, _pair_schema(df), tile_rows)
 
@@ -317,16 +332,17 @@ def pairwise_similar_lsh(
 
     def emit(a: pa.Table, b: pa.Table, diagonal: bool) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            a = b = a.slice(0, 0) if a.num_columns else b.slice(0, 0)
-            return _pair_table(a, b, *(np.zeros(0, int),) * 2, np.zeros(0))
-        left, right, scores = _pairs_above(threshold, a, b, diagonal)
-        band_a, band_b = _numpy(a.column("band"))[left], _numpy(b.column("band"))[right]
-        codes_a = _numpy(a.column("codes").combine_chunks().flatten()).reshape(a.num_rows, -1)[left]
-        codes_b = _numpy(b.column("codes").combine_chunks().flatten()).reshape(b.num_rows, -1)[right]
-        first = np.argmax(codes_a == codes_b, axis=1) if len(left) else np.zeros(0, int)
-        same = (codes_a == codes_b).any(axis=1) if len(left) else np.zeros(0, bool)
-        keep = same & (band_a == band_b) & (band_a == first)
-        return _pair_table(a, b, left[keep], right[keep], scores[keep])
+            return _no_pairs(a, b)
+        all_a, all_b = (_numpy(t.column("codes").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (a, b))
+        in_a, in_b = _numpy(a.column("band")), _numpy(b.column("band"))
+        kept = []
+        for left, right, scores in _pairs_above(threshold, a, b, diagonal):
+            there = in_a[left] == in_b[right]
+            left, right, scores = left[there], right[there], scores[there]
+            same = all_a[left] == all_b[right]
+            keep = same.any(axis=1) & (in_a[left] == np.argmax(same, axis=1))
+            kept.append(_pair_table(a, b, left[keep], right[keep], scores[keep]))
+        return pa.concat_tables(kept)
 
     return tile_self_join(entries, "_r", "_entry", emit, _pair_schema(df), tile_rows)
 
@@ -358,11 +374,14 @@ def knn_lsh(
         if a.num_rows and b.num_rows:
             ids, bucket_b = _numpy(b.column("article_id")), _numpy(b.column("band")) * (1 << bits) + _numpy(b.column("code"))
             bucket_a = _numpy(a.column("band")) * (1 << bits) + _numpy(a.column("code"))
-            scores = unit_rows(a.column("vector")) @ unit_rows(b.column("vector")).T
-            for name, bucket, row in zip(a.column("query_id").to_pylist(), bucket_a, scores):
-                at = np.flatnonzero(bucket_b == bucket)
-                if len(at):
-                    top.add(name, row[at], ids[at], ids[at])
+            names, one, two = a.column("query_id").to_pylist(), unit_rows(a.column("vector")), unit_rows(b.column("vector"))
+            step = block_rows(len(two))
+            for start in range(0, len(one), step):
+                part = slice(start, start + step)
+                for name, bucket, row in zip(names[part], bucket_a[part], one[part] @ two.T):
+                    at = np.flatnonzero(bucket_b == bucket)
+                    if len(at):
+                        top.add(name, row[at], ids[at], ids[at])
         top.keyed = False
         return pa.Table.from_batches(top.batches(arrow), schema=arrow)
 

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import embedding, trends, vectors
+from newsloom.operators import embedding, tiles, trends, vectors
 from newsloom.operators.tiles import tile_self_join
 from newsloom.plans.fixtures import article_vectors
 
@@ -210,3 +211,23 @@ def test_one_answer_for_every_number_of_trends(spark):
     ]
     assert got[0] == got[1] == got[2]
     assert got[0] == [("p", "x", 1.0), ("q", "y", 1.0), ("r", "y", 0.8), ("s", "y", 1.0), ("t", "x", 0.995037), ("u", None, None)]
+
+
+def test_a_row_travels_to_few_tiles(spark):
+    """Copies of a row follow the rows a task can hold, not the size of a small tile."""
+    rows = spark.range(4000).select(F.col("id"), (F.col("id") % 2).alias("r"))
+    assert tiles._with_tiles(rows, None, "id", 10)[1] == tiles.MOST_TILES
+    assert {r._n for r in tiles._with_tiles(rows, "r", "id", 10)[1].collect()} == {tiles.REGION_TILES}
+    assert tiles._with_tiles(rows, None, "id", 1000)[1] == 4
+
+
+def test_a_large_tile_is_compared_in_blocks(monkeypatch):
+    found = np.random.default_rng(4).standard_normal((50, 4))
+    t = pa.table({"vector": pa.array(found.tolist()), "src": pa.array([f"s{i % 3}" for i in range(50)])})
+    for diagonal in (True, False):
+        whole = [np.concatenate(c) for c in zip(*vectors._pairs_above(0.2, t, t, diagonal))]
+        with monkeypatch.context() as small:
+            small.setattr(vectors, "BLOCK_SCORES", 350)
+            blocks = list(vectors._pairs_above(0.2, t, t, diagonal))
+        assert len(blocks) == 8 and len(whole[0]) > 50
+        assert set(zip(*whole[:2])) == set(zip(*[np.concatenate(c) for c in zip(*blocks)][:2]))
