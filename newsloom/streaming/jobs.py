@@ -141,8 +141,9 @@ def score_batches(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        asked = batch.select("batch_id", F.col("end_time").alias("analyzed")).dropDuplicates(["batch_id"])
-        rows = articles.join(asked, "batch_id")
+        # Stored first: the join may skip partitions of the batch that have no row, and then their state is not committed.
+        asked = write_aside(batch.select("batch_id", F.col("end_time").alias("analyzed")), "announced")
+        rows = articles.join(asked.dropDuplicates(["batch_id"]), "batch_id")
         scored = trending_rows(trend_assign(rows, trends, threshold), F.col("analyzed")).drop("analyzed", "embedding")
         (
             scored.write.partitionBy("batch_id")
@@ -150,6 +151,7 @@ def score_batches(
             .mode("overwrite")
             .parquet(path)
         )
+        remove_aside(asked)
 
     return run_batches(once_per_window(windows, "batch_id", event_time, ttl), checkpoint, handle)
 

@@ -119,3 +119,20 @@ def test_announced_batches_are_scored(spark, tmp_path):
     assert go() == [(1, "x", "General"), (2, None, "General")]
     drop(raw, "2.json", '{"batch_id":"b2","end_time":"2024-01-01T00:10:00Z"}\n{"batch_id":"b1","end_time":"2024-01-01T00:10:00Z"}')
     assert go() == [(1, "x", "General"), (2, None, "General"), (3, "x", "General")]
+
+
+def test_an_announced_batch_commits_all_its_state(spark, tmp_path):
+    """A join that shuffles skips the partitions that have no article; the state of the stream is committed all the same."""
+    raw, out = tmp_path / "raw", str(tmp_path / "t")
+    articles = spark.createDataFrame([(1, "b1", [1.0, 0.0])], "article_id bigint, batch_id string, embedding array<float>").withColumns(
+        {"categories": F.lit(None).cast("array<string>"), "main_category": F.lit("")}
+    )
+    trends = spark.createDataFrame([(1, "x", [1.0, 0.0])], "trend_id int, query string, embedding array<float>")
+    drop(raw, "1.json", "\n".join(json.dumps({"batch_id": f"b{i}", "end_time": "2024-01-01T00:00:00Z"}) for i in range(40)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run(jobs.score_batches(spark.readStream.schema("batch_id string, end_time timestamp").json(str(raw)), articles, trends, out, new_path(spark, "cp")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [(r.article_id, r.trend) for r in spark.read.parquet(out).collect()] == [(1, "x")]
