@@ -36,11 +36,13 @@ def json_arrays(spark, sf):
 
 @query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL")
 def crawled_urls(spark, sf):
-    """Crawl files that name urls several times, and records without any."""
+    """Crawl files (arrays of a bounded number of records) that name urls several times, and records without any."""
     path = new_path(spark, "crawled")
     pages = table(spark, sf, "pages").select("page_id", "url")
-    twice = pages.select("url").unionByName(pages.where("page_id % 3 = 0").select("url")).unionByName(pages.select(F.lit(None).cast("string").alias("url")))
-    twice.write.option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(path)
+    twice = pages.unionByName(pages.where("page_id % 3 = 0")).unionByName(pages.withColumn("url", F.lit(None).cast("string")))
+    files = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, -(-pages.count() // 200)))).alias("file")
+    arrays = twice.groupBy(files).agg(F.to_json(F.collect_list(F.struct("url")), {"ignoreNullFields": "false"}).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return sources.crawled_urls(spark, path)
 
 
