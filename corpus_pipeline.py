@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import written
+from newsloom.llm.common import marked, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,12 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     from newsloom.llm.minhash import near_duplicates
 
-    gone = near_duplicates(docs, threshold=(4, 5)).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, threshold=(4, 5)).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    # Few documents go; only those that may be among them are shuffled to be looked up.
+    mark = max(docs.columns, key=len) + "_may"  # longer than any name the documents have
+    met = marked(docs, F.col("doc_id").cast("long"), gone, mark)
+    rest, some = met.where(~F.col(f"`{mark}`")).drop(mark), met.where(F.col(f"`{mark}`")).drop(mark)
+    return rest.union(some.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

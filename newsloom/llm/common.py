@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.session import new_path
@@ -45,6 +45,31 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a filter for each of its keys (one foreign key in so many passes it), and the most bits of a filter (64 MB).
+FILTER_BITS, MOST_FILTER_BITS = 32, 1 << 29
+#: Fixed value: the bits of one value of ``bitmap_construct_agg``.
+BITMAP = 1 << 15
+
+
+def marked(rows: DataFrame, key: Column, keys: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with a boolean ``mark``, false where ``key`` is certainly none of ``keys`` (a table of one column).
+
+    The keys are hashed into bitmaps, a few bytes a key, that go to every task. So a join of long rows with few keys
+    need not shuffle all of the rows; the rows marked true still have to be joined.
+    """
+    size = min(MOST_FILTER_BITS, max(1, -(-FILTER_BITS * keys.count() // BITMAP)) * BITMAP)
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(size)) + 1  # numbered from 1, as the bitmap functions do
+
+    bits = keys.select(place(F.col(keys.columns[0])).alias("_v")).withColumn("_bucket", F.bitmap_bucket_number("_v"))
+    bits = bits.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_v")).alias("_bits"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(key)) == F.col("_bucket"), "left")
+    return met.select(*[rows[f"`{c}`"] for c in rows.columns], F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(mark))
+
+
 def worker_memo(name: str) -> dict:
     """A dict that lives as long as the Python worker, for read-only models and memo tables."""
     holder = sys.modules.setdefault("_newsloom_worker_memo", types.ModuleType("_newsloom_worker_memo"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import as_table, in_pieces, random_words, remove, text_bytes, written
+from newsloom.llm.common import as_table, in_pieces, marked, random_words, remove, text_bytes, written
 from newsloom.llm.graph import components
 from newsloom.llm.shingles import distinct_counts, shingles
 
@@ -257,6 +257,11 @@ def _candidates(nodes: DataFrame, threshold: float, every: bool) -> DataFrame:
     return ordered.mapInArrow(neighbours, "a long, b long").distinct()
 
 
+def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``id`` is none of ``ids``, so that their texts are not shuffled."""
+    return marked(rows, F.col("id"), ids, "_may").where("_may").drop("_may")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs whose full shingle sets have the wanted similarity; ``threshold`` is a fraction."""
     up, down = threshold
@@ -435,11 +440,12 @@ def near_duplicates(
         labelled = nodes if labels is None else nodes.join(labels, "id", "left")
         pairs = _candidates(labelled.withColumn("label", label), up / down, every)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if tried is None:
+            ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "minhash-ends")
             every_node, nodes = nodes, written(nodes.join(ends, "id", "left_semi"), "minhash-nodes")
             remove(every_node)
-            met = written(docs.select(ids, texts).join(ends, "id", "left_semi"), "minhash-texts")
+            met = written(_named(docs.select(ids, texts), ends).join(ends, "id", "left_semi"), "minhash-texts")
+            remove(ends)
         tried = pairs if tried is None else tried.union(pairs)
         good = _confirm(pairs, met, threshold).distinct()
         before = [x for x in (links, labels) if x is not None]
@@ -451,7 +457,7 @@ def near_duplicates(
     remove(met)
     if crowded.limit(1).count():
         rows = crowded.join(labels, "id", "left").select("id", F.coalesce("component_id", "id").alias("label"))
-        rows = written(docs.select(ids, texts).join(rows, "id"), "minhash-texts")
+        rows = written(_named(docs.select(ids, texts), crowded).join(rows, "id"), "minhash-texts")
         more = _finish(rows, threshold)
         remove(rows)
         if more.limit(1).count():

@@ -183,3 +183,40 @@ def test_op2_on_the_given_documents(spark, sf_dir):
             parent[max(x, y)] = min(x, y)
     got = QUERIES["op2_minhash"](spark, sf_dir).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+
+
+def _left_rows(monkeypatch, frame, wanted):
+    """The sizes of the tables with the wanted columns that are joined with others than a filter of keys."""
+    sizes, join = [], type(frame).join
+
+    def seen(self, other, *args, **named):
+        if set(wanted) <= set(self.columns) and "_bits" not in other.columns:
+            sizes.append(self.count())
+        return join(self, other, *args, **named)
+
+    monkeypatch.setattr(type(frame), "join", seen)
+    return sizes
+
+
+def test_marked_keeps_every_key(spark):
+    from newsloom.llm.common import marked
+
+    rows = spark.range(-50_000, 150_000).selectExpr("CASE WHEN id % 1000 = 7 THEN NULL ELSE id END AS id", "id AS `a b`")
+    keys = spark.range(-40_000, 150_000, 70).toDF("k").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k"))
+    got = marked(rows, rows["id"], keys, "may")
+    assert got.columns == ["id", "a b", "may"] and got.count() == 200_000 and got.where("may IS NULL").count() == 0
+    real = rows.join(keys, rows["id"] == keys["k"], "left_semi").count()
+    may = got.where("may")
+    assert may.join(keys, may["id"] == keys["k"], "left_semi").count() == real and may.count() < 200_000 / 10
+    assert marked(rows, rows["id"], keys.limit(0), "may").where("may").count() == 0
+
+
+def test_texts_without_candidates_are_not_joined(frame, monkeypatch):
+    """Few of many texts have candidates or stand in a crowded region: the others stay out of the joins that shuffle texts."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(12)), "s") for i in range(1500)]
+    rows += [(2000 + i, t, "s") for i, t in enumerate(variants(rng, " ".join(f"v{i}" for i in range(80)), 140, 3))]
+    df = frame(rows)
+    sizes = _left_rows(monkeypatch, df, ["id", "text"])
+    check(df, [r[:2] for r in rows])
+    assert sizes and max(sizes) < 300

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from test_minhash import _left_rows
 from test_minhash import exact as exact_components
 from test_mixing import count
 from test_suffix import exact as exact_cuts
@@ -58,3 +59,15 @@ def test_odd_rows(spark, frame, odd_texts, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         empty = written(stage(spark, empty, sf_dir), "test-stage")
     assert empty.count() == 0
+
+
+def test_documents_that_stay_are_not_joined(frame, monkeypatch):
+    """Two of many documents are copies; only few others are looked up among those that go. Rows without id stay."""
+    rows = [(i, f"one two three four five six number {i} of many {i * 7919}", "s") for i in range(1500)]
+    rows += [(5000 + i, rows[i][1], "s") for i in (3, 4)] + [(None, rows[3][1], "s")]
+    docs = frame(rows)
+    sizes = _left_rows(monkeypatch, docs, docs.columns)
+    got = corpus_pipeline.minhash_stage(docs.sparkSession, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i, *_ in rows if i is None or i < 5000)
+    assert sizes and max(sizes) < 300
