@@ -19,7 +19,7 @@ from newsloom.functions.text import clean_publish_date
 from newsloom.operators.categorize import fuzzy_category
 from newsloom.operators.clean import clean_columns, url_filter, valid_expr
 from newsloom.operators.incremental import batch_notification, loaded_runs, mark_loaded
-from newsloom.operators.tables import dedup_latest, gold_build, new_rows
+from newsloom.operators.tables import dedup_stored, gold_build, new_stored_rows
 from newsloom.schema import ARTICLE_KEY, SILVER_COLUMNS, SLOT_STARTS, SLOT_ZONE
 from newsloom.sources.articles import hours_scan, read_articles_json
 from newsloom.sources.sinks import (
@@ -72,11 +72,10 @@ def bronze_stage(spark: SparkSession, paths: Paths, process_ts: str) -> None:
     A repeated run replaces its own folder.
     """
     raw = with_ingest_columns(read_articles_json(spark, paths.raw), process_ts).withColumn("run", F.lit(run_name(process_ts)))
-    raw = write_aside(raw, "raw")
     rows, damaged = split_corrupt(raw)
-    write_partitioned(rows, paths.bronze, BRONZE_FOLDERS, 5000, "overwrite")
+    # Reading the raw files twice costs less than storing and shuffling them; all rows of a run go to one folder.
+    write_partitioned(rows, paths.bronze, BRONZE_FOLDERS, 5000, "overwrite", gather=False)
     write_partitioned(damaged, f"{paths.bronze}_errors", BRONZE_FOLDERS, 5000, "overwrite")
-    remove_aside(raw)
 
 
 def check_articles(bronze: DataFrame) -> DataFrame:
@@ -96,8 +95,8 @@ def silver_rows(checked: DataFrame, process_ts: str) -> DataFrame:
     ``checked`` should be a stored table: categories are matched first, because that reads
     one column of it a second time, and after the deduplication would repeat the shuffle.
     """
-    good = fuzzy_category(checked.where("problem IS NULL AND publish_ts IS NOT NULL"))
-    latest = dedup_latest(good, ARTICLE_KEY, ["publish_ts", "ingest_time"], ["title", "content"])
+    good = checked.where("problem IS NULL AND publish_ts IS NOT NULL")
+    latest = dedup_stored(fuzzy_category(good), ARTICLE_KEY, ["publish_ts", "ingest_time"], ["title", "content"], good)
     stamp = F.lit(process_ts).cast("timestamp")
     stamped = latest.withColumns(
         {"processed_date": F.date_format(stamp, "yyyy-MM-dd"), "processed_hour": F.date_format(stamp, "HH")}
@@ -118,7 +117,7 @@ def silver_stage(spark: SparkSession, paths: Paths, process_ts: str, mode: str =
     checked = write_aside(checked, "checked")
     damaged = checked.where("problem IS NOT NULL").withColumn("run", F.lit(run_name(process_ts)))
     write_partitioned(damaged, f"{paths.silver}_errors", ["run"], 10000, "overwrite")
-    merge_into(spark, paths.silver, silver_rows(checked, process_ts), ARTICLE_KEY, ["processed_date", "processed_hour"], mode)
+    merge_into(spark, paths.silver, silver_rows(checked, process_ts), ARTICLE_KEY, ["processed_date", "processed_hour"], mode, gather=False)
     remove_aside(checked)
     return dict(seen.get)
 
@@ -136,9 +135,9 @@ def serving_stage(spark: SparkSession, paths: Paths, process_ts: str, batch_id:
     if table_exists(spark, paths.serving):
         own = F.concat_ws(" ", F.col("processed_date").cast("string"), F.lpad(F.col("processed_hour").cast("string"), 2, "0")) == process_ts[:13]
         served = spark.read.parquet(paths.serving).where(F.col("upload_day").cast("string") == process_ts[:10])
-        new = new.where(~own).unionByName(new_rows(new.where(own), served, ARTICLE_KEY))
+        new = new.where(~own).unionByName(new_stored_rows(new.where(own), served, ARTICLE_KEY))
     stamp = F.lit(process_ts).cast("timestamp")
-    rows = dedup_latest(new, ARTICLE_KEY, ["publish_ts", "ingest_time"], ["title"]).select(
+    rows = dedup_stored(new, ARTICLE_KEY, ["publish_ts", "ingest_time"], ["title"]).select(
         "url", "src", "language", "title", "content", "image_url", rebuild_timestamp().alias("publish_date"),
         "time_reading", "author", "main_category", "categories", "ingest_time",
         stamp.alias("uploaded_date"), F.lit(batch_id).alias("batch_id"), F.date_format(stamp, "yyyy-MM-dd").alias("upload_day"),
@@ -147,7 +146,7 @@ def serving_stage(spark: SparkSession, paths: Paths, process_ts: str, batch_id:
     if not rows.take(1):
         mark_loaded(spark, paths.control, JOB, waiting)
         return None
-    merge_into(spark, paths.serving, rows, ARTICLE_KEY, ["upload_day"])
+    merge_into(spark, paths.serving, rows, ARTICLE_KEY, ["upload_day"], stored=True, gather=False)
     slot = slot_hours(process_ts)
     note = batch_notification(
         rows, "Articles", slot[0][0], [h for _, h in slot], process_ts.replace(" ", "T") + "Z", "UTC", "ingest_time"
@@ -177,11 +176,9 @@ def gold_stage(spark: SparkSession, paths: Paths, process_ts: str) -> None:
     gold = gold_build(_in_folders(spark.read.parquet(paths.silver), waiting), day)
     if table_exists(spark, paths.gold):
         today = spark.read.parquet(paths.gold).where(F.col("upload_date") == F.lit(day).cast("date"))
-        gold = new_rows(gold, today, ["url", "src"])
-    gold = write_aside(gold, "gold")
+        gold = new_stored_rows(gold, today, ["url", "src"])
     write_clustered(gold, paths.gold, "upload_date", "main_category")
     mark_loaded(spark, paths.control, GOLD_JOB, waiting)
-    remove_aside(gold)
 
 
 def run(spark: SparkSession, paths: Paths, process_ts: str, batch_id: str) -> dict[str, int]:

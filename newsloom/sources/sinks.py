@@ -27,14 +27,14 @@ def with_ingest_columns(df: DataFrame, ingest_ts: str | Column) -> DataFrame:
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by: Sequence[str], max_records: int = 5000, mode: str = "append"
+    df: DataFrame, path: str, by: Sequence[str], max_records: int = 5000, mode: str = "append", gather: bool = True
 ) -> None:
     """Append to a partitioned parquet table with files of at most ``max_records`` rows.
 
     With mode "overwrite" the folders that get rows are replaced, all others stay. Rows are gathered by folder first, so a folder gets few files; the rebalance lets
-    adaptive execution split a folder that gets most of the rows over many tasks.
+    adaptive execution split a folder that gets most of the rows over many tasks. Rows that all go to one folder need no ``gather``.
     """
-    gathered = df.hint("rebalance", *by)
+    gathered = df.hint("rebalance", *by) if gather else df
     writer = gathered.write.partitionBy(*by).option("maxRecordsPerFile", max_records)
     writer.option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
 
@@ -92,23 +92,25 @@ def read_like(spark: SparkSession, path: str, by: Sequence[str], source: DataFra
 
 def merge_into(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], by: Sequence[str], mode: str = "upsert",
-    max_records: int = 10000, merge_schema: bool = False,
+    max_records: int = 10000, merge_schema: bool = False, stored: bool = False, gather: bool = True,
 ) -> None:
     """Merge ``source`` (unique on ``keys``) into a table partitioned by ``by``.
 
-    Only folders that hold a matched row or receive a new one are read and rewritten; their
-    names are all that comes to the driver. The new content is written aside first, so the
-    table is never read while it is being replaced and a lost executor cannot lose rows.
+    Only folders that hold a matched row are read and rewritten; their names are all that comes
+    to the driver. Rows for other folders are added to these. The new content is written aside first, so the
+    table is never read while it is being replaced and a lost executor cannot lose rows. ``stored`` says that
+    ``source`` is a stored table already, which stays; ``gather`` is that of ``write_partitioned``.
     ``merge_schema`` is needed only when files of the table differ in their columns: it reads
     every file footer. The keys of each file are kept in a Bloom filter beside the table
     (``key_index``), so of a table that is merged into again and again a small batch opens only the
     files that may hold its keys.
     """
     if not table_exists(spark, path):
-        write_partitioned(source, path, by, max_records)
+        write_partitioned(source, path, by, max_records, gather=gather)
         index_files(spark, path, read_like(spark, path, by, source), keys)
         return
-    source = write_aside(source, "merge-source")
+    aside = None if stored else write_aside(source, "merge-source")
+    source = source if aside is None else aside
     target = read_like(spark, path, by, source, merge_schema)
     # The stored keys meet the batch in a semi-join: a small batch is broadcast, a larger one
     # filters them by its runtime filter, so they are not all shuffled.
@@ -116,32 +118,32 @@ def merge_into(
     # Spark prunes the list of files by this filter, so no other file is opened.
     known = target.where(F.col("_metadata.file_path").isin(opened)).select(*keys, *by).join(source.select(*keys), list(keys), "left_semi")
     if mode == "insert_new":
-        fresh = write_aside(source.join(known.select(*keys), list(keys), "left_anti"), "merge-new")
-        write_partitioned(fresh, path, by, max_records)
-        remove_aside(fresh)
+        # The files that are read are listed before, so those that are added here are not among them.
+        # Keys alone tell whether all rows are new or none is; else the rows meet the known keys.
+        matched = known.select(*keys).distinct().count()
+        if matched < source.count():
+            fresh = source.join(known.select(*keys), list(keys), "left_anti") if matched else source
+            write_partitioned(fresh, path, by, max_records, gather=gather)
         _index_new(spark, path, by, source, keys)
-        remove_aside(source)
+        if aside is not None:
+            remove_aside(aside)
         return
     if mode != "upsert":
         raise ValueError(f"unknown mode {mode!r}")
-    folders = known.select(*by).unionByName(source.select(*by)).distinct()
+    folders = known.select(*by).distinct()
     touched = {row["_name"]: row for row in folders.withColumn("_name", _folder(by)).collect()}
-    if not touched:
-        return
-    merged = write_aside(upsert(target.where(_folder(by).isin(list(touched))), source, keys), "merge-rows")
-    (
-        merged.hint("rebalance", *by)
-        .write.partitionBy(*by)
-        .option("maxRecordsPerFile", max_records)
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(path)
-    )
-    # A folder whose rows all moved elsewhere gets no new file, so it is dropped here.
-    left = {row[0] for row in merged.select(_folder(by)).distinct().collect()}
-    remove_aside(merged)
+    here = _folder(by).isin(list(touched))
+    merged = write_aside(upsert(target.where(here), source, keys).where(here), "merge-rows") if touched else None
+    write_partitioned(source.where(~here), path, by, max_records, gather=gather)
+    # A folder whose rows all moved elsewhere gets no new file, so it is dropped below.
+    left: set[str] = set()
+    if merged is not None:
+        write_partitioned(merged, path, by, max_records, "overwrite")
+        left = {row[0] for row in merged.select(_folder(by)).distinct().collect()}
+        remove_aside(merged)
     _index_new(spark, path, by, source, keys)
-    remove_aside(source)
+    if aside is not None:
+        remove_aside(aside)
     for name, row in touched.items():
         if name not in left:
             naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
@@ -173,7 +175,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def write_aside(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table of their own in the shared folder."""
+    """The rows as a table of their own in the shared folder, packed tightly."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -226,3 +226,64 @@ def test_whole_run(spark, tmp_path):
     assert rows(gold, "url", "publish_date") == [
         ("https://s.org/1", datetime.date(2024, 1, 3)), ("https://s.org/9", datetime.date(2024, 1, 1))
     ]
+
+
+def _shuffled_texts(monkeypatch, df):
+    """The sizes of the tables with a content that are joined with others or ranked by key."""
+    kind, sizes = type(df), []
+    join, column = kind.join, kind.withColumn
+
+    def joined(self, other, *args, **named):
+        if "content" in self.columns:
+            sizes.append(self.count())
+        return join(self, other, *args, **named)
+
+    def ranked(self, name, *args):
+        if name == "_rn":
+            sizes.append(self.count())
+        return column(self, name, *args)
+
+    monkeypatch.setattr(kind, "join", joined)
+    monkeypatch.setattr(kind, "withColumn", ranked)
+    return sizes
+
+
+def test_batch_run_shuffles_no_content_while_keys_are_unique(spark, tmp_path, monkeypatch):
+    import json
+
+    asides, stored = [], medallion.write_aside
+    monkeypatch.setattr(medallion, "write_aside", lambda df, name: asides.append(name) or stored(df, name))
+    sizes = _shuffled_texts(monkeypatch, spark.range(1))
+    for k, stamp in enumerate(("2024-02-01 03:00:00", "2024-02-01 05:00:00", "2024-02-01 05:00:00")):
+        raw = tmp_path / f"raw{k}"
+        raw.mkdir()
+        some = [{"url": f"https://x/{min(k, 1)}/{i}", "src": "s", "title": f"t {i}", "content": f"text {i}", "publish_date": "2024-01-31 10:00:00", "categories": ["sports"]} for i in range(40)]
+        (raw / "a.json").write_text(json.dumps(some))
+        medallion.run(spark, medallion.Paths.under(str(tmp_path / "lake"), str(raw)), stamp, f"run-{k}")
+    assert sizes == [] and set(asides) == {"checked", "serving-batch"}
+    for layer in ("silver", "serving", "gold"):
+        assert spark.read.parquet(str(tmp_path / "lake" / layer)).groupBy("url").count().where("count = 1").count() == 80
+
+
+def test_merge_adds_to_folders_without_a_matched_row(spark):
+    import os
+
+    path = new_path(spark, "t")
+    sinks.merge_into(spark, path, spark.range(9).selectExpr("id AS k", "id % 3 AS p", "0 AS v"), ["k"], ["p"])
+    before = set(os.listdir(f"{path}/p=0"))
+    sinks.merge_into(spark, path, spark.createDataFrame([(100, 0, 1)], "k bigint, p bigint, v int"), ["k"], ["p"])
+    assert before < set(os.listdir(f"{path}/p=0"))
+    batch = spark.createDataFrame([(4, 1, 7), (5, 0, 7), (100, 0, 7), (101, 3, 7)], "k bigint, p bigint, v int")
+    for _ in range(2):
+        sinks.merge_into(spark, path, batch, ["k"], ["p"])
+        want = sorted([(k, k % 3, 0) for k in range(9) if k not in (4, 5)] + [(4, 1, 7), (5, 0, 7), (100, 0, 7), (101, 3, 7)])
+        assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "p", "v").collect()) == want
+
+
+def test_stored_helpers_agree_with_the_plain_ones(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (None, 1, "c"), (None, 3, "d"), (2, 1, "e")], "k int, t int, x string")
+    assert rows(tables.dedup_stored(df, ["k"], ["t"], ["x"]), "x") == rows(tables.dedup_latest(df, ["k"], ["t"], ["x"]), "x")
+    for known in ([], [1], [2], [1, 2, 2], [None]):
+        have = spark.createDataFrame([(k,) for k in known], "k int")
+        for part in (df, df.where("k = 1"), df.where("k IS NULL")):
+            assert rows(tables.new_stored_rows(part, have, ["k"]), "x") == rows(tables.new_rows(part, have, ["k"]), "x")
