@@ -102,6 +102,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.7
+# Fixed value: words that many texts without a notice have. They only order the choice of cues and change no result.
+EVERYDAY = frozenset("a all an and any are as at be been but by for from has have in is it its more no not of on one or other such that the this to under was were will with without you".split())
 
 
 def plain_bigrams(text: str) -> list[str]:
@@ -138,13 +140,13 @@ def cues(templates: dict[str, str], threshold: float) -> list[str]:
     """Words of which a text has at least one, if any unit of it reaches the threshold with any template.
 
     Such a unit shares at least ``t / (2 - t)`` of a template's bigrams, so it has one of any choice of more than the
-    rest of them; that many bigrams are chosen by the longest words that they hold.
+    rest of them; that many bigrams are chosen by the longest words that they hold, everyday words last.
     """
     out: set[str] = set()
     for text in templates.values():
         grams = {tuple(g.split(" ")) for g in plain_bigrams(text)}
-        spare = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
-        for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+        spare = _spare(len(grams), threshold)
+        for word in sorted({w for g in grams for w in g}, key=lambda w: (w in EVERYDAY, -len(w), w)):
             if len(grams) == 0 or spare < 0:
                 break
             hit = {g for g in grams if word in g}
@@ -153,6 +155,23 @@ def cues(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(out)
 
 
+def cue_pairs(templates: dict[str, str], threshold: float) -> list[str]:
+    """Word bigrams of which a text has at least one, if any unit of it reaches the threshold.
+
+    They are chosen as in ``cues``: the longest of each template, those with everyday words last.
+    """
+    out: set[str] = set()
+    for text in templates.values():
+        grams = plain_bigrams(text)
+        out |= set(sorted(grams, key=lambda g: (len(EVERYDAY & set(g.split(" "))), -len(g), g))[: _spare(len(grams), threshold) + 1])
+    return sorted(out)
+
+
+def _spare(n: int, threshold: float) -> int:
+    """How many of a template's n bigrams a unit that reaches the threshold can lack."""
+    return n - math.ceil(threshold / (2 - threshold) * n - 1e-9)
+
+
 def _once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.transform(F.array(value), use)[0]
@@ -217,10 +236,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     sentences = F.split(F.regexp_replace(text, r"([.!?:])[ \t\r\n]+", "$1\u0001"), "\u0001")
     raw = F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), sentences)
     plain = F.transform(F.array_distinct(raw), normalised)
-    # Most texts have no word that every match needs one of: nothing of them is compared.
-    some = F.array(*[F.lit(w) for w in cues(templates, threshold)])
+    # Most texts have no word, then no pair of words, that every match needs one of: nothing of them is compared.
+    some, pairs = (F.array(*[F.lit(c) for c in choose(templates, threshold)]) for choose in (cues, cue_pairs))
+    likely = lambda whole: _once(F.split(whole, " "), lambda w: F.arrays_overlap(w, some) & F.arrays_overlap(bigrams(w), pairs))
     units = _once(normalised(text), lambda whole: F.when(
-        F.arrays_overlap(F.split(whole, " "), some), F.array_distinct(F.concat(plain, F.array(whole), windows(whole, templates)))
+        likely(whole), F.array_distinct(F.concat(plain, F.array(whole), windows(whole, templates)))
     ).otherwise(F.array().cast("array<string>")))
     hits = F.filter(F.transform(units, best), lambda h: h["dice"] >= threshold)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), hits.alias("hits"))
