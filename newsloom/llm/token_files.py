@@ -21,16 +21,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.bpe import byte_letters
+from newsloom.llm.common import flat as flat_column
 from newsloom.llm.common import in_pieces, worker_memo
 
 CHUNK_IDS, BLOCK_IDS = 1 << 18, 1 << 16
-MEMO_WORDS = 500_000
+MEMO_WORDS, PIECE_BYTES = 1_000_000, 1 << 22
+# Fixed value: marks that are neither letters nor numbers nor white space for the pattern.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Fixed value: white space for Python (and more than what it is for the pattern), as a class for Arrow.
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Fixed value: the pattern by which byte-level vocabularies of this kind cut texts into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -38,9 +44,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class ByteCoder:
     """The tokenizers library's vocabulary of a byte-level file, with a memo of the words met.
 
-    The file's pattern begins a new piece at every single blank in front of something else, so the
-    text is cut there and each different word goes through the library once: its pieces go straight
-    to the library's merge model, words that may hold a special token through the whole tokenizer.
+    The file's pattern begins a new piece at every blank that stands alone between other things than
+    white space, so texts are cut there and each different word goes through the library once: its pieces
+    go straight to the library's merge model, words that may hold a special token through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -62,58 +68,101 @@ class ByteCoder:
             and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         )
         self.pattern = regex.compile(PATTERN)
-        #: Ids of words behind a blank, and of pieces inside words.
+        #: Ids of words behind a blank, and of pieces inside words; those met long ago stand in ``old``, what is met again returns.
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.numbers[t.id] for t in self.model.tokenize(mapped)])
 
+    def _stem(self, word: str) -> bytes:
+        """The ids of a blank and a word of letters."""
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                # ASCII letters stand for themselves in such a vocabulary.
+                ids = b"".join([self.numbers[t.id] for t in self.model.tokenize(self.letters[32] + word)]) if word.isascii() else self._piece(" " + word)
+            self.memo[word] = ids
+        return ids
+
+    def _tail(self, piece: str) -> bytes:
+        """The ids of a piece without a blank."""
+        ids = self.tails.get(piece)
+        if ids is None:
+            if len(self.tails) > MEMO_WORDS // 4:
+                self.tails.clear()
+            ids = self.tails[piece] = self._piece(piece)
+        return ids
+
     def _one(self, word: str) -> bytes:
         """The ids of a blank and the word."""
         if word.isalpha():
-            return self._piece(" " + word)
+            return self._stem(word)
         if "<|" in word:
             return np.array(self.tokenizer.encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes()
+        # Letters, perhaps with marks behind them, on each line: these are the pieces, and the ends of the lines.
+        found = []
+        for line in word.split("\n"):
+            stem = line.rstrip(MARKS)
+            if not stem.isalpha():
+                break
+            if found:
+                found += self._tail("\n"), self._tail(stem)
+            else:
+                found.append(self._stem(stem))
+            if len(stem) < len(line):
+                found.append(self._tail(line[len(stem):]))
+        else:
+            return b"".join(found)
         first, *rest = self.pattern.findall(" " + word)
-        known = self.memo.get(first[1:]) if first[1:].isalpha() else None
-        if known is None:
-            known = self._piece(first)
-            if first[1:].isalpha():
-                self.memo[first[1:]] = known
-        for piece in rest:
-            if piece not in self.tails:
-                if len(self.tails) > MEMO_WORDS:
-                    self.tails.clear()
-                self.tails[piece] = self._piece(piece)
-            known += self.tails[piece]
-        return known
+        known = self._stem(first[1:]) if first[1:].isalpha() else self._piece(first)
+        return known + b"".join(map(self._tail, rest))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.plain:
-            return self._first(text)
-        if "  " in text:
-            words = re.split(r"(?<! ) (?! )", text)
+        return self.encode_all(pa.array([text], pa.large_string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each of some texts; each different word of all of them is looked up once."""
+        if not self.plain or len(texts) == 0:
+            return [self._first(t) for t in texts.to_pylist()]
+        if pc.any(pc.match_substring_regex(texts, f" {SPACE}|{SPACE} ")).as_py():
+            split = pa.array([re.split(r"(?<!\s) (?!\s)", t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
         else:
-            words = text.split(" ")
-        first = self._first(words[0])
-        memo = self.memo
-        rest = words[1:]
-        found = list(map(memo.get, rest))
-        if None in found:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                found = [None] * len(rest)
-            for i, ids in enumerate(found):
+            split = pc.split_pattern(texts, " ")
+        words, at = split.flatten(), np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+        codes = words.dictionary_encode()
+        found = self._known(codes.dictionary.to_numpy(zero_copy_only=False).tolist())
+        index = codes.indices.to_numpy().astype(np.int64)
+        # No blank stands in front of a text's first word.
+        index[at[:-1]] = len(found) + np.arange(len(texts))
+        found += map(self._first, words.take(pa.array(at[:-1])).to_pylist())
+        table, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = sizes[index]
+        ends = np.cumsum(own)
+        data = table[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - own), own) + np.arange(ends[-1])].tobytes()
+        stops = 4 * np.concatenate([[0], ends[at[1:] - 1]])
+        return [data[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of a blank and the word, for each of some different words."""
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        found = list(map(memo.get, words))
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = old.get(word)
                 if ids is None:
-                    word = rest[i]
-                    ids = memo.get(word)
-                    if ids is None:
-                        ids = memo[word] = self._one(word)
-                    found[i] = ids
-        return first + b"".join(found)
+                    ids = self._one(word)
+                found[i] = ids
+                if "\n" not in word:
+                    memo[word] = ids
+        return found
 
     def _first(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
@@ -181,11 +230,12 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, bits
             return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in row.items()], list(row))
 
         size = 0
-        for piece in in_pieces(batches, "text"):
+        for piece in in_pieces(batches, "text", PIECE_BYTES):
             part = piece.column("part")[0].as_py() if piece.num_rows else part
-            for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+            encoded = model.encode_all(flat_column(piece.column("text"), pa.large_string()))
+            for doc_id, own in zip(piece.column("doc_id").to_pylist(), encoded, strict=True):
                 doc_ids.append(doc_id)
-                ids.append(model.encode(text) + end)
+                ids.append(own + end)
                 size += len(ids[-1]) // 4
                 if size >= CHUNK_IDS:
                     yield packed()
