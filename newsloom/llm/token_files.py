@@ -103,7 +103,10 @@ class ByteCoder:
             return self._stem(word)
         if "<|" in word:
             return np.array(self.tokenizer.encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes()
-        # Letters, perhaps with marks behind them, on each line: these are the pieces, and the ends of the lines.
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():
+            return self._stem(stem) + self._tail(word[len(stem):])
+        # The same on each of some lines: these are the pieces, and the ends of the lines.
         found = []
         for line in word.split("\n"):
             stem = line.rstrip(MARKS)
