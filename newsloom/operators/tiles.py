@@ -10,20 +10,32 @@ Riedewald, SIGMOD 2011, with matrix blocks.)
 A row travels once for each tile of the other side, so tiles are as few as memory and cores allow: a
 region of up to ``tile_rows`` rows is one tile, a larger one is cut into that many rows a tile but into
 ``MOST_TILES`` (all in one region) or ``REGION_TILES`` at most, as long as a tile stays below ``MOST_ROWS``.
+
+Where everything is one region, ``block_self_join`` sends no row at all: tiles are stored as packed blocks, and a task
+reads the blocks it compares.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from newsloom.sources.sinks import write_aside
+
 TILE_ROWS = 2048
 #: Rows of a tile at most, about; tiles of a smaller table without regions, and of a smaller region.
 MOST_ROWS, MOST_TILES, REGION_TILES = 8192, 8, 4
+#: Bytes of a packed block at most, about; longer rows make blocks of fewer rows.
+BLOCK_BYTES = 16 << 20
+
+
+def tile_count(rows: int, tile_rows: int) -> int:
+    """Tiles of a table without regions."""
+    return max(1, min(-(-rows // tile_rows), max(MOST_TILES, -(-rows // MOST_ROWS))))
 
 
 def _with_tiles(df: DataFrame, region: str | None, id_col: str, tile_rows: int) -> tuple[DataFrame, DataFrame | int]:
@@ -33,8 +45,7 @@ def _with_tiles(df: DataFrame, region: str | None, id_col: str, tile_rows: int)
     """
     bucket = F.xxhash64(id_col, F.lit("tile"))
     if region is None:
-        rows = df.count()
-        tiles = max(1, min(-(-rows // tile_rows), max(MOST_TILES, -(-rows // MOST_ROWS))))
+        tiles = tile_count(df.count(), tile_rows)
         return df.withColumn("_t", F.pmod(bucket, F.lit(tiles)).cast("int")), tiles
     fewest = F.greatest(F.lit(REGION_TILES), F.ceil(F.count("*") / MOST_ROWS))
     counts = df.groupBy(region).agg(F.least(F.ceil(F.count("*") / tile_rows), fewest).cast("int").alias("_n"))
@@ -95,3 +106,47 @@ def _cogroup(lhs: DataFrame, rhs: DataFrame, region: str | None, emit, schema: S
     # Fresh column identities, so that a table can be compared with itself.
     rhs = rhs.select(*[F.col(c).alias(c) for c in rhs.columns])
     return lhs.groupBy(*key).cogroup(rhs.groupBy(*key)).applyInArrow(emit, schema)
+
+
+def block_self_join(
+    df: DataFrame,
+    emit: Callable[[pa.Table, pa.Table, bool], Iterator[pa.Table]],
+    schema: StructType | str,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """``emit`` sees every unordered pair of blocks of a table once, a block with itself flagged True; it sends on table by table.
+
+    The rows are dealt out and stored once, a block of them packed into one value. The pairs are a product of the few
+    blocks, whose sides are read from the store where they are compared: the disk this takes is that of the rows once, however many pairs there are.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows = pa.Table.from_batches(held) if held else None
+        step = max(1, int(rows.num_rows * BLOCK_BYTES / max(BLOCK_BYTES, rows.nbytes))) if held else 1
+        for start in range(0, rows.num_rows if held else 0, step):
+            block = rows.slice(start, step).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema) as stream:
+                stream.write_table(block)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+    dealt = df.repartition(tile_count(df.count(), tile_rows)).mapInArrow(pack, "rows binary")
+    stored = write_aside(dealt.withColumn("_b", F.monotonically_increasing_id()), "blocks")
+    one, two = (stored.select(F.col("_b").alias(n), F.col("rows").alias(f"{n}_rows")) for n in ("_i", "_j"))
+    # A hash says which of two blocks comes first, so that every part of the product has about half of its pairs to compare.
+    turned = F.pmod(F.xxhash64(F.least("_i", "_j"), F.greatest("_i", "_j")), F.lit(2)) == 1
+    pairs = one.join(two, (F.col("_i") == F.col("_j")) | ((F.col("_i") < F.col("_j")) != turned))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                i, a, j, b = (batch.column(c)[n] for c in ("_i", "_i_rows", "_j", "_j_rows"))
+                a, b = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (a, b))
+                for found in emit(a, b, i.as_py() == j.as_py()):
+                    yield from pa.table([c.cast(f.type) for c, f in zip(found.columns, out, strict=True)], schema=out).to_batches()
+
+    return pairs.mapInArrow(compare, schema)

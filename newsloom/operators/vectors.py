@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import normalize_url
 from newsloom.functions.vectors import RANK_DIGITS, band_signature, cosine, probe_signatures, unit_rows
 from newsloom.operators.tables import first_per_key
-from newsloom.operators.tiles import TILE_ROWS, tile_join, tile_self_join
+from newsloom.operators.tiles import TILE_ROWS, block_self_join, tile_join, tile_self_join
 from newsloom.session import new_path
 
 # A table of vectors with at most this many rows and bytes may be sent to every task. Which way is
@@ -21,6 +21,10 @@ BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 32 << 20
 #: Entries of a score matrix that a task holds at a time.
 BLOCK_SCORES = 1 << 22
+#: Pairs whose cosines are taken at a time.
+PAIR_ROWS = 1 << 15
+#: From this share of all pairs on that the buckets of an LSH search compare, counted for each band, all pairs are compared once.
+CROWDED = 0.5
 
 
 def block_rows(others: int) -> int:
@@ -227,18 +231,28 @@ def related_recent(
 
 
 def _pairs_above(threshold: float, a: pa.Table, b: pa.Table, diagonal: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs with a cosine above the threshold and different sources, and their scores, block by block."""
+    """Index pairs with a cosine above the threshold and different sources, and their scores, block by block.
+
+    Products in single precision leave out what is below the threshold by more than their error; the cosines of the rest are of double precision.
+    """
     one, two = unit_rows(a.column("vector")), unit_rows(b.column("vector"))
     src_a, src_b, step = _numpy(a.column("src")), _numpy(b.column("src")), block_rows(len(two))
+    # Products of unit vectors differ by at most about half a unit of the last place for each factor, product and sum.
+    least = threshold - (one.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    rough_one, rough_two = one.astype(np.float32), two.astype(np.float32).T
     for start in range(0, len(one), step):
-        scores = one[start : start + step] @ two.T
-        hit = scores > threshold
+        hit = rough_one[start : start + step] @ rough_two > np.float32(least)
         if diagonal:
             hit = np.triu(hit, start + 1)
         left, right = np.nonzero(hit)
         differ = src_a[left + start] != src_b[right]
-        left, right = left[differ], right[differ]
-        yield left + start, right, scores[left, right]
+        left, right = left[differ] + start, right[differ]
+        scores = np.empty(len(left))
+        for at in range(0, len(left), PAIR_ROWS):
+            part = slice(at, at + PAIR_ROWS)
+            scores[part] = np.einsum("ij,ij->i", one[left[part]], two[right[part]])
+        above = scores > threshold
+        yield left[above], right[above], scores[above]
 
 
 def _no_pairs(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -279,12 +293,11 @@ def pairwise_similar(
         df = df.where(F.array_contains("categories", category))
     lean = df.select("article_id", "src", F.col(vector).alias("vector")).where("vector IS NOT NULL")
 
-    def emit(a: pa.Table, b: pa.Table, diagonal: bool) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return _no_pairs(a, b)
-        return pa.concat_tables([_pair_table(a, b, *found) for found in _pairs_above(threshold, a, b, diagonal)])
+    def emit(a: pa.Table, b: pa.Table, diagonal: bool) -> Iterator[pa.Table]:
+        for found in _pairs_above(threshold, a, b, diagonal):
+            yield _pair_table(a, b, *found)
 
-    return tile_self_join(lean, None, "article_id", emit, _pair_schema(df), tile_rows)
+    return block_self_join(lean, emit, _pair_schema(df), tile_rows)
 
 
 def describe_pairs(pairs: DataFrame, articles: DataFrame) -> DataFrame:
@@ -294,6 +307,14 @@ def describe_pairs(pairs: DataFrame, articles: DataFrame) -> DataFrame:
     return pairs.join(one, "article_1").join(two, "article_2")
 
 
+def _signed(df: DataFrame, bands: int, bits: int, vector: str, seed: int, tile_rows: int) -> tuple[DataFrame, int]:
+    """The rows with a vector and their signature, stored, and the number of regions."""
+    path = new_path(df.sparkSession, "lsh")
+    df.where(F.col(vector).isNotNull()).withColumn("codes", band_signature(vector, bands, bits, seed)).write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    return stored, max(1, -(-stored.count() * bands // tile_rows))
+
+
 def lsh_index(
     df: DataFrame, bands: int, bits: int, vector: str = "embedding", seed: int = 7, tile_rows: int = TILE_ROWS
 ) -> tuple[DataFrame, int]:
@@ -303,13 +324,12 @@ def lsh_index(
     into bands when read, so the Python side does not run again for every use. The number
     of regions makes an average region about one tile.
     """
-    spark = df.sparkSession
-    path = new_path(spark, "lsh")
-    df.where(F.col(vector).isNotNull()).withColumn("codes", band_signature(vector, bands, bits, seed)).write.parquet(path)
-    stored = spark.read.parquet(path)
-    regions = max(1, -(-stored.count() * bands // tile_rows))
-    index = stored.select("*", F.posexplode("codes").alias("band", "code")).withColumn("_r", _region(regions))
-    return index, regions
+    stored, regions = _signed(df, bands, bits, vector, seed, tile_rows)
+    return _in_bands(stored, regions), regions
+
+
+def _in_bands(signed: DataFrame, regions: int) -> DataFrame:
+    return signed.select("*", F.posexplode("codes").alias("band", "code")).withColumn("_r", _region(regions))
 
 
 def _region(regions: int) -> Column:
@@ -325,15 +345,30 @@ def pairwise_similar_lsh(
     Buckets are hashed into regions; a bucket that holds a large share of the articles
     makes its region large, which is then cut into more tiles. A pair found in several
     bands is sent on by the first of them only, so nothing has to be deduplicated.
+
+    Few bits for many articles make crowded buckets: once the regions compare about as many pairs as there are, every
+    row would travel once a band and tile to be compared with most others again and again. Then each pair of articles is compared once, and its signatures tell whether it shares a bucket.
     """
     lean = df.select("article_id", "src", F.col(vector).alias("vector"))
-    index, _ = lsh_index(lean, bands, bits, "vector", seed, tile_rows)
-    entries = index.withColumn("_entry", F.xxhash64("article_id", "band"))
+    signed, regions = _signed(lean, bands, bits, "vector", seed, tile_rows)
+    # A code takes as few bytes as its bits need.
+    small = next(kind for kind, most in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 64)) if bits <= most)
+    signed = signed.withColumn("codes", F.col("codes").cast(f"array<{small}>"))
+    entries = _in_bands(signed, regions).drop("code").withColumn("_entry", F.xxhash64("article_id", "band"))
+
+    def codes(t: pa.Table) -> np.ndarray:
+        return _numpy(t.column("codes").combine_chunks().flatten()).reshape(t.num_rows, -1)
+
+    def meet(a: pa.Table, b: pa.Table, diagonal: bool) -> Iterator[pa.Table]:
+        all_a, all_b = codes(a), codes(b)
+        for left, right, scores in _pairs_above(threshold, a, b, diagonal):
+            keep = (all_a[left] == all_b[right]).any(axis=1)
+            yield _pair_table(a, b, left[keep], right[keep], scores[keep])
 
     def emit(a: pa.Table, b: pa.Table, diagonal: bool) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _no_pairs(a, b)
-        all_a, all_b = (_numpy(t.column("codes").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (a, b))
+        all_a, all_b = codes(a), codes(b)
         in_a, in_b = _numpy(a.column("band")), _numpy(b.column("band"))
         kept = []
         for left, right, scores in _pairs_above(threshold, a, b, diagonal):
@@ -344,6 +379,9 @@ def pairwise_similar_lsh(
             kept.append(_pair_table(a, b, left[keep], right[keep], scores[keep]))
         return pa.concat_tables(kept)
 
+    sizes = entries.groupBy("_r").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).first()
+    if (sizes.pairs or 0) >= CROWDED * ((sizes.n or 0) / bands) ** 2:
+        return block_self_join(signed, meet, _pair_schema(df), tile_rows)
     return tile_self_join(entries, "_r", "_entry", emit, _pair_schema(df), tile_rows)
 
 

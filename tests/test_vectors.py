@@ -231,3 +231,47 @@ def test_a_large_tile_is_compared_in_blocks(monkeypatch):
             blocks = list(vectors._pairs_above(0.2, t, t, diagonal))
         assert len(blocks) == 8 and len(whole[0]) > 50
         assert set(zip(*whole[:2])) == set(zip(*[np.concatenate(c) for c in zip(*blocks)][:2]))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_pairs_shuffle_no_row_for_them(spark, cloud):
+    """Blocks are read where they are compared; a row is not sent once for each tile of the other side."""
+    df = frame(spark, cloud, src=[f"s{i % 3}" for i in range(300)])
+    for pairs in (vectors.pairwise_similar(df, 0.6, tile_rows=40), vectors.pairwise_similar_lsh(df, 0.6, bands=24, bits=2, tile_rows=40)):
+        assert "FlatMapCoGroupsInArrow" not in _plan(pairs) and "Join Inner" in _plan(pairs)
+
+
+def test_pairs_near_the_threshold_are_those_of_double_precision(spark):
+    # Cosines with the first vector go past 0.6 in steps that single precision cannot tell apart.
+    angle = np.arccos(0.6) + (np.arange(200) - 100) * 1e-10
+    matrix = np.concatenate([[[1.0, 0.0]], np.stack([np.cos(angle), np.sin(angle)], axis=1)])
+    rows = [(i, "a" if i == 0 else "b", [float(x) for x in v]) for i, v in enumerate(matrix)]
+    df = spark.createDataFrame(rows, "article_id bigint, src string, embedding array<double>")
+    got = as_rows(vectors.pairwise_similar(df, 0.6), "article_1", "article_2")
+    assert abs(len(got) - 100) <= 1 and got == [(0, i) for i in range(1, len(got) + 1)]
+
+
+def test_crowded_buckets_and_regions_give_the_same_pairs(spark, cloud, monkeypatch):
+    rows = [(i % 280, f"s{i % 3}", None if i % 50 == 0 else [0.0] * 16 if i % 50 == 1 else [float(x) for x in v]) for i, v in enumerate(cloud)]
+    df = spark.createDataFrame(rows, "article_id bigint, src string, embedding array<float>")
+    found = []
+    for crowded in (0.0, float("inf")):
+        monkeypatch.setattr(vectors, "CROWDED", crowded)
+        pairs = vectors.pairwise_similar_lsh(df, 0.5, bands=6, bits=3, tile_rows=64)
+        assert ("FlatMapCoGroupsInArrow" in _plan(pairs)) == (crowded > 0)
+        found.append(as_rows(pairs, "article_1", "source_1", "article_2", "source_2", "similarity"))
+    exact = as_rows(vectors.pairwise_similar(df, 0.5), "article_1", "source_1", "article_2", "source_2", "similarity")
+    assert found[0] == found[1] and set(found[0]) <= set(exact) and 20 < len(found[0]) < len(exact)
+
+
+def test_recall_of_pairs_finds_either_side_once(spark, sf_dir):
+    from newsloom.plans.catalog import QUERIES, load
+
+    if "pairwise_similar_lsh" not in QUERIES:
+        load()
+    checked = QUERIES["pairwise_similar_lsh"](spark, sf_dir)
+    assert _plan(checked).count("MapInArrow") == 2
+    assert [tuple(r) for r in checked.collect()] == [(0, True)]
