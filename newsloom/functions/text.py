@@ -84,9 +84,12 @@ def host(c: str | Column) -> Column:
     return F.nullif(F.regexp_extract(col(c), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1), F.lit(""))
 
 
+_SENTENCE_END = rf"(?<=[.!?]){WS}+"
+
+
 def sentences(c: str | Column) -> Column:
     """Split after . ! ? followed by white space; blank pieces are dropped."""
-    return F.filter(F.split(col(c), rf"(?<=[.!?]){WS}+"), lambda s: strip(s) != "")
+    return F.filter(F.split(col(c), _SENTENCE_END), lambda s: strip(s) != "")
 
 
 def word_count(c: str | Column) -> Column:
@@ -98,8 +101,12 @@ def comma_count(c: str | Column) -> Column:
 
 
 def lead_sentences(c: str | Column, n: int = 3) -> Column:
-    """The first n sentences of the whole text: the default summary."""
-    return F.array_join(F.transform(F.slice(sentences(c), 1, n), strip), " ")
+    """The first n sentences of the whole text: the default summary.
+
+    Only the last piece of a text can be blank, as all others end in . ! or ?, so the text is split no further than n pieces.
+    """
+    ahead = F.slice(F.split(col(c), _SENTENCE_END, n + 1), 1, n)
+    return F.array_join(F.filter(F.transform(ahead, strip), lambda s: s != ""), " ")
 
 
 def mmss(seconds: str | Column) -> Column:

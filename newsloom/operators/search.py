@@ -16,6 +16,7 @@ are removed. A key leads to heads, a head to its terms, and only those are compa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations, pairwise
@@ -76,8 +77,8 @@ def _placed(f: str, analyzer: str) -> tuple[Column, Column]:
 COUNTED_WORDS = 1 << 18
 
 
-def _counted(words: pa.ListArray, places: pa.ListArray | None) -> tuple[np.ndarray, list[pa.Array]]:
-    """Of each row the different words in order: the row of each, and ``term, len, tf, places, first``."""
+def _counted(words: pa.ListArray, places: pa.ListArray | None) -> tuple[np.ndarray, np.ndarray, pa.Array, list[pa.Array]]:
+    """The different words of each row, ordered by word and row: the row and the word's rank of each, all words by rank, and ``term, len, tf, places, first``."""
     sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
     flat = words.flatten().dictionary_encode()
     row = np.repeat(np.arange(len(words)), sizes)
@@ -85,22 +86,50 @@ def _counted(words: pa.ListArray, places: pa.ListArray | None) -> tuple[np.ndarr
     by_word = pc.sort_indices(flat.dictionary).to_numpy()
     rank = np.empty(len(by_word), np.int64)
     rank[by_word] = np.arange(len(by_word))
-    # Words of a row come in order of place, so a stable sort by row and word leaves the places sorted.
-    key = row * max(1, len(rank)) + rank[flat.indices.to_numpy()]
+    # Words of a row come in order of place, so a stable sort by word and row leaves the places sorted. What is
+    # sorted by term already is sorted faster afterwards.
+    key = rank[flat.indices.to_numpy()] * max(1, len(words)) + row
     order = np.argsort(key, kind="stable")
     key = key[order]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
     of = row[order[start]]
     ends = np.r_[start, len(key)].astype(np.int32)
-    first = np.r_[True, of[1:] != of[:-1]][: len(of)]
-    return of, [
+    # Of several places that are assigned the last one stays, which is the least.
+    least = np.full(len(words), -1)
+    least[of[::-1]] = np.arange(len(of))[::-1]
+    first = np.zeros(len(of), bool)
+    first[least[least >= 0]] = True
+    return of, key[start] // max(1, len(words)), flat.dictionary.take(pa.array(by_word)), [
         flat.dictionary.take(flat.indices.take(pa.array(order[start]))), pa.array(sizes[of], pa.int32()), pa.array(np.diff(ends), pa.int64()),
         pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order], pa.int32())), pa.array(first),
     ]
 
 
-def document_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per document, field and term: ``term, field, doc_id, len, tf, places``, and whether it is the ``first`` term of the field. No shuffle; NULL and empty fields have none."""
+def _parts(bounds: Sequence[tuple], field: str, by_rank: pa.Array, rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``(term, field, doc_id)`` are below each posting of a field: the range it belongs to."""
+    known, ahead, same = by_rank.to_pylist(), [], {}
+    for b in bounds:
+        at = bisect_left(known, b[0])
+        equal = at < len(known) and known[at] == b[0]
+        ahead.append(at + equal)
+        if equal:
+            same.setdefault(at, []).append(b)
+    out = np.searchsorted(np.array(ahead, np.int64), np.arange(len(known)), "right")[rank] if len(known) else np.zeros(0, np.int64)
+    # The postings of a common term are many ranges, told apart by field and document.
+    for at, here in same.items():
+        rows = slice(*np.searchsorted(rank, [at, at + 1]))
+        within = np.array([b[2] for b in here if b[1] == field], ids.dtype)
+        out[rows] += sum(b[1] < field for b in here) + np.searchsorted(within, ids[rows])
+    return out
+
+
+def document_terms(
+    df: DataFrame, doc_id: str, fields: Sequence[str], analyzers: Mapping[str, str] | None = None, bounds: Sequence[tuple] | None = None,
+) -> DataFrame:
+    """One row per document, field and term: ``term, field, doc_id, len, tf, places``, and whether it is the ``first`` term of the field. No shuffle; NULL and empty fields have none.
+
+    With ``bounds``, sorted, each row also has the number of its range between them, ``part``.
+    """
     analyzers = analyzers or {}
     placed = [_placed(f, analyzers.get(f, STANDARD)) for f in fields]
     # Without stop words a word's place is its number in the array, which need not travel.
@@ -112,6 +141,9 @@ def document_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers:
         T.StructField("tf", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("first", T.BooleanType()),
     ])
 
+    if bounds is not None:
+        schema = schema.add("part", T.IntegerType())
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -123,10 +155,12 @@ def document_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers:
                 share = words.offsets.to_numpy()
                 cuts = np.flatnonzero(np.diff((share - share[0]) // COUNTED_WORDS)) + 1
                 for a, b in pairwise(np.unique(np.r_[0, cuts, len(words)])):
-                    of, (term, size, tf, at, first) = _counted(words[a:b], None if places is None else places[a:b])
+                    of, rank, by_rank, (term, size, tf, at, first) = _counted(words[a:b], None if places is None else places[a:b])
                     if len(of):
                         field = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(of), np.int8)), pa.array([f])).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([term, field, ids.take(pa.array(of + a)), size, tf, at, first], schema.names)
+                        own = ids.take(pa.array(of + a))
+                        part = [] if bounds is None else [pa.array(_parts(bounds, f, by_rank, rank, own.to_numpy(zero_copy_only=False)), pa.int32())]
+                        yield pa.RecordBatch.from_arrays([term, field, own, size, tf, at, first, *part], schema.names)
 
     return rows.mapInArrow(count, schema)
 
@@ -240,13 +274,72 @@ def field_stats(postings: DataFrame) -> DataFrame:
 FILE_ROWS, SMALL_ROWS = 1 << 20, 1 << 16
 
 
+def range_count(rows: int, cores: int) -> int:
+    """Ranges for so many postings: their number follows the rows, so that a task's share does not grow with the table."""
+    return max(1, -(-rows // FILE_ROWS), min(cores, -(-rows // SMALL_ROWS)))
+
+
 def sorted_ranges(stored: DataFrame, *by: str) -> DataFrame:
-    """A stored table sorted by ranges; their number follows its rows, so that a task's share does not grow with the table."""
-    rows, cores = stored.count(), stored.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, -(-rows // FILE_ROWS), min(cores, -(-rows // SMALL_ROWS)))
+    """A stored table sorted by ranges."""
+    parts = range_count(stored.count(), stored.sparkSession.sparkContext.defaultParallelism)
     return stored.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
 
+#: Documents, and postings of them, from which the bounds of ranges are taken, about.
+BOUND_DOCS, BOUND_ROWS = 1 << 11, 1 << 19
+
+
+def range_bounds(seen: DataFrame, rows: int, parts: int) -> list[tuple]:
+    """``(term, field, doc_id)`` between so many ranges of about one size, from some postings, which are stored."""
+    by = ["term", "field", "doc_id"]
+    thin = max(1, rows // BOUND_ROWS)
+    found = (seen.where(F.pmod(F.xxhash64(*by), F.lit(thin)) == 0) if thin > 1 else seen).select(*by).toArrow().sort_by([(c, "ascending") for c in by])
+    return sorted({tuple(r[c] for c in by) for r in found.take(pa.array(np.arange(1, parts) * found.num_rows // parts)).to_pylist()}) if found.num_rows else []
+
+
+def range_of(bounds: Sequence[tuple]) -> Column:
+    """The range of a posting between sorted bounds. Rows that come sorted are mostly of one range, which the least and greatest term of a batch tell."""
+    terms = [b[0] for b in bounds]
+
+    @F.arrow_udf("int")
+    def part(term: pa.Array, field: pa.Array, doc: pa.Array) -> pa.Array:
+        ends = pc.min_max(term).as_py() if len(term) else {"min": "", "max": ""}
+        low, high = bisect_left(terms, ends["min"]), bisect_right(terms, ends["max"])
+        out = np.full(len(term), low, np.int32)
+        if low < high and len(term):
+            known = term.dictionary_encode()
+            words, code = known.dictionary.to_pylist(), known.indices.to_numpy()
+            out = np.array([bisect_left(terms, w, low, high) for w in words], np.int32)[code]
+            # The postings of a common term are many ranges, told apart by field and document.
+            for at, w in enumerate(words):
+                same = bounds[bisect_left(terms, w, low, high) : bisect_right(terms, w, low, high)]
+                if same:
+                    rows = np.flatnonzero(code == at)
+                    fields, ids = (c.take(pa.array(rows)).to_numpy(zero_copy_only=False) for c in (field, doc))
+                    out[rows] += sum(((fields > f) | ((fields == f) & (ids > d))).astype(np.int32) for _, f, d in same)
+        return pa.array(out, pa.int32())
+
+    return part("term", "field", "doc_id")
+
+
+def sorted_terms(df: DataFrame, doc_id: str, fields: Sequence[str], analyzers: Mapping[str, str], documents: int, large: bool) -> DataFrame:
+    """``document_terms`` sorted by ranges of term, field and document, or in one file if they are few and not ``large``.
+
+    Bounds come from the postings of some of the ``documents``, so that all texts are analysed once and their postings are dealt
+    out as they are made, not stored unsorted and read again to choose bounds and to deal them out.
+    """
+    by = ["term", "field", "doc_id"]
+    share = max(1, documents // BOUND_DOCS)
+    some = df.where(F.pmod(F.xxhash64(doc_id, F.lit("bounds")), F.lit(share)) == 0) if share > 1 else df
+    seen = write_aside(document_terms(some, doc_id, fields, analyzers).select(*by), "bounds")
+    rows = seen.count()
+    parts = range_count(rows * share, df.sparkSession.sparkContext.defaultParallelism) if large or rows * share > FILE_ROWS else 1
+    bounds = range_bounds(seen, rows, parts) if parts > 1 else []
+    remove_aside(seen)
+    dealt = document_terms(df, doc_id, fields, analyzers, bounds).repartitionById(len(bounds) + 1, F.col("part"))
+    return dealt.sortWithinPartitions(*by).drop("part")
+
+
 def write_index(index: SearchIndex, path: str) -> SearchIndex:
     """Store the index and return the stored one.
 

@@ -119,3 +119,73 @@ def test_a_large_batch_is_sorted_by_many_tasks(spark, monkeypatch):
     files = [r["count"] for r in postings.groupBy(F.input_file_name()).count().collect()]
     assert len(files) >= postings.count() // 500 and max(files) < 1000
     assert len(scores(segments.read_segments(spark, path), "alpha")) == 400
+
+
+def test_compaction_sends_no_posting_for_the_dead(spark, monkeypatch):
+    """Dead documents are found among the lengths and left out by a filter; whatever way is taken, the same postings stay."""
+    path, rows = new_path(spark, "test-segments"), [(i, f"alpha beta w{i}") for i in range(300)]
+    segments.add_segment(path, docs(spark, rows[:200]), large=True)
+    segments.add_segment(path, docs(spark, [(i, "gamma") for i in range(150, 200)]))
+    segments.add_segment(path, docs(spark, rows[100:]), removed=spark.createDataFrame([(3,), (7,)], "doc_id long"))
+    log = segments.read_log(spark, path)
+    numbers = [n for n, _ in log.live]
+    want = segments._living(spark, path, log, "postings", numbers)
+    rows_of = lambda df: sorted(tuple(map(str, r)) for r in df.select("term", "field", "doc_id", "len", "tf", "places", "first").collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got, about, living = segments._living_postings(spark, path, log, numbers)
+    assert {r.doc_id for r in living.collect()} == {r.doc_id for r in want.select("doc_id").distinct().collect()}
+    assert "LeftAnti" not in plan(got) and abs(about - want.count()) <= 2 and rows_of(got) == rows_of(want)
+    # Living documents that the filter takes for dead ones are listed.
+    monkeypatch.setattr(segments, "MARK_BITS", 1)
+    monkeypatch.setattr(segments, "MARK_PLACES", 1)
+    assert rows_of(segments._living_postings(spark, path, log, numbers)[0]) == rows_of(want)
+    monkeypatch.setattr(segments, "MAX_PUSHED", 0)
+    joined = segments._living_postings(spark, path, log, numbers)[0]
+    assert "LeftAnti" in plan(joined) and rows_of(joined) == rows_of(want)
+
+
+def test_texts_of_a_batch_are_dealt_to_ranges_as_they_are_counted(spark, monkeypatch):
+    """The stored files are ranges of term, field and document; a common term is several of them. Nothing is stored unsorted."""
+    monkeypatch.setattr(search, "FILE_ROWS", 300)
+    monkeypatch.setattr(search, "BOUND_DOCS", 64)
+    monkeypatch.setattr(segments, "FILE_ROWS", 300)
+    aside = []
+    monkeypatch.setattr(search, "write_aside", lambda df, name, write=search.write_aside: aside.append(write(df, name)) or aside[-1])
+    path = new_path(spark, "test-segments")
+    segments.add_segment(path, docs(spark, [(i, f"alpha é w{i} alpha") for i in range(500)]))
+    assert [a.columns for a in aside] == [["term", "field", "doc_id"]]
+    stored = spark.read.parquet(f"{path}/postings/seg=0")
+    files = {}
+    for r in stored.select(F.input_file_name().alias("f"), "term", "field", "doc_id").collect():
+        files.setdefault(r.f, []).append((r.term, r.field, r.doc_id))
+    assert len(files) > 10 and all(rows == sorted(rows) for rows in files.values())
+    ranges = sorted((rows[0], rows[-1]) for rows in files.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:])) and sum(a[0] == b[0] == "alpha" for a, b in ranges) > 1
+    # Title, summary and content have 4, 3 and 5 different words.
+    assert stored.count() == 500 * 12 and stored.where("first").count() == 1500 and max(map(len, files.values())) < 900
+
+
+def test_merged_files_are_ranges(spark, monkeypatch):
+    monkeypatch.setattr(search, "FILE_ROWS", 300)
+    path = new_path(spark, "test-segments")
+    for some in (range(0, 300, 2), range(1, 300, 2), range(100, 200)):
+        segments.add_segment(path, docs(spark, [(i, f"alpha beta w{i} alpha") for i in some]))
+    assert segments.compact(spark, path, everything=True)
+    stored, files = spark.read.parquet(f"{path}/postings"), {}
+    for r in stored.select(F.input_file_name().alias("f"), "term", "field", "doc_id").collect():
+        files.setdefault(r.f, []).append((r.term, r.field, r.doc_id))
+    ranges = sorted((rows[0], rows[-1]) for rows in files.values())
+    assert len(files) > 6 and max(map(len, files.values())) < 900 and all(rows == sorted(rows) for rows in files.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:])) and stored.count() == stored.select("term", "field", "doc_id").distinct().count() == 300 * 12
+
+
+def test_lead_sentences_are_those_of_the_whole_text(spark):
+    from newsloom.functions.text import lead_sentences, sentences, strip
+
+    texts = ["A. B! C? D. E", "A. B! C? ", "  A. \n B", ". . . . x", "", "  ", ". ", "no end", None, "A.  B.  ", "x. ", "a! b! "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.array_join(F.transform(F.slice(sentences("t"), 1, 3), strip), " ")
+    rows = df.select(lead_sentences("t", 3), whole, lead_sentences("t", 1)).collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows] and rows[0][0] == "A. B! C?" and rows[0][2] == "A."
+    plan = df.select(lead_sentences("t", 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 4)" in plan
