@@ -11,8 +11,8 @@ A row travels once for each tile of the other side, so tiles are as few as memor
 region of up to ``tile_rows`` rows is one tile, a larger one is cut into that many rows a tile but into
 ``MOST_TILES`` (all in one region) or ``REGION_TILES`` at most, as long as a tile stays below ``MOST_ROWS``.
 
-Where everything is one region, ``block_self_join`` sends no row at all: tiles are stored as packed blocks, and a task
-reads the blocks it compares.
+Where everything is one region, ``block_self_join`` packs tiles into single values. They are as large as the vectors' length
+allows, so a row travels as seldom as can be, and pairs are sent on as they are found.
 """
 
 from __future__ import annotations
@@ -29,13 +29,13 @@ from newsloom.sources.sinks import write_aside
 TILE_ROWS = 2048
 #: Rows of a tile at most, about; tiles of a smaller table without regions, and of a smaller region.
 MOST_ROWS, MOST_TILES, REGION_TILES = 8192, 8, 4
-#: Bytes of a packed block at most, about; longer rows make blocks of fewer rows.
-BLOCK_BYTES = 16 << 20
+#: Rows of a packed block at most, about, and numbers in its vectors if that makes more than MOST_ROWS rows.
+BLOCK_ROWS, BLOCK_NUMBERS = 1 << 16, 1 << 22
 
 
-def tile_count(rows: int, tile_rows: int) -> int:
-    """Tiles of a table without regions."""
-    return max(1, min(-(-rows // tile_rows), max(MOST_TILES, -(-rows // MOST_ROWS))))
+def tile_count(rows: int, tile_rows: int, most: int = MOST_ROWS) -> int:
+    """Tiles of a table without regions, of so many rows at most."""
+    return max(1, min(-(-rows // tile_rows), max(MOST_TILES, -(-rows // most))))
 
 
 def _with_tiles(df: DataFrame, region: str | None, id_col: str, tile_rows: int) -> tuple[DataFrame, DataFrame | int]:
@@ -114,39 +114,42 @@ def block_self_join(
     schema: StructType | str,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """``emit`` sees every unordered pair of blocks of a table once, a block with itself flagged True; it sends on table by table.
+    """``emit`` sees every unordered pair of blocks of a table with a ``vector`` once, a block with itself flagged True; it sends on table by table.
 
-    The rows are dealt out and stored once, a block of them packed into one value. The pairs are a product of the few
-    blocks, whose sides are read from the store where they are compared: the disk this takes is that of the rows once, however many pairs there are.
+    The rows are dealt out and stored once, a block of them packed into one value, and blocks meet by their numbers.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        rows = pa.Table.from_batches(held) if held else None
-        step = max(1, int(rows.num_rows * BLOCK_BYTES / max(BLOCK_BYTES, rows.nbytes))) if held else 1
-        for start in range(0, rows.num_rows if held else 0, step):
-            block = rows.slice(start, step).combine_chunks()
+        held = [b for b in batches if b.num_rows]
+        if held:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema) as stream:
-                stream.write_table(block)
+            with pa.ipc.new_stream(sink, held[0].schema) as stream:
+                stream.write_table(pa.Table.from_batches(held).combine_chunks())
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
 
-    dealt = df.repartition(tile_count(df.count(), tile_rows)).mapInArrow(pack, "rows binary")
-    stored = write_aside(dealt.withColumn("_b", F.monotonically_increasing_id()), "blocks")
-    one, two = (stored.select(F.col("_b").alias(n), F.col("rows").alias(f"{n}_rows")) for n in ("_i", "_j"))
-    # A hash says which of two blocks comes first, so that every part of the product has about half of its pairs to compare.
-    turned = F.pmod(F.xxhash64(F.least("_i", "_j"), F.greatest("_i", "_j")), F.lit(2)) == 1
-    pairs = one.join(two, (F.col("_i") == F.col("_j")) | ((F.col("_i") < F.col("_j")) != turned))
+    size = df.agg(F.count("*").alias("rows"), F.max(F.size("vector")).alias("width")).first()
+    blocks = tile_count(size.rows, tile_rows, max(MOST_ROWS, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, size.width or 1))))
+    # A partition is a block and gives it its number.
+    dealt = df.repartition(blocks).mapInArrow(pack, "rows binary").withColumn("_t", F.spark_partition_id())
+    stored = write_aside(dealt, "blocks")
+    one = stored.select(F.col("_t").alias("_i"), F.explode(F.expr(f"sequence(_t, {blocks - 1})")).alias("_j"), F.col("rows").alias("_i_rows"))
+    # The block with itself is not sent twice.
+    two = stored.where("_t > 0").select(F.explode(F.expr("sequence(0, _t - 1)")).alias("_i"), F.col("_t").alias("_j"), F.col("rows").alias("_j_rows"))
+    # Not broadcast: its copies are more than the stored table says.
+    pairs = one.join(two.hint("merge"), ["_i", "_j"], "left")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 i, a, j, b = (batch.column(c)[n] for c in ("_i", "_i_rows", "_j", "_j_rows"))
-                a, b = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (a, b))
-                for found in emit(a, b, i.as_py() == j.as_py()):
+                diagonal = i.as_py() == j.as_py()
+                if not diagonal and not b.is_valid:  # a block without rows
+                    continue
+                a, b = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (a, a if diagonal else b))
+                for found in emit(a, b, diagonal):
                     yield from pa.table([c.cast(f.type) for c, f in zip(found.columns, out, strict=True)], schema=out).to_batches()
 
     return pairs.mapInArrow(compare, schema)

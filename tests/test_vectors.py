@@ -237,11 +237,12 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_all_pairs_shuffle_no_row_for_them(spark, cloud):
-    """Blocks are read where they are compared; a row is not sent once for each tile of the other side."""
+def test_all_pairs_meet_in_packed_blocks(spark, cloud):
+    """Blocks of rows meet by number, neither row by row nor in a cross join."""
     df = frame(spark, cloud, src=[f"s{i % 3}" for i in range(300)])
     for pairs in (vectors.pairwise_similar(df, 0.6, tile_rows=40), vectors.pairwise_similar_lsh(df, 0.6, bands=24, bits=2, tile_rows=40)):
-        assert "FlatMapCoGroupsInArrow" not in _plan(pairs) and "Join Inner" in _plan(pairs)
+        assert "FlatMapCoGroupsInArrow" not in _plan(pairs) and "Join LeftOuter, ((_i" in _plan(pairs)
+    assert tiles.tile_count(615_000, 2048, tiles.BLOCK_ROWS) == 10 and tiles.tile_count(615_000, 2048) == 76
 
 
 def test_pairs_near_the_threshold_are_those_of_double_precision(spark):
